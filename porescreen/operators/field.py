@@ -2,7 +2,7 @@
 
 A voxel group (one framework, or one framework and axis) is cut into bricks of bounded volume.
 Each round is one grouped job: a brick with copies of the voxels next to it is brought to its
-own fixpoint with whole-array shifts, then the brick borders are exchanged.  Rounds count
+own fixpoint with array operations, then the brick borders are exchanged.  Rounds count
 brick crossings of the longest path, not its voxels, and a group leaves the loop as soon as it
 is stable.  Groups that fit into one brick need a single pass and no loop at all.
 
@@ -71,9 +71,12 @@ def _placements(axis: str) -> Column:
     return F.filter(F.array(own, below, above), lambda p: p.isNotNull())
 
 
-def _spread(state: DataFrame) -> DataFrame:
+def _spread(state: DataFrame, several: bool) -> DataFrame:
     """Rows by brick: each voxel in its own brick and, at a border, as a copy in the next one."""
     out = state
+    if not several:
+        place = {f"b{x}": F.lit(0) for x in AXES} | {f"l{x}": F.col(x) + 1 for x in AXES}
+        return out.withColumns(place | {"own": F.lit(True)})
     for x in AXES:
         out = out.withColumn("_p", F.explode(_placements(x))).withColumns({f"b{x}": F.col("_p.b"), f"l{x}": F.col("_p.l")}).drop("_p")
     inside = F.lit(True)
@@ -84,99 +87,89 @@ def _spread(state: DataFrame) -> DataFrame:
 
 
 class _Brick:
-    """Padded arrays of one brick and the sweeps over them."""
+    """Neighbour table of one brick: row v lists the rows next to it, or one past the end."""
 
     def __init__(self, rows: pd.DataFrame, steps):
-        self.rows, self.steps = rows, steps
-        head = rows.iloc[0]
-        self.at = tuple(rows[f"l{x}"].to_numpy() for x in AXES)
+        head, n = rows.iloc[0], len(rows)
         # The full brick extent, also where the outer voxels are absent.
-        self.size = tuple(int(head[f"n{x}"]) if int(head[f"b{x}_n"]) == 1 else int(head[f"e{x}"]) for x in AXES)
-        self.wraps = [a for a, x in enumerate(AXES) if bool(head[f"wrap_{x}"]) and int(head[f"b{x}_n"]) == 1]
-        self.present = self.array(np.ones(len(rows), dtype=bool), False)
-
-    def array(self, values, empty):
-        out = np.full(tuple(s + 2 for s in self.size), empty, dtype=np.asarray(values).dtype)
-        out[self.at] = values
-        return out
-
-    def pad(self, a):
-        for axis in self.wraps:
-            line = [slice(None)] * 3
-            low, high = list(line), list(line)
-            low[axis], high[axis] = 0, self.size[axis]
-            a[tuple(low)] = a[tuple(high)]
-            low[axis], high[axis] = self.size[axis] + 1, 1
-            a[tuple(low)] = a[tuple(high)]
-        return a
-
-    def core(self, a):
-        return a[1:-1, 1:-1, 1:-1]
-
-    def shifted(self, a, step):
-        return a[tuple(slice(1 + d, a.shape[x] - 1 + d) for x, d in enumerate(step))]
-
-    def settle(self, state, candidate):
-        """Sweep until nothing falls any more: state = min(state, candidate(neighbour))."""
-        inside = self.core(state)
-        where = self.core(self.present)
+        size = [int(head[f"n{x}"]) if int(head[f"b{x}_n"]) == 1 else int(head[f"e{x}"]) for x in AXES]
+        at = np.stack([rows[f"l{x}"].to_numpy() for x in AXES])
+        where = np.full([s + 2 for s in size], n, dtype=np.int32)
+        where[tuple(at)] = np.arange(n, dtype=np.int32)
+        for axis, x in enumerate(AXES):
+            if bool(head[f"wrap_{x}"]) and int(head[f"b{x}_n"]) == 1:
+                flipped = np.moveaxis(where, axis, 0)
+                flipped[0], flipped[-1] = flipped[-2], flipped[1]
+        self.own = rows["own"].to_numpy()
+        self.near = np.full((n, len(steps)), n, dtype=np.int32)
+        for s, step in enumerate(steps):
+            self.near[self.own, s] = where[tuple(at[:, self.own] + np.array(step)[:, None])]
+
+    def components(self, label: np.ndarray) -> np.ndarray:
+        """Least label of each component: roots hook onto smaller neighbours, chains are halved."""
+        order = np.argsort(label, kind="stable")
+        rank = np.empty(len(label) + 1, dtype=np.int64)
+        rank[order], rank[-1] = np.arange(len(label)), len(label)
+        near = rank[self.near[order]]
+        root = np.arange(len(label) + 1)
         while True:
-            before = inside.copy()
-            self.pad(state)
-            for step in self.steps:
-                value = candidate(self.shifted(state, step), step)
-                np.minimum(inside, value, out=inside, where=where)
-            if np.array_equal(before, inside):
-                return self.pad(state)
-
-    def read(self, a):
-        return a[self.at]
+            least = np.minimum(root[:-1], root[near].min(axis=1))
+            if np.array_equal(least, root[:-1]):
+                return label[order][root[rank[:-1]]]
+            np.minimum.at(root, root[:-1].copy(), least)
+            while True:
+                shorter = root[root]
+                if np.array_equal(shorter, root):
+                    break
+                root = shorter
+
+    def settle(self, value: np.ndarray, improve, usable=None) -> np.ndarray:
+        """Label-correcting search: voxels next to the last changes try again until none improves.
+
+        ``usable`` restricts the edges along which a voxel may read a neighbour."""
+        n = len(value)
+        reads = self.near if usable is None else np.where(usable, self.near, n)
+        padded = np.append(value, np.array([np.inf]) if value.dtype.kind == "f" else np.array([NO_HOP]))
+        front = np.flatnonzero(self.own)
+        while len(front):
+            better = improve(padded[reads[front]].min(axis=1), front)
+            falls = better < padded[front]
+            changed = front[falls]
+            padded[changed] = better[falls]
+            mark = np.zeros(n + 1, dtype=bool)
+            mark[self.near[changed]] = True
+            mark[:-1] &= self.own
+            front = np.flatnonzero(mark[:-1])
+        return padded[:-1]
 
 
 def _solver(rule: str, steps, columns):
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
         brick = _Brick(rows, steps)
-        core, shifted = brick.core, brick.shifted
         if rule == "components":
-            label = brick.array(rows["label"].to_numpy(np.int64), FAR)
-            old = rows["label"].to_numpy()
-            brick.settle(label, lambda near, step: near)
-            out = rows.assign(label=brick.read(label))
-            changed = out["label"].to_numpy() != old
+            old = rows["label"].to_numpy(np.int64)
+            new = brick.components(old)
+            out = rows.assign(label=new)
         elif rule == "minimax":
-            e = core(brick.array(rows["e"].to_numpy(float), np.inf))
-            w = brick.array(rows["w"].fillna(np.inf).to_numpy(float), np.inf)
-            old = rows["w"].fillna(np.inf).to_numpy()
-            brick.settle(w, lambda near, step: np.maximum(near, e))
-            out = rows.assign(w=brick.read(w))
-            changed = out["w"].to_numpy() != old
+            e, old = rows["e"].to_numpy(float), rows["w"].fillna(np.inf).to_numpy(float)
+            new = brick.settle(old, lambda near, at: np.maximum(near, e[at]))
+            out = rows.assign(w=pd.Series(new, index=rows.index).where(np.isfinite(new)))
         else:
-            e = core(brick.array(rows["e"].to_numpy(float), np.inf))
-            w = brick.pad(brick.array(rows["w"].fillna(np.inf).to_numpy(float), np.inf))
-            lin = brick.pad(brick.array(rows["lin"].to_numpy(np.int64), FAR))
-            hop = brick.array(rows["hop"].fillna(NO_HOP).to_numpy(np.int64), NO_HOP)
+            e, w = rows["e"].to_numpy(float), np.append(rows["w"].fillna(np.inf).to_numpy(float), np.inf)
+            lin = np.append(rows["lin"].to_numpy(np.int64), FAR)
             old = rows["hop"].fillna(NO_HOP).to_numpy(np.int64)
-            own_w = core(w)
-            tight = {s: (np.maximum(shifted(w, s), e) == own_w) & np.isfinite(own_w) for s in steps}
-            brick.settle(hop, lambda near, step: np.where(tight[step], near + 1, NO_HOP))
+            tight = (np.maximum(w[brick.near], e[:, None]) == w[:-1, None]) & np.isfinite(w[:-1, None])
+            new = brick.settle(old, lambda near, at: near + 1, tight)
             # Parent: tight neighbour one hop nearer, least minimax value, then least voxel number.
-            best_w, best = np.full(own_w.shape, np.inf), np.full(own_w.shape, -1, dtype=np.int64)
-            for s in steps:
-                near_w, near_lin = shifted(w, s), shifted(lin, s)
-                fits = tight[s] & (shifted(hop, s) + 1 == core(hop))
-                better = fits & ((near_w < best_w) | ((near_w == best_w) & ((best < 0) | (near_lin < best))))
-                best_w, best = np.where(better, near_w, best_w), np.where(better, near_lin, best)
-            parent = brick.array(np.full(len(rows), -1, dtype=np.int64), -1)
-            core(parent)[...] = best
-            hops = brick.read(hop)
-            out = rows.assign(hop=pd.array(np.where(hops >= NO_HOP, -1, hops)), parent=brick.read(parent))
-            out["hop"] = out["hop"].mask(out["hop"] < 0).astype("Int64")
-            changed = hops != old
-        out = out.assign(changed=changed)
-        out = out[out["own"]]
-        if rule == "minimax":
-            out["w"] = out["w"].where(np.isfinite(out["w"]))
-        return out[columns]
+            nearer = tight & (np.append(new, NO_HOP)[brick.near] + 1 == new[:, None])
+            energy = np.where(nearer, w[brick.near], np.inf)
+            first = nearer & (energy == energy.min(axis=1, keepdims=True))
+            parent = np.where(first, lin[brick.near], FAR).min(axis=1)
+            known = new < NO_HOP
+            out = rows.assign(hop=pd.Series(new, index=rows.index, dtype="Int64").where(known),
+                              parent=np.where(first.any(axis=1) & known & (new > 0), parent, -1))
+        out = out.assign(changed=new != old)
+        return out[brick.own][columns]
 
     return solve
 
@@ -207,14 +200,14 @@ def relax(voxels: DataFrame, dims: DataFrame, keys: list[str], rule: str, neighb
     result = [*keys, *AXES, *values] + (["parent"] if rule == "hops" else [])
     bricks = [f"b{x}" for x in AXES]
 
-    def one_round(df: DataFrame) -> DataFrame:
-        return _spread(df.select(*carried)).groupBy(*keys, *bricks).applyInPandas(solve, schema)
+    def one_round(df: DataFrame, several: bool = True) -> DataFrame:
+        return _spread(df.select(*carried), several).groupBy(*keys, *bricks).applyInPandas(solve, schema)
 
     most = sizes.agg(F.max(F.greatest(*[F.col(f"b{x}_n") for x in AXES]))).first()[0] or 1
     if most == 1:
-        return one_round(state).select(*result)
+        return one_round(state, several=False).select(*result)
     single = F.greatest(*[F.col(f"b{x}_n") for x in AXES]) == 1
-    finished = [one_round(state.filter(single)).select(*result)]
+    finished = [one_round(state.filter(single), several=False).select(*result)]
     state = cut_lineage(one_round(state.filter(~single)))
     while True:
         active = state.filter("changed").select(*keys).distinct()

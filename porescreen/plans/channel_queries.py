@@ -8,29 +8,28 @@ from porescreen.functions import lattice as lat
 from porescreen.functions.numbers import rounded
 from porescreen.operators import channel, field, sequence as sq
 from porescreen.operators.ordered import sequence
-from porescreen.plans.bindings import GRID, V_GRID, V_PORE, grid, low_energy, table
+from porescreen.plans.bindings import GRID, V_GRID, V_PORE, grid, low_energy
 from porescreen.plans.registry import query
+from porescreen.session import cut_lineage
 
 NI, NJ, NK = GRID
 KEYS = channel.KEYS
 
 
-def dims(spark, sf_dir):
-    """Grid sizes of the frameworks (line states)."""
-    fw = table(spark, sf_dir, "lineitem").select(F.col("l_linestatus").alias("framework")).distinct()
-    return fw.select("framework", F.lit(NI).alias("ni"), F.lit(NJ).alias("nj"), F.lit(NK).alias("nk"))
+def voxels(spark, sf_dir):
+    """The voxel grid, written once because every query reads it several times, and its sizes."""
+    rows = cut_lineage(grid(spark, sf_dir))
+    sizes = rows.select("framework").distinct().select(
+        "framework", F.lit(NI).alias("ni"), F.lit(NJ).alias("nj"), F.lit(NK).alias("nk"))
+    return rows, sizes
 
 
-def cells(spark, sf_dir):
+def cells(dims):
     """Cells of the frameworks: F is right-angled, in O the vector c leans towards a."""
-    fw = dims(spark, sf_dir).select("framework")
     beta = F.when(F.col("framework") == "O", F.lit(80.0)).otherwise(F.lit(90.0))
-    return lat.with_cell(fw.select("framework", F.lit(20.0).alias("a"), F.lit(9.0).alias("b"), F.lit(8.0).alias("c"),
-                                   F.lit(90.0).alias("alpha"), beta.alias("beta"), F.lit(90.0).alias("gamma")))
-
-
-def pores(spark, sf_dir):
-    return low_energy(grid(spark, sf_dir))
+    return lat.with_cell(dims.select(
+        "framework", F.lit(20.0).alias("a"), F.lit(9.0).alias("b"), F.lit(8.0).alias("c"),
+        F.lit(90.0).alias("alpha"), beta.alias("beta"), F.lit(90.0).alias("gamma")))
 
 
 # -- SQL pieces --------------------------------------------------------------------------------
@@ -91,15 +90,17 @@ grown AS (
 
 @query("H7 J7", f"WITH {SQL_DILATED} SELECT framework, i, j, k FROM grown")
 def dilated_mask(spark, sf_dir):
-    return channel.dilate(pores(spark, sf_dir), dims(spark, sf_dir))
+    rows, dims = voxels(spark, sf_dir)
+    return channel.dilate(low_energy(rows), dims)
 
 
 @query("H1 J7 J14", f"""WITH RECURSIVE {V_PORE}, {AXES_SQL}, {OFFS_26}, {DM_OPEN},
 nodes AS (SELECT framework, 'all' AS axis, i, j, k, e FROM v_pore), {sql_components()}
 SELECT framework, i, j, k, label FROM lab""")
 def pore_components(spark, sf_dir):
-    rows = pores(spark, sf_dir).select("framework", "i", "j", "k")
-    return field.components(rows, channel.open_dims(dims(spark, sf_dir)), ["framework"])
+    rows, dims = voxels(spark, sf_dir)
+    mask = low_energy(rows).select("framework", "i", "j", "k")
+    return field.components(mask, channel.open_dims(dims), ["framework"])
 
 
 _COUNT = "SELECT framework, count(*) AS {name} FROM {lab} JOIN dm USING (framework, axis) WHERE label = (i::BIGINT * nj + j) * nk + k GROUP BY 1"
@@ -114,7 +115,8 @@ nodes AS (SELECT framework, 'all' AS axis, i, j, k FROM v_pore), grownodes AS (S
 c1 AS ({_COUNT.format(name='n_before', lab='lab')}), c2 AS ({_COUNT.format(name='n_after', lab='lab2')})
 SELECT framework, n_before, n_after, n_before > 2 AND n_after < greatest(1, n_before // 2) AS may_merge FROM c1 JOIN c2 USING (framework)""")
 def dilation_report(spark, sf_dir):
-    return channel.repair_report(low_energy(grid(spark, sf_dir), 0.06), dims(spark, sf_dir))
+    rows, dims = voxels(spark, sf_dir)
+    return channel.repair_report(low_energy(rows, 0.06), dims)
 
 
 SQL_HALF = V_GRID + """,
@@ -128,15 +130,15 @@ leave AS (SELECT framework, axis, label FROM lab JOIN dm USING (framework, axis)
 hit AS (SELECT DISTINCT framework, axis FROM (SELECT * FROM entry INTERSECT SELECT * FROM leave))
 SELECT framework, axis, EXISTS (SELECT 1 FROM hit h WHERE h.framework = dm.framework AND h.axis = dm.axis) AS percolates FROM dm""")
 def percolating_axes(spark, sf_dir):
-    rows = low_energy(grid(spark, sf_dir), 0.65)
-    return channel.percolates(rows, dims(spark, sf_dir), cells(spark, sf_dir))
+    rows, dims = voxels(spark, sf_dir)
+    return channel.percolates(low_energy(rows, 0.65), dims, cells(dims))
 
 
 # -- limiting diameters ------------------------------------------------------------------------
 
 # Free radius from the energy: e / 10,000 above a probe radius of 2.
-def _free(spark, sf_dir):
-    return grid(spark, sf_dir).select("framework", "i", "j", "k", (F.col("e") / 10000).alias("r"))
+def _free(rows):
+    return rows.select("framework", "i", "j", "k", (F.col("e") / 10000).alias("r"))
 
 
 SQL_PLD = f"""WITH RECURSIVE {AXES_SQL}, {V_GRID}, {OFFS_6}, {DM_SINGLE},
@@ -146,7 +148,8 @@ pld AS (SELECT framework, axis, min(w) AS w FROM mm JOIN dm USING (framework, ax
 
 @query("H4 C7 G14", SQL_PLD + " SELECT framework, axis, round(coalesce(-2 * w, 0), 6) AS pld FROM dm LEFT JOIN pld USING (framework, axis)")
 def limiting_diameter(spark, sf_dir):
-    out = channel.limiting_diameters(_free(spark, sf_dir), dims(spark, sf_dir), cells(spark, sf_dir), 2.0)
+    rows, dims = voxels(spark, sf_dir)
+    out = channel.limiting_diameters(_free(rows), dims, cells(dims), 2.0)
     return out.withColumn("pld", rounded("pld"))
 
 
@@ -156,7 +159,8 @@ SELECT framework AS name, any_value(gcd) AS gcd, max(round(coalesce(-2 * w, 0),
        true AS ok, '' AS error
 FROM dm LEFT JOIN pld USING (framework, axis) JOIN gcd USING (framework) GROUP BY framework""")
 def pore_size_table(spark, sf_dir):
-    return channel.pore_sizes(_free(spark, sf_dir), dims(spark, sf_dir), cells(spark, sf_dir), 2.0)
+    rows, dims = voxels(spark, sf_dir)
+    return channel.pore_sizes(_free(rows), dims, cells(dims), 2.0)
 
 
 # -- traversal ---------------------------------------------------------------------------------
@@ -174,7 +178,8 @@ trav AS (
 
 
 def _traversal(spark, sf_dir):
-    return channel.traversals(low_energy(grid(spark, sf_dir), 0.12), dims(spark, sf_dir))
+    rows, dims = voxels(spark, sf_dir)
+    return channel.traversals(low_energy(rows, 0.12), dims)
 
 
 @query("H6 G13 J9 U2", SQL_TRAVERSE + " SELECT framework, axis, round(fraction, 6) AS fraction, traverses FROM trav")
@@ -200,9 +205,10 @@ low AS (SELECT framework, min(e) AS e_min FROM v_pore GROUP BY 1)"""
   (SELECT count(*) FROM mm WHERE mm.framework = energy.framework AND mm.axis = energy.axis AND w < 1e300) AS n_reached
 FROM energy JOIN low USING (framework)""")
 def crossing_barrier(spark, sf_dir):
-    rows = pores(spark, sf_dir)
-    reached, energy = channel.crossing_energies(rows, dims(spark, sf_dir))
-    low = rows.groupBy("framework").agg(F.min("e").alias("_low"))
+    rows, dims = voxels(spark, sf_dir)
+    mask = low_energy(rows)
+    reached, energy = channel.crossing_energies(mask, dims)
+    low = mask.groupBy("framework").agg(F.min("e").alias("_low"))
     n = reached.filter("w is not null").groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_reached"))
     return energy.join(low, "framework").join(n, KEYS).select(
         *KEYS, "transition_energy", (F.col("transition_energy") - F.col("_low")).alias("barrier"), "n_reached")
@@ -234,14 +240,14 @@ walk AS (
 route AS (SELECT framework, axis, h::BIGINT AS seq, i, j, k, e FROM walk JOIN num USING (framework, axis, lin))"""
 
 
-def _route(spark, sf_dir):
-    reached, energy = channel.crossing_energies(pores(spark, sf_dir), dims(spark, sf_dir))
-    return channel.crossing_paths(reached, energy, dims(spark, sf_dir))
+def _route(rows, dims):
+    reached, energy = channel.crossing_energies(low_energy(rows), dims)
+    return channel.crossing_paths(reached, energy, dims)
 
 
 @query("H9", SQL_PATH + " SELECT framework, axis, seq, i, j, k, e FROM route")
 def crossing_path(spark, sf_dir):
-    return _route(spark, sf_dir)
+    return _route(*voxels(spark, sf_dir))
 
 
 _U = {x: f"sum(CASE WHEN {x} - p{x} > {n} * 0.5 THEN -{n} WHEN {x} - p{x} < -{n} * 0.5 THEN {n} ELSE 0 END) OVER w AS s{x}"
@@ -276,7 +282,7 @@ rebuilt AS (
 @query("H11 W10 W11 W12 W13", SQL_CARTESIAN + SQL_REBUILT.format(key="framework, axis", la=20, lb=9, lc=8) + """
 SELECT framework, axis, seq, round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y, round(z, 6) + 0.0 AS z, e FROM rebuilt""")
 def crossing_path_cartesian(spark, sf_dir):
-    route = _route(spark, sf_dir)
-    seq = sequence(route, KEYS)
-    out = channel.cartesian_paths(route, seq, dims(spark, sf_dir), cells(spark, sf_dir))
+    rows, dims = voxels(spark, sf_dir)
+    route = cut_lineage(_route(rows, dims))
+    out = channel.cartesian_paths(route, sequence(route, KEYS), dims, cells(dims))
     return out.select(*KEYS, "seq", *[rounded(c).alias(c) for c in "xyz"], "e")
