@@ -213,15 +213,21 @@ def crossing_paths(reached: DataFrame, energy: DataFrame, dims: DataFrame, fract
     return placed.select(*KEYS, F.col("hop").alias("seq"), *[v.alias(x) for x, v in field.voxel_of("lin").items()], "e")
 
 
-def cartesian_paths(paths: DataFrame, seq: Sequence, dims: DataFrame, cells: DataFrame) -> DataFrame:
-    """Index paths as Cartesian paths: periodic steps unwrapped, voxel centres, drift rebuilt."""
+def fractional_paths(paths: DataFrame, seq: Sequence, dims: DataFrame) -> DataFrame:
+    """Index paths with periodic steps unwrapped, and their fractional voxel centres fx, fy, fz.
+
+    Along the tiled axis the fraction runs from 0 to 3; along the others it may leave [0, 1)."""
     sized = paths.join(dims.select("framework", "ni", "nj", "nk"), "framework")
-    # The tiled axis is already linear: a period of three cells can never be exceeded by a step.
+    # The tiled axis is already linear: no step can exceed half of six cells.
     period = {x: F.when(F.col("axis") == a, 6 * F.col(f"n{x}")).otherwise(F.col(f"n{x}")) for a, x in AXIS_OF.items()}
     flat = unwrap_periodic(sized, seq, period)
-    placed = flat.join(cells.select("framework", *lat.CELL), "framework")
-    xyz = lat.to_cartesian(*[(F.col(x) + 0.5) / F.col(f"n{x}") for x in "ijk"])
-    points = placed.withColumns(dict(zip("xyz", xyz)))
+    return flat.withColumns({f: (F.col(x) + 0.5) / F.col(f"n{x}") for f, x in zip(("fx", "fy", "fz"), "ijk")})
+
+
+def cartesian_paths(paths: DataFrame, seq: Sequence, dims: DataFrame, cells: DataFrame) -> DataFrame:
+    """Index paths as Cartesian paths: unwrapped voxel centres, with sideways drift rebuilt."""
+    placed = fractional_paths(paths, seq, dims).join(cells.select("framework", *lat.CELL), "framework")
+    points = placed.withColumns(dict(zip("xyz", lat.to_cartesian(F.col("fx"), F.col("fy"), F.col("fz")))))
     edges = {c: lat.vector_length(v) for c, v in zip("xyz", "abc")}
     return rebuild_periodic(points, seq, F.col("axis"), edges)
 

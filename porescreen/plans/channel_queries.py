@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from porescreen.functions import lattice as lat
 from porescreen.functions.numbers import rounded
-from porescreen.operators import channel, field, sequence as sq
+from porescreen.operators import channel, field, voxel
 from porescreen.operators.ordered import sequence
 from porescreen.plans.bindings import GRID, V_GRID, V_PORE, grid, low_energy
 from porescreen.plans.registry import query
@@ -286,3 +286,52 @@ def crossing_path_cartesian(spark, sf_dir):
     route = cut_lineage(_route(rows, dims))
     out = channel.cartesian_paths(route, sequence(route, KEYS), dims, cells(dims))
     return out.select(*KEYS, "seq", *[rounded(c).alias(c) for c in "xyz"], "e")
+
+
+# Sparse pores, so that some axes need the dilated mask; the axis Y of framework O counts as closed.
+SQL_THIN = V_PORE.replace("quantile_disc(e, 0.3)", "quantile_disc(e, 0.03)")
+SQL_BARRIERS = f"""WITH RECURSIVE {SQL_DILATED.replace(V_PORE, SQL_THIN)}, {AXES_SQL}, {OFFS_26}, {DM_TILED_WRAP}, {TILE.format(src='v_pore')},
+low AS (SELECT framework, min(e) AS e_min FROM v_pore GROUP BY 1),
+patched AS (SELECT g.framework, g.i, g.j, g.k, coalesce(p.e, low.e_min + 300) AS e FROM grown g LEFT JOIN v_pore p USING (framework, i, j, k) JOIN low USING (framework)),
+{TILE.format(src='patched').replace('nodes AS', 'nodes2 AS')}, {sql_minimax(IN_START)}, {sql_minimax(IN_START, 'mm2', 'nodes2')},
+first AS (SELECT framework, axis, min(w) AS te, 'original' AS mask FROM mm JOIN dm USING (framework, axis) WHERE {IN_END} AND w < 1e300 GROUP BY ALL),
+second AS (SELECT framework, axis, min(w) AS te, 'repaired' AS mask FROM mm2 JOIN dm USING (framework, axis) WHERE {IN_END} AND w < 1e300 GROUP BY ALL),
+best AS (SELECT * FROM first UNION ALL SELECT * FROM second s WHERE NOT EXISTS (SELECT 1 FROM first f WHERE f.framework = s.framework AND f.axis = s.axis)),
+asked AS (SELECT framework, axis, NOT (framework = 'O' AND axis = 'Y') AS traverses FROM dm)
+SELECT framework, axis, traverses, te - e_min AS barrier, te AS transition_energy, e_min AS min_energy,
+  CASE WHEN te IS NOT NULL THEN CASE axis WHEN 'X' THEN 20 WHEN 'Y' THEN 9 ELSE 8 END END::DOUBLE AS cell_length, mask,
+  CASE WHEN NOT traverses THEN 'not traversing' WHEN te IS NULL THEN 'no path' ELSE 'OK' END AS status
+FROM (SELECT asked.*, CASE WHEN traverses THEN best.te END AS te, CASE WHEN traverses THEN best.mask END AS mask
+      FROM asked LEFT JOIN best USING (framework, axis)) JOIN low USING (framework)"""
+
+
+@query("H10 H8 H9", SQL_BARRIERS)
+def barrier_records(spark, sf_dir):
+    rows, dims = voxels(spark, sf_dir)
+    mask = low_energy(rows, 0.03)
+    low = mask.groupBy("framework").agg(F.min("e").alias("e_min"))
+    traversal = channel.per_axis(dims.select("framework")).withColumn(
+        "traverses", ~((F.col("framework") == "O") & (F.col("axis") == "Y")))
+    records, _ = channel.barriers(rows, mask.join(low, "framework"), dims, cells(dims), traversal)
+    return records.drop("n_path_nodes").withColumn("cell_length", rounded("cell_length"))
+
+
+# Copies of the pore voxels over the cells that a path touches.
+@query("J9", SQL_CARTESIAN + f""",
+fr AS (SELECT framework, axis, i + 0.5::DOUBLE AS a, j + 0.5::DOUBLE AS b, k + 0.5::DOUBLE AS c FROM flat),
+rng AS (
+  SELECT framework, axis, greatest(floor(min(b / {NJ})) - 1, -3)::INT AS lo_fy, least(ceil(max(b / {NJ})) + 1, 4)::INT AS hi_fy,
+         greatest(floor(min(c / {NK})) - 1, -3)::INT AS lo_fz, least(ceil(max(c / {NK})) + 1, 4)::INT AS hi_fz FROM fr WHERE axis = 'X' GROUP BY ALL)
+SELECT framework, (v.i + t.t * {NI})::INT AS i, (v.j + u.u * {NJ})::INT AS j, (v.k + w.w * {NK})::INT AS k, e
+FROM v_pore v JOIN rng USING (framework), range(0, 3) t(t), range(-3, 5) u(u), range(-3, 5) w(w)
+WHERE u BETWEEN lo_fy AND hi_fy AND w BETWEEN lo_fz AND hi_fz""")
+def tiled_pore_points(spark, sf_dir):
+    rows, dims = voxels(spark, sf_dir)
+    route = cut_lineage(_route(rows, dims).filter("axis = 'X'"))
+    fractions = channel.fractional_paths(route, sequence(route, KEYS), dims)
+    ranges = voxel.tile_ranges(fractions)
+    placed = low_energy(rows).join(ranges, "framework").join(dims, "framework")
+    sizes = {x: F.col(f"n{x}") for x in "ijk"}
+    low = {"i": F.lit(0), "j": F.col("lo_fy"), "k": F.col("lo_fz")}
+    high = {"i": F.lit(2), "j": F.col("hi_fy"), "k": F.col("hi_fz")}
+    return voxel.tile(placed, sizes, low, high).select("framework", "i", "j", "k", "e")
