@@ -40,6 +40,6 @@ def group_members(lines: DataFrame, name: str = "file", seq: Sequence | None = N
     seq = seq or Sequence((name,), "line_no")
     header = F.nullif(F.regexp_extract("line", r"^\s*\[\s*(.*?)\s*\]", 1), F.lit(""))
     filled = carried(lines.withColumn("_header", header), seq, "_header", "group")
-    members = F.explode(F.filter(F.split(F.trim("line"), r"\s+"), lambda w: w.rlike(r"^\d+$")))
+    words = F.filter(F.split(F.trim("line"), r"\s+"), lambda w: w.rlike(r"^\d+$"))
     return filled.filter(F.col("_header").isNull() & F.col("group").isNotNull()).select(
-        name, "group", members.cast("long").alias("atom_no"))
+        name, "group", F.explode(F.transform(words, lambda w: w.cast("long"))).alias("atom_no"))
