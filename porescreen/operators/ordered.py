@@ -5,7 +5,9 @@ group of a table has at most ``block_rows`` rows (checked once, by ``sequence``)
 are plain windows over the group and Spark shares one exchange among all of them.  Beyond
 that size a group is cut into blocks of consecutive rows: neighbours come from copies of the
 few rows next to a block edge, running values from one summary row per block.  No task ever
-holds more than one block, however long a single group is.
+holds more than one block, however long a single group is.  A helper that reads its input twice
+(for the rows and for the block summaries) first writes it to the checkpoint folder, so that a
+chain of helpers is computed once per step.
 """
 
 from __future__ import annotations
@@ -14,6 +16,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from porescreen.session import cut_lineage
+
 BLOCK_ROWS = 1 << 20
 
 
@@ -66,8 +70,6 @@ def number_rows(df: DataFrame, keys, order, pos: str = "seq",
         window = W.partitionBy(*keys).orderBy(*order)
         return df.withColumn(pos, F.row_number().over(window).cast("long") - 1), seq
 
-    from porescreen.session import cut_lineage
-
     pieces = 2 * (n // block_rows + 1)
     shares = [i / pieces for i in range(1, pieces)]
     # The bounds are written out once: a second evaluation of an approximate quantile may differ.
@@ -79,6 +81,7 @@ def number_rows(df: DataFrame, keys, order, pos: str = "seq",
         "_slice",
         F.coalesce(F.size(F.filter("_bounds", lambda b: b < F.col(order[0]))), F.lit(0)),
     ).drop("_bounds")
+    sliced = cut_lineage(sliced)
     offsets = _offsets(sliced.groupBy(*keys, "_slice").count(), keys, "_slice", "count")
     inner = W.partitionBy(*keys, "_slice").orderBy(*order)
     out = (sliced.withColumn("_rn", F.row_number().over(inner).cast("long") - 1)
@@ -92,7 +95,7 @@ def compact(df: DataFrame, seq: Sequence) -> DataFrame:
     """Make the index dense again after rows were dropped."""
     if not seq.blocked:
         return df.withColumn(seq.pos, F.row_number().over(seq.rows).cast("long") - 1)
-    cut = df.withColumn("_block", seq.block)
+    cut = cut_lineage(df.withColumn("_block", seq.block))
     offsets = _offsets(cut.groupBy(*seq.keys, "_block").count(), seq.keys, "_block", "count")
     return (cut.withColumn("_rn", F.row_number().over(seq.rows).cast("long") - 1)
             .join(offsets, [*seq.keys, "_block"])
@@ -109,12 +112,28 @@ def neighbours(df: DataFrame, seq: Sequence, columns: dict[str, tuple[Column | s
         return df.withColumns({out: F.lag(c, k).over(seq.rows) for out, (c, k) in columns.items()})
     back = max([k for _, k in columns.values()] + [0])
     ahead = max([-k for _, k in columns.values()] + [0])
+    spread = _with_edges(df, seq, back, ahead)
+    return _home_rows(spread.withColumns({out: F.lag(c, k).over(seq.rows) for out, (c, k) in columns.items()}))
+
+
+def recent(df: DataFrame, seq: Sequence, value: str, out: str, back: int) -> DataFrame:
+    """Add the list of ``value`` over the last ``back`` rows and the row itself."""
+    frame = seq.rows.rowsBetween(-back, W.currentRow)
+    if not seq.blocked:
+        return df.withColumn(out, F.collect_list(value).over(frame))
+    return _home_rows(_with_edges(df, seq, back, 0).withColumn(out, F.collect_list(value).over(frame)))
+
+
+def _with_edges(df: DataFrame, seq: Sequence, back: int, ahead: int) -> DataFrame:
+    """Rows by block, with copies of the rows that a neighbouring block looks back or ahead to."""
     size, pos = F.lit(seq.block_rows), F.col(seq.pos)
     first, last = F.floor((pos - ahead) / size), F.floor((pos + back) / size)
-    spread = (df.withColumn("_home", seq.block)
-              .withColumn("_block", F.explode(F.sequence(F.greatest(first, F.lit(0)), last))))
-    read = spread.withColumns({out: F.lag(c, k).over(seq.rows) for out, (c, k) in columns.items()})
-    return read.filter(F.col("_home") == F.col("_block")).drop("_home", "_block")
+    return (df.withColumn("_home", seq.block)
+            .withColumn("_block", F.explode(F.sequence(F.greatest(first, F.lit(0)), last))))
+
+
+def _home_rows(spread: DataFrame) -> DataFrame:
+    return spread.filter(F.col("_home") == F.col("_block")).drop("_home", "_block")
 
 
 def running_sum(df: DataFrame, seq: Sequence, value: Column, out: str) -> DataFrame:
@@ -122,7 +141,7 @@ def running_sum(df: DataFrame, seq: Sequence, value: Column, out: str) -> DataFr
     frame = seq.rows.rowsBetween(W.unboundedPreceding, W.currentRow)
     if not seq.blocked:
         return df.withColumn(out, F.sum(value).over(frame))
-    cut = df.withColumn("_block", seq.block).withColumn("_value", value)
+    cut = cut_lineage(df.withColumn("_block", seq.block).withColumn("_value", value))
     offsets = _offsets(cut.groupBy(*seq.keys, "_block").agg(F.sum("_value").alias("_total")),
                        seq.keys, "_block", "_total")
     return (cut.withColumn(out, F.sum("_value").over(frame))
@@ -141,7 +160,7 @@ def carried(df: DataFrame, seq: Sequence, value: str, out: str, ahead: bool = Fa
             seq.rows.rowsBetween(W.unboundedPreceding, W.currentRow))
     if not seq.blocked:
         return df.withColumn(out, local)
-    cut = df.withColumn("_block", seq.block)
+    cut = cut_lineage(df.withColumn("_block", seq.block))
     order = F.when(F.col(value).isNotNull(), F.col(seq.pos))
     edge = F.min_by(value, order) if ahead else F.max_by(value, order)
     ends = cut.groupBy(*seq.keys, "_block").agg(edge.alias("_edge"))
@@ -160,15 +179,17 @@ def group_values(df: DataFrame, seq: Sequence, values: dict[str, Column]) -> Dat
     if not seq.blocked:
         whole = W.partitionBy(*seq.keys)
         return df.withColumns({out: v.over(whole) for out, v in values.items()})
-    sums = df.groupBy(*seq.keys).agg(*[v.alias(out) for out, v in values.items()])
-    return df.join(sums, list(seq.keys))
+    rows = cut_lineage(df)
+    sums = rows.groupBy(*seq.keys).agg(*[v.alias(out) for out, v in values.items()])
+    return rows.join(sums, list(seq.keys))
 
 
 def group_median(df: DataFrame, seq: Sequence, value: str, out: str) -> DataFrame:
     """Add the exact median of ``value`` over the group to each of its rows."""
     if not seq.blocked:
         return df.withColumn(out, F.median(value).over(W.partitionBy(*seq.keys)))
-    return df.join(exact_median(df, seq.keys, value, out), list(seq.keys), "left")
+    rows = cut_lineage(df)
+    return rows.join(exact_median(rows, seq.keys, value, out), list(seq.keys), "left")
 
 
 def exact_median(df: DataFrame, keys, value: str, out: str, bins: int = 1 << 16) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from porescreen.functions.numbers import norm3
 from porescreen.operators.ordered import (
-    Sequence, carried, compact, group_median, group_values, neighbours, running_sum)
+    Sequence, carried, compact, group_median, group_values, neighbours, recent, running_sum)
 from porescreen.operators.prominence import side_minima
 
 # Fixed values of the descriptor definitions.
@@ -24,6 +24,7 @@ ENTROPY_MIN_RANGE = 0.1
 FLOOR = 1e-6
 REPEAT_TOLERANCE = 1e-8
 MAD_FLOOR = 1e-10
+LINKS_READ = 24
 
 
 def drop_repeated_points(path: DataFrame, seq: Sequence, tolerance: float = REPEAT_TOLERANCE) -> DataFrame:
@@ -83,7 +84,7 @@ def repair_jumps(path: DataFrame, seq: Sequence, mad_factor: float = JUMP_MAD_FA
     The groups of a path count from left to right and a group may read the last repaired point
     of the one before it, when both are ``width`` apart.  That point enters the left mean with
     weight 1/width and carries at most half of the earlier left mean, so the chain is a linear
-    recurrence that loses a factor of at least 6 per link; 32 links reach below the last bit.
+    recurrence that loses a factor of at least 6 per link; 24 links reach below the last bit.
     """
     rows = step_outliers(path, seq, mad_factor)
     groups = jump_groups(rows, seq)
@@ -105,7 +106,7 @@ def repair_jumps(path: DataFrame, seq: Sequence, mad_factor: float = JUMP_MAD_FA
          .join(sides.select(*seq.keys, F.col("_at").alias("right"), F.col("_right_mean").alias("e_right")),
                [*seq.keys, "right"]))
     g = g.withColumn("_n", F.col("right") - F.col("left"))
-    # Groups have a dense number from 1; the chain reads at most 32 groups back.
+    # Groups have a dense number from 1.
     order = seq.over(*seq.keys)
     ranked = g.withColumn(seq.pos, F.col("group_no") - 1)
     last = neighbours(ranked, order, {"_pr": ("right", 1), "_pe": ("e_right", 1), "_pn": ("_n", 1)})
@@ -116,13 +117,7 @@ def repair_jumps(path: DataFrame, seq: Sequence, mad_factor: float = JUMP_MAD_FA
         F.when(touches, F.lit(1.0 / width)).otherwise(F.lit(0.0)).alias("share"),
         F.coalesce(F.col("_pn") / (F.col("_pn") + 1), F.lit(0.0)).alias("alpha"),
         F.coalesce("_pe", F.lit(0.0)).alias("e_right"))
-    linked = last.withColumn("_link", link)
-    linked = neighbours(linked, order, {f"_l{k}": ("_link", k) for k in range(1, 33)}) \
-        if seq.blocked else linked.withColumn(
-            "_links", F.collect_list("_link").over(order.rows.rowsBetween(-32, 0)))
-    if seq.blocked:
-        back = F.array(*[F.col(f"_l{k}") for k in range(32, 0, -1)], F.col("_link"))
-        linked = linked.withColumn("_links", F.filter(back, lambda v: v.isNotNull()))
+    linked = recent(last.withColumn("_link", link), order, "_link", "_links", LINKS_READ)
     blends = linked.select(
         *seq.keys, F.col("left").alias("_left"), "_n", "e_right", _fold_links(F.col("_links")).alias("_e_left"),
         F.explode(F.expr("sequence(left, right - 1)")).alias(seq.pos))
