@@ -68,7 +68,7 @@ def test_path_files(spark):
 
 
 def test_trajectory_text(spark):
-    frame = ["title", " 2", "    0MOL    O      1   1.007   0.138   0.922", "    1MOL    Si6908   2.642   5.178   5.041", "   4.0 5.0 6.0"]
+    frame = ["title", " 2", "    0MOL    O      1   1.007   0.138   0.922", "    1MOL    Si  6908   2.642   5.178   5.041", "   4.0 5.0 6.0"]
     lines = spark.createDataFrame([("t", i, v) for i, v in enumerate(frame * 2)], "file string, line_no long, line string")
     assert rows(trajectory.frame_atoms(lines).filter("frame = 1").select("row", "atom", "atom_no", "x")) == [(0, "O", 1, 1.007), (1, "Si", 6908, 2.642)]
     index = spark.createDataFrame([("i", 0, "[ System ]"), ("i", 1, "  1 2"), ("i", 2, " 3"), ("i", 3, "[ CH4 ]"), ("i", 4, " 2")],
