@@ -91,11 +91,13 @@ def reassemble_stream(lines: DataFrame, keys: list[str], pos: str = "seq", line:
     """Join streamed fragments per message: ``data:`` lines in order up to ``[DONE]``.
 
     Lines that are not valid JSON, and fragments without content, are skipped."""
-    payload = F.trim(F.regexp_extract(F.trim(line), r"^data:\s*(.*)$", 1))
+    payload = F.trim(F.substring(F.trim(line), 6, 1 << 30))
     rows = lines.filter(F.trim(line).startswith("data:")).select(*keys, pos, payload.alias("_p"))
-    stop = rows.filter(F.col("_p") == "[DONE]").groupBy(*keys).agg(F.min(pos).alias("_stop"))
-    open_rows = rows.join(stop, keys, "left").filter(F.col("_stop").isNull() | (F.col(pos) < F.col("_stop")))
-    piece = F.get_json_object("_p", "$.choices[0].delta.content")
-    parts = open_rows.select(*keys, pos, piece.alias("_c")).filter(F.col("_c").isNotNull() & (F.col("_c") != ""))
-    return parts.groupBy(*keys).agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct(pos, "_c"))), lambda r: r["_c"]), "").alias("text"))
+    piece = F.when(F.col("_p") != "[DONE]", F.get_json_object("_p", "$.choices[0].delta.content"))
+    parts = rows.select(*keys, pos, (F.col("_p") == "[DONE]").alias("_end"), piece.alias("_c"))
+    used = F.col("_end") | F.coalesce(F.col("_c") != "", F.lit(False))
+    joined = parts.filter(used).groupBy(*keys).agg(
+        F.min(F.when(F.col("_end"), F.col(pos))).alias("_stop"),
+        F.array_sort(F.collect_list(F.when(~F.col("_end"), F.struct(pos, "_c")))).alias("_parts"))
+    kept = F.filter("_parts", lambda r: F.col("_stop").isNull() | (r[pos] < F.col("_stop")))
+    return joined.filter(F.size(kept) > 0).select(*keys, F.array_join(F.transform(kept, lambda r: r["_c"]), "").alias("text"))

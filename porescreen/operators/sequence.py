@@ -12,6 +12,7 @@ from porescreen.functions.numbers import norm3
 from porescreen.operators.ordered import (
     Sequence, carried, compact, group_median, group_values, neighbours, recent, running_sum)
 from porescreen.operators.prominence import side_minima
+from porescreen.session import cut_lineage
 
 # Fixed values of the descriptor definitions.
 JUMP_MAD_FACTOR = 5.0
@@ -86,7 +87,8 @@ def repair_jumps(path: DataFrame, seq: Sequence, mad_factor: float = JUMP_MAD_FA
     weight 1/width and carries at most half of the earlier left mean, so the chain is a linear
     recurrence that loses a factor of at least 6 per link; 24 links reach below the last bit.
     """
-    rows = step_outliers(path, seq, mad_factor)
+    # Written out: the groups, their surroundings and the result all read these rows.
+    rows = cut_lineage(step_outliers(path, seq, mad_factor))
     groups = jump_groups(rows, seq)
     look = {f"_b{k}": ("e", k) for k in range(1, width + 1)}
     look |= {f"_a{k}": ("e", -k) for k in range(1, width + 1)}
@@ -232,7 +234,8 @@ def describe_paths(path: DataFrame, seq: Sequence, axis: Column) -> DataFrame:
     """All path descriptors; paths with fewer than four distinct nodes keep NULLs."""
     clean = drop_repeated_points(path, seq)
     sized = group_values(clean, seq, {"_n": F.count(F.lit(1))}).filter(F.col("_n") >= MIN_NODES).drop("_n")
-    keys = list(seq.keys)
+    # Written out: every descriptor reads the cleaned paths.
+    sized, keys = cut_lineage(sized), list(seq.keys)
     spread = energy_spread(sized, seq)
     shape = path_geometry(sized, seq, axis).select(*keys, "tortuosity", "eta_main")
     entropy = energy_entropy(sized, keys).select(*keys, "h_entropy")

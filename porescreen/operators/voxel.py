@@ -125,52 +125,53 @@ def free_radius_grid(structures: DataFrame, atoms: DataFrame, grid_n: int = 120,
                      bin_size: float = BIN_ANGSTROM) -> DataFrame:
     """Distance from each voxel centre to the surface of the atom with the nearest centre.
 
-    Ring search: voxels meet the atom images of their own and adjacent bins.  A nearest centre
-    closer than the ring is final; the other voxels try again with a wider ring, until the
-    ring holds every image.
+    Voxels meet the atom images of their own and adjacent bins of space.  A nearest centre
+    closer than one bin is final; the other voxels try again with bins of twice the size, until
+    one bin spans the cell and its surroundings hold every image.  An image is copied to at
+    most 27 bins per round, and only to bins inside the cell.
     """
-    cells = lat.with_cell(structures)
-    for v in VECTORS:
-        cells = cells.withColumn(f"_nb{v}", F.greatest(F.lit(1), F.floor(lat.plane_distance(v) / bin_size)).cast("int"))
-    cells = cells.withColumn("_step", F.least(*[lat.plane_distance(v) / F.col(f"_nb{v}") for v in VECTORS]))
-    cells = cells.select("framework", *lat.CELL, *[f"_nb{v}" for v in VECTORS], "_step")
+    cells = lat.with_cell(structures).select("framework", *lat.CELL)
     bins = [f"_b{v}" for v in VECTORS]
-
-    def binned(df: DataFrame) -> DataFrame:
-        return df.withColumns({b: F.floor(F.col(f) * F.col(f"_nb{v}")).cast("int")
-                               for b, f, v in zip(bins, FRACTIONS, VECTORS)})
-
+    radius = _lookup(F.col("element"), ATOM_RADII, None, F.lit(DEFAULT_RADIUS))
+    images = periodic_images(atoms.select("framework", *FRACTIONS, radius.alias("_rad")), n_shell)
     voxels = cells
     for axis in AXES:
         voxels = voxels.withColumn(axis, F.explode(F.sequence(F.lit(0), F.lit(grid_n - 1))))
-    voxels = binned(voxels.withColumns({f: (F.col(x) + 0.5) / grid_n for f, x in zip(FRACTIONS, AXES)}))
-    radius = _lookup(F.col("element"), ATOM_RADII, None, F.lit(DEFAULT_RADIUS))
-    images = binned(periodic_images(atoms.withColumn("_rad", radius), n_shell)
-                    .join(cells.select("framework", *[f"_nb{v}" for v in VECTORS]), "framework"))
-    images = images.select("framework", *bins, *[F.col(f).alias(f"_{f}") for f in FRACTIONS], "_rad")
+    voxels = voxels.withColumns({f"_v{f}": (F.col(x) + 0.5) / grid_n for f, x in zip(FRACTIONS, AXES)})
 
-    widest = cells.agg(F.max(F.greatest(*[F.col(f"_nb{v}") for v in VECTORS]))).first()[0] or 1
-    everything = (n_shell + 2) * widest
-    pending, done, ring = voxels, None, 1
+    longest = cells.agg(F.max(F.greatest(*[lat.plane_distance(v) for v in VECTORS]))).first()[0] or 0.0
+    pending, done = voxels, None
     while True:
-        spread = images
-        for b in bins:
-            spread = spread.withColumn(b, F.explode(F.sequence(F.col(b) - ring, F.col(b) + ring)))
-        delta = [F.col(f"_{f}") - F.col(f) for f in FRACTIONS]
-        pairs = pending.join(spread, ["framework", *bins], "left").withColumn("_d", norm3(*lat.to_cartesian(*delta)))
-        nearest = pairs.groupBy("framework", *AXES).agg(
-            F.min_by(F.struct("_d", "_rad"), F.struct("_d", "_rad")).alias("_hit"), F.first("_step").alias("_step"))
-        found = cut_lineage(nearest.select(
-            "framework", *AXES, "_hit._d", (F.col("_hit._d") - F.col("_hit._rad")).alias("r"),
-            (F.col("_hit._d") <= F.col("_step") * ring).alias("_final")))
-        final = F.lit(True) if ring >= everything else F.coalesce("_final", F.lit(False))
-        solved = found.filter(final).select("framework", *AXES, "r")
-        done = solved if done is None else done.unionByName(solved)
-        rest = found.filter(~final).select("framework", *AXES)
-        if ring >= everything or rest.isEmpty():
+        last = bin_size * 2 > longest
+        count = {f"_n{v}": F.greatest(F.lit(1), F.floor(lat.plane_distance(v) / bin_size)).cast("int") for v in VECTORS}
+        sized = cells.withColumns(count).withColumn(
+            "_step", F.least(*[lat.plane_distance(v) / F.col(f"_n{v}") for v in VECTORS]))
+        sized = sized.select("framework", *count, "_step")
+        ring = max(1, n_shell) if last else 1
+        spread = images.join(sized.drop("_step"), "framework")
+        for b, f, n in zip(bins, FRACTIONS, count):
+            home = F.floor(F.col(f) * F.col(n)).cast("int")
+            spread = spread.withColumn(b, F.explode(F.sequence(home - ring, home + ring))).filter(
+                (F.col(b) >= 0) & (F.col(b) < F.col(n)))
+        placed = pending.join(sized, "framework").withColumns(
+            {b: F.floor(F.col(f"_v{f}") * F.col(n)).cast("int") for b, f, n in zip(bins, FRACTIONS, count)})
+        delta = [F.col(f) - F.col(f"_v{f}") for f in FRACTIONS]
+        pairs = placed.join(spread.drop(*count), ["framework", *bins], "left").withColumn("_d", norm3(*lat.to_cartesian(*delta)))
+        hit = F.struct("_d", "_rad")
+        nearest = pairs.groupBy("framework", *AXES).agg(F.min(F.when(F.col("_d").isNotNull(), hit)).alias("_hit"), F.first("_step").alias("_step"))
+        found = nearest.select("framework", *AXES, (F.col("_hit._d") - F.col("_hit._rad")).alias("r"),
+                               F.coalesce(F.col("_hit._d") <= F.col("_step"), F.lit(False)).alias("_final"))
+        if last:
+            part = found.select("framework", *AXES, "r")
+            return part if done is None else done.unionByName(part)
+        found = cut_lineage(found)
+        part = found.filter("_final").select("framework", *AXES, "r")
+        done = part if done is None else done.unionByName(part)
+        rest = found.filter("not _final").select("framework", *AXES)
+        if rest.isEmpty():
             return done
         pending = voxels.join(rest, ["framework", *AXES], "left_semi")
-        ring = min(2 * ring, everything)
+        bin_size = 2 * bin_size
 
 
 def valid_range(grid: DataFrame, cap: float = ENERGY_CAP) -> DataFrame:
@@ -208,7 +209,7 @@ def thresholds(free_radius: DataFrame, probe_radius: float = 0.0) -> DataFrame:
     return free_radius.filter(F.col("r") > probe_radius).select("framework", "r").distinct()
 
 
-def grid_points(grid: DataFrame, cells: DataFrame, clip: tuple[float, float] | None = None) -> DataFrame:
+def point_table(grid: DataFrame, cells: DataFrame, clip: tuple[float, float] | None = None) -> DataFrame:
     """Cartesian grid points (x, y, z, e) in A, six decimals; energies clipped if asked.
 
     ``cells`` carries the cell matrix and the point counts na, nb, nc."""

@@ -110,7 +110,7 @@ SELECT lj.framework, lj.i, lj.j, lj.k, round(lj.i / (ma // sa)::DOUBLE * a, 6) A
 FROM lj JOIN dims USING (framework) ORDER BY lj.framework, lj.k, lj.j, lj.i""")
 def energy_grid_points(spark, sf_dir):
     cells = voxel.grid_sizes(structures(spark, sf_dir), SPACING, MIN_SUPERCELL)
-    points = voxel.grid_points(energies(spark, sf_dir), cells, clip=(-1e6, 200.0))
+    points = voxel.point_table(energies(spark, sf_dir), cells, clip=(-1e6, 200.0))
     return points.withColumn("e", rounded("e")).orderBy("framework", "k", "j", "i")
 
 

@@ -127,3 +127,20 @@ def test_one_atom_cell(spark):
     e = {tuple(r)[1:4]: r["e"] for r in voxel.energy_grid(s, atoms, spacing=2.5, cutoff=14.0, min_supercell=28.0).collect()}
     assert e[0, 0, 0] == 1000.0 and e[1, 0, 0] == pytest.approx(e[0, 1, 0]) == pytest.approx(e[0, 0, 1])
     assert e[2, 2, 2] < 0
+
+
+def test_whole_run(spark):
+    from porescreen.plans.screening import screen
+
+    names = "framework string, a double, b double, c double, alpha double, beta double, gamma double"
+    s = spark.createDataFrame([("open", 9.0, 9.0, 9.0, 90.0, 90.0, 90.0)], names)
+    atoms = spark.createDataFrame([("open", 0, "Si", 0.0, 0.0, 0.0), ("open", 1, "O", 0.5, 0.0, 0.0)],
+                                  "framework string, atom_id int, element string, fx double, fy double, fz double")
+    ext = spark.createDataFrame([(" OPEN ", 17.0, 20.0, 300.0)], "Zeolites string, FDSi double, Vacc double, ASA double")
+    out = screen(s, atoms, ext, spacing=1.0, cutoff=9.0, min_supercell=18.0, pore_grid_n=9)
+    features = out["features"].orderBy("direction").collect()
+    assert [r["sample"] for r in features] == ["open_x", "open_y", "open_z"]
+    for r in features:
+        assert r["dimensionality"] == "3D" and r["FDSi"] == 17.0 and r["PLD"] >= 3.5 and r["tortuosity"] >= 1
+        assert r["barrier_official"] >= 0 and r["E_max"] == pytest.approx(r["barrier_official"] + r["E_min_official"], abs=1e-3)
+    assert rows(out["summary"].select("framework", "status")) == [("open", "OK")]
