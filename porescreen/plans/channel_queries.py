@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from porescreen.functions import lattice as lat
 from porescreen.functions.numbers import rounded
-from porescreen.operators import channel, field, voxel
+from porescreen.operators import assemble, channel, field, voxel
 from porescreen.operators.ordered import sequence
 from porescreen.plans.bindings import GRID, V_GRID, V_PORE, grid, low_energy
 from porescreen.plans.registry import query
@@ -335,3 +335,11 @@ def tiled_pore_points(spark, sf_dir):
     low = {"i": F.lit(0), "j": F.col("lo_fy"), "k": F.col("lo_fz")}
     high = {"i": F.lit(2), "j": F.col("hi_fy"), "k": F.col("hi_fz")}
     return voxel.tile(placed, sizes, low, high).select("framework", "i", "j", "k", "e")
+
+
+@query("S5 S4", f"""WITH {V_PORE}, named AS (SELECT *, framework || '_' || i || '_' || j || '_' || k AS point FROM v_pore)
+SELECT point, e FROM named ORDER BY md5(point || '|7'), point LIMIT 1500""")
+def sampled_pore_points(spark, sf_dir):
+    """A seeded sample of at most 1,500 pore points, as for a figure."""
+    named = low_energy(grid(spark, sf_dir)).select(F.concat_ws("_", "framework", "i", "j", "k").alias("point"), "e")
+    return assemble.seeded_sample(named, "point", 1500, seed=7)
