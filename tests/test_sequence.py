@@ -26,53 +26,48 @@ def test_plateau_peaks(spark):
     assert rows(sq.extremes(path, SEQ, "e").filter("kind = 'peak'").select("idx")) == [(1,), (4,)]
 
 
-def reference_repair(e, factor, width=3):
-    """The jump repair written as a plain loop over a list."""
-    e, n = list(map(float, e)), len(e)
-    steps = [abs(b - a) for a, b in zip(e, e[1:])]
-
-    def median(v):
-        v = sorted(v)
-        return (v[(len(v) - 1) // 2] + v[len(v) // 2]) / 2
-
-    med = median(steps)
-    mad = median([abs(s - med) for s in steps])
-    if n < 4 or mad < 1e-10:
-        return e
-    groups = []
-    for i, s in enumerate(steps):
-        if s > med + factor * mad:
-            if groups and i - groups[-1][-1] <= 2:
-                groups[-1].append(i)
-            else:
-                groups.append([i])
-    for g in groups:
-        left, right = g[0], g[-1] + 1
-        before, after = e[max(0, left - width):left], e[right + 1:right + 1 + width]
-        lo = sum(before) / len(before) if before else e[left]
-        hi = sum(after) / len(after) if after else e[right]
-        for j, k in enumerate(range(left, right)):
-            share = (j + 1) / (right - left + 1)
-            e[k] = lo * (1 - share) + hi * share
-    return e
-
-
-@pytest.mark.parametrize("spikes", [[10], [10, 13], [10, 14], [10, 15], [0], [29], [10, 13, 16, 19, 22], [1, 4, 28]])
-def test_jump_repair_is_sequential(spark, spikes):
+def ramp(spikes):
     rng = random.Random(1)
     e = [i * 0.5 + rng.random() for i in range(30)]
     for s in spikes:
         e[s] += 40.0
-    got = [r["e_smooth"] for r in sq.repair_jumps(path_of(spark, e), SEQ).orderBy("seq").collect()]
-    assert got == pytest.approx(reference_repair(e, 5.0))
+    return e
+
+
+def repaired(spark, e):
+    return [r["e_smooth"] for r in sq.repair_jumps(path_of(spark, e), SEQ).orderBy("seq").collect()]
+
+
+def blend(lo, hi, share):
+    return lo * (1 - share) + hi * share
+
+
+def test_one_spike_is_blended(spark):
+    e = ramp([10])
+    got, lo, hi = repaired(spark, e), sum(e[6:9]) / 3, sum(e[12:15]) / 3
+    assert got[9:11] == pytest.approx([blend(lo, hi, 1 / 3), blend(lo, hi, 2 / 3)])
+    assert got[:9] + got[11:] == e[:9] + e[11:]
+
+
+def test_spikes_at_the_ends_use_what_is_there(spark):
+    e = ramp([0, 29])
+    got = repaired(spark, e)
+    assert got[0] == pytest.approx(blend(e[0], sum(e[2:5]) / 3, 0.5))
+    assert got[28] == pytest.approx(blend(sum(e[25:28]) / 3, e[29], 0.5)) and got[29] == e[29]
 
 
-def test_random_jump_repair(spark):
-    rng = random.Random(7)
-    for factor in (0.5, 1.0, 2.0):
-        e = [rng.choice([0.0, 1.0, 2.0, 3.0, 25.0]) + rng.random() for _ in range(80)]
-        got = [r["e_smooth"] for r in sq.repair_jumps(path_of(spark, e), SEQ, factor).orderBy("seq").collect()]
-        assert got == pytest.approx(reference_repair(e, factor))
+def test_close_spikes_merge_and_the_next_group_reads_repaired_points(spark):
+    e = ramp([10, 13])
+    got, lo, hi = repaired(spark, e), sum(e[6:9]) / 3, sum(e[15:18]) / 3
+    assert got[9:14] == pytest.approx([blend(lo, hi, (j + 1) / 6) for j in range(5)])
+    e = ramp([10, 14])
+    got, lo, hi = repaired(spark, e), sum(e[6:9]) / 3, sum(e[12:15]) / 3
+    assert got[10] == pytest.approx(blend(lo, hi, 2 / 3))
+    lo, hi = (got[10] + e[11] + e[12]) / 3, sum(e[16:19]) / 3
+    assert got[13:15] == pytest.approx([blend(lo, hi, 1 / 3), blend(lo, hi, 2 / 3)])
+    e = ramp([10, 15])
+    got, lo, hi = repaired(spark, e), sum(e[11:14]) / 3, sum(e[17:20]) / 3
+    assert got[14:16] == pytest.approx([blend(lo, hi, 1 / 3), blend(lo, hi, 2 / 3)])
 
 
 def test_constant_path(spark):
