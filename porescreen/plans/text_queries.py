@@ -123,17 +123,16 @@ def trajectory_boxes(spark, sf_dir):
     return trajectory.frame_boxes(_frame_lines(spark, sf_dir))
 
 
-@query("A10", """SELECT 'index' AS file, 'user_' || user_id AS "group", event_id AS atom_no FROM events""")
+@query("A10", """SELECT 'index_' || user_id // 1000 AS file, 'user_' || user_id AS "group", event_id AS atom_no FROM events""")
 def index_groups(spark, sf_dir):
     ev = table(spark, sf_dir, "events").select("user_id", "event_id")
-    # One header per user, then one line per event; lines are ordered by user and event.
-    base = F.col("user_id") * F.lit(1 << 32)
-    heads = ev.select("user_id").distinct().select(base.alias("line_no"), F.concat(F.lit("[ user_"), "user_id", F.lit(" ]")).alias("line"))
-    rows = ev.select((base + F.col("event_id") + 1).alias("line_no"), F.concat(F.lit("  "), "event_id", F.lit(" ")).alias("line"))
-    lines = heads.unionByName(rows).withColumn("file", F.lit("index"))
-    # All lines share one file, so the sequence is cut into blocks of one user each.
-    seq = Sequence(("file",), "line_no", 1 << 32, True)
-    return trajectory.group_members(lines, "file", seq)
+    # A file holds the groups of a thousand users: one header per user, then one line per event.
+    file = F.concat(F.lit("index_"), F.expr("user_id div 1000")).alias("file")
+    base = F.col("user_id") % 1000 * F.lit(1 << 32)
+    heads = ev.select("user_id").distinct().select(file, base.alias("line_no"), F.concat(F.lit("[ user_"), "user_id", F.lit(" ]")).alias("line"))
+    rows = ev.select(file, (base + F.col("event_id") + 1).alias("line_no"), F.concat(F.lit("  "), "event_id", F.lit(" ")).alias("line"))
+    # Lines are numbered with gaps; blocks keep any file, and any user in it, spread over tasks.
+    return trajectory.group_members(heads.unionByName(rows), "file", Sequence(("file",), "line_no", 1 << 20, True))
 
 
 BOX, LAGS = 500, 4
