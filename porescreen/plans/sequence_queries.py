@@ -9,8 +9,11 @@ from porescreen.operators import ordered, sequence as sq
 from porescreen.plans.bindings import PATH_KEYS, V_CLEAN, V_PATH, V_STEPS, paths
 from porescreen.plans.registry import query
 
-# Direction of a path, for the operators that need one.
-AXIS = F.element_at(F.array(F.lit("X"), F.lit("Y"), F.lit("Z")), (F.col("user_id") % 3 + 1).cast("int"))
+def axis_of_user():
+    """Direction of a path, for the operators that need one."""
+    return F.element_at(F.array(F.lit("X"), F.lit("Y"), F.lit("Z")), (F.col("user_id") % 3 + 1).cast("int"))
+
+
 SQL_AXIS = "['X','Y','Z'][(user_id % 3 + 1)::INT]"
 
 
@@ -73,7 +76,7 @@ SELECT user_id, round(length, 6) AS length, round(chord, 6) AS chord, round(tort
        round(eta_main, 6) AS eta_main FROM shape""")
 def path_tortuosity(spark, sf_dir):
     path, seq = clean_paths(spark, sf_dir)
-    out = sq.path_geometry(path, seq, AXIS)
+    out = sq.path_geometry(path, seq, axis_of_user())
     return out.select("user_id", *[rounded(c).alias(c) for c in ("length", "chord", "tortuosity", "eta_main")])
 
 
@@ -231,6 +234,6 @@ SELECT user_id, e_max, round(sigma_e, 6) AS sigma_e, round(barrier_freq, 6) AS b
        round(eta_main, 6) AS eta_main, round(h_entropy, 6) AS h_entropy FROM described""")
 def path_descriptors(spark, sf_dir):
     path, seq = paths(spark, sf_dir)
-    out = sq.describe_paths(path, seq, AXIS)
+    out = sq.describe_paths(path, seq, axis_of_user())
     return out.select("user_id", "e_max", *[rounded(c).alias(c) for c in (
         "sigma_e", "barrier_freq", "peak_slope_mean", "tortuosity", "eta_main", "h_entropy")])

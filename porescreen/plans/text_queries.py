@@ -175,14 +175,14 @@ def displacement_by_lag(spark, sf_dir):
 # -- drifting paths ----------------------------------------------------------------------------
 
 from porescreen.plans.channel_queries import SQL_REBUILT  # noqa: E402
-from porescreen.plans.sequence_queries import AXIS, SQL_AXIS as SQL_AXIS_OF  # noqa: E402
+from porescreen.plans.sequence_queries import axis_of_user, SQL_AXIS as SQL_AXIS_OF  # noqa: E402
 
 
 @query("W11 W12 W13", f"""WITH {V_PATH}, pts AS (SELECT *, {SQL_AXIS_OF} AS axis FROM v_path) {SQL_REBUILT.format(key='user_id, axis', la=400, lb=20, lc=18)}
 SELECT user_id, seq, round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y, round(z, 6) + 0.0 AS z, e FROM rebuilt""")
 def rebuilt_paths(spark, sf_dir):
     path, seq = paths(spark, sf_dir)
-    out = sq.rebuild_periodic(path, seq, AXIS, {"x": F.lit(400.0), "y": F.lit(20.0), "z": F.lit(18.0)})
+    out = sq.rebuild_periodic(path, seq, axis_of_user(), {"x": F.lit(400.0), "y": F.lit(20.0), "z": F.lit(18.0)})
     return out.select("user_id", "seq", *[rounded(c).alias(c) for c in "xyz"], "e")
 
 
