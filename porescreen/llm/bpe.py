@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
+import pickle
 import zlib
 from collections import Counter
 
@@ -43,12 +45,6 @@ def _rank_map(ranks: dict[bytes, int]) -> Column:
     return F.expr("array(" + ",".join(f"map({','.join(b)})" if b else empty for b in buckets) + ")")
 
 
-def _pieces(ranks: dict[bytes, int]) -> Column:
-    by_rank = {r: p for p, r in ranks.items()}
-    return F.expr("array(" + ",".join(f"X'{by_rank[i].hex()}'" if i in by_rank else "X''"
-                                      for i in range(max(by_rank) + 1)) + ")")
-
-
 def _rank(table: Column, piece: Column) -> Column:
     bucket = F.element_at(table, (F.crc32(piece) % BUCKETS + 1).cast("int"))
     return F.try_element_at(bucket, piece)
@@ -76,15 +72,13 @@ def encode_word(word: Column, table: Column) -> Column:
     return F.transform(folded, lambda p: _rank(table, p))
 
 
-def decode_ids(ids: Column, pieces: Column) -> Column:
+def decode_ids(ids: list[int], pieces: dict[int, bytes]) -> bytes:
     """The bytes of ids: their pieces, one after the other."""
-    return F.aggregate(ids, F.lit(b""), lambda out, i: F.concat(out, F.element_at(pieces, i + 1)))
+    return b"".join([pieces[i] for i in ids])
 
 
 def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     """The same merges with a heap over a linked list, for words too long to fold."""
-    import heapq
-
     n = len(word)
     start, end = list(range(n)), list(range(1, n + 1))
     before, after = list(range(-1, n - 1)), [*range(1, n), -1]
@@ -154,6 +148,26 @@ def distinct_words(docs: DataFrame, text_column: str = "text", pattern: str = pu
     return counted.groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def _pack_words(batches):
+    for batch in batches:
+        words = dict(zip(batch.column("word").to_pylist(), map(tuple, batch.column("ids").to_pylist())))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(words)], pa.binary())], ["words"])
+
+
+_UNPACKED: dict[int, tuple] = {}
+
+
+def _unpacked(shared: tuple) -> tuple[dict[bytes, tuple], dict[int, bytes]]:
+    """The ids of the frequent words and the pieces by id, made once in each worker."""
+    if id(shared) not in _UNPACKED:
+        _UNPACKED.clear()
+        known = {}
+        for words in shared[0]:
+            known.update(pickle.loads(words))
+        _UNPACKED[id(shared)] = shared, known, {r: p for p, r in shared[1].items()}
+    return _UNPACKED[id(shared)][1:]
+
+
 def encode(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", path: str = RANKS,
            pattern: str = public_tokenizers.PATTERN, with_ids: bool = False) -> DataFrame:
     """Encode and decode every text: (doc_id, n_tokens, ids_sha256, decoded_sha256[, ids, decoded]).
@@ -165,37 +179,33 @@ def encode(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     The most frequent distinct words are folded once and shipped; what a text holds besides is folded in its row.
     """
     spark, ranks = docs.sparkSession, read_ranks(path)
-    table, pieces = _rank_map(ranks), _pieces(ranks)
+    table = _rank_map(ranks)
     frequent = (distinct_words(docs, text_column, pattern).where(F.octet_length("word") <= COMMON_BYTES)
                 .orderBy(F.desc("n"), "word").limit(COMMON_WORDS).select("word")
                 .repartition(FOLD_TASKS))
     coded = frequent.select("word", encode_word(F.col("word"), table).alias("ids"))
-    coded = coded.select("word", "ids", decode_ids(F.col("ids"), pieces).alias("decoded"))
-    known = {bytes(r["word"]): (r["ids"], bytes(r["decoded"])) for r in coded.toLocalIterator()}
-    shared = spark.sparkContext.broadcast((known, ranks))
+    packed = [bytes(r[0]) for r in coded.mapInArrow(_pack_words, "words binary").collect()]
+    shared = spark.sparkContext.broadcast((packed, ranks))  # COMMON_WORDS and the vocabulary at most
 
     def look_up(batches):
         """The coded parts of each text, with a gap wherever a word is not among the frequent ones."""
-        known, ranks = shared.value
-        split, held, inverse = Splitter(pattern), {}, {}
+        ranks = shared.value[1]
+        known, pieces = _unpacked(shared.value)
+        split, held = Splitter(pattern), {}
 
         def of(chunk):
-            ids, bytes_, parts = [], [], []
+            ids, parts = [], []
             for w in split.words(chunk):
                 raw = w.encode("utf-8", "replace")
                 hit = known.get(raw)
                 if hit is None and len(raw) > FOLD_BYTES:
-                    if not inverse:
-                        inverse.update((r, p) for p, r in ranks.items())
-                    merged = merge_long(raw, ranks)
-                    hit = merged, b"".join(inverse[i] for i in merged)
+                    hit = merge_long(raw, ranks)
                 if hit is None:
-                    parts.append((" ".join(map(str, ids)), b"".join(bytes_), len(ids), raw))
-                    ids, bytes_ = [], []
+                    parts.append((" ".join(map(str, ids)), decode_ids(ids, pieces), len(ids), raw))
+                    ids = []
                 else:
-                    ids += hit[0]
-                    bytes_.append(hit[1])
-            return parts, (" ".join(map(str, ids)), b"".join(bytes_), len(ids))
+                    ids += hit
+            return parts, (" ".join(map(str, ids)), decode_ids(ids, pieces), len(ids))
 
         for batch in batches:
             out = {"n": [], "ids": [], "decoded": [], "rare": []}
@@ -231,14 +241,15 @@ def encode(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
                                              ["doc_id", *out])
 
     def assemble(batches):
+        _, pieces = _unpacked(shared.value)
         for batch in batches:
             out = [[], [], [], [], []]
-            columns = [batch.column(c).to_pylist() for c in ("n", "ids", "decoded", "rare_ids", "rare_decoded")]
-            for n, ids, decoded, rare_ids, rare_decoded in zip(*columns):
+            columns = [batch.column(c).to_pylist() for c in ("n", "ids", "decoded", "rare_ids")]
+            for n, ids, decoded, rare_ids in zip(*columns):
                 texts, bytes_ = [ids[0]], [decoded[0]]
-                for coded, raw, x, y in zip(rare_ids, rare_decoded, ids[1:], decoded[1:]):
+                for coded, x, y in zip(rare_ids, ids[1:], decoded[1:]):
                     texts += [" ".join(map(str, coded)), x]
-                    bytes_ += [raw, y]
+                    bytes_ += [decode_ids(coded, pieces), y]
                     n += len(coded)
                 text, whole = " ".join(t for t in texts if t), b"".join(bytes_)
                 for o, v in zip(out, (n, hashlib.sha256(text.encode()).hexdigest(), hashlib.sha256(whole).hexdigest(),
@@ -250,8 +261,7 @@ def encode(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
 
     narrow = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     found = narrow.mapInArrow(look_up, "doc_id long, n long, ids array<string>, decoded array<binary>, rare array<binary>")
-    found = found.withColumn("rare_ids", F.transform("rare", lambda w: encode_word(w, table)))
-    found = found.withColumn("rare_decoded", F.transform("rare_ids", lambda i: decode_ids(i, pieces))).drop("rare")
+    found = found.withColumn("rare_ids", F.transform("rare", lambda w: encode_word(w, table))).drop("rare")
     done = found.mapInArrow(assemble, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, "
                                       "ids string, decoded binary")
     return done if with_ids else done.drop("ids", "decoded")

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from porescreen.llm import bpe, simhash, topk
+import corpus_pipeline
+from porescreen.llm import bpe, decontaminate, html, licenses, lines, repeats, simhash, topk, toxicity, wordpiece
 from porescreen.llm.common import table
 
 
@@ -12,6 +13,67 @@ def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
+def op2_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    return html.extract(table(spark, folder, "pages"))
+
+
+def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("text_hash")
+
+
+OP3_SQL = r"""
+WITH i AS (
+    SELECT item_id, w, len(w) AS n FROM (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark)
+    WHERE item_id IS NOT NULL AND len(w) >= 5),
+ig AS (SELECT item_id, n, x AS at, array_to_string(w[x + 1 : x + 5], ' ') AS g FROM (SELECT *, unnest(range(n - 4)) AS x FROM i)),
+d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
+dg AS (SELECT doc_id, x AS pos, array_to_string(w[x + 1 : x + 5], ' ') AS g FROM (
+    SELECT *, unnest(range(greatest(len(w) - 4, 0))) AS x FROM d)),
+c AS (SELECT DISTINCT doc_id, item_id, n, pos - at AS start FROM dg JOIN ig USING (g)),
+a AS (SELECT c.doc_id, item_id, n, start, g, count(*) AS k FROM c JOIN dg
+      ON dg.doc_id = c.doc_id AND pos >= greatest(start, 0) AND pos <= start + n - 5 GROUP BY ALL),
+b AS (SELECT item_id, g, count(*) AS k FROM ig GROUP BY ALL),
+s AS (SELECT a.doc_id, a.item_id, a.n, a.start, CAST(sum(least(a.k, coalesce(b.k, 0))) AS BIGINT) AS both, CAST(sum(a.k) AS BIGINT) AS size
+      FROM a LEFT JOIN b ON a.item_id = b.item_id AND a.g = b.g GROUP BY ALL),
+j AS (SELECT *, both / CAST(size + n - 4 - both AS DOUBLE) AS similarity FROM s)
+SELECT doc_id, item_id, CAST(start AS BIGINT) AS start_word, CAST(n AS BIGINT) AS n_words, similarity FROM j WHERE similarity >= 0.8
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) = 1"""
+
+
+def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return lines.scan(table(spark, folder, "documents"))
+
+
+def op5_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(table(spark, folder, "documents"))
+
+
+def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def op7_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.without_repeats(table(spark, folder, "documents"))
+
+
+OP7_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT doc_id, h, len(h) // 2 AS n, unnest(range(len(h) // 2)) AS pos FROM d),
+w AS (SELECT doc_id, pos, substr(h, 2 * pos + 1, 2) AS b, CASE WHEN pos + 50 <= n THEN substr(h, 2 * pos + 1, 100) END AS s FROM p),
+m AS (SELECT s, min(doc_id) AS least FROM w WHERE s IS NOT NULL GROUP BY s),
+f AS (SELECT w.doc_id, pos, b, max(CASE WHEN least < w.doc_id THEN 1 ELSE 0 END)
+          OVER (PARTITION BY w.doc_id ORDER BY pos ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone FROM w LEFT JOIN m USING (s)),
+g AS (SELECT *, CASE WHEN gone = 1 AND coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY pos), 0) = 0 THEN 1 ELSE 0 END AS span FROM f),
+r AS (SELECT doc_id, CAST(count(*) AS BIGINT) AS n_bytes, CAST(sum(gone) AS BIGINT) AS n_removed, CAST(sum(span) AS BIGINT) AS n_spans,
+             coalesce(string_agg(b, '' ORDER BY pos) FILTER (WHERE gone = 0), '') AS kept FROM g GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_bytes, 0) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN r USING (doc_id)"""
+
+
+def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return wordpiece.count_tokens(table(spark, folder, "documents"))
+
+
 def op9_topk(spark: SparkSession, folder: str) -> DataFrame:
     vectors = topk.integer_vectors(table(spark, folder, "embeddings"))
     return topk.top_k(vectors, vectors.where("vec_id % 100 = 0"))
@@ -34,5 +96,11 @@ def op10_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode(table(spark, folder, "documents"))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op9_topk": op9_topk, "op10_byte_bpe": op10_byte_bpe}
-SQL = {"op9_topk": OP9_SQL}
+QUERIES = {
+    "op1_simhash": op1_simhash, "op2_main_text": op2_main_text, "op3_decontamination": op3_decontamination,
+    "op4_line_dedup": op4_line_dedup, "op5_licenses": op5_licenses, "op6_toxicity": op6_toxicity, "op7_repeats": op7_repeats,
+    "op8_token_counts": op8_token_counts, "op9_topk": op9_topk, "op10_byte_bpe": op10_byte_bpe, "pipeline": corpus_pipeline.run,
+}
+SQL = {"op3_decontamination": OP3_SQL, "op7_repeats": OP7_SQL, "op9_topk": OP9_SQL}
+if corpus_pipeline.ORACLE_SQL:
+    SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -15,9 +15,10 @@ from porescreen.llm.common import text_of
 #: The model is fitted on so many labelled documents at most, those with the smallest hash of their id.
 FIT_ROWS = 8000
 BUCKETS = 1 << 18
-#: Terms in fewer fitted documents than this have no weight.
-LEAST_DOCUMENTS = 3
-FACTORS, EPOCHS, BATCH, RATE, DECAY, SEED = 4, 8, 64, 0.05, 1e-4, 7
+#: Terms have a weight if they are in so many fitted documents, and if their shares among toxic and other ones differ
+#: by so many standard errors; without this the many terms of a long text are learnt by heart.
+LEAST_DOCUMENTS, LEAST_ERRORS = 3, 3.0
+FACTORS, EPOCHS, BATCH, RATE, DECAY, SEED = 4, 12, 64, 0.1, 1e-4, 7
 THRESHOLD = 0.3
 _WORDS = re.compile(r"\w+").findall
 
@@ -89,6 +90,19 @@ class FactorizationMachine:
                 self.bias -= RATE * slope.sum() / np.sqrt(sums[2])
 
 
+def telling_terms(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
+    """The terms whose presence tells toxic from other documents beyond chance."""
+    terms, n = np.unique(np.concatenate(rows), return_counts=True)
+    toxic = np.zeros(len(terms))
+    found, hits = np.unique(np.concatenate([r for r, y in zip(rows, labels) if y]), return_counts=True)
+    toxic[np.searchsorted(terms, found)] = hits
+    ones, zeros = labels.sum(), len(labels) - labels.sum()
+    share = n / len(labels)
+    error = np.sqrt(share * (1 - share) * (1 / ones + 1 / zeros))
+    apart = np.abs(toxic / ones - (n - toxic) / zeros) >= LEAST_ERRORS * error
+    return terms[(n >= LEAST_DOCUMENTS) & apart & (error > 0)].astype(np.int64)
+
+
 def _terms_in_tasks(batches):
     known = {}
     for batch in batches:
@@ -108,14 +122,12 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Factori
     chosen = F.broadcast(chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id")
     fitted = texts.mapInArrow(_terms_in_tasks, "doc_id long, toxic int, terms array<int>").dropDuplicates(["doc_id"])
-    found = sorted(((r["doc_id"], r["toxic"], np.array(r["terms"], np.int32)) for r in fitted.toLocalIterator()),
-                   key=lambda r: r[0])
-    y = np.array([t for _, t, _ in found], float)
+    found = fitted.toPandas().sort_values("doc_id")
+    y = found["toxic"].to_numpy(float)
     if not len(y) or y.min() == y.max():
         return FactorizationMachine(np.zeros(0, np.int64), _log_odds(y.sum() / (len(y) + 1.0)))
-    terms, n = np.unique(np.concatenate([t for _, _, t in found]), return_counts=True)
-    model = FactorizationMachine(terms[n >= LEAST_DOCUMENTS].astype(np.int64), _log_odds(y.mean()))
-    model.fit([model.columns(t.astype(np.int64)) for _, _, t in found], y)
+    model = FactorizationMachine(telling_terms(found["terms"].to_list(), y), _log_odds(y.mean()))
+    model.fit([model.columns(t.astype(np.int64)) for t in found["terms"]], y)
     return model
 
 
