@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +18,19 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def small(batches, name: str = "text", most: int = 4 << 20):
+    """The rows of Arrow batches again, in batches of about ``most`` bytes of a column, so that memory is bounded."""
+    for batch in batches:
+        sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(name)), 0))
+        ends, at = np.cumsum(sizes, dtype=np.int64), 0
+        if not len(ends):
+            yield batch
+        while at < len(ends):
+            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+            yield batch.slice(at, stop - at)
+            at = stop
+
+
 def text_of(batch, name: str = "text") -> list[str]:
     """The strings of a column of an Arrow batch; null is the empty text."""
     return [t or "" for t in batch.column(name).to_pylist()]
@@ -25,6 +41,21 @@ def lowered(column):
     return F.translate(F.coalesce(column, F.lit("")), UPPER_AZ, LOWER_AZ)
 
 
+def gathered_bits(words: DataFrame, size: int) -> np.ndarray:
+    """The rows (word, bits) of a filter of ``size`` words of 64 bits, or-ed together on the driver."""
+    def pack(batches):
+        for batch in batches:
+            pairs = np.stack([np.asarray(batch.column(c)) for c in ("word", "bits")], axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array([pairs.tobytes()], pa.binary())], ["pairs"])
+
+    out = np.zeros(size, np.int64)
+    merged = words.groupBy("word").agg(F.bit_or("bits").alias("bits"))  # ``size`` rows at most
+    for row in merged.mapInArrow(pack, "pairs binary").collect():
+        pairs = np.frombuffer(row["pairs"], np.int64).reshape(-1, 2)
+        out[pairs[:, 0]] = pairs[:, 1]
+    return out
+
+
 def components(links: DataFrame) -> DataFrame:
     """Connected components of the links (a, b): one row (node, root) per linked node, root its least member.
 

@@ -50,38 +50,40 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     Null texts are empty: no words, no labels. Repeated rows and rows without an id are returned like any others;
     other columns are ignored; an empty table gives no rows.
     """
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_column).cast("long").alias("doc_id"),
+    # What is found in a row follows from its text alone, so rows of one id and one text need not be told apart.
+    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.xxhash64(text_column).alias("hash"),
                        F.regexp_extract_all(lowered(F.col(text_column)), F.lit(WORD), F.lit(0)).alias("words"))
-    pairs = rows.select("rid", F.zip_with("words", F.slice("words", F.lit(2), F.greatest(F.size("words"), F.lit(1))),
+    pairs = rows.select("doc_id", "hash", F.zip_with("words", F.slice("words", F.lit(2), F.greatest(F.size("words"), F.lit(1))),
                                           lambda a, b: F.concat(a, F.lit(" "), b)).alias("pairs"))
-    pairs = pairs.select("rid", F.posexplode("pairs").alias("pos", "pair"))
+    pairs = pairs.select("doc_id", "hash", F.posexplode("pairs").alias("pos", "pair"))
     # A fixed number of template grams, whatever the input.
     known = F.broadcast(templates(docs.sparkSession))
     votes = pairs.join(known, (F.xxhash64("pair") == F.col("h")) & (F.col("pair") == F.col("gram")))
-    diagonals = votes.groupBy("rid", "template", "base", "label", "grams", "words", (F.col("pos") - F.col("at")).alias("diagonal")) \
-        .agg(F.count("*").alias("votes"), F.min("pos").alias("low"), F.max("pos").alias("high"))
+    diagonals = votes.groupBy("doc_id", "hash", "template", "base", "label", "grams", "words", (F.col("pos") - F.col("at")).alias("diagonal")) \
+        .agg(F.size(F.collect_set("pos")).alias("votes"), F.min("pos").alias("low"), F.max("pos").alias("high"))
     whole = diagonals.where(F.col("base") & (F.col("votes") == F.col("grams")))
-    places = whole.select("rid", "label", F.lit(1.0).alias("share"), F.lit(True).alias("base"), F.col("diagonal").alias("start"))
+    places = whole.select("doc_id", "hash", "label", F.lit(1.0).alias("share"), F.lit(True).alias("base"), F.col("diagonal").alias("start"))
 
     strong = diagonals.where(~F.col("base") & (F.col("votes") >= F.greatest(F.lit(2), F.col("grams") / 10)))
-    order = Window.partitionBy("rid", "template").orderBy("diagonal")
+    order = Window.partitionBy("doc_id", "hash", "template").orderBy("diagonal")
     apart = (F.col("diagonal") - F.lag("diagonal").over(order) > SLACK).cast("int")
     merged = strong.withColumn("run", F.sum(F.coalesce(apart, F.lit(0))).over(order)) \
-        .groupBy("rid", "template", "label", "grams", "words", "run") \
-        .agg(F.sum("votes").alias("votes"), F.min("low").alias("low"), F.max("high").alias("high"), F.max("votes").alias("best"),
-             F.max_by(F.struct("low", "high"), "votes").alias("own"))
+        .groupBy("doc_id", "hash", "template", "label", "grams", "words", "run") \
+        .agg(F.sum("votes").alias("votes"), F.min("low").alias("low"), F.max("high").alias("high"), F.max("votes").alias("best"))
     # Verified as one span, or else by the best of its diagonals alone.
     fits = F.col("high") - F.col("low") + 2 <= 1.5 * F.col("words")
-    found = merged.select("rid", "label", F.least(F.lit(1.0), F.when(fits, F.col("votes")).otherwise(F.col("best")) / F.col("grams"))
+    found = merged.select("doc_id", "hash", "label", F.least(F.lit(1.0), F.when(fits, F.col("votes")).otherwise(F.col("best")) / F.col("grams"))
                           .alias("share"), F.lit(False).alias("base"),
                           F.lit(None).cast("int").alias("start")).where(F.col("share") >= share)
-    result = places.unionByName(found).groupBy("rid").agg(
+    result = places.unionByName(found).groupBy("doc_id", "hash").agg(
         F.count_if("base").alias("n_base"), F.min(F.when(F.col("base"), F.col("start"))).cast("long").alias("first_word"),
         F.max(F.when(F.col("base"), F.col("start"))).cast("long").alias("last_word"),
         F.collect_set(F.when(F.col("base"), F.col("label"))).alias("base_labels"), F.collect_set("label").alias("labels"),
         F.max("share").alias("score"))
     none = F.array().cast("array<string>")
-    return rows.select("rid", "doc_id", F.size("words").cast("long").alias("n_words")).join(result, "rid", "left").select(
+    result = result.withColumnsRenamed({"doc_id": "at", "hash": "found"})
+    same = F.col("doc_id").eqNullSafe(F.col("at")) & (F.col("hash") == F.col("found"))
+    return rows.select("doc_id", "hash", F.size("words").cast("long").alias("n_words")).join(result, same, "left").select(
         "doc_id", "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), "first_word", "last_word",
         F.array_join(F.array_sort(F.coalesce("base_labels", none)), ",").alias("base_labels"),
         F.array_join(F.array_sort(F.coalesce("labels", none)), ",").alias("labels"),

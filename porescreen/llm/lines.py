@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from porescreen.llm.common import components, text_of
+from porescreen.llm.common import components, gathered_bits, small, text_of
 from porescreen.session import cut_lineage
 
 #: Characters of a shingle and similarity of near-duplicate lines.
@@ -83,7 +83,7 @@ def band_hashes(lines: list[str]) -> np.ndarray:
 
 def _keys_and_bands(batches):
     signed = set()
-    for batch in batches:
+    for batch in small(batches):
         keys, fresh, hashes, todo = [], [], [], []
         for text in text_of(batch):
             own, new = [], []
@@ -124,15 +124,12 @@ def line_keys(docs: DataFrame, id_column: str = "doc_id", text_column: str = "te
 def _texts(docs: DataFrame, text_column: str, wanted: DataFrame) -> DataFrame:
     """(key, line) of the wanted keys. A filter of fixed size drops most other lines before the shuffle."""
     bits = wanted.select(F.shiftrightunsigned("key", 6).bitwiseAND(F.lit(FILTER_WORDS - 1)).alias("word"),
-                         F.expr("shiftleft(1L, cast(key & 63 as int))").alias("bit"))
-    held = bits.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()  # FILTER_WORDS rows at most
-    words = np.zeros(FILTER_WORDS, np.int64)
-    words[held["word"].to_numpy()] = held["bits"].to_numpy()
-    shared = docs.sparkSession.sparkContext.broadcast(words)
+                         F.expr("shiftleft(1L, cast(key & 63 as int))").alias("bits"))
+    shared = docs.sparkSession.sparkContext.broadcast(gathered_bits(bits, FILTER_WORDS))
 
     def run(batches):
         sent = set()
-        for batch in batches:
+        for batch in small(batches):
             lines = [line for text in text_of(batch) for line in map(normal, lines_of(text)) if line]
             keys = np.array([key_of(line) for line in lines], np.int64)
             bit = shared.value[(keys.view(np.uint64) >> np.uint64(6)).astype(np.int64) & (FILTER_WORDS - 1)] >> (keys & 63) & 1
@@ -256,7 +253,7 @@ def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     joined = docs.join(found, F.col(id_column).cast("long").eqNullSafe(F.col("__at")), "left").drop("__at")
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches, text_column):
             texts = []
             for text, decided in zip(batch.column(text_column).to_pylist(), batch.column("__found").to_pylist()):
                 if decided:

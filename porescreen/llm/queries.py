@@ -25,17 +25,17 @@ OP3_SQL = r"""
 WITH i AS (
     SELECT item_id, w, len(w) AS n FROM (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark)
     WHERE item_id IS NOT NULL AND len(w) >= 5),
-ig AS (SELECT item_id, n, x AS at, array_to_string(w[x + 1 : x + 5], ' ') AS g FROM (SELECT *, unnest(range(n - 4)) AS x FROM i)),
+ig AS (SELECT item_id, n, x AS q, array_to_string(w[x + 1 : x + 5], ' ') AS g FROM (SELECT *, unnest(range(n - 4)) AS x FROM i)),
 d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
 dg AS (SELECT doc_id, x AS pos, array_to_string(w[x + 1 : x + 5], ' ') AS g FROM (
     SELECT *, unnest(range(greatest(len(w) - 4, 0))) AS x FROM d)),
-c AS (SELECT DISTINCT doc_id, item_id, n, pos - at AS start FROM dg JOIN ig USING (g)),
+c AS (SELECT DISTINCT doc_id, item_id, n, pos - q AS start FROM dg JOIN ig USING (g)),
 a AS (SELECT c.doc_id, item_id, n, start, g, count(*) AS k FROM c JOIN dg
       ON dg.doc_id = c.doc_id AND pos >= greatest(start, 0) AND pos <= start + n - 5 GROUP BY ALL),
 b AS (SELECT item_id, g, count(*) AS k FROM ig GROUP BY ALL),
-s AS (SELECT a.doc_id, a.item_id, a.n, a.start, CAST(sum(least(a.k, coalesce(b.k, 0))) AS BIGINT) AS both, CAST(sum(a.k) AS BIGINT) AS size
+s AS (SELECT a.doc_id, a.item_id, a.n, a.start, CAST(sum(least(a.k, coalesce(b.k, 0))) AS BIGINT) AS shared, CAST(sum(a.k) AS BIGINT) AS size
       FROM a LEFT JOIN b ON a.item_id = b.item_id AND a.g = b.g GROUP BY ALL),
-j AS (SELECT *, both / CAST(size + n - 4 - both AS DOUBLE) AS similarity FROM s)
+j AS (SELECT *, shared / CAST(size + n - 4 - shared AS DOUBLE) AS similarity FROM s)
 SELECT doc_id, item_id, CAST(start AS BIGINT) AS start_word, CAST(n AS BIGINT) AS n_words, similarity FROM j WHERE similarity >= 0.8
 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) = 1"""
 

@@ -106,9 +106,9 @@ def telling_terms(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
 def _terms_in_tasks(batches):
     known = {}
     for batch in batches:
-        terms = [text_terms(t, known).astype(np.int32) for t in text_of(batch)]
+        terms = [text_terms(t, known).astype(np.int32).tobytes() for t in text_of(batch)]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("toxic"), pa.array(terms, pa.list_(pa.int32()))], ["doc_id", "toxic", "terms"])
+            [batch.column("doc_id"), batch.column("toxic"), pa.array(terms, pa.binary())], ["doc_id", "toxic", "terms"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> FactorizationMachine:
@@ -121,13 +121,14 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Factori
     chosen = usable.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = F.broadcast(chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id")
-    fitted = texts.mapInArrow(_terms_in_tasks, "doc_id long, toxic int, terms array<int>").dropDuplicates(["doc_id"])
-    found = fitted.toPandas().sort_values("doc_id")
-    y = found["toxic"].to_numpy(float)
+    fitted = texts.mapInArrow(_terms_in_tasks, "doc_id long, toxic int, terms binary").dropDuplicates(["doc_id"])
+    found = sorted(fitted.collect(), key=lambda r: r["doc_id"])
+    y = np.array([r["toxic"] for r in found], float)
     if not len(y) or y.min() == y.max():
         return FactorizationMachine(np.zeros(0, np.int64), _log_odds(y.sum() / (len(y) + 1.0)))
-    model = FactorizationMachine(telling_terms(found["terms"].to_list(), y), _log_odds(y.mean()))
-    model.fit([model.columns(t.astype(np.int64)) for t in found["terms"]], y)
+    terms = [np.frombuffer(r["terms"], np.int32) for r in found]
+    model = FactorizationMachine(telling_terms(terms, y), _log_odds(y.mean()))
+    model.fit([model.columns(t.astype(np.int64)) for t in terms], y)
     return model
 
 
