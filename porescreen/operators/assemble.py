@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from porescreen.functions.names import match_key
 
@@ -88,17 +88,16 @@ def ensure_columns(df: DataFrame, ids: list[str], columns: list[str]) -> DataFra
 def audit_missing(df: DataFrame, columns: list[str], name: str = "framework") -> DataFrame:
     """Per column: number of rows without a value, and the first distinct names among them.
 
-    Names come from a distributed top-k; no column gathers its names in one place."""
-    counts = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns])
-    counts = counts.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(c).alias("n_missing")) for c in columns])).alias("_r")).select("_r.*")
-    shown = None
-    for c in columns:
-        top = (df.filter(F.col(c).isNull()).select(F.lit(c).alias("column"), F.col(name).alias("_name"))
-               .distinct().orderBy("_name").limit(NAMES_SHOWN))
-        shown = top if shown is None else shown.unionByName(top)
-    names = shown.groupBy("column").agg(F.array_join(F.sort_array(F.collect_list("_name")), ",").alias("names"))
-    return counts.join(names, "column", "left")
+    The table is read once: its cells are counted by column and name, and both parts of the answer start from
+    these counts.  Names come from a distributed top-k; no column gathers its names in one place."""
+    cells = df.select(F.col(name).alias("_name"), F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(c).isNull().alias("missing")) for c in columns])).alias("_c"))
+    counts = cells.groupBy("_c.column", "_name").agg(F.count_if("_c.missing").alias("_n"))
+    totals = counts.groupBy("column").agg(F.sum("_n").alias("n_missing"))
+    place = F.row_number().over(W.partitionBy("column").orderBy("_name"))
+    first = counts.filter("_n > 0").withColumn("_place", place).filter(F.col("_place") <= NAMES_SHOWN)
+    names = first.groupBy("column").agg(F.array_join(F.sort_array(F.collect_list("_name")), ",").alias("names"))
+    return totals.join(names, "column", "left")
 
 
 def feature_table(directions: DataFrame, pores: DataFrame, external: DataFrame, columns: list[str]) -> DataFrame:

@@ -191,8 +191,8 @@ FROM looked ORDER BY framework, direction""")
 def descriptor_display(spark, sf_dir):
     rows = external_lookup(spark, sf_dir).select(
         "sample", "framework", "direction", "PLD", "FDSi", "Vacc", "ASA", F.col("barrier").alias("barrier_official"))
-    shown = names.symbol_columns(rows.select("sample", "framework", "direction", "barrier_official"), with_unit=True)
-    return shown.join(rows.drop("barrier_official", "framework", "direction"), "sample").orderBy("framework", "direction")
+    label = names.symbol_columns(rows.select("barrier_official"), with_unit=True).columns[0]
+    return rows.withColumnRenamed("barrier_official", label).orderBy("framework", "direction")
 
 
 @query("S2", """SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 100""")

@@ -220,18 +220,19 @@ blk AS (
   SELECT doc_id, block, st <> 'text' AS is_table, string_agg(line, E'\\n' ORDER BY n) FILTER (st = 'text') AS text,
          count(*) FILTER (st = 'row') AS n_rows,
          any_value(list_transform(string_split(regexp_replace(regexp_replace(trim(line), '^\\|', ''), '\\|$', ''), '|'), lambda c: trim(c))) FILTER (st = 'head') AS header,
-         sum(len(string_split(regexp_replace(regexp_replace(trim(line), '^\\|', ''), '\\|$', ''), '|'))) FILTER (st = 'row') AS n_cells
+         string_agg(array_to_string(list_transform(string_split(regexp_replace(regexp_replace(trim(line), '^\\|', ''), '\\|$', ''), '|'), lambda c: trim(c)), '~'),
+                    E'\\n' ORDER BY n) FILTER (st = 'row') AS cells
   FROM scan JOIN ctx USING (doc_id, n) GROUP BY ALL)"""
 
 
 @query("T3", f"""WITH RECURSIVE {SQL_BLOCKS}
 SELECT doc_id, block::INT AS block_no, CASE WHEN is_table THEN 'table' ELSE 'text' END AS kind, text, array_to_string(header, '~') AS header,
-       CASE WHEN is_table THEN n_rows::INT END AS n_rows, CASE WHEN is_table THEN coalesce(n_cells, 0)::BIGINT END AS n_cells FROM blk""")
+       CASE WHEN is_table THEN n_rows::INT END AS n_rows, CASE WHEN is_table THEN coalesce(cells, '') END AS cells FROM blk""")
 def message_tables(spark, sf_dir):
     out = report.table_blocks(messages(spark, sf_dir), ["doc_id"])
-    cells = F.aggregate("rows", F.lit(0).cast("long"), lambda n, r: n + F.size(r))
+    cells = F.array_join(F.transform("rows", lambda r: F.array_join(r, "~")), "\n")
     return out.select("doc_id", "block_no", "kind", "text", F.array_join("header", "~").alias("header"),
-                      F.when(F.col("rows").isNotNull(), F.size("rows")).alias("n_rows"), cells.alias("n_cells"))
+                      F.when(F.col("rows").isNotNull(), F.size("rows")).alias("n_rows"), cells.alias("cells"))
 
 
 @query("T4", f"""WITH {V_MSG}, cleaned AS (
@@ -268,15 +269,20 @@ def symbol_counts(spark, sf_dir):
 def _stream(spark, sf_dir):
     """Each turn as a stream: one fragment per word, broken and empty lines, an end mark, late lines."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.split("text", " ").alias("_w"))
-    words = turns.select("conv_id", "turn", F.size("_w").alias("_n"), F.posexplode("_w").alias("_p", "_t"))
-    piece = F.to_json(F.struct(F.array(F.struct(F.struct(F.concat("_t", F.lit(" ")).alias("content")).alias("delta"))).alias("choices")))
-    good = words.select("conv_id", "turn", (F.col("_p") * 3).alias("seq"), F.concat(F.lit("data: "), piece).alias("line"))
-    noise = words.select("conv_id", "turn", (F.col("_p") * 3 + 1).alias("seq"), F.element_at(F.array(
-        F.lit("data: {broken"), F.lit(": keep-alive"), F.lit('data: {"choices": []}'), F.lit("")), (F.col("_p") % 4 + 1)).alias("line"))
-    last = turns.select("conv_id", "turn", F.explode(F.array(
-        F.struct((F.size("_w") * 3).alias("seq"), F.lit("data: [DONE]").alias("line")),
-        F.struct((F.size("_w") * 3 + 1).alias("seq"), F.lit('data: {"choices":[{"delta":{"content":"late"}}]}').alias("line")))).alias("_r"))
-    return good.unionByName(noise).unionByName(last.select("conv_id", "turn", "_r.*"))
+    noise = F.array(F.lit("data: {broken"), F.lit(": keep-alive"), F.lit('data: {"choices": []}'), F.lit(""))
+
+    def row(seq, line):
+        return F.struct(seq.cast("int").alias("seq"), line.alias("line"))
+
+    def of_word(text, p):
+        delta = F.struct(F.struct(F.concat(text, F.lit(" ")).alias("content")).alias("delta"))
+        piece = F.to_json(F.struct(F.array(delta).alias("choices")))
+        return F.array(row(p * 3, F.concat(F.lit("data: "), piece)), row(p * 3 + 1, F.element_at(noise, p % 4 + 1)))
+
+    end = F.size("_w") * 3
+    late = F.lit('data: {"choices":[{"delta":{"content":"late"}}]}')
+    lines = F.concat(F.flatten(F.transform("_w", of_word)), F.array(row(end, F.lit("data: [DONE]")), row(end + 1, late)))
+    return turns.select("conv_id", "turn", F.explode(lines).alias("_r")).select("conv_id", "turn", "_r.*")
 
 
 @query("T6", """SELECT conv_id, turn, text || ' ' AS text FROM conversations""")

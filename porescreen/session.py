@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder of the session; a temporary one only where none is set (tests)."""
+    """The checkpoint folder of the session; a temporary one only where none is set and all runs in one process.
+
+    On a cluster every executor would write to its own disk, so there the folder must be set."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         active = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = active.get() if active.isDefined() else tempfile.mkdtemp(prefix="spark-")
+        if active.isDefined():
+            folder = active.get()
+        elif re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            folder = tempfile.mkdtemp(prefix="spark-")
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(folder)
     return folder
