@@ -11,12 +11,10 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 from porescreen.functions.names import match_key
 
 # Fixed values of the attribution rules.
-MAX_BACKGROUND = 50
 NAME_COLUMNS = ("zeolites", "zeolite", "name")
 BASE_COLUMNS = ("base_value", "base", "expected_value")
-BACKGROUND_LIMIT = 100_000
-EXACT_LIMIT = 15
-CHUNK_ROWS = 1 << 18
+# Rows that a task scores at once.
+CHUNK_ROWS = 1 << 17
 
 
 def _masks(d: int, permutations: int | None, seed: int) -> tuple[np.ndarray, list]:
@@ -51,33 +49,56 @@ def _masks(d: int, permutations: int | None, seed: int) -> tuple[np.ndarray, lis
     return masks, terms
 
 
+def background_summary(background: DataFrame, features: list[str], bits: int = 6) -> DataFrame:
+    """Every row of the background in at most ``2 ** bits`` weighted rows (stratum, weight, features).
+
+    Rows that lie on the same side of the mean in each of the first ``bits`` features form a stratum and are replaced
+    by their mean; the weight is their number.  Both steps are combinable aggregates, so the size of the background
+    does not matter, and the result has the same size and form whatever it is."""
+    split = features[:bits]
+    means = background.agg(*[F.avg(f).alias(f) for f in split]).first()
+    stratum: Column = F.lit(0)
+    for i, f in enumerate(split):
+        stratum = stratum + F.when(F.col(f) >= F.lit(means[f]), F.lit(1 << i)).otherwise(0)
+    return background.select(stratum.alias("stratum"), *features).groupBy("stratum").agg(
+        F.count(F.lit(1)).alias("weight"), *[F.avg(f).alias(f) for f in features])
+
+
 def shapley_values(samples: DataFrame, background: DataFrame, name: str, features: list[str], model,
-                   permutations: int | None = None, seed: int = 0) -> DataFrame:
+                   permutations: int | None = None, seed: int = 0, bits: int = 6, exact_features: int = 15) -> DataFrame:
     """Attribution matrix: one row per sample with ``base_value`` and one column per feature.
 
-    Up to 15 features every coalition is evaluated once, which gives the exact values that a
+    Up to ``exact_features`` features every coalition is evaluated once, which gives the exact values that a
     permutation estimate converges to; beyond that, or on request, ``permutations`` seeded
-    orders are walked forwards and backwards.  Samples stay partitioned; the background is
-    bounded and travels with the task.  ``model`` maps a (rows, features) matrix to scores.
+    orders are walked forwards and backwards.  Samples stay partitioned; the background enters by its
+    ``background_summary``, so the cost is linear in the samples.  ``model`` maps a (rows, features) matrix to scores.
     """
     d = len(features)
-    if permutations is None and d > EXACT_LIMIT:
+    if permutations is None and d > exact_features:
         raise ValueError(f"{d} features: give a number of permutations")
     masks, terms = _masks(d, permutations, seed)
-    reference = _bounded(background.select(*features))
-    step = max(1, CHUNK_ROWS // len(reference))
-    base = float(np.mean(model(reference)))
+    strata = np.array([tuple(r) for r in background_summary(background, features, bits).orderBy("stratum")
+                       .select("weight", *features).collect()], dtype=float)
+    if not len(strata):
+        raise ValueError("background holds no complete rows")
+    weights, reference = strata[:, 0] / strata[:, 0].sum(), strata[:, 1:]
+    base = float(model(reference) @ weights)
+    together = max(1, CHUNK_ROWS // (len(masks) * len(reference)))
+    step = max(1, CHUNK_ROWS // (together * len(reference)))
 
     def explain(batches):
         for batch in batches:
-            out = np.empty((len(batch), d))
-            for r, x in enumerate(batch[features].to_numpy(dtype=float)):
-                value = np.empty(len(masks))
+            rows, out = batch[features].to_numpy(dtype=float), np.empty((len(batch), d))
+            for first in range(0, len(rows), together):
+                x = rows[first:first + together, None, None, :]
+                value = np.empty((len(x), len(masks)))
                 for at in range(0, len(masks), step):
                     part = masks[at:at + step]
-                    mixed = np.where(part[:, None, :], x, reference[None, :, :])
-                    value[at:at + len(part)] = model(mixed.reshape(-1, d)).reshape(len(part), -1).mean(axis=1)
-                out[r] = [np.dot(w, value[a] - value[b]) for a, b, w in terms]
+                    mixed = np.where(part[None, :, None, :], x, reference[None, None, :, :])
+                    scores = model(mixed.reshape(-1, d)).reshape(len(x), len(part), -1)
+                    value[:, at:at + len(part)] = scores @ weights
+                for i, (a, b, w) in enumerate(terms):
+                    out[first:first + len(x), i] = (value[:, a] - value[:, b]) @ w
             yield pd.DataFrame({name: batch[name], "base_value": base} | {
                 f: out[:, i] for i, f in enumerate(features)})
 
@@ -87,31 +108,9 @@ def shapley_values(samples: DataFrame, background: DataFrame, name: str, feature
     return samples.select(name, *features).mapInPandas(explain, schema)
 
 
-def _bounded(background: DataFrame) -> np.ndarray:
-    """The background as a matrix, after a check of its size."""
-    rows = background.limit(BACKGROUND_LIMIT + 1).toPandas()
-    if len(rows) > BACKGROUND_LIMIT:
-        raise ValueError("background too large; summarise it first with background_centroids")
-    if rows.empty:
-        raise ValueError("background holds no complete rows")
-    return rows.to_numpy(dtype=float)
-
-
-def background_centroids(samples: DataFrame, features: list[str], k: int = MAX_BACKGROUND, seed: int = 0) -> DataFrame:
-    """The samples themselves when at most ``k``, else the centres of ``k`` clusters."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import VectorAssembler
-
-    if samples.limit(k + 1).count() <= k:
-        return samples.select(*features)
-    vectors = VectorAssembler(inputCols=features, outputCol="_v").transform(samples.select(*features))
-    centers = KMeans(k=k, seed=seed, featuresCol="_v").fit(vectors).clusterCenters()
-    return samples.sparkSession.createDataFrame([[float(v) for v in c] for c in centers], features)
-
-
 def choose_background(batch: DataFrame, supplied: DataFrame | None, features: list[str]) -> DataFrame:
-    """The supplied training sample, else a summary of the current batch."""
-    return supplied.select(*features) if supplied is not None else background_centroids(batch, features)
+    """The supplied training sample, else the current batch; either is summarised where it is used."""
+    return (supplied if supplied is not None else batch).select(*features)
 
 
 def attribution_rows(matrix: DataFrame, name: str, features: list[str]) -> DataFrame:

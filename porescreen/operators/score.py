@@ -13,15 +13,40 @@ from porescreen.operators.assemble import complete_cases
 
 LEAK = 0.01
 BATCH_NORM_EPS = 1e-5
-MAX_PARAMETERS = 10_000_000
+ERF_TERMS, ERF_REACH = 160, 6.0
+
+
+def _erf(x: Column) -> Column:
+    """Error function by the series of positive terms x (2 x^2)^n / (1 3 ... (2n+1)), exact to about 1e-15.
+
+    Beyond ``ERF_REACH`` it is one but for the last bit."""
+    near = F.greatest(F.least(x, F.lit(ERF_REACH)), F.lit(-ERF_REACH))
+    start = F.struct(near.alias("term"), near.alias("total"))
+
+    def add(acc, n):
+        term = acc["term"] * 2.0 * near * near / (2 * n + 1)
+        return F.struct(term.alias("term"), (acc["total"] + term).alias("total"))
+
+    total = F.aggregate(F.sequence(F.lit(1), F.lit(ERF_TERMS)), start, add)["total"]
+    return total * F.exp(-near * near) * (2.0 / math.sqrt(math.pi))
+
+
+def _erf_array(x: np.ndarray) -> np.ndarray:
+    near = np.clip(x, -ERF_REACH, ERF_REACH)
+    term, total = near.copy(), near.copy()
+    for n in range(1, ERF_TERMS + 1):
+        term *= 2.0 * near * near / (2 * n + 1)
+        total += term
+    return total * np.exp(-near * near) * (2.0 / math.sqrt(math.pi))
 
 
 def activation(value: Column, name: str) -> Column:
-    """Activation as a column expression; unknown names act as relu.  gelu needs ``Network``."""
+    """Activation as a column expression; unknown names act as relu."""
     kinds = {
         "leaky_relu": F.when(value >= 0, value).otherwise(LEAK * value),
         "tanh": F.tanh(value),
         "elu": F.when(value > 0, value).otherwise(F.exp(value) - 1.0),
+        "gelu": 0.5 * value * (1.0 + _erf(value / math.sqrt(2.0))),
     }
     return kinds.get((name or "relu").lower(), F.greatest(value, F.lit(0.0)))
 
@@ -29,8 +54,7 @@ def activation(value: Column, name: str) -> Column:
 def _activate(values: np.ndarray, name: str) -> np.ndarray:
     name = (name or "relu").lower()
     if name == "gelu":
-        erf = np.frompyfunc(math.erf, 1, 1)(values / math.sqrt(2.0)).astype(float)
-        return 0.5 * values * (1.0 + erf)
+        return 0.5 * values * (1.0 + _erf_array(values / math.sqrt(2.0)))
     if name == "leaky_relu":
         return np.where(values >= 0, values, LEAK * values)
     if name == "tanh":
@@ -77,11 +101,17 @@ def fold_batch_norm(weights: DataFrame, bias: DataFrame) -> tuple[DataFrame, Dat
     return folded, shifted
 
 
-def load_network(weights: DataFrame, bias: DataFrame, activation_name: str = "relu") -> Network:
-    """Read the weight tables of one model (size checked) into a form tasks can apply."""
+def load_network(weights: DataFrame, bias: DataFrame, activation_name: str = "relu",
+                 widths: DataFrame | None = None, max_parameters: int = 10_000_000) -> Network:
+    """Read the weight tables of one model into a form tasks can apply.
+
+    ``widths`` (see ``parameter_gaps``) makes the match strict: entries that are absent or not expected are an error,
+    and so are more weights than ``max_parameters``, which every task would hold."""
     n = weights.count()
-    if n > MAX_PARAMETERS:
-        raise ValueError(f"{n} weights exceed the bound of {MAX_PARAMETERS}")
+    if n > max_parameters:
+        raise ValueError(f"{n} weights exceed the bound of {max_parameters}")
+    if widths is not None and (gaps := parameter_gaps(weights, widths).limit(5).collect()):
+        raise ValueError(f"weight table does not fit the model, for example {[tuple(g) for g in gaps]}")
     folded, shifted = (t.toPandas() for t in fold_batch_norm(weights, bias))
     ws, bs = [], []
     for layer, rows in folded.groupby("layer", sort=True):

@@ -76,22 +76,27 @@ def scaled_background(spark, sf_dir):
 @query("A9", """WITH w AS (
   SELECT label AS layer, vec_id AS out, unnest(range(0, len(embedding)))::INT AS "in" FROM embeddings),
 kept AS (SELECT * FROM w WHERE (out * 64 + "in") % 997 <> 0)
-SELECT layer, out, "in", 'missing' AS problem FROM (SELECT * FROM w EXCEPT SELECT * FROM kept)""")
+SELECT layer, out, "in", 'missing' AS problem FROM (SELECT * FROM w EXCEPT SELECT * FROM kept)
+UNION ALL SELECT label, vec_id, len(embedding)::INT, 'unexpected' FROM embeddings WHERE vec_id % 97 = 5""")
 def weight_table_gaps(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings")
     weights = v.select(F.col("label").alias("layer"), F.col("vec_id").alias("out"), F.posexplode("embedding").alias("in", "w"))
     widths = v.select(F.col("label").alias("layer"), F.col("vec_id").alias("out"), F.size("embedding").alias("n_in"))
-    return score.parameter_gaps(weights.filter((F.col("out") * 64 + F.col("in")) % 997 != 0), widths)
+    extra = v.filter("vec_id % 97 = 5").select(
+        F.col("label").alias("layer"), F.col("vec_id").alias("out"), F.size("embedding").alias("in"), F.lit(0.0).cast("float").alias("w"))
+    return score.parameter_gaps(weights.filter((F.col("out") * 64 + F.col("in")) % 997 != 0).unionByName(extra), widths)
 
 
 @query("M3", f"""WITH {V_FEAT}
 SELECT sample, round(greatest(f1, 0), 6) + 0.0 AS relu, round(CASE WHEN f1 >= 0 THEN f1 ELSE 0.01 * f1 END, 6) + 0.0 AS leaky_relu,
        round((exp(2 * f1) - 1) / (exp(2 * f1) + 1), 6) + 0.0 AS tanh,
-       round(CASE WHEN f1 > 0 THEN f1 ELSE exp(f1) - 1 END, 6) + 0.0 AS elu, round(greatest(f1, 0), 6) + 0.0 AS unknown FROM v_feat""")
+       round(CASE WHEN f1 > 0 THEN f1 ELSE exp(f1) - 1 END, 6) + 0.0 AS elu, round(greatest(f1, 0), 6) + 0.0 AS unknown,
+       round(0.5::DOUBLE * f1 * (1 + 2 / sqrt(pi()) * list_sum(list_transform(range(0, 60), lambda n:
+         pow(-1::DOUBLE, n) * pow(f1 / sqrt(2::DOUBLE), 2 * n + 1) / (gamma(n + 1) * (2 * n + 1))))), 6) + 0.0 AS gelu FROM v_feat""")
 def activations(spark, sf_dir):
     rows = features(spark, sf_dir)
     return rows.select("sample", *[rounded(score.activation(F.col("f1"), a)).alias(a)
-                                   for a in ("relu", "leaky_relu", "tanh", "elu", "unknown")])
+                                   for a in ("relu", "leaky_relu", "tanh", "elu", "unknown", "gelu")])
 
 
 @query("M1", f"""WITH {V_FEAT}
@@ -145,20 +150,26 @@ def background_base(spark, sf_dir):
 
 
 _DF = math.factorial(N_DIMS)
-SQL_SHAP = SQL_SCALED + f""",
-{forward_sql('bg', 'sample', 'bgf')},
+_MEANS = ", ".join(f"avg(x[{i}]) AS m{i}" for i in range(1, N_DIMS + 1))
+_STRATUM = " + ".join(f"(CASE WHEN x[{i}] >= m{i} THEN {1 << (i - 1)} ELSE 0 END)" for i in range(1, N_DIMS + 1))
+SQL_STRATA = f"""
+means AS (SELECT {_MEANS} FROM {{rows}}),
+strata AS (SELECT stratum, count(*) AS w, [{", ".join(f"avg(x[{i}])" for i in range(1, N_DIMS + 1))}] AS x
+           FROM (SELECT x, {_STRATUM} AS stratum FROM {{rows}}, means) GROUP BY stratum)"""
+SQL_SHAP = SQL_SCALED + "," + SQL_STRATA.format(rows="bg") + f""",
+{forward_sql('strata', 'w', 'bgf')},
 mixed AS (
-  SELECT r.sample AS sample, m.mask AS mask,
+  SELECT r.sample AS sample, m.mask AS mask, b.w AS w,
          [CASE WHEN (m.mask >> (p - 1)) & 1 = 1 THEN r.x[p] ELSE b.x[p] END for p in range(1, {N_DIMS + 1})] AS x
-  FROM ready r, range(0, {1 << N_DIMS}) m(mask), bg b),
-{forward_sql('mixed', 'sample, mask', 'mx')},
-v AS (SELECT sample, mask, avg(y) AS v, bit_count(mask::INT) AS s FROM mx GROUP BY ALL),
+  FROM ready r, range(0, {1 << N_DIMS}) m(mask), strata b),
+{forward_sql('mixed', 'sample, mask, w', 'mx')},
+v AS (SELECT sample, mask, sum(w * y) / sum(w) AS v, bit_count(mask::INT) AS s FROM mx GROUP BY ALL),
 phi AS (
   SELECT a.sample AS sample, f.p AS p,
          sum((b.v - a.v) * factorial(a.s::INT)::DOUBLE * factorial(({N_DIMS - 1} - a.s)::INT)::DOUBLE / {_DF}) AS phi
   FROM range(0, {N_DIMS}) f(p) JOIN v a ON (a.mask >> f.p) & 1 = 0
   JOIN v b ON b.sample = a.sample AND b.mask = a.mask + (1 << f.p) GROUP BY ALL),
-base AS (SELECT avg(y) AS base_value FROM bgf)"""
+base AS (SELECT sum(w * y) / sum(w) AS base_value FROM bgf)"""
 
 
 @query("M5 J13 U4", f"""WITH {SQL_SHAP}
@@ -259,7 +270,26 @@ def contributions_by_magnitude(spark, sf_dir):
         "sample", "feature", rounded("contribution").alias("contribution"), "rank")
 
 
-@query("M9 G16")
+@query("M9 G16", f"""WITH {SQL_SCALED}, {SQL_STRATA.format(rows="ready")}
+SELECT stratum::INT AS stratum, w AS weight, """ + ", ".join(f"round(x[{i}], 6) + 0.0 AS f{i}" for i in range(1, N_DIMS + 1)) + " FROM strata")
 def batch_background(spark, sf_dir):
-    """Cluster centres of the batch as background; not comparable with SQL."""
-    return att.choose_background(_ready(spark, sf_dir), None, FEATURES)
+    rows = att.background_summary(att.choose_background(_ready(spark, sf_dir), None, FEATURES), FEATURES)
+    return rows.select("stratum", "weight", *[rounded(f).alias(f) for f in FEATURES])
+
+
+@query("M8", f"""WITH {V_FEAT}, named AS (
+  SELECT CASE WHEN num % 5 = 0 THEN 'sample_' || num ELSE sample END AS sample, f1 / 4 AS base, f1, f3, f4,
+         CASE WHEN num % 7 = 0 THEN 0 ELSE f1 + f3 + f4 END AS total, CASE WHEN num % 7 = 0 THEN 0 ELSE 1 END AS k
+  FROM (SELECT *, replace(sample, 'vec_', '')::BIGINT AS num FROM v_feat))
+SELECT sample, round(exp(base + total), 6) AS orig_pred, round(exp(base), 6) AS orig_base, """ + ", ".join(
+    f"round(CASE WHEN total = 0 THEN 0 ELSE {f} / total * (exp(base + total) - exp(base)) END, 6) + 0.0 AS {f}" for f in ("f1", "f3", "f4"))
+    + " FROM named")
+def unnamed_attributions(spark, sf_dir):
+    """Rows without a name are called by their place; rows whose contributions cancel stay zero."""
+    number = F.regexp_extract("sample", r"(\d+)", 1).cast("long")
+    used = ["f1", "f3", "f4"]
+    matrix = features(spark, sf_dir).select(
+        F.when(number % 5 != 0, F.col("sample")).alias("sample"), number.alias("pos"), (F.col("f1") / 4).alias("base_value"),
+        *[F.when(number % 7 != 0, F.col(f)).otherwise(0.0).alias(f) for f in used])
+    out = att.original_scale(matrix, "sample", used)
+    return out.select("sample", *[rounded(c).alias(c) for c in ("orig_pred", "orig_base", *used)])
