@@ -56,6 +56,14 @@ def gathered_bits(words: DataFrame, size: int) -> np.ndarray:
     return out
 
 
+def cut_round(df: DataFrame) -> DataFrame:
+    """``cut_lineage`` for loops over tables of longs.
+
+    Spark keeps what it has inferred of the columns beyond a checkpoint, and this knowledge multiplies in every round;
+    it forgets columns that are computed."""
+    return cut_lineage(df.select(*[F.col(c).bitwiseXOR(F.lit(0).cast("long")).alias(c) for c in df.columns]))
+
+
 def components(links: DataFrame) -> DataFrame:
     """Connected components of the links (a, b): one row (node, root) per linked node, root its least member.
 
@@ -64,19 +72,19 @@ def components(links: DataFrame) -> DataFrame:
     minima are written too, so that the join that spreads them has two plain sides and Spark can split a node
     that has very many links. Null ends and loops are dropped; no links give no rows.
     """
-    edges = cut_lineage(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    edges = cut_round(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
                         .distinct())
     state = _state(edges)
     while state[0]:
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = cut_lineage(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
-        large = cut_lineage(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = cut_round(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
+        large = cut_round(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
                             .where("a <> b").distinct())
-        least = cut_lineage(large.groupBy("a").agg(F.min("b").alias("m")))
+        least = cut_round(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(least, "a").select(F.explode(F.array(
             F.struct(F.col("a").alias("a"), F.col("m").alias("b")),
             F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
-        edges = cut_lineage(small.where("a <> b").distinct())
+        edges = cut_round(small.where("a <> b").distinct())
         now = _state(edges)
         if now == state:
             break

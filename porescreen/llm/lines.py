@@ -5,16 +5,18 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from porescreen.llm.common import components, gathered_bits, small, text_of
+from porescreen.llm.common import components, cut_round, gathered_bits, small, text_of
 from porescreen.session import cut_lineage
 
 #: Characters of a shingle and similarity of near-duplicate lines.
 SHINGLE, SIMILARITY = 8, 0.8
 #: A pair of similarity s meets in a band with probability 1 - (1 - s^ROWS)^BANDS: 99.1 % at 0.8, 99.99 % at 0.9.
 BANDS, ROWS, SEED = 9, 4, 20
+#: Growth of the number of lines of a band that the others are compared with.
+HEADS = 8
 #: Words of 64 bits of the filter that picks the lines to verify; what passes it wrongly is dropped by the join after it.
 FILTER_WORDS = 1 << 20
 #: Lines that a task remembers as signed already, before it forgets them all.
@@ -154,41 +156,45 @@ def jaccard(a: str, b: str) -> float:
     return len(x & y) / len(x | y)
 
 
-def _verify(batches):
+def _similar(batches):
     for batch in batches:
-        a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-        similar = [jaccard(x, y) >= SIMILARITY for x, y in zip(batch.column("line_a").to_pylist(), batch.column("line_b").to_pylist())]
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(similar, pa.bool_())],
-                                         ["a", "b", "similar"])
+        a, b, x, y = (batch.column(c).to_pylist() for c in ("a", "b", "line_a", "line_b"))
+        hit = [i for i in range(len(a)) if jaccard(x[i], y[i]) >= SIMILARITY]
+        yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in hit], pa.int64()), pa.array([b[i] for i in hit], pa.int64())],
+                                         ["a", "b"])
 
 
 def similar_lines(docs: DataFrame, keyed: DataFrame, text_column: str = "text") -> DataFrame:
     """Verified links (a, b) between keys of different lines that share a band.
 
-    The members of a band are compared with its least key, never with one another. Those that are not similar to it
-    form a smaller group, which is treated in the same way, until no group has two members.
+    The members of a band are compared with its least key, and leave if they are similar to it. Those that stay are
+    compared with the least HEADS of them, then with HEADS times as many and so on, until none are left: a group of
+    copies takes one comparison each, and lines that only look alike are all compared in a few rounds.
     """
     spots = keyed.select("fresh", F.posexplode("hashes").alias("pos", "band")).select(
         "band", F.get("fresh", (F.col("pos") / BANDS).cast("int")).alias("key"))
-    shared = cut_lineage(spots.groupBy("band").agg(F.min("key").alias("a"), F.max("key").alias("other"))
-                         .where("a <> other").select("band", "a"))
-    members = cut_lineage(spots.join(shared, "band").where("key <> a").select("band", "a", F.col("key").alias("b")).distinct())
+    heads = cut_round(spots.groupBy("band").agg(F.min("key").alias("a"), F.max("key").alias("other"))
+                      .where("a <> other").select("band", "a"))
+    members = cut_round(spots.join(heads, "band").where("key <> a").select("band", "a", F.col("key").alias("b")).distinct())
     wanted = members.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    texts = cut_lineage(_texts(docs, text_column, cut_lineage(wanted)))
-    links = None
+    texts = cut_lineage(_texts(docs, text_column, cut_round(wanted)))
+    links, width = None, 1
     while True:
-        pairs = cut_lineage(members.select("a", "b").distinct())
+        pairs = cut_round(members.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         sides = pairs.join(texts.select(F.col("key").alias("a"), F.col("line").alias("line_a")), "a")
         sides = sides.join(texts.select(F.col("key").alias("b"), F.col("line").alias("line_b")), "b")
-        judged = cut_lineage(sides.mapInArrow(_verify, "a long, b long, similar boolean"))
-        found = judged.where("similar").select("a", "b")
+        found = cut_round(sides.mapInArrow(_similar, "a long, b long"))
         links = found if links is None else links.unionAll(found)
-        rest = cut_lineage(members.join(judged.where("not similar"), ["a", "b"]).select("band", "b"))
-        heads = cut_lineage(rest.groupBy("band").agg(F.min("b").alias("a"), F.max("b").alias("other"))
-                            .where("a <> other").select("band", "a"))
-        if heads.isEmpty():
+        both = found.unionAll(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        done = members.join(both, ["a", "b"], "left_semi").select("band", "b").unionAll(members.select("band", F.col("a").alias("b")))
+        rest = cut_round(members.select("band", "b").distinct().join(done.distinct(), ["band", "b"], "left_anti"))
+        width *= HEADS
+        order = Window.partitionBy("band").orderBy("b")
+        heads = rest.withColumn("place", F.row_number().over(order)).where(F.col("place") <= width)
+        heads = cut_round(heads.select("band", F.col("b").alias("a")))
+        members = cut_round(rest.join(heads, "band").where("a <> b").select("band", "a", "b"))
+        if members.isEmpty():
             return links
-        members = cut_lineage(rest.join(heads, "band").where("a <> b"))
 
 
 def decisions(docs: DataFrame, keyed: DataFrame, text_column: str = "text") -> DataFrame:
