@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from porescreen.functions.names import PLAIN_SYMBOLS, SYMBOLS
 
+# What counts as a list marker, a heading mark and a code span of a message, and as the edge of a symbol.
+LIST_MARKER, HEADING_MARK, CODE_SPAN = r"^[-*•]\s+", r"^#{1,6}\s*", r"`([^`]+)`"
+NO_WORD_BEFORE, NO_WORD_AFTER = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9])"
+
 
 def sample_reports(original: DataFrame, features: DataFrame, name: str, columns: list[str], limit: int | None = None) -> DataFrame:
     """One report text per sample: prediction, contributions by falling magnitude, raw features.
@@ -74,15 +78,15 @@ def table_blocks(messages: DataFrame, keys: list[str], text: str = "text") -> Da
 def plain_prose(text: Column) -> Column:
     """Message text without list markers, heading marks, emphasis stars and code ticks."""
     stripped = F.transform(F.split(text, "\n"), lambda line: F.regexp_replace(
-        F.regexp_replace(_strip(line), r"^[-*•]\s+", ""), r"^#{1,6}\s*", ""))
+        F.regexp_replace(_strip(line), LIST_MARKER, ""), HEADING_MARK, ""))
     joined = F.replace(F.array_join(stripped, "\n"), F.lit("*"), F.lit(""))
-    return F.regexp_replace(joined, r"`([^`]+)`", "$1")
+    return F.regexp_replace(joined, CODE_SPAN, "$1")
 
 
 def symbol_mentions(messages: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """Counts of descriptor symbols in text; longer symbols win, and neither edge may touch a word."""
     forms = sorted({*SYMBOLS.values(), *PLAIN_SYMBOLS.values()}, key=lambda s: (-len(s), s))
-    pattern = r"(?<![A-Za-z0-9_])(" + "|".join(re.escape(f) for f in forms) + r")(?![A-Za-z0-9])"
+    pattern = NO_WORD_BEFORE + "(" + "|".join(re.escape(f) for f in forms) + ")" + NO_WORD_AFTER
     found = messages.select(*keys, F.explode(F.regexp_extract_all(text, F.lit(pattern), F.lit(1))).alias("symbol"))
     return found.groupBy(*keys, "symbol").agg(F.count(F.lit(1)).alias("n"))
 

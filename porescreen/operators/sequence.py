@@ -6,6 +6,8 @@ All functions take the ``Sequence`` of the table, see ``ordered``.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from porescreen.functions.numbers import norm3
@@ -25,7 +27,8 @@ ENTROPY_MIN_RANGE = 0.1
 FLOOR = 1e-6
 REPEAT_TOLERANCE = 1e-8
 MAD_FLOOR = 1e-10
-LINKS_READ = 24
+# Bits below which an earlier link of a chain of jump groups can't change a double.
+NEGLIGIBLE_BITS = 62
 
 
 def drop_repeated_points(path: DataFrame, seq: Sequence, tolerance: float = REPEAT_TOLERANCE) -> DataFrame:
@@ -72,21 +75,28 @@ def jump_groups(outliers: DataFrame, seq: Sequence, merge_gap: int = JUMP_MERGE_
         F.min("at").alias("left"), (F.max("at") + 1).alias("right"))
 
 
-def _fold_links(links: Column) -> Column:
-    """Left mean of the last link, where each link reads ``share`` of its predecessor's last repair."""
-    return F.aggregate(links, F.lit(0.0), lambda value, link: link["own"] + link["share"] * (
-        value * (1.0 - link["alpha"]) + link["e_right"] * link["alpha"]))
+def _fold_links(links: Column, reach: int) -> Column:
+    """Left mean of the last link, where each link reads shares of the left means of up to ``reach`` links before it."""
+    start = F.array(*[F.lit(0.0)] * reach)
+    last = F.aggregate(links, start, lambda values, link: F.slice(F.concat(F.array(
+        link["own"] + sum((F.get(values, F.lit(k)) * F.get(link["shares"], F.lit(k)) for k in range(reach)), F.lit(0.0))),
+        values), 1, reach))
+    return F.get(last, F.lit(0))
 
 
 def repair_jumps(path: DataFrame, seq: Sequence, mad_factor: float = JUMP_MAD_FACTOR,
                  width: int = JUMP_WIDTH) -> DataFrame:
     """Add ``e_smooth``: jump groups replaced by a linear blend of the means beside them.
 
-    The groups of a path count from left to right and a group may read the last repaired point
-    of the one before it, when both are ``width`` apart.  That point enters the left mean with
-    weight 1/width and carries at most half of the earlier left mean, so the chain is a linear
-    recurrence that loses a factor of at least 6 per link; 24 links reach below the last bit.
+    The groups of a path count from left to right, and the ``width`` points left of a group may hold repaired points
+    of the groups before it.  A repaired point is a blend of its own group's left and right mean, so the left means
+    are a linear recurrence over as many groups as fit into the width.  The shares of one step sum to less than
+    (width - 2) / (2 width), at most a half, so that an earlier link fades below the last bit after a number of links
+    that follows from the width; so many are read.
     """
+    reach = max(1, -(-(width - 2) // 3))
+    fading = math.log2(2 * width / (width - 2)) if width > 2 else 1.0
+    links_read = math.ceil(NEGLIGIBLE_BITS / fading) * reach
     # Written out: the groups, their surroundings and the result all read these rows.
     rows = cut_lineage(step_outliers(path, seq, mad_factor))
     groups = jump_groups(rows, seq)
@@ -100,28 +110,33 @@ def repair_jumps(path: DataFrame, seq: Sequence, mad_factor: float = JUMP_MAD_FA
         count = sum((t.isNotNull().cast("int") for t in terms), F.lit(0))
         return F.when(count > 0, total / count).otherwise(F.col("e"))
 
-    sides = beside.select(
-        *seq.keys, F.col(seq.pos).alias("_at"), mean_of("_b").alias("_left_mean"),
-        mean_of("_a").alias("_right_mean"), F.col(f"_b{width}").alias("_far_left"))
-    g = (groups.join(sides.select(*seq.keys, F.col("_at").alias("left"), "_left_mean", "_far_left"),
-                     [*seq.keys, "left"])
+    sides = beside.select(*seq.keys, F.col(seq.pos).alias("_at"), *[F.col(f"_b{k}") for k in range(1, width + 1)],
+                          F.col("e").alias("_here"), mean_of("_a").alias("_right_mean"))
+    g = (groups.join(sides.drop("_right_mean").withColumnRenamed("_at", "left"), [*seq.keys, "left"])
          .join(sides.select(*seq.keys, F.col("_at").alias("right"), F.col("_right_mean").alias("e_right")),
                [*seq.keys, "right"]))
     g = g.withColumn("_n", F.col("right") - F.col("left"))
     # Groups have a dense number from 1.
     order = seq.over(*seq.keys)
     ranked = g.withColumn(seq.pos, F.col("group_no") - 1)
-    last = neighbours(ranked, order, {"_pr": ("right", 1), "_pe": ("e_right", 1), "_pn": ("_n", 1)})
-    touches = F.col("_pr") - 1 == F.col("left") - width
-    link = F.struct(
-        F.when(touches, F.col("_left_mean") - F.col("_far_left") / width)
-        .otherwise(F.col("_left_mean")).alias("own"),
-        F.when(touches, F.lit(1.0 / width)).otherwise(F.lit(0.0)).alias("share"),
-        F.coalesce(F.col("_pn") / (F.col("_pn") + 1), F.lit(0.0)).alias("alpha"),
-        F.coalesce("_pe", F.lit(0.0)).alias("e_right"))
-    linked = recent(last.withColumn("_link", link), order, "_link", "_links", LINKS_READ)
+    look = {f"{new}{k}": (old, k) for k in range(1, reach + 1)
+            for new, old in (("_pl", "left"), ("_pr", "right"), ("_pe", "e_right"), ("_pn", "_n"))}
+    last = neighbours(ranked, order, look)
+    count = sum((F.col(f"_b{j}").isNotNull().cast("int") for j in range(1, width + 1)), F.lit(0))
+    own, shares = F.lit(0.0), [F.lit(0.0)] * reach
+    for j in range(1, width + 1):
+        at, value = F.col("left") - j, F.coalesce(F.col(f"_b{j}"), F.lit(0.0))
+        for k in range(1, reach + 1):
+            inside = F.coalesce((at >= F.col(f"_pl{k}")) & (at < F.col(f"_pr{k}")), F.lit(False))
+            alpha = (at - F.col(f"_pl{k}") + 1) / (F.col(f"_pn{k}") + 1)
+            value = F.when(inside, F.col(f"_pe{k}") * alpha).otherwise(value)
+            shares[k - 1] = shares[k - 1] + F.when(inside, 1.0 - alpha).otherwise(0.0)
+        own = own + value
+    link = F.struct(F.when(count > 0, own / count).otherwise(F.col("_here")).alias("own"),
+                    F.array(*[F.when(count > 0, s / count).otherwise(0.0) for s in shares]).alias("shares"))
+    linked = recent(last.withColumn("_link", link), order, "_link", "_links", links_read)
     blends = linked.select(
-        *seq.keys, F.col("left").alias("_left"), "_n", "e_right", _fold_links(F.col("_links")).alias("_e_left"),
+        *seq.keys, F.col("left").alias("_left"), "_n", "e_right", _fold_links(F.col("_links"), reach).alias("_e_left"),
         F.explode(F.expr("sequence(left, right - 1)")).alias(seq.pos))
     alpha = (F.col(seq.pos) - F.col("_left") + 1) / (F.col("_n") + 1)
     blends = blends.select(

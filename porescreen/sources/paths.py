@@ -5,7 +5,7 @@ The numbers pass through text with 6, 4 and 2 decimals; the rounding is part of
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from porescreen.operators.ordered import Sequence, compact, group_values
 from porescreen.operators.sequence import MIN_ROWS_READ
@@ -13,15 +13,37 @@ from porescreen.sources.text import number
 
 AXES = ("X", "Y", "Z")
 
+# The labels, titles and number formats of the three text files.
+PATH_TITLE, PATH_COLUMNS = "# Minimum Energy Path", "# X(A)  Y(A)  Z(A)  Energy(kJ/mol)"
+PATH_NODES, PATH_BARRIER = "# n_nodes = %d", "# barrier = %.4f kJ/mol"
+PATH_NOTES = ("n_nodes", "barrier", "n_supercell")
+BARRIER_TITLE, BARRIER_NONE = "Diffusion barriers", " direction: no traversing path found"
+BARRIER_LINE = "%s direction: barrier = %.4f kJ/mol  transition energy = %.4f kJ/mol  path nodes = %d"
+BARRIER_LABELS = ("barrier", "transition energy", "path nodes")
+SUMMARY_CELL, SUMMARY_AXES = "   Original unit cell: a=%.2f  b=%.2f  c=%.2f A", "   X=%s  Y=%s  Z=%s"
+SUMMARY_DIMENSION = "Dimensionality:"
+
+
+def _fields(text: Column, apart: str) -> Column:
+    """``label = value unit`` fields of a line as (label, value): what stands before the sign, and the word after it."""
+    pieces = F.filter(F.split(text, apart), lambda f: f.contains("="))
+    return F.transform(pieces, lambda f: F.struct(
+        F.trim(F.substring_index(f, "=", 1)).alias("label"),
+        F.get(F.split(F.trim(F.substring_index(f, "=", -1)), " "), F.lit(0)).alias("value")))
+
+
+def _value(fields: Column, label: str | Column) -> Column:
+    """Value of the first field with the label, NULL without one."""
+    return F.get(F.filter(fields, lambda f: f["label"] == label), F.lit(0))["value"]
+
 
 def path_lines(path: DataFrame, records: DataFrame, key: str, pos: str = "seq") -> DataFrame:
     """Lines of the path files: comment lines with node count and barrier, then x y z e."""
     body = path.select(key, (F.col(pos) + 4).alias("line_no"),
                        F.format_string("%12.6f  %12.6f  %12.6f  %12.6f", "x", "y", "z", "e").alias("line"))
     head = records.select(key, F.posexplode(F.array(
-        F.lit("# Minimum Energy Path"), F.format_string("# n_nodes = %d", F.col("n_nodes").cast("long")),
-        F.format_string("# barrier = %.4f kJ/mol", "barrier"),
-        F.lit("# X(A)  Y(A)  Z(A)  Energy(kJ/mol)"))).alias("line_no", "line"))
+        F.lit(PATH_TITLE), F.format_string(PATH_NODES, F.col("n_nodes").cast("long")),
+        F.format_string(PATH_BARRIER, "barrier"), F.lit(PATH_COLUMNS))).alias("line_no", "line"))
     return head.select(key, F.col("line_no").cast("long").alias("line_no"), "line").unionByName(body)
 
 
@@ -40,60 +62,53 @@ def parse_path_lines(lines: DataFrame, key: str, seq: Sequence | None = None, mi
 
 def parse_path_comments(lines: DataFrame, key: str) -> DataFrame:
     """Node count, barrier and cell count from the comment lines; the last mention counts."""
-    notes = lines.filter(F.trim("line").startswith("#"))
+    notes = lines.filter(F.trim("line").startswith("#")).withColumn("_f", _fields(F.ltrim(F.trim("line"), F.lit("# ")), "\n"))
     found = {}
-    for name, pattern in {"n_nodes": r"n_nodes\s*=\s*(\d+)", "barrier": r"barrier\s*=\s*([-\d.]+)",
-                          "n_supercell": r"n_supercell\s*=\s*(\d+)"}.items():
-        text = F.nullif(F.regexp_extract("line", pattern, 1), F.lit(""))
-        value = text.try_cast("double") if name == "barrier" else text.try_cast("long")
+    for name in PATH_NOTES:
+        value = _value(F.col("_f"), name).try_cast("double" if name == "barrier" else "long")
         found[name] = F.max_by(value, F.when(value.isNotNull(), F.col("line_no")))
     return notes.groupBy(key).agg(*[v.alias(n) for n, v in found.items()])
 
 
 def barrier_text(records: DataFrame, key: str) -> DataFrame:
     """One text per framework with a line per axis."""
-    known = F.format_string("%s direction: barrier = %.4f kJ/mol  transition energy = %.4f kJ/mol  path nodes = %d",
-                            F.col("axis"), F.col("barrier"), F.col("transition_energy"), F.col("n_path_nodes").cast("long"))
-    line = F.when(F.col("barrier").isNotNull(), known).otherwise(F.concat("axis", F.lit(" direction: no traversing path found")))
+    known = F.format_string(BARRIER_LINE, F.col("axis"), F.col("barrier"), F.col("transition_energy"),
+                            F.col("n_path_nodes").cast("long"))
+    line = F.when(F.col("barrier").isNotNull(), known).otherwise(F.concat("axis", F.lit(BARRIER_NONE)))
     per = records.groupBy(key).agg(*[F.max(F.when(F.col("axis") == a, line)).alias(a) for a in AXES])
-    return per.select(key, F.concat_ws("\n", F.lit("Diffusion barriers"), *AXES).alias("text"))
+    return per.select(key, F.concat_ws("\n", F.lit(BARRIER_TITLE), *AXES).alias("text"))
 
 
 def parse_barrier_text(texts: DataFrame, key: str) -> DataFrame:
     """One row per framework and axis; an axis without a barrier does not traverse."""
     rows = texts.withColumn("axis", F.explode(F.array(*[F.lit(a) for a in AXES])))
-    picks = []
-    for axis in AXES:
-        pattern = (rf"{axis} direction:\s*barrier\s*=\s*([-\d.]+)\s*kJ/mol.*?transition energy\s*=\s*([-\d.]+)\s*kJ/mol"
-                   r"(?:.*?path nodes\s*=\s*(\d+))?")
-        picks.append((axis, [F.regexp_extract("text", pattern, g) for g in (1, 2, 3)]))
-
-    def group(g: int):
-        out = None
-        for axis, values in picks:
-            here = F.col("axis") == axis
-            out = F.when(here, values[g]) if out is None else out.when(here, values[g])
-        return F.nullif(out, F.lit(""))
-
-    return rows.select(
-        key, "axis", group(0).isNotNull().alias("traverses"), group(0).try_cast("double").alias("barrier"),
-        group(1).try_cast("double").alias("transition_energy"), group(2).try_cast("long").alias("n_path_nodes"))
+    start = F.concat("axis", F.lit(" direction:"))
+    line = F.get(F.filter(F.split("text", "\n"), lambda x: F.ltrim(x).startswith(start)), F.lit(0))
+    fields = _fields(F.substring_index(F.coalesce(line, F.lit("")), ":", -1), "kJ/mol|  +")
+    values = rows.withColumn("_f", fields).select(key, "axis", *[_value(F.col("_f"), b).alias(b) for b in BARRIER_LABELS])
+    barrier, energy, nodes = (F.col(b) for b in BARRIER_LABELS)
+    return values.select(
+        key, "axis", barrier.isNotNull().alias("traverses"), barrier.try_cast("double").alias("barrier"),
+        energy.try_cast("double").alias("transition_energy"), nodes.try_cast("long").alias("n_path_nodes"))
 
 
 def summary_text(frameworks: DataFrame, key: str) -> DataFrame:
     """Summary with cell lengths (2 decimals), dimensionality and the Yes or No of each axis."""
-    cell = F.format_string("   Original unit cell: a=%.2f  b=%.2f  c=%.2f A", "a", "b", "c")
-    axes = F.format_string("   X=%s  Y=%s  Z=%s", "X", "Y", "Z")
+    cell = F.format_string(SUMMARY_CELL, "a", "b", "c")
+    axes = F.format_string(SUMMARY_AXES, "X", "Y", "Z")
     return frameworks.select(key, F.concat_ws(
         "\n", F.lit("1. Supercell"), cell, F.lit(""), F.lit("2. Dimensionality"),
-        F.concat(F.lit("   Dimensionality: "), "dimensionality"), axes).alias("text"))
+        F.concat(F.lit(f"   {SUMMARY_DIMENSION} "), "dimensionality"), axes).alias("text"))
 
 
 def parse_summary_text(texts: DataFrame, key: str) -> DataFrame:
     """Dimensionality, traversal flags and cell lengths; NULL where the text lacks them."""
-    cell = r"Original unit cell:.*?a=([\d.]+).*?b=([\d.]+).*?c=([\d.]+)"
-    flags = [(F.lower(F.nullif(F.regexp_extract("text", rf"(?i){a}\s*=\s*(Yes|No)", 1), F.lit(""))) == "yes").alias(f"traverses_{a}")
-             for a in AXES]
-    return texts.select(
-        key, F.nullif(F.regexp_extract("text", r"Dimensionality:\s*(\dD)", 1), F.lit("")).alias("dimensionality"), *flags,
-        *[F.regexp_extract("text", cell, i).try_cast("double").alias(c) for i, c in enumerate(("a_A", "b_A", "c_A"), 1)])
+    words = F.split(F.regexp_replace("text", r"\s*=\s*", "="), r"\s+")
+    pairs = F.transform(F.filter(words, lambda w: w.contains("=")), lambda w: F.struct(
+        F.substring_index(w, "=", 1).alias("label"), F.substring_index(w, "=", -1).alias("value")))
+    after = F.get(words, F.nullif(F.array_position(words, SUMMARY_DIMENSION), F.lit(0)).cast("int"))
+    read = texts.select(key, pairs.alias("_p"), F.when(after.rlike(r"^\dD"), F.left(after, F.lit(2))).alias("dimensionality"))
+    answer = {a: F.lower(_value(F.col("_p"), a)) for a in AXES}
+    return read.select(
+        key, "dimensionality", *[F.when(v.isin("yes", "no"), v == "yes").alias(f"traverses_{a}") for a, v in answer.items()],
+        *[_value(F.col("_p"), c).try_cast("double").alias(f"{c}_A") for c in "abc"])

@@ -70,6 +70,36 @@ def test_close_spikes_merge_and_the_next_group_reads_repaired_points(spark):
     assert got[14:16] == pytest.approx([blend(lo, hi, 1 / 3), blend(lo, hi, 2 / 3)])
 
 
+def plain_repair(e, width, jumps):
+    """The rule one group after the other, on the values as they stand."""
+    e, groups = list(e), []
+    for j in jumps:
+        if groups and j - groups[-1][1] <= sq.JUMP_MERGE_GAP:
+            groups[-1][1] = j
+        else:
+            groups.append([j, j])
+    for left, last in groups:
+        right = last + 1
+        before, after = e[max(0, left - width):left], e[right + 1:right + 1 + width]
+        lo = sum(before) / len(before) if before else e[left]
+        hi = sum(after) / len(after) if after else e[right]
+        for p in range(left, right):
+            e[p] = blend(lo, hi, (p - left + 1) / (right - left + 1))
+    return e
+
+
+@pytest.mark.parametrize("width", [2, 3, 4, 5, 7, 9])
+def test_any_width_reads_all_repaired_points(spark, width):
+    rng = random.Random(width)
+    e = [rng.uniform(-0.1, 0.1) + 0.01 * i for i in range(90)]
+    for at in (8, 13, 18, 23, 24, 31, 36, 41, 46, 60, 63, 70, 75):
+        e[at] += 30
+    marked = sq.step_outliers(path_of(spark, e), SEQ).filter("jump").orderBy("seq").collect()
+    want = plain_repair(e, width, [r["seq"] for r in marked])
+    got = [r["e_smooth"] for r in sq.repair_jumps(path_of(spark, e), SEQ, width=width).orderBy("seq").collect()]
+    assert len(marked) > 15 and got == pytest.approx(want, abs=1e-12)
+
+
 def test_constant_path(spark):
     row = sq.describe_paths(path_of(spark, [2.0] * 12), SEQ, F.lit("X")).first()
     assert row["h_entropy"] == 0 and row["peak_slope_mean"] == 0 and row["barrier_freq"] == 0 and row["sigma_e"] == 0
