@@ -142,14 +142,20 @@ def complete_feature_rows(spark, sf_dir):
 # Part names in many spellings: a spelling from the alias list by part key, padded and upper-cased by size.
 SPELLINGS = [s for d in names.DESCRIPTORS for s in d[:4]] + [s for v in names.OLDER_SPELLINGS.values() for s in v]
 _SPELL_SQL = "[" + ", ".join("'" + s.replace("'", "''") + "'" for s in SPELLINGS) + "]"
-_ALIAS_SQL = ", ".join(f"('{a}', '{k}')" for a, k in sorted(names.ALIASES.items()))
+# Both lists as they are; which spelling wins is stated in SQL: a current one (the last of them), else the first older one.
+_CURRENT = [(s, d[0]) for d in names.DESCRIPTORS for s in d[:4]]
+_OLDER = [(s, k) for k, v in names.OLDER_SPELLINGS.items() for s in v]
+_ALIAS_SQL = ", ".join(f"('{s.replace(chr(39), chr(39) * 2)}', '{k}', {kind}, {pos})"
+                       for kind, spelled in enumerate((_CURRENT, _OLDER)) for pos, (s, k) in enumerate(spelled))
 _NOMEN_SQL = ", ".join(
     "(" + ", ".join([str(i + 1)] + ["'" + v + "'" for v in d[:6]]) + ")" for i, d in enumerate(names.DESCRIPTORS))
 V_NAMES = f"""
 spelled AS (
   SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN p_name WHEN 1 THEN '  ' || upper(s) || ' ' ELSE s END AS name
   FROM (SELECT p_partkey, p_name, {_SPELL_SQL}[(p_partkey % {len(SPELLINGS)} + 1)::INT] AS s FROM part)),
-alias(alias, akey) AS (VALUES {_ALIAS_SQL}),
+spellings(spelling, skey, older, pos) AS (VALUES {_ALIAS_SQL}),
+alias AS (SELECT lower(spelling) AS alias, arg_min(skey, CASE older WHEN 0 THEN -pos ELSE 100000 + pos END) AS akey
+          FROM spellings GROUP BY 1),
 resolved AS (
   SELECT p_partkey, name, coalesce(akey, name) AS key FROM spelled LEFT JOIN alias ON lower(trim(name)) = alias),
 nomen(ord, nkey, symbol, ascii, long_name, unit, family) AS (VALUES {_NOMEN_SQL})"""

@@ -116,17 +116,20 @@ def energy_grid_points(spark, sf_dir):
 
 SQL_FREE = V_ATOMS + f""",
 img AS (
-  SELECT framework, fx + p AS gx, fy + q AS gy, fz + r AS gz, 1.266::DOUBLE AS rad
+  SELECT framework, fx + p AS gx, fy + q AS gy, fz + r AS gz, CASE WHEN atom_id % 4 = 1 THEN 1.35 ELSE 1.266 END::DOUBLE AS rad
   FROM v_atoms, range(-1, 2) r1(p), range(-1, 2) r2(q), range(-1, 2) r3(r)),
 vox AS (SELECT v_struct.*, i::INT AS i, j::INT AS j, k::INT AS k FROM v_struct, range(0, {GRID_N}) r1(i), range(0, {GRID_N}) r2(j), range(0, {GRID_N}) r3(k)),
-free AS (
-  SELECT framework, i, j, k, min(sqrt(pow((gx - (i + 0.5::DOUBLE) / {GRID_N}) * a, 2) + pow((gy - (j + 0.5::DOUBLE) / {GRID_N}) * b, 2)
-         + pow((gz - (k + 0.5::DOUBLE) / {GRID_N}) * c, 2))) - 1.266::DOUBLE AS r
-  FROM vox JOIN img USING (framework) GROUP BY 1, 2, 3, 4)"""
+near AS (
+  SELECT framework, i, j, k, rad, sqrt(pow((gx - (i + 0.5::DOUBLE) / {GRID_N}) * a, 2) + pow((gy - (j + 0.5::DOUBLE) / {GRID_N}) * b, 2)
+         + pow((gz - (k + 0.5::DOUBLE) / {GRID_N}) * c, 2)) AS d
+  FROM vox JOIN img USING (framework)),
+free AS (SELECT framework, i, j, k, min(d) - arg_min(rad, d) AS r FROM near GROUP BY 1, 2, 3, 4)"""
 
 
 def free_radii(spark, sf_dir):
-    return voxel.free_radius_grid(structures(spark, sf_dir), atoms(spark, sf_dir), grid_n=GRID_N)
+    """Every fourth atom is of an element without a radius of its own, so the nearest centre need not be the nearest surface."""
+    element = F.when(F.col("atom_id") % 4 == 1, F.lit("Ti")).otherwise(F.col("element"))
+    return voxel.free_radius_grid(structures(spark, sf_dir), atoms(spark, sf_dir).withColumn("element", element), grid_n=GRID_N)
 
 
 @query("J6 J8 F6", f"WITH {SQL_FREE} SELECT framework, i, j, k, round(r, 6) + 0.0 AS r FROM free")
