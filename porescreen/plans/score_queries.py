@@ -11,6 +11,7 @@ from porescreen.functions.numbers import rounded
 from porescreen.operators import assemble as asm, attribute as att, score
 from porescreen.plans.bindings import N_DIMS, V_FEAT, background, feature_names, features, table
 from porescreen.plans.registry import query
+from porescreen.sources.tables import background_rows
 
 FEATURES = feature_names()
 LAYERS = ((8, N_DIMS), (8, 8), (4, 8), (1, 4))
@@ -68,8 +69,7 @@ def scaled_background(spark, sf_dir):
         F.when(F.col("label") == 4, F.lit("n/a")).otherwise(F.col("f2").cast("string")).alias("Pτ"),
         F.col("f3").alias("PLD1"))
     wanted = ["E_max", "tortuosity", "PLD"]
-    rows = asm.complete_cases(names.resolve_columns(raw, wanted), wanted).filter("complete")
-    scaled = score.scale_features(rows, {"E_max": (-0.04, 0.1), "tortuosity": (-0.02, 0.11), "PLD": (0.0, 0.12)})
+    scaled = score.scale_features(background_rows(raw, wanted), {"E_max": (-0.04, 0.1), "tortuosity": (-0.02, 0.11), "PLD": (0.0, 0.12)})
     return scaled.select(*[rounded(c).alias(c) for c in wanted])
 
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from porescreen.functions.lattice import with_cell
-from porescreen.functions.names import FEATURE_ORDER
-from porescreen.operators import assemble, channel, voxel
+from porescreen.functions.names import FEATURE_ORDER, nomenclature
+from porescreen.operators import assemble, attribute, channel, score, voxel
 from porescreen.operators.ordered import sequence
 from porescreen.operators.sequence import describe_paths
 from porescreen.session import cut_lineage
@@ -56,3 +56,28 @@ def screen(structures: DataFrame, atoms: DataFrame, external: DataFrame, probe:
     features = assemble.feature_table(rows, pores, external, FEATURE_ORDER)
     return {"features": features, "pores": pores, "barriers": records,
             "summary": assemble.run_summary(structures, good.select("framework", "axis", "barrier"))}
+
+
+def score_and_explain(features: DataFrame, network, columns: list[str], scaler: dict[str, tuple[float, float]],
+                      background: DataFrame | None = None, known: DataFrame | None = None, name: str = "sample",
+                      unit: str = "10⁻⁹ m² s⁻¹", max_explain: int | None = None) -> dict[str, DataFrame]:
+    """The feature table to the four result tables.
+
+    ``descriptors`` are the features with their predictions, ``diffusivity`` the predicted rows alone, ``attributions``
+    the contributions on the original scale, known ones (see ``known_attributions``) before computed ones, and
+    ``nomenclature`` the meaning of the columns.  Without a background the batch itself is summarised.
+    """
+    predicted = cut_lineage(score.predict(features, columns, scaler, network))
+    ready = score.scale_features(predicted.filter("pred_ok"), scaler).select(name, *columns)
+    supplied = score.scale_features(background, scaler) if background is not None else None
+    base = attribute.choose_background(ready, supplied, columns)
+    if known is None:
+        matrix = attribute.shapley_values(ready, base, name, columns, network).withColumn("source", F.lit("computed"))
+    else:
+        matrix = attribute.hybrid_attributions(ready, known, base, name, columns, network, max_explain)
+    matrix = cut_lineage(matrix)
+    original = attribute.original_scale(matrix.filter("base_value is not null"), name, columns)
+    sources = matrix.select(name, "source")
+    return {"descriptors": predicted, "diffusivity": score.diffusivity_table(predicted, [name], unit),
+            "attributions": sources.join(original, name, "left"),
+            "nomenclature": nomenclature(features.sparkSession)}
