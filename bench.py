@@ -14,6 +14,7 @@ HEADLINE = (
     "path_descriptors", "path_jump_repair", "path_extremes", "external_lookup", "predictions", "shapley_rows",
     "pair_energy_grid", "free_radius_field", "pore_components", "limiting_diameter", "axis_traversal",
     "crossing_barrier", "crossing_path", "displacement_by_lag", "message_tables", "reassembled_turns",
+    "missing_value_audit", "descriptor_display",
 )
 
 

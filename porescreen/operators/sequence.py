@@ -195,33 +195,34 @@ def flank_slopes(path: DataFrame, seq: Sequence, found: DataFrame) -> DataFrame:
         F.col("_right.idx").alias("right_idx"), F.greatest(slope("_left"), slope("_right")).alias("slope"))
 
 
-def energy_spread(path: DataFrame, seq: Sequence) -> DataFrame:
-    """Per path: node count, arc length, energy minimum, maximum, range, and the arc-length-weighted
-    mean and standard deviation of the step energies."""
-    steps = segment_lengths(path, seq)
+def path_totals(path: DataFrame, seq: Sequence, axis: Column) -> DataFrame:
+    """Per path, from one pass over its steps: length, extremes of the energy, length-weighted mean and standard
+    deviation of the step energies, tortuosity and main-axis efficiency; ``axis`` names the direction X, Y or Z."""
+    steps = segment_lengths(path.withColumn("_axis", axis), seq)
     totals = {"_total": F.sum("ds"), "_mean_sum": F.sum(F.col("ds") * F.col("e_mid"))}
     centred = group_values(steps, seq, totals).withColumn("_mean", F.col("_mean_sum") / F.col("_total"))
     dev = F.col("ds") / F.col("_total") * F.pow(F.col("e_mid") - F.col("_mean"), 2)
-    return centred.groupBy(*seq.keys).agg(
+    point = F.struct("x", "y", "z")
+    ends = centred.groupBy(*seq.keys).agg(
         F.count(F.lit(1)).alias("n_nodes"), F.max("s").alias("length"),
-        F.min("e").alias("e_min"), F.max("e").alias("e_max"),
-        (F.max("e") - F.min("e")).alias("e_range"),
-        F.max("_mean").alias("e_mean"), F.sqrt(F.sum(dev)).alias("sigma_e"))
+        F.min("e").alias("e_min"), F.max("e").alias("e_max"), (F.max("e") - F.min("e")).alias("e_range"),
+        F.max("_mean").alias("e_mean"), F.sqrt(F.sum(dev)).alias("sigma_e"), F.first("_axis").alias("_axis"),
+        F.min_by(point, F.col(seq.pos)).alias("_p"), F.max_by(point, F.col(seq.pos)).alias("_q"))
+    dx, dy, dz = (F.col("_q")[c] - F.col("_p")[c] for c in "xyz")
+    along = F.abs(F.when(F.col("_axis") == "X", dx).when(F.col("_axis") == "Y", dy).otherwise(dz))
+    return ends.withColumns({
+        "chord": norm3(dx, dy, dz), "tortuosity": F.col("length") / F.greatest(norm3(dx, dy, dz), F.lit(FLOOR)),
+        "eta_main": along / F.greatest(F.col("length"), F.lit(FLOOR))}).drop("_axis", "_p", "_q")
+
+
+def energy_spread(path: DataFrame, seq: Sequence) -> DataFrame:
+    """Per path: node count, length, energy extremes, and the length-weighted mean and standard deviation."""
+    return path_totals(path, seq, F.lit("X")).drop("chord", "tortuosity", "eta_main")
 
 
 def path_geometry(path: DataFrame, seq: Sequence, axis: Column) -> DataFrame:
     """Per path: tortuosity and main-axis efficiency; ``axis`` names the direction X, Y or Z."""
-    steps = segment_lengths(path.withColumn("_axis", axis), seq)
-    point = F.struct("x", "y", "z")
-    ends = steps.groupBy(*seq.keys).agg(
-        F.max("s").alias("length"), F.first("_axis").alias("_axis"),
-        F.min_by(point, F.col(seq.pos)).alias("_p"), F.max_by(point, F.col(seq.pos)).alias("_q"))
-    dx, dy, dz = (F.col("_q")[c] - F.col("_p")[c] for c in "xyz")
-    along = F.abs(F.when(F.col("_axis") == "X", dx).when(F.col("_axis") == "Y", dy).otherwise(dz))
-    return ends.select(
-        *seq.keys, "length", norm3(dx, dy, dz).alias("chord"),
-        (F.col("length") / F.greatest(norm3(dx, dy, dz), F.lit(FLOOR))).alias("tortuosity"),
-        (along / F.greatest(F.col("length"), F.lit(FLOOR))).alias("eta_main"))
+    return path_totals(path, seq, axis).select(*seq.keys, "length", "chord", "tortuosity", "eta_main")
 
 
 def energy_entropy(path: DataFrame, keys) -> DataFrame:
@@ -251,15 +252,13 @@ def describe_paths(path: DataFrame, seq: Sequence, axis: Column) -> DataFrame:
     sized = group_values(clean, seq, {"_n": F.count(F.lit(1))}).filter(F.col("_n") >= MIN_NODES).drop("_n")
     # Written out: every descriptor reads the cleaned paths.
     sized, keys = cut_lineage(sized), list(seq.keys)
-    spread = energy_spread(sized, seq)
-    shape = path_geometry(sized, seq, axis).select(*keys, "tortuosity", "eta_main")
+    totals = path_totals(sized, seq, axis)
     entropy = energy_entropy(sized, keys).select(*keys, "h_entropy")
     found = extremes(repair_jumps(sized, seq), seq)
     slopes = flank_slopes(sized, seq, found).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_peaks"), F.avg("slope").alias("_slope"))
     every = path.select(*keys).distinct()
-    out = (every.join(spread, keys, "left").join(shape, keys, "left")
-           .join(entropy, keys, "left").join(slopes, keys, "left"))
+    out = every.join(totals, keys, "left").join(entropy, keys, "left").join(slopes, keys, "left")
     known = F.col("n_nodes").isNotNull()
     n_peaks = F.coalesce("n_peaks", F.lit(0))
     return out.select(
