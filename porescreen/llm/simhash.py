@@ -134,6 +134,16 @@ def fingerprint_links(fps: DataFrame, radius: int = 4, tile: int = TILE) -> Data
     return pairs.mapInArrow(_compare(radius), "a long, b long")
 
 
+def _grouped(own: DataFrame, radius: int) -> DataFrame:
+    """(fp, root, component_id) of every fingerprint of (doc_id, fp): its group, and the least id in the group."""
+    distinct = cut_lineage(own.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    roots = components(fingerprint_links(distinct.select("fp"), radius))
+    rooted = cut_lineage(distinct.join(roots, distinct["fp"] == roots["node"], "left").select(
+        "fp", "least", F.coalesce("root", "fp").alias("root")))
+    least = cut_lineage(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
+    return cut_lineage(rooted.join(least, "root").select("fp", "root", "component_id"))
+
+
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 4,
                     radius: int = 4) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row of ``docs``.
@@ -143,23 +153,24 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     such rows alone has a null one). Other columns are ignored. An empty table gives no rows.
     """
     own = cut_lineage(fingerprints(docs, id_column, text_column, words))
-    distinct = cut_lineage(own.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(fingerprint_links(distinct.select("fp"), radius))
-    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root"))
-    rooted = cut_lineage(rooted)
-    least = cut_lineage(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
-    labels = cut_lineage(rooted.join(least, "root").select("fp", "component_id"))
-    return own.join(labels, "fp").select(
+    return own.join(_grouped(own, radius).drop("root"), "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def kept_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def kept_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 4,
+                   radius: int = 4) -> DataFrame:
     """``docs`` with one document of each group of near-duplicates, the one with the least id.
 
-    Repeated rows of that id leave one row. Rows without an id leave when their group has a document with one.
+    Repeated rows of that id leave one row. Rows without an id leave when their group has a document with one; of a
+    group of such rows alone one text stays, that of the least hash.
     """
-    found = near_duplicates(docs, id_column, text_column)
-    keep = found.where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    kept = docs.join(keep, F.col(id_column) == F.col("__kept"), "left_semi")
-    return kept.dropDuplicates([id_column])
+    own = cut_lineage(fingerprints(docs, id_column, text_column, words))
+    groups = _grouped(own, radius)
+    ids = groups.where("component_id is not null").select(F.col("component_id").alias("__kept")).distinct()
+    named = docs.join(ids, F.col(id_column).cast("long") == F.col("__kept"), "left_semi").dropDuplicates([id_column])
+
+    nameless, mark = docs.where(F.col(id_column).isNull()), F.xxhash64(F.coalesce(F.col(text_column), F.lit("")))
+    prints = fingerprints(nameless.select(mark.alias("mark"), text_column), "mark", text_column, words)
+    alone = groups.where("component_id is null").select("fp", "root")
+    marks = prints.join(alone, "fp").groupBy("root").agg(F.min("doc_id").alias("__kept")).select("__kept")
+    return named.unionByName(nameless.join(marks, mark == F.col("__kept"), "left_semi").dropDuplicates([text_column]))
