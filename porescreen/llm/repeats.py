@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from porescreen.llm.common import gathered_bits, small
 from porescreen.session import cut_lineage
 
 #: Bytes of a repeated string, and of the gram by which its copies find each other.
@@ -19,7 +20,7 @@ WINDOW, REACH = LENGTH - GRAM + 1, LENGTH - GRAM
 CONTEXT = 2 * REACH + GRAM
 #: Bytes of text per shuffle partition, about, and documents that come together again at the end, about.
 PARTITION_BYTES, CHUNK = 12 << 20, 256
-#: Contexts that are compared together, about.
+#: Contexts that are compared together, about; those of one gram always are.
 SHARD = 8192
 #: Words of 64 bits of the filter that picks contexts to read; wrong hits only cost time.
 FILTER_WORDS = 1 << 21
@@ -56,7 +57,7 @@ def _sliding(x: np.ndarray, best: np.ufunc) -> np.ndarray:
 
 
 def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
-    """(document number, place, gram hash, context hash) of the anchors, and the padded bytes.
+    """(document number, place, gram hash of 48 bits, context hash) of the anchors, and the padded bytes.
 
     Of the grams of every string of LENGTH bytes those of least hash are its anchors, so equal strings have the same. The context is what all strings that hold the gram can reach; what is outside the text counts.
     """
@@ -82,80 +83,97 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     context = np.zeros(len(at), np.uint64)
     for shift in range(-REACH, REACH + 1, GRAM // 2):
         context = _mixed(context * np.uint64(31) + h[np.minimum(at + shift, len(h) - 1)] + np.uint64(shift + 99))
-    return owner, at - starts[owner], h[at], context, whole
+    return owner, at - starts[owner], h[at] >> np.uint64(16), context, whole
 
 
 def _rows(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """One row per document with its place in the input, which stays the same whenever the input is read."""
-    rid = F.monotonically_increasing_id()
-    return docs.select(rid.alias("rid"), F.coalesce(F.col(id_column).cast("long"), F.lit((1 << 63) - 1)).alias("doc"),
-                       F.encode(F.coalesce(F.col(text_column), F.lit("")), "utf-8").alias("bytes"))
+    """(rid, doc, bytes) of every row; what happens to a row follows from its id and text, whose hash is ``rid``."""
+    doc, text = F.col(id_column).cast("long"), F.coalesce(F.col(text_column), F.lit(""))
+    return docs.select(F.xxhash64(doc, text).alias("rid"), F.coalesce(doc, F.lit((1 << 63) - 1)).alias("doc"),
+                       F.encode(text, "utf-8").alias("bytes"))
+
+
+def _planes(x: np.ndarray, size: int) -> bytes:
+    """The low ``size`` bytes of each number, all first bytes first: what is small or sorted then shrinks in a shuffle."""
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].T.tobytes()
+
+
+def _numbers(raw: bytes, size: int) -> np.ndarray:
+    planes = np.frombuffer(raw, np.uint8).reshape(size, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :size] = planes.T
+    return out.view("<u8").ravel()
 
 
 def _blobs(parts: int):
-    """Anchors as packed rows, one for each batch and partition."""
+    """Anchors as packed rows, one for each batch and partition, in the order of the texts."""
     def run(batches):
-        for batch in batches:
+        for batch in small(batches, "bytes"):
             texts = batch.column("bytes").to_pylist()
             rid, doc = (np.asarray(batch.column(c)) for c in ("rid", "doc"))
             owner, place, h, context, _ = anchors(texts)
-            part = (h >> np.uint64(33)).astype(np.int64) % parts
+            part = (h >> np.uint64(8)).astype(np.int64) % parts
             order = np.argsort(part, kind="stable")
             present, cuts = np.unique(part[order], return_index=True)
             rows = []
             for p, i in zip(present.tolist(), np.split(order, cuts[1:])):
                 used, number = np.unique(owner[i], return_inverse=True)
-                rows.append((p, h[i].tobytes(), context[i].tobytes(), number.astype(np.int32).tobytes(),
-                             place[i].astype(np.int32).tobytes(), rid[used].tobytes(), doc[used].tobytes()))
+                sizes = np.bincount(number)
+                rows.append((p, _planes(h[i], 6), context[i].tobytes(), _planes(sizes, 4), _planes(place[i], 4),
+                             rid[used].tobytes(), doc[used].tobytes()))
             columns = list(zip(*rows)) or [[]] * 7
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])],
-                                             ["part", "h", "context", "number", "place", "rids", "docs"])
+                                             ["part", "h", "context", "sizes", "place", "rids", "docs"])
     return run
 
 
 def _joined(pdf: pd.DataFrame):
     """The packed anchors of a partition as arrays."""
-    h = np.frombuffer(b"".join(pdf["h"]), np.uint64)
+    h = np.concatenate([_numbers(x, 6) for x in pdf["h"]])
     context = np.frombuffer(b"".join(pdf["context"]), np.uint64)
-    place = np.frombuffer(b"".join(pdf["place"]), np.int32).astype(np.int64)
-    rid, doc = [], []
-    for number, rids, docs in zip(pdf["number"], pdf["rids"], pdf["docs"]):
-        number = np.frombuffer(number, np.int32)
-        rid.append(np.frombuffer(rids, np.int64)[number])
-        doc.append(np.frombuffer(docs, np.int64)[number])
-    return h, context, place, np.concatenate(rid), np.concatenate(doc)
-
-
-def _pack(rid: np.ndarray, *columns: np.ndarray) -> list[tuple]:
-    """Rows (chunk, bytes...) of values sorted by chunk of documents."""
-    chunk = rid // CHUNK
-    order = np.argsort(chunk, kind="stable")
-    chunks, cuts = np.unique(chunk[order], return_index=True)
+    place = np.concatenate([_numbers(x, 4) for x in pdf["place"]]).astype(np.int64)
+    sizes = np.concatenate([_numbers(x, 4) for x in pdf["sizes"]]).astype(np.int64)
+    rid, doc = (np.repeat(np.frombuffer(b"".join(pdf[c]), np.int64), sizes) for c in ("rids", "docs"))
+    return h, context, place, rid, doc
+
+
+def _pack(chunks: int, rid: np.ndarray, place: np.ndarray) -> list[tuple]:
+    """Rows (chunk, rids, sizes, places): the places of each document of a chunk."""
+    order = np.lexsort((place, rid, rid % chunks))
+    rid, place = rid[order], place[order]
+    chunk = rid % chunks
+    present, cuts = np.unique(chunk, return_index=True)
     out = []
-    for c, i in zip(chunks.tolist(), np.split(order, cuts[1:])):
-        out.append((c, *(x[i].tobytes() for x in (rid, *columns))))
+    for c, r, p in zip(present.tolist(), np.split(rid, cuts[1:]), np.split(place, cuts[1:])):
+        used, first = np.unique(r, return_index=True)
+        out.append((c, used.tobytes(), _planes(np.diff(np.append(first, len(r))), 3), _planes(p, 4)))
     return out
 
 
-def _judge(pdf: pd.DataFrame) -> pd.DataFrame:
+def _asks(h: np.ndarray, context: np.ndarray, rid: np.ndarray) -> np.ndarray:
+    """Hash by which an anchor is asked for."""
+    return _mixed(_mixed(h + context * np.uint64(3)) + rid.astype(np.int64).view(np.uint64))
+
+
+def _judge(pdf: pd.DataFrame, chunks: int) -> pd.DataFrame:
     """Whole contexts that repeat are decided here; grams with several contexts are passed on.
 
-    Rows: (chunk, rids, places) of contexts that stand in a smaller document too, and (grams) of those grams of which
-    another context stands in a smaller document.
+    Rows: (chunk, rids, sizes, places) of contexts that stand in a smaller document too, and (asked): the anchors in
+    the smallest document of each context, of those grams of which another context stands in a smaller document.
     """
     h, context, place, rid, doc = _joined(pdf)
     order = np.lexsort((doc, context, h))
-    sh, sc, sd = h[order], context[order], doc[order]
+    sh, sc, sd, sr = h[order], context[order], doc[order], rid[order]
     new_gram = np.concatenate([[True], sh[1:] != sh[:-1]])
     new_context = new_gram | np.concatenate([[True], sc[1:] != sc[:-1]])
     first = sd[new_context]  # the smallest document of each context
     later = sd > first[np.cumsum(new_context) - 1]
-    rows = [(*r, b"") for r in _pack(rid[order[later]], place[order[later]])]
-    # Of each gram, the smallest documents of its contexts, if they differ.
+    rows = [(*r, b"") for r in _pack(chunks, rid[order[later]], place[order[later]])]
     grams = np.nonzero(new_gram[new_context])[0]
     spread = np.maximum.reduceat(first, grams) > np.minimum.reduceat(first, grams)
-    rows.append((None, b"", b"", sh[new_gram][spread].tobytes()))
-    return pd.DataFrame(rows, columns=["chunk", "rids", "places", "grams"]).astype({"chunk": "Int64"})
+    asked = ~later & spread[np.cumsum(new_gram) - 1]
+    rows.append((None, b"", b"", b"", _asks(sh[asked], sc[asked], sr[asked]).tobytes()))
+    return pd.DataFrame(rows, columns=["chunk", "rids", "sizes", "places", "asked"]).astype({"chunk": "Int64"})
 
 
 def _suffix_classes(data: np.ndarray) -> np.ndarray:
@@ -173,10 +191,10 @@ def _suffix_classes(data: np.ndarray) -> np.ndarray:
     return rank[:n]
 
 
-def _mark(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Which strings of each context start in a smaller document too: rows (chunk, rids, begins)."""
+def _mark(pdf: pd.DataFrame, chunks: int) -> pd.DataFrame:
+    """Which strings of each context start in a smaller document too: rows (chunk, rids, sizes, places of starts)."""
     data = np.frombuffer(b"".join(pdf["context"]), np.uint8)
-    doc = pdf["doc"].to_numpy()
+    doc, rid, place = (pdf[c].to_numpy() for c in ("doc", "rid", "place"))
     classes = _suffix_classes(data).reshape(len(pdf), CONTEXT)[:, :REACH + 1]
     outside = np.concatenate([[0], np.cumsum(data == OUTSIDE)])
     begin = (np.arange(len(pdf)) * CONTEXT)[:, None] + np.arange(REACH + 1)
@@ -186,30 +204,27 @@ def _mark(pdf: pd.DataFrame) -> pd.DataFrame:
     new = np.concatenate([[True], found[order][1:] != found[order][:-1]])
     least = np.minimum.reduceat(doc[row[order]], np.nonzero(new)[0])[np.cumsum(new) - 1]
     hit = order[least < doc[row[order]]]
-    row, column = row[hit], column[hit]
-    spots = [np.frombuffer(b"".join(o), np.int64).reshape(-1, 2) for o in pdf["spots"]]
-    rids = [spots[r][:, 0] for r in row.tolist()]
-    begins = [spots[r][:, 1] - REACH + c for r, c in zip(row.tolist(), column.tolist())]
-    none = [np.zeros(0, np.int64)]
-    return pd.DataFrame(_pack(np.concatenate(rids or none), np.concatenate(begins or none)), columns=["chunk", "rids", "begins"])
+    packed = _pack(chunks, rid[row[hit]], place[row[hit]] - REACH + column[hit])
+    return pd.DataFrame(packed, columns=["chunk", "rids", "sizes", "places"])
 
 
-def _bits(grams: DataFrame) -> np.ndarray:
-    """A filter of the grams of fixed size, whatever their number."""
+def _spot(asks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Word and bit of a hash in the filter."""
+    return ((asks >> np.uint64(6)) & np.uint64(FILTER_WORDS - 1)).astype(np.int64), asks & np.uint64(63)
+
+
+def _bits(asked: DataFrame) -> np.ndarray:
+    """A filter of what is asked for, of fixed size whatever its number."""
     def run(batches):
         for batch in batches:
             words = np.zeros(FILTER_WORDS, np.uint64)
-            for blob in batch.column("grams").to_pylist():
-                h = np.frombuffer(blob, np.uint64)
-                np.bitwise_or.at(words, ((h >> np.uint64(6)) & np.uint64(FILTER_WORDS - 1)).astype(np.int64),
-                                 np.uint64(1) << (h & np.uint64(63)))
+            for blob in batch.column("asked").to_pylist():
+                word, bit = _spot(np.frombuffer(blob, np.uint64))
+                np.bitwise_or.at(words, word, np.uint64(1) << bit)
             at = np.nonzero(words)[0]
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(words[at].view(np.int64))], ["word", "bits"])
 
-    held = grams.mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
-    words = np.zeros(FILTER_WORDS, np.int64)
-    words[held["word"].to_numpy()] = held["bits"].to_numpy()
-    return words.view(np.uint64)
+    return gathered_bits(asked.mapInArrow(run, "word long, bits long"), FILTER_WORDS).view(np.uint64)
 
 
 def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", with_text: bool = False) -> DataFrame:
@@ -218,73 +233,70 @@ def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     Each byte of the UTF-8 text that is covered by a string of 50 bytes which also starts in a document with a smaller
     id is removed, judged on the input. Null texts are empty. A document without an id comes after all others; rows
     that share an id are one document in this sense and do not remove each other's bytes. Other columns are ignored;
-    an empty table gives no rows.
+    an empty table gives no rows. Rows are told apart by a hash of 64 bits of id and text.
 
     Anchors (see ``anchors``) meet by the hash of their gram. A context that repeats as a whole is decided by its
     smallest document; where a gram has several contexts, one copy of each is read again and its strings are compared
     by suffix ranks. The intervals then come together with the texts, a chunk of documents at a time.
     """
     rows = _rows(docs, id_column, text_column)
-    size = docs.agg(F.sum(F.octet_length(text_column))).first()[0] or 0
-    parts = max(1, -(-size // PARTITION_BYTES))
-    packed = rows.mapInArrow(_blobs(parts), "part int, h binary, context binary, number binary, place binary, rids binary, docs binary")
+    count, size = docs.agg(F.count("*"), F.sum(F.octet_length(text_column))).first()
+    parts, chunks = max(1, -(-(size or 0) // PARTITION_BYTES)), max(1, -(-count // CHUNK))
+
+    def judge(pdf: pd.DataFrame) -> pd.DataFrame:
+        return _judge(pdf, chunks)
+
+    def mark(pdf: pd.DataFrame) -> pd.DataFrame:
+        return _mark(pdf, chunks)
+
+    packed = rows.mapInArrow(_blobs(parts), "part int, h binary, context binary, sizes binary, place binary, rids binary, docs binary")
     judged = cut_lineage(packed.groupBy("part").applyInPandas(
-        _judge, "chunk long, rids binary, places binary, grams binary"))
-    asked = judged.where("chunk is null").select("grams")
+        judge, "chunk long, rids binary, sizes binary, places binary, asked binary"))
+    asked = judged.where("chunk is null").select("asked")
     shared = docs.sparkSession.sparkContext.broadcast(_bits(asked))
 
     def contexts(batches):
-        for batch in batches:
-            owner, place, h, context, whole = anchors(batch.column("bytes").to_pylist())
-            words = shared.value
-            hit = np.nonzero(words[((h >> np.uint64(6)) & np.uint64(FILTER_WORDS - 1)).astype(np.int64)]
-                             >> (h & np.uint64(63)) & np.uint64(1))[0]
+        for batch in small(batches, "bytes"):
+            texts = batch.column("bytes").to_pylist()
+            owner, place, h, context, whole = anchors(texts)
             rid, doc = (np.asarray(batch.column(c)) for c in ("rid", "doc"))
-            # Of each context in the batch, all copies in its smallest document.
-            order = hit[np.lexsort((doc[owner[hit]], context[hit], h[hit]))]
-            new = np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (context[order][1:] != context[order][:-1])]) \
-                if len(order) else np.zeros(0, bool)
-            group = np.cumsum(new) - 1
-            order = order[doc[owner[order]] == doc[owner[order[new]]][group]]
-            spots = np.stack([rid[owner[order]], place[order]], axis=1).astype(np.int64)
-            sizes = np.array([len(t) for t in batch.column("bytes").to_pylist()], np.int64)
+            word, bit = _spot(_asks(h, context, rid[owner]))
+            hit = np.nonzero(shared.value[word] >> bit & np.uint64(1))[0]
+            owner, place, h = owner[hit], place[hit], h[hit]
+            sizes = np.array([len(t) for t in texts], np.int64)
             starts = REACH + np.concatenate([[0], np.cumsum(sizes + REACH)[:-1]])
-            at = starts[owner[order]] + place[order] - REACH
+            at = starts[owner] + place - REACH
             yield pa.RecordBatch.from_arrays(
-                [pa.array(h[order].view(np.int64)), pa.array([whole[a:a + CONTEXT] for a in at.tolist()], pa.binary()),
-                 pa.array(doc[owner[order]]), pa.array([x.tobytes() for x in spots], pa.binary())], ["h", "context", "doc", "spot"])
-
-    read = rows.mapInArrow(contexts, "h long, context binary, doc long, spot binary")
-    same = read.repartition("h", "context").groupBy("h", "context", "doc").agg(F.collect_list("spot").alias("spots"))
-    one = cut_lineage(same.groupBy("h", "context").agg(F.min(F.struct("doc", "spots")).alias("first"))
-                      .select("h", "context", "first.doc", "first.spots"))
-    shards = max(1, -(-one.count() // SHARD))
-    marked = one.groupBy(F.pmod(F.xxhash64("h"), F.lit(shards)).alias("shard")).applyInPandas(
-        _mark, "chunk long, rids binary, begins binary")
-    removed = judged.where("chunk is not null").select("chunk", F.lit(0).alias("kind"), "rids", "places").unionAll(
-        marked.select("chunk", F.lit(1).alias("kind"), "rids", F.col("begins").alias("places")))
-    chunked = rows.withColumn("chunk", F.expr(f"rid div {CHUNK}"))
+                [pa.array(h.view(np.int64)), pa.array([whole[a:a + CONTEXT] for a in at.tolist()], pa.binary()),
+                 pa.array(doc[owner]), pa.array(rid[owner]), pa.array(place.astype(np.int64))], ["h", "context", "doc", "rid", "place"])
+
+    number = asked.agg(F.sum(F.octet_length("asked") / 8)).first()[0] or 0
+    shards = max(1, -(-int(number) // SHARD))
+    read = rows.mapInArrow(contexts, "h long, context binary, doc long, rid long, place long")
+    marked = read.groupBy(F.pmod(F.xxhash64("h"), F.lit(shards)).alias("shard")).applyInPandas(
+        mark, "chunk long, rids binary, sizes binary, places binary")
+    removed = judged.where("chunk is not null").select("chunk", F.lit(0).alias("kind"), "rids", "sizes", "places").unionAll(
+        marked.select("chunk", F.lit(1).alias("kind"), "rids", "sizes", "places"))
+    chunked = rows.withColumn("chunk", F.pmod("rid", F.lit(chunks)))
 
     def apply(texts: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        rid = texts["rid"].to_numpy()
-        order = np.argsort(rid)
-        sizes = np.array([len(b) for b in texts["bytes"]], np.int64)
+        rid, rows_, inverse = np.unique(texts["rid"].to_numpy(), return_index=True, return_inverse=True)
+        sizes = np.array([len(texts["bytes"].iloc[r]) for r in rows_], np.int64)
         at = np.concatenate([[0], np.cumsum(sizes + 1)])
         delta = np.zeros(at[-1] + 1, np.int64)
-        for kind, rids, places in zip(found["kind"], found["rids"], found["places"]):
-            i = order[np.searchsorted(rid[order], np.frombuffer(rids, np.int64))]
-            place = np.frombuffer(places, np.int64)
+        for kind, rids, counts, places in zip(found["kind"], found["rids"], found["sizes"], found["places"]):
+            i = np.repeat(np.searchsorted(rid, np.frombuffer(rids, np.int64)), _numbers(counts, 3).astype(np.int64))
+            place = _numbers(places, 4).astype(np.int64)
             low = np.maximum(place - REACH, 0) if kind == 0 else place
             high = np.minimum(place + GRAM + REACH, sizes[i]) if kind == 0 else place + LENGTH
             np.add.at(delta, at[i] + low, 1)
             np.add.at(delta, at[i] + high, -1)
         gone = np.cumsum(delta) > 0
         out = []
-        for k, raw in enumerate(texts["bytes"]):
+        for k, doc, raw in zip(inverse.tolist(), texts["doc"].tolist(), texts["bytes"]):
             mask = gone[at[k]:at[k] + sizes[k]]
             spans = int(mask[:1].sum() + (mask[1:] & ~mask[:-1]).sum())
             kept = np.frombuffer(raw, np.uint8)[~mask].tobytes()
-            doc = int(texts["doc"].iloc[k])
             out.append((doc if doc < (1 << 63) - 1 else None, len(raw), int(mask.sum()), spans,
                         hashlib.sha256(kept).hexdigest(), kept if with_text else None))
         frame = pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
