@@ -15,6 +15,8 @@ from porescreen.session import cut_lineage
 SHINGLE, SIMILARITY = 8, 0.8
 #: A pair of similarity s meets in a band with probability 1 - (1 - s^ROWS)^BANDS: 99.1 % at 0.8, 99.99 % at 0.9.
 BANDS, ROWS, SEED = 9, 4, 20
+#: Shingle sets of lines that a task remembers, some 25 kB each for a line of 300 characters.
+HELD_SETS = 2000
 #: Growth of the number of lines of a band that the others are compared with.
 HEADS = 8
 #: Words of 64 bits of the filter that picks the lines to verify; what passes it wrongly is dropped by the join after it.
@@ -150,18 +152,32 @@ def _texts(docs: DataFrame, text_column: str, wanted: DataFrame) -> DataFrame:
     return found.groupBy("key").agg(F.min("line").alias("line")).join(wanted, "key", "left_semi")
 
 
-def jaccard(a: str, b: str) -> float:
-    """Exact similarity of the sets of character shingles of two lines."""
-    x, y = ({s[i:i + SHINGLE] for i in range(max(1, len(s) - SHINGLE + 1))} for s in (a, b))
-    return len(x & y) / len(x | y)
+def shingles_of(line: str) -> frozenset[str]:
+    return frozenset([line[i:i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1))])
+
+
+def jaccard(x: frozenset, y: frozenset) -> float:
+    """Exact similarity of two sets of character shingles."""
+    both = len(x & y)
+    return both / (len(x) + len(y) - both)
 
 
 def _similar(batches):
+    held, last, y = {}, None, frozenset()
     for batch in batches:
-        a, b, x, y = (batch.column(c).to_pylist() for c in ("a", "b", "line_a", "line_b"))
-        hit = [i for i in range(len(a)) if jaccard(x[i], y[i]) >= SIMILARITY]
-        yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in hit], pa.int64()), pa.array([b[i] for i in hit], pa.int64())],
-                                         ["a", "b"])
+        found = []
+        for a, b, one, other in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "line_a", "line_b"))):
+            if b != last:  # the rows come sorted by b
+                last, y = b, shingles_of(other)
+            x = held.get(a)
+            if x is None:
+                if len(held) >= HELD_SETS:
+                    held.clear()
+                x = held[a] = shingles_of(one)
+            # Sets whose sizes differ by more than the similarity allows need no comparison.
+            if min(len(x), len(y)) >= SIMILARITY * max(len(x), len(y)) and jaccard(x, y) >= SIMILARITY:
+                found.append((a, b))
+        yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
 def similar_lines(docs: DataFrame, keyed: DataFrame, text_column: str = "text") -> DataFrame:

@@ -46,7 +46,8 @@ def plain_lines(rows):
     for i, t in rows:
         docs.setdefault(i, []).append(t)
     known = sorted({lines.normal(x) for _, t in rows for x in lines.lines_of(t or "")} - {""})
-    linked = [(a, b) for a in range(len(known)) for b in range(a) if lines.jaccard(known[a], known[b]) >= 0.8]
+    sets = [lines.shingles_of(k) for k in known]
+    linked = [(a, b) for a in range(len(known)) for b in range(a) if lines.jaccard(sets[a], sets[b]) >= 0.8]
     root = dict(zip(known, groups_of(len(known), linked)))
     owner = {}
     for i, t in rows:
@@ -102,7 +103,7 @@ def test_bands_find_most_pairs_at_the_threshold():
         for at in rng.integers(0, 80, 2):
             other[at] = f"new{at}"
         a, b = " ".join(words), " ".join(other)
-        if 0.8 <= lines.jaccard(a, b) <= 0.9:
+        if 0.8 <= lines.jaccard(lines.shingles_of(a), lines.shingles_of(b)) <= 0.9:
             hashes = lines.band_hashes([a, b])
             all_, found = all_ + 1, found + bool((hashes[0] == hashes[1]).any())
     assert all_ > 100 and found / all_ >= 0.98
@@ -188,9 +189,9 @@ def test_reading_stops_early_with_the_same_result():
 
 
 def test_pipeline(spark, tmp_path):
-    rows = [(i, prose(7000 + i, 60 + i) + ("\nPlease read all of this notice before you go on." if i % 3 == 0 else "")) for i in range(40)]
-    rows += [(100 + i, rows[i][1]) for i in range(5)] + [(200, prose(8000, 30) + " " + prose(8001, 45)), (201, None), (202, ""), (None, prose(8002, 50))]
-    toxic = [(300 + i, prose(8100 + i, 40) + " vilest scoundrel " + prose(8300 + i, 9)) for i in range(60)]
+    rows = [(i, prose(7000 + i, 49) + ("\nPlease read all of this notice before you go on." if i % 3 == 0 else "")) for i in range(120)]
+    rows += [(400 + i, rows[i][1]) for i in range(5)] + [(200, prose(8000, 30) + " " + prose(8001, 45)), (201, None), (202, ""), (None, prose(8002, 50))]
+    toxic = [(300 + i, prose(8100 + i, 40) + " vilest scoundrel " + prose(8300 + i, 9)) for i in range(15)]
     labels = [(i, 1, 0) for i, _ in rows if i is not None] + [(i, 1, 1) for i, _ in toxic]
     frame(spark, rows + toxic).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
@@ -202,8 +203,8 @@ def test_pipeline(spark, tmp_path):
             assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
         docs.write.parquet(f"{tmp_path}/out{k}")
         docs = spark.read.parquet(f"{tmp_path}/out{k}")
-    ids = sorted(r["doc_id"] for r in docs.collect())
+    ids = sorted(-1 if r["doc_id"] is None else r["doc_id"] for r in docs.collect())
     # copies go with their originals' lines, of the texts without words one stays, the leak and the toxic ones go
-    assert [i for i in ids if i < 100] == list(range(40)) and 200 not in ids and not any(300 <= i < 400 for i in ids)
-    assert [i for i in ids if i >= 100] == [100]
+    assert [i for i in ids if i < 200] == list(range(-1, 120)) and 200 not in ids and not any(300 <= i < 400 for i in ids)
+    assert [i for i in ids if i >= 200] == [201]
     assert docs.count() == corpus_pipeline.run(spark, str(tmp_path)).count()
