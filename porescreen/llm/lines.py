@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from porescreen.llm.common import components, cut_round, gathered_bits, small, text_of
@@ -17,8 +17,6 @@ SHINGLE, SIMILARITY = 8, 0.8
 BANDS, ROWS, SEED = 9, 4, 20
 #: Shingle sets of lines that a task remembers, some 25 kB each for a line of 300 characters.
 HELD_SETS = 2000
-#: Growth of the number of lines of a band that the others are compared with.
-HEADS = 8
 #: Words of 64 bits of the filter that picks the lines to verify; what passes it wrongly is dropped by the join after it.
 FILTER_WORDS = 1 << 20
 #: Lines that a task remembers as signed already, before it forgets them all.
@@ -180,37 +178,41 @@ def _similar(batches):
         yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose lines are similar."""
+    pairs = cut_round(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    sides = pairs.join(texts.select(F.col("key").alias("a"), F.col("line").alias("line_a")), "a")
+    sides = sides.join(texts.select(F.col("key").alias("b"), F.col("line").alias("line_b")), "b")
+    return cut_round(sides.mapInArrow(_similar, "a long, b long"))
+
+
 def similar_lines(docs: DataFrame, keyed: DataFrame, text_column: str = "text") -> DataFrame:
-    """Verified links (a, b) between keys of different lines that share a band.
+    """Verified links (a, b) between keys of different lines; they connect all similar pairs that share a band.
 
-    The members of a band are compared with its least key, and leave if they are similar to it. Those that stay are
-    compared with the least HEADS of them, then with HEADS times as many and so on, until none are left: a group of
-    copies takes one comparison each, and lines that only look alike are all compared in a few rounds.
+    The members of a band are compared with its least key, and those without any link so far with its greatest. What
+    is connected then needs no comparison: in each band, only the members outside its largest component are compared
+    with the members of other components. A group of near copies so takes a few comparisons a member.
     """
     spots = keyed.select("fresh", F.posexplode("hashes").alias("pos", "band")).select(
         "band", F.get("fresh", (F.col("pos") / BANDS).cast("int")).alias("key"))
-    heads = cut_round(spots.groupBy("band").agg(F.min("key").alias("a"), F.max("key").alias("other"))
-                      .where("a <> other").select("band", "a"))
-    members = cut_round(spots.join(heads, "band").where("key <> a").select("band", "a", F.col("key").alias("b")).distinct())
-    wanted = members.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    texts = cut_lineage(_texts(docs, text_column, cut_round(wanted)))
-    links, width = None, 1
-    while True:
-        pairs = cut_round(members.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        sides = pairs.join(texts.select(F.col("key").alias("a"), F.col("line").alias("line_a")), "a")
-        sides = sides.join(texts.select(F.col("key").alias("b"), F.col("line").alias("line_b")), "b")
-        found = cut_round(sides.mapInArrow(_similar, "a long, b long"))
-        links = found if links is None else links.unionAll(found)
-        both = found.unionAll(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        done = members.join(both, ["a", "b"], "left_semi").select("band", "b").unionAll(members.select("band", F.col("a").alias("b")))
-        rest = cut_round(members.select("band", "b").distinct().join(done.distinct(), ["band", "b"], "left_anti"))
-        width *= HEADS
-        order = Window.partitionBy("band").orderBy("b")
-        heads = rest.withColumn("place", F.row_number().over(order)).where(F.col("place") <= width)
-        heads = cut_round(heads.select("band", F.col("b").alias("a")))
-        members = cut_round(rest.join(heads, "band").where("a <> b").select("band", "a", "b"))
-        if members.isEmpty():
-            return links
+    ends = cut_round(spots.groupBy("band").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high"))
+    members = cut_round(spots.join(ends, "band").select("band", "key", "low", "high").distinct())
+    texts = cut_lineage(_texts(docs, text_column, cut_round(members.select("key").distinct())))
+    links = _verified(members.where("key <> low").select(F.col("key").alias("a"), F.col("low").alias("b")), texts)
+    linked = cut_round(links.select(F.explode(F.array("a", "b")).alias("key")).distinct())
+    alone = members.where("key <> low and key <> high").join(linked, "key", "left_anti")
+    links = links.unionAll(_verified(alone.select(F.col("key").alias("a"), F.col("high").alias("b")), texts))
+
+    roots = components(links)
+    placed = cut_round(members.select("band", "key").join(roots.withColumnRenamed("node", "key"), "key", "left").select(
+        "band", "key", F.coalesce("root", "key").alias("root")))
+    sizes = placed.groupBy("band", "root").agg(F.count("*").alias("n"))
+    largest = cut_round(sizes.groupBy("band").agg(F.max_by("root", F.struct("n", "root")).alias("top"), F.count("*").alias("roots"))
+                        .where("roots > 1").select("band", "top"))
+    mixed = cut_round(placed.join(largest, "band"))
+    apart = cut_round(mixed.where("root <> top").select("band", F.col("key").alias("a"), F.col("root").alias("own")))
+    crossing = apart.join(mixed, "band").where(F.col("root") != F.col("own")).select("a", F.col("key").alias("b"))
+    return links.unionAll(_verified(crossing, texts))
 
 
 def decisions(docs: DataFrame, keyed: DataFrame, text_column: str = "text") -> DataFrame:
