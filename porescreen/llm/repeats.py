@@ -19,7 +19,9 @@ LENGTH, GRAM = 50, 20
 WINDOW, REACH = LENGTH - GRAM + 1, LENGTH - GRAM
 CONTEXT = 2 * REACH + GRAM
 #: Bytes of text per shuffle partition, about, and documents that come together again at the end, about.
-PARTITION_BYTES, CHUNK = 12 << 20, 256
+PARTITION_BYTES, CHUNK = 24 << 20, 256
+#: Bytes of text whose anchors a task computes at once.
+SLICE = 1 << 20
 #: Contexts that are compared together, about; those of one gram always are.
 SHARD = 8192
 #: Words of 64 bits of the filter that picks contexts to read; wrong hits only cost time.
@@ -108,7 +110,7 @@ def _numbers(raw: bytes, size: int) -> np.ndarray:
 def _blobs(parts: int):
     """Anchors as packed rows, one for each batch and partition, in the order of the texts."""
     def run(batches):
-        for batch in small(batches, "bytes"):
+        for batch in small(batches, "bytes", SLICE):
             texts = batch.column("bytes").to_pylist()
             rid, doc = (np.asarray(batch.column(c)) for c in ("rid", "doc"))
             owner, place, h, context, _ = anchors(texts)
@@ -120,7 +122,7 @@ def _blobs(parts: int):
                 used, number = np.unique(owner[i], return_inverse=True)
                 sizes = np.bincount(number)
                 rows.append((p, _planes(h[i], 6), context[i].tobytes(), _planes(sizes, 4), _planes(place[i], 4),
-                             rid[used].tobytes(), doc[used].tobytes()))
+                             rid[used].tobytes(), _planes(doc[used], 8)))
             columns = list(zip(*rows)) or [[]] * 7
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])],
                                              ["part", "h", "context", "sizes", "place", "rids", "docs"])
@@ -133,7 +135,8 @@ def _joined(pdf: pd.DataFrame):
     context = np.frombuffer(b"".join(pdf["context"]), np.uint64)
     place = np.concatenate([_numbers(x, 4) for x in pdf["place"]]).astype(np.int64)
     sizes = np.concatenate([_numbers(x, 4) for x in pdf["sizes"]]).astype(np.int64)
-    rid, doc = (np.repeat(np.frombuffer(b"".join(pdf[c]), np.int64), sizes) for c in ("rids", "docs"))
+    rid = np.repeat(np.frombuffer(b"".join(pdf["rids"]), np.int64), sizes)
+    doc = np.repeat(np.concatenate([_numbers(x, 8) for x in pdf["docs"]]).view(np.int64), sizes)
     return h, context, place, rid, doc
 
 
@@ -256,7 +259,7 @@ def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     shared = docs.sparkSession.sparkContext.broadcast(_bits(asked))
 
     def contexts(batches):
-        for batch in small(batches, "bytes"):
+        for batch in small(batches, "bytes", SLICE):
             texts = batch.column("bytes").to_pylist()
             owner, place, h, context, whole = anchors(texts)
             rid, doc = (np.asarray(batch.column(c)) for c in ("rid", "doc"))

@@ -139,7 +139,11 @@ def test_licenses(spark, license_rows):
     assert licenses.scan(empty(spark)).count() == 0
 
 
-def test_repeats(spark):
+@pytest.mark.parametrize("many_parts", [False, True])
+def test_repeats(spark, monkeypatch, many_parts):
+    if many_parts:
+        for name, value in (("PARTITION_BYTES", 9000), ("CHUNK", 5), ("SHARD", 20)):
+            monkeypatch.setattr(repeats, name, value)
     rows = texts() + [(80, "ab" * 40), (81, "cab" + "ab" * 60 + "x" * 51), (82, prose_tail := "é" * 49), (83, "é" * 24), (84, "q" + prose_tail)]
     first = {}
     for i, t in rows:
