@@ -15,18 +15,18 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from porescreen.llm.common import text_of
+from porescreen.llm.common import small, text_of
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
-#: Words whose pieces are shipped to all tasks: so many of the most frequent, up to so many bytes each.
-#: The others are folded where they stand, so this bounds what is broadcast and changes no result.
+#: Words that are folded and shipped to all tasks: so many of the most frequent, up to so many bytes each. Others are
+#: merged where they stand, in ``merge_word``, so this bounds what is broadcast and changes no result.
 COMMON_WORDS, COMMON_BYTES = 1 << 18, 32
-#: A fold reads every pair once per merge; longer words are merged by a linked list, with the same result.
-FOLD_BYTES = 96
+#: Bytes of a word up to which a list of pairs is quicker than a heap.
+SHORT = 64
 #: Tasks that fold the frequent words.
 FOLD_TASKS = 64
 #: Entries of a task's own memory of chunks before it is emptied.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 BUCKETS = 8192
 
 
@@ -77,8 +77,29 @@ def decode_ids(ids: list[int], pieces: dict[int, bytes]) -> bytes:
     return b"".join([pieces[i] for i in ids])
 
 
-def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The same merges with a heap over a linked list, for words too long to fold."""
+def merge_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The same merges for words that are not folded: short ones by a list of the ranks of their pairs."""
+    if len(word) > SHORT:
+        return _merge_long(word, ranks)
+    none, get = len(ranks) + 1, ranks.get
+    parts = [word[i:i + 1] for i in range(len(word))]
+    pairs = [get(a + b, none) for a, b in zip(parts, parts[1:])]
+    while pairs:
+        least = min(pairs)
+        if least == none:
+            break
+        i = pairs.index(least)
+        parts[i:i + 2] = [parts[i] + parts[i + 1]]
+        del pairs[i]
+        if i < len(pairs):
+            pairs[i] = get(parts[i] + parts[i + 1], none)
+        if i:
+            pairs[i - 1] = get(parts[i - 1] + parts[i], none)
+    return [ranks[p] for p in parts]
+
+
+def _merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """A heap over a linked list: n log n steps for any length."""
     n = len(word)
     start, end = list(range(n)), list(range(1, n + 1))
     before, after = list(range(-1, n - 1)), [*range(1, n), -1]
@@ -112,36 +133,38 @@ class Splitter:
         self.words = regex.compile(pattern).findall
         self.odd = regex.compile(r" \s|\s $").search
 
-    def chunks(self, text: str) -> list[str]:
-        """At a single space before a character that is none, a word always begins; other texts are one chunk."""
-        if not text:
-            return []
+    def chunks(self, text: str) -> tuple[str, list[str]]:
+        """(first chunk, others without the space before them): at a single space before a character that is none, a
+        word always begins. A text with other spaces is one chunk."""
         if self.odd(text):
-            return [text]
-        first, *rest = text.split(" ")
-        return [*([first] if first else []), *(" " + r for r in rest)]
+            return text, []
+        first, *others = text.split(" ")
+        return first, others
 
 
 def distinct_words(docs: DataFrame, text_column: str = "text", pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     """(word, n) of all words of all texts, as binary; counted in each task before they are shuffled."""
     def run(batches):
-        split, held = Splitter(pattern), Counter()
+        split, first, others = Splitter(pattern), Counter(), Counter()
 
         def words():
             out = Counter()
-            for chunk, n in held.items():
-                for w in split.words(chunk):
-                    out[w] += n
-            held.clear()
+            for held, before in ((first, ""), (others, " ")):
+                for chunk, n in held.items():
+                    for w in split.words(before + chunk):
+                        out[w] += n
+                held.clear()
             return pa.RecordBatch.from_arrays(
                 [pa.array([w.encode("utf-8", "replace") for w in out], pa.binary()), pa.array(list(out.values()), pa.int64())],
                 ["word", "n"])
 
-        for batch in batches:
+        for batch in small(batches):
             for text in text_of(batch):
-                held.update(split.chunks(text))
-                if len(held) > REMEMBERED:
-                    yield words()
+                one, more = split.chunks(text)
+                first[one] += 1
+                others.update(more)
+            if len(first) + len(others) > REMEMBERED:
+                yield words()
         yield words()
 
     counted = docs.select(F.col(text_column).alias("text")).mapInArrow(run, "word binary, n long")
@@ -176,7 +199,7 @@ def encode(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     without an id; other columns are ignored; an empty table gives no rows. A character that no text can hold
     (a lone surrogate) is encoded as a question mark.
 
-    The most frequent distinct words are folded once and shipped; what a text holds besides is folded in its row.
+    The most frequent distinct words are folded once and shipped; what a text holds besides is merged in its row.
     """
     spark, ranks = docs.sparkSession, read_ranks(path)
     table = _rank_map(ranks)
@@ -187,81 +210,38 @@ def encode(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     packed = [bytes(r[0]) for r in coded.mapInArrow(_pack_words, "words binary").collect()]
     shared = spark.sparkContext.broadcast((packed, ranks))  # COMMON_WORDS and the vocabulary at most
 
-    def look_up(batches):
-        """The coded parts of each text, with a gap wherever a word is not among the frequent ones."""
+    def run(batches):
         ranks = shared.value[1]
         known, pieces = _unpacked(shared.value)
         split, held = Splitter(pattern), {}
 
-        def of(chunk):
-            ids, parts = [], []
+        def coded(chunk):
+            ids = []
             for w in split.words(chunk):
                 raw = w.encode("utf-8", "replace")
-                hit = known.get(raw)
-                if hit is None and len(raw) > FOLD_BYTES:
-                    hit = merge_long(raw, ranks)
-                if hit is None:
-                    parts.append((" ".join(map(str, ids)), decode_ids(ids, pieces), len(ids), raw))
-                    ids = []
-                else:
-                    ids += hit
-            return parts, (" ".join(map(str, ids)), decode_ids(ids, pieces), len(ids))
-
-        for batch in batches:
-            out = {"n": [], "ids": [], "decoded": [], "rare": []}
-            for text in text_of(batch):
-                all_ids, all_bytes, rare, ids, bytes_, n = [], [], [], [], [], 0
-                for chunk in split.chunks(text):
-                    hit = held.get(chunk)
-                    if hit is None:
-                        hit = of(chunk)
-                        if len(chunk) < 64:
-                            if len(held) > REMEMBERED:
-                                held.clear()
-                            held[chunk] = hit
-                    parts, (a, b, c) = hit
-                    for x, y, z, raw in parts:
-                        if x:
-                            ids.append(x)
-                        bytes_.append(y)
-                        all_ids.append(" ".join(ids))
-                        all_bytes.append(b"".join(bytes_))
-                        rare.append(raw)
-                        ids, bytes_, n = [], [], n + z
-                    if a:
-                        ids.append(a)
-                    bytes_.append(b)
-                    n += c
-                out["n"].append(n)
-                out["ids"].append([*all_ids, " ".join(ids)])
-                out["decoded"].append([*all_bytes, b"".join(bytes_)])
-                out["rare"].append(rare)
-            kinds = {"n": pa.int64(), "ids": pa.list_(pa.string()), "decoded": pa.list_(pa.binary()), "rare": pa.list_(pa.binary())}
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(out[k], kinds[k]) for k in out)],
-                                             ["doc_id", *out])
-
-    def assemble(batches):
-        _, pieces = _unpacked(shared.value)
-        for batch in batches:
+                ids += known.get(raw) or merge_word(raw, ranks)
+            return " ".join(map(str, ids)), decode_ids(ids, pieces), len(ids)
+
+        def later(part):
+            hit = held[part] = coded(" " + part)
+            return hit
+
+        for batch in small(batches):
             out = [[], [], [], [], []]
-            columns = [batch.column(c).to_pylist() for c in ("n", "ids", "decoded", "rare_ids")]
-            for n, ids, decoded, rare_ids in zip(*columns):
-                texts, bytes_ = [ids[0]], [decoded[0]]
-                for coded, x, y in zip(rare_ids, ids[1:], decoded[1:]):
-                    texts += [" ".join(map(str, coded)), x]
-                    bytes_ += [decode_ids(coded, pieces), y]
-                    n += len(coded)
-                text, whole = " ".join(t for t in texts if t), b"".join(bytes_)
-                for o, v in zip(out, (n, hashlib.sha256(text.encode()).hexdigest(), hashlib.sha256(whole).hexdigest(),
-                                      text if with_ids else None, whole if with_ids else None)):
+            for text in text_of(batch):
+                if len(held) > REMEMBERED:
+                    held.clear()
+                first, others = split.chunks(text)
+                hits = [coded(first), *[held.get(part) or later(part) for part in others]]
+                ids, decoded = " ".join([h[0] for h in hits if h[2]]), b"".join([h[1] for h in hits])
+                values = (sum([h[2] for h in hits]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest(),
+                          ids if with_ids else None, decoded if with_ids else None)
+                for o, v in zip(out, values):
                     o.append(v)
             kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(o, k) for o, k in zip(out, kinds))],
                                              ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"])
 
     narrow = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    found = narrow.mapInArrow(look_up, "doc_id long, n long, ids array<string>, decoded array<binary>, rare array<binary>")
-    found = found.withColumn("rare_ids", F.transform("rare", lambda w: encode_word(w, table))).drop("rare")
-    done = found.mapInArrow(assemble, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, "
-                                      "ids string, decoded binary")
+    done = narrow.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids string, decoded binary")
     return done if with_ids else done.drop("ids", "decoded")
