@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from porescreen.llm.common import lowered
+from porescreen.session import cut_lineage
 
 # The phrases whose places are counted, and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -61,6 +62,8 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     votes = pairs.join(known, (F.xxhash64("pair") == F.col("h")) & (F.col("pair") == F.col("gram")))
     diagonals = votes.groupBy("doc_id", "hash", "template", "base", "label", "grams", "words", (F.col("pos") - F.col("at")).alias("diagonal")) \
         .agg(F.size(F.collect_set("pos")).alias("votes"), F.min("pos").alias("low"), F.max("pos").alias("high"))
+    # Both kinds of template read these few rows; without the cut the texts would be read once for each.
+    diagonals = cut_lineage(diagonals)
     whole = diagonals.where(F.col("base") & (F.col("votes") == F.col("grams")))
     places = whole.select("doc_id", "hash", "label", F.lit(1.0).alias("share"), F.lit(True).alias("base"), F.col("diagonal").alias("start"))
 
