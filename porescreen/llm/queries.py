@@ -57,9 +57,9 @@ def op7_repeats(spark: SparkSession, folder: str) -> DataFrame:
 
 
 OP7_SQL = """
-WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-p AS (SELECT doc_id, h, len(h) // 2 AS n, unnest(range(len(h) // 2)) AS pos FROM d),
-w AS (SELECT doc_id, pos, substr(h, 2 * pos + 1, 2) AS b, CASE WHEN pos + 50 <= n THEN substr(h, 2 * pos + 1, 100) END AS s FROM p),
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS h FROM documents),
+p AS (SELECT doc_id, h, octet_length(h) AS n, unnest(range(octet_length(h))) AS pos FROM d),
+w AS (SELECT doc_id, pos, hex(h[pos + 1 : pos + 1]) AS b, CASE WHEN pos + 50 <= n THEN h[pos + 1 : pos + 50] END AS s FROM p),
 m AS (SELECT s, min(doc_id) AS least FROM w WHERE s IS NOT NULL GROUP BY s),
 f AS (SELECT w.doc_id, pos, b, max(CASE WHEN least < w.doc_id THEN 1 ELSE 0 END)
           OVER (PARTITION BY w.doc_id ORDER BY pos ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone FROM w LEFT JOIN m USING (s)),
