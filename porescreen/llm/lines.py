@@ -5,10 +5,11 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from porescreen.llm.common import components, cut_round, gathered_bits, small, text_of
+from porescreen.llm.simhash import forest
 from porescreen.session import cut_lineage
 
 #: Characters of a shingle and similarity of near-duplicate lines.
@@ -17,8 +18,8 @@ SHINGLE, SIMILARITY = 8, 0.8
 BANDS, ROWS, SEED = 9, 4, 20
 #: Shingle sets of lines that a task remembers, some 25 kB each for a line of 300 characters.
 HELD_SETS = 2000
-#: Growth of the number of lines of a band that the others are compared with.
-HEADS = 8
+#: Lines and characters of a block, about, and shingles that two blocks count at once; parameters of speed and memory alone.
+BLOCK, BLOCK_CHARS, COLUMNS = 512, 1 << 20, 4096
 #: Words of 64 bits of the filter that picks the lines to verify; what passes it wrongly is dropped by the join after it.
 FILTER_WORDS = 1 << 20
 #: Lines that a task remembers as signed already, before it forgets them all.
@@ -180,37 +181,114 @@ def _similar(batches):
         yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose lines are similar."""
+    pairs = cut_round(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    sides = pairs.join(texts.select(F.col("key").alias("a"), F.col("line").alias("line_a")), "a")
+    sides = sides.join(texts.select(F.col("key").alias("b"), F.col("line").alias("line_b")), "b")
+    return cut_round(sides.mapInArrow(_similar, "a long, b long"))
+
+
+def _sets(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingle hashes of each line, sorted by hash, the line of each, and the number of them in each line."""
+    hashes, starts = shingle_hashes(lines)
+    owner = np.repeat(np.arange(len(lines)), np.diff(np.append(starts, len(hashes))))
+    order = np.lexsort((owner, hashes))
+    hashes, owner = hashes[order], owner[order]
+    fresh = np.ones(len(hashes), bool)
+    fresh[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
+    hashes, owner = hashes[fresh], owner[fresh]
+    return hashes, owner, np.bincount(owner, minlength=len(lines))
+
+
+def similar_of(left: list[str], right: list[str]) -> np.ndarray:
+    """Matrix that tells which lines of two blocks are similar, by exact counts of shared shingle hashes.
+
+    Different lines of which one is shorter than a shingle share none.
+    """
+    (x, at_x, size_x), (y, at_y, size_y) = _sets(left), _sets(right)
+    shared = np.intersect1d(x, y)
+    kept_x, kept_y = np.isin(x, shared), np.isin(y, shared)
+    x, at_x, y, at_y = np.searchsorted(shared, x[kept_x]), at_x[kept_x], np.searchsorted(shared, y[kept_y]), at_y[kept_y]
+    both = np.zeros((len(left), len(right)))
+    for low in range(0, len(shared), COLUMNS):
+        width = min(COLUMNS, len(shared) - low)
+        sides = []
+        for ids, at, n in ((x, at_x, len(left)), (y, at_y, len(right))):
+            i, j = np.searchsorted(ids, (low, low + width))
+            side = np.zeros((n, width), np.float32)
+            side[at[i:j], ids[i:j] - low] = 1
+            sides.append(side)
+        both += sides[0] @ sides[1].T
+    near = both / (size_x[:, None] + size_y[None, :] - both) >= SIMILARITY
+    near[[len(line) < SHINGLE for line in left]] = False
+    near[:, [len(line) < SHINGLE for line in right]] = False
+    return near
+
+
+def _crossing(batches):
+    for batch in batches:
+        found = []
+        for blocks in batch.column("blocks"):  # one block with itself, or two
+            sides = [block.as_py()["members"] for block in blocks]
+            left, right = sides[0], sides[-1]
+            roots = [np.array([m["root"] for m in side], np.int64) for side in (left, right)]
+            apart = roots[0][:, None] != roots[1][None, :]
+            if apart.any():
+                near = similar_of([m["line"] for m in left], [m["line"] for m in right]) & apart
+                found += [(left[i]["key"], right[j]["key"]) for i, j in forest(near)]
+        yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+
+def _crossing_links(placed: DataFrame, texts: DataFrame) -> DataFrame:
+    """Verified links between members of a band that lie in different components, (band, key, root, chars) given.
+
+    In each band the members outside its largest component are compared with all members of other components: both
+    are dealt to blocks, and each pair of blocks is one row with a key of its own. Its links are a spanning forest.
+    """
+    sizes = placed.groupBy("band", "root").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
+    top = F.max_by(F.struct("root", "n", "chars"), F.struct("n", "root")).alias("top")
+    sizes = sizes.groupBy("band").agg(top, F.sum("n").alias("n"), F.sum("chars").alias("chars"), F.count("*").alias("roots"))
+
+    def blocks(n, chars):
+        return F.greatest(F.ceil(n / F.lit(BLOCK)), F.ceil(chars / F.lit(BLOCK_CHARS)), F.lit(1)).cast("long")
+
+    mixed = cut_round(sizes.where("roots > 1").select(
+        "band", F.col("top.root").alias("top"), blocks(F.col("n") - F.col("top.n"), F.col("chars") - F.col("top.chars")).alias("p"),
+        blocks(F.col("top.n"), F.col("top.chars")).alias("q")))
+    salt = F.xxhash64("key")
+    dealt = cut_round(placed.join(mixed, "band").select(
+        "band", "key", "root", "p", "q", F.when(F.col("root") == F.col("top"), F.col("p") + F.pmod(salt, "q"))
+        .otherwise(F.pmod(salt, "p")).alias("block")))
+    held = dealt.join(texts, "key").groupBy("band", "block", "p", "q").agg(F.collect_list(F.struct("key", "root", "line")).alias("members"))
+    # A block outside the largest component meets all blocks, one inside only those outside.
+    met = F.expr("sequence(0L, IF(block < p, p + q, p) - 1)")
+    pairs = held.select("band", "block", "members", F.explode(met).alias("other"))
+    pairs = pairs.groupBy("band", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")).agg(
+        F.collect_list(F.struct("members")).alias("blocks"), F.count("*").alias("sides"))
+    # A number to which no member was dealt leaves the other block of the pair alone.
+    pairs = pairs.where("sides = 2 or low = high").select("blocks")
+    return cut_round(pairs.mapInArrow(_crossing, "a long, b long"))
+
+
 def similar_lines(docs: DataFrame, keyed: DataFrame, text_column: str = "text") -> DataFrame:
-    """Verified links (a, b) between keys of different lines that share a band.
+    """Verified links (a, b) between keys of different lines; they connect whatever similar pairs that share a band connect.
 
-    The members of a band are compared with its least key, and leave if they are similar to it. Those that stay are
-    compared with the least HEADS of them, then with HEADS times as many and so on, until none are left: a group of
-    copies takes one comparison each, and lines that only look alike are all compared in a few rounds.
+    The members of a band are compared with its least key. What is connected then needs no comparison; all other pairs
+    of a band are compared, in blocks, so a group of copies takes one comparison each.
     """
     spots = keyed.select("fresh", F.posexplode("hashes").alias("pos", "band")).select(
         "band", F.get("fresh", (F.col("pos") / BANDS).cast("int")).alias("key"))
-    heads = cut_round(spots.groupBy("band").agg(F.min("key").alias("a"), F.max("key").alias("other"))
-                      .where("a <> other").select("band", "a"))
-    members = cut_round(spots.join(heads, "band").where("key <> a").select("band", "a", F.col("key").alias("b")).distinct())
-    wanted = members.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    texts = cut_lineage(_texts(docs, text_column, cut_round(wanted)))
-    links, width = None, 1
-    while True:
-        pairs = cut_round(members.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        sides = pairs.join(texts.select(F.col("key").alias("a"), F.col("line").alias("line_a")), "a")
-        sides = sides.join(texts.select(F.col("key").alias("b"), F.col("line").alias("line_b")), "b")
-        found = cut_round(sides.mapInArrow(_similar, "a long, b long"))
-        links = found if links is None else links.unionAll(found)
-        both = found.unionAll(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        done = members.join(both, ["a", "b"], "left_semi").select("band", "b").unionAll(members.select("band", F.col("a").alias("b")))
-        rest = cut_round(members.select("band", "b").distinct().join(done.distinct(), ["band", "b"], "left_anti"))
-        width *= HEADS
-        order = Window.partitionBy("band").orderBy("b")
-        heads = rest.withColumn("place", F.row_number().over(order)).where(F.col("place") <= width)
-        heads = cut_round(heads.select("band", F.col("b").alias("a")))
-        members = cut_round(rest.join(heads, "band").where("a <> b").select("band", "a", "b"))
-        if members.isEmpty():
-            return links
+    heads = cut_round(spots.groupBy("band").agg(F.min("key").alias("head"), F.max("key").alias("other"))
+                      .where("head <> other").select("band", "head"))
+    members = cut_round(spots.join(heads, "band").select("band", "head", "key").distinct())
+    texts = cut_lineage(_texts(docs, text_column, cut_round(members.select("key").distinct())))
+    links = _verified(members.where("key <> head").select(F.col("head").alias("a"), F.col("key").alias("b")), texts)
+    roots = components(links).withColumnRenamed("node", "key")
+    lengths = texts.select("key", F.length("line").cast("long").alias("chars"))
+    placed = cut_round(members.join(roots, "key", "left").join(lengths, "key").select(
+        "band", "key", F.coalesce("root", "key").alias("root"), "chars"))
+    return links.unionAll(_crossing_links(placed, texts))
 
 
 def decisions(docs: DataFrame, keyed: DataFrame, text_column: str = "text") -> DataFrame:

@@ -95,6 +95,33 @@ def test_line_dedup(spark, line_rows):
     assert lines.scan(empty(spark)).count() == 0
 
 
+def test_variants_that_are_like_some_of_their_group_only(spark):
+    rng, known = np.random.default_rng(11), []
+    for group in range(3):
+        words = prose(1100 + group, 60).split()
+        for _ in range(150):
+            own = list(words)
+            for at in rng.choice(60, int(rng.integers(1, 5)), replace=False):
+                own[at] = f"edit{int(rng.integers(1000))}"
+            known.append(" ".join(own))
+    known = sorted(set(map(lines.normal, known)))
+    sets, bands = [lines.shingles_of(k) for k in known], lines.band_hashes(known)
+    linked = [(a, b) for a in range(len(known)) for b in range(a)
+              if (bands[a] == bands[b]).any() and lines.jaccard(sets[a], sets[b]) >= 0.8]
+    want = groups_of(len(known), linked)
+    docs = frame(spark, list(enumerate(known)))
+    links = lines.similar_lines(docs, lines.line_keys(docs))
+    at = {lines.key_of(k): i for i, k in enumerate(known)}
+    got = groups_of(len(known), [(at[r["a"]], at[r["b"]]) for r in links.collect()])
+    assert len(set(want)) > 20 and len(set(zip(want, got))) == len(set(want)) == len(set(got))
+
+
+def test_blocks_compare_as_pairs_do():
+    some = [prose(9000 + i % 7, 30) + f" tail{i}" for i in range(20)] + ["short", "short\0", "exactly8", "exactly9!", ""]
+    want = [[min(len(a), len(b)) >= 8 and lines.jaccard(lines.shingles_of(a), lines.shingles_of(b)) >= 0.8 for b in some] for a in some]
+    assert lines.similar_of(some, some).tolist() == want and sum(map(sum, want)) > len(some)
+
+
 def test_bands_find_most_pairs_at_the_threshold():
     rng, found, all_ = np.random.default_rng(4), 0, 0
     for k in range(800):
