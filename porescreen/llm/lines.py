@@ -181,66 +181,76 @@ def _similar(batches):
         yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, similar) -> DataFrame:
     """The pairs (a, b) whose lines are similar."""
     pairs = cut_round(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     sides = pairs.join(texts.select(F.col("key").alias("a"), F.col("line").alias("line_a")), "a")
     sides = sides.join(texts.select(F.col("key").alias("b"), F.col("line").alias("line_b")), "b")
-    return cut_round(sides.mapInArrow(_similar, "a long, b long"))
+    return cut_round(sides.mapInArrow(similar, "a long, b long"))
 
 
 def _sets(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return sets_of(*shingle_hashes(lines))
+
+
+def sets_of(hashes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct shingle hashes of each line, sorted by hash, the line of each, and the number of them in each line."""
-    hashes, starts = shingle_hashes(lines)
-    owner = np.repeat(np.arange(len(lines)), np.diff(np.append(starts, len(hashes))))
+    owner = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(hashes))))
     order = np.lexsort((owner, hashes))
     hashes, owner = hashes[order], owner[order]
     fresh = np.ones(len(hashes), bool)
     fresh[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
     hashes, owner = hashes[fresh], owner[fresh]
-    return hashes, owner, np.bincount(owner, minlength=len(lines))
+    return hashes, owner, np.bincount(owner, minlength=len(starts))
 
 
-def similar_of(left: list[str], right: list[str]) -> np.ndarray:
-    """Matrix that tells which lines of two blocks are similar, by exact counts of shared shingle hashes.
-
-    Different lines of which one is shorter than a shingle share none.
-    """
-    (x, at_x, size_x), (y, at_y, size_y) = _sets(left), _sets(right)
+def similar_sets(left: tuple, right: tuple) -> np.ndarray:
+    """Matrix that tells which sets of two blocks are similar, by exact counts of shared hashes; blocks as from ``_sets``."""
+    (x, at_x, size_x), (y, at_y, size_y) = left, right
     shared = np.intersect1d(x, y)
     kept_x, kept_y = np.isin(x, shared), np.isin(y, shared)
     x, at_x, y, at_y = np.searchsorted(shared, x[kept_x]), at_x[kept_x], np.searchsorted(shared, y[kept_y]), at_y[kept_y]
-    both = np.zeros((len(left), len(right)))
+    both = np.zeros((len(size_x), len(size_y)))
     for low in range(0, len(shared), COLUMNS):
         width = min(COLUMNS, len(shared) - low)
         sides = []
-        for ids, at, n in ((x, at_x, len(left)), (y, at_y, len(right))):
+        for ids, at, n in ((x, at_x, len(size_x)), (y, at_y, len(size_y))):
             i, j = np.searchsorted(ids, (low, low + width))
             side = np.zeros((n, width), np.float32)
             side[at[i:j], ids[i:j] - low] = 1
             sides.append(side)
         both += sides[0] @ sides[1].T
-    near = both / (size_x[:, None] + size_y[None, :] - both) >= SIMILARITY
+    return both / (size_x[:, None] + size_y[None, :] - both) >= SIMILARITY
+
+
+def similar_of(left: list[str], right: list[str]) -> np.ndarray:
+    """Matrix that tells which lines of two blocks are similar.
+
+    Different lines of which one is shorter than a shingle share none.
+    """
+    near = similar_sets(_sets(left), _sets(right))
     near[[len(line) < SHINGLE for line in left]] = False
     near[:, [len(line) < SHINGLE for line in right]] = False
     return near
 
 
-def _crossing(batches):
-    for batch in batches:
-        found = []
-        for blocks in batch.column("blocks"):  # one block with itself, or two
-            sides = [block.as_py()["members"] for block in blocks]
-            left, right = sides[0], sides[-1]
-            roots = [np.array([m["root"] for m in side], np.int64) for side in (left, right)]
-            apart = roots[0][:, None] != roots[1][None, :]
-            if apart.any():
-                near = similar_of([m["line"] for m in left], [m["line"] for m in right]) & apart
-                found += [(left[i]["key"], right[j]["key"]) for i, j in forest(near)]
-        yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
-
-
-def _crossing_links(placed: DataFrame, texts: DataFrame) -> DataFrame:
+def _crossing(compare):
+    def run(batches):
+        for batch in batches:
+            found = []
+            for blocks in batch.column("blocks"):  # one block with itself, or two
+                sides = [block.as_py()["members"] for block in blocks]
+                left, right = sides[0], sides[-1]
+                roots = [np.array([m["root"] for m in side], np.int64) for side in (left, right)]
+                apart = roots[0][:, None] != roots[1][None, :]
+                if apart.any():
+                    near = compare([m["line"] for m in left], [m["line"] for m in right]) & apart
+                    found += [(left[i]["key"], right[j]["key"]) for i, j in forest(near)]
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+    return run
+
+
+def _crossing_links(placed: DataFrame, texts: DataFrame, compare) -> DataFrame:
     """Verified links between members of a band that lie in different components, (band, key, root, chars) given.
 
     In each band the members outside its largest component are compared with all members of other components: both
@@ -268,27 +278,33 @@ def _crossing_links(placed: DataFrame, texts: DataFrame) -> DataFrame:
         F.collect_list(F.struct("members")).alias("blocks"), F.count("*").alias("sides"))
     # A number to which no member was dealt leaves the other block of the pair alone.
     pairs = pairs.where("sides = 2 or low = high").select("blocks")
-    return cut_round(pairs.mapInArrow(_crossing, "a long, b long"))
+    return cut_round(pairs.mapInArrow(_crossing(compare), "a long, b long"))
 
 
 def similar_lines(docs: DataFrame, keyed: DataFrame, text_column: str = "text") -> DataFrame:
-    """Verified links (a, b) between keys of different lines; they connect whatever similar pairs that share a band connect.
+    """Verified links (a, b) between keys of different lines; they connect whatever similar pairs that share a band connect."""
+    spots = keyed.select("fresh", F.posexplode("hashes").alias("pos", "band")).select(
+        "band", F.get("fresh", (F.col("pos") / BANDS).cast("int")).alias("key"))
+    return verified_links(spots, lambda wanted: _texts(docs, text_column, wanted), _similar, similar_of)
+
+
+def verified_links(spots: DataFrame, texts_of, similar, compare) -> DataFrame:
+    """Links (a, b) between the keys of (band, key) that connect whatever similar pairs that share a band connect.
 
     The members of a band are compared with its least key. What is connected then needs no comparison; all other pairs
-    of a band are compared, in blocks, so a group of copies takes one comparison each.
+    of a band are compared, in blocks, so a group of copies takes one comparison each. ``texts_of`` gives (key, line) of
+    the wanted keys, ``similar`` filters rows of pairs with their lines, ``compare`` gives the matrix of two blocks.
     """
-    spots = keyed.select("fresh", F.posexplode("hashes").alias("pos", "band")).select(
-        "band", F.get("fresh", (F.col("pos") / BANDS).cast("int")).alias("key"))
     heads = cut_round(spots.groupBy("band").agg(F.min("key").alias("head"), F.max("key").alias("other"))
                       .where("head <> other").select("band", "head"))
     members = cut_round(spots.join(heads, "band").select("band", "head", "key").distinct())
-    texts = cut_lineage(_texts(docs, text_column, cut_round(members.select("key").distinct())))
-    links = _verified(members.where("key <> head").select(F.col("head").alias("a"), F.col("key").alias("b")), texts)
+    texts = cut_lineage(texts_of(cut_round(members.select("key").distinct())))
+    links = _verified(members.where("key <> head").select(F.col("head").alias("a"), F.col("key").alias("b")), texts, similar)
     roots = components(links).withColumnRenamed("node", "key")
     lengths = texts.select("key", F.length("line").cast("long").alias("chars"))
     placed = cut_round(members.join(roots, "key", "left").join(lengths, "key").select(
         "band", "key", F.coalesce("root", "key").alias("root"), "chars"))
-    return links.unionAll(_crossing_links(placed, texts))
+    return links.unionAll(_crossing_links(placed, texts, compare))
 
 
 def decisions(docs: DataFrame, keyed: DataFrame, text_column: str = "text") -> DataFrame:

@@ -134,10 +134,12 @@ def fingerprint_links(fps: DataFrame, radius: int = 4, tile: int = TILE) -> Data
     return pairs.mapInArrow(_compare(radius), "a long, b long")
 
 
-def _grouped(own: DataFrame, radius: int) -> DataFrame:
-    """(fp, root, component_id) of every fingerprint of (doc_id, fp): its group, and the least id in the group."""
+def _grouped(own: DataFrame, links_of) -> DataFrame:
+    """(fp, root, component_id) of every fingerprint of (doc_id, fp): its group, and the least id in the group.
+
+    ``links_of`` gives the links (a, b) of a table of distinct fingerprints."""
     distinct = cut_lineage(own.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(fingerprint_links(distinct.select("fp"), radius))
+    roots = components(links_of(distinct.select("fp")))
     rooted = cut_lineage(distinct.join(roots, distinct["fp"] == roots["node"], "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root")))
     least = cut_lineage(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
@@ -153,7 +155,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     such rows alone has a null one). Other columns are ignored. An empty table gives no rows.
     """
     own = cut_lineage(fingerprints(docs, id_column, text_column, words))
-    return own.join(_grouped(own, radius).drop("root"), "fp").select(
+    return own.join(_grouped(own, lambda fps: fingerprint_links(fps, radius)).drop("root"), "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
@@ -164,13 +166,19 @@ def kept_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str
     Repeated rows of that id leave one row. Rows without an id leave when their group has a document with one; of a
     group of such rows alone one text stays, that of the least hash.
     """
-    own = cut_lineage(fingerprints(docs, id_column, text_column, words))
-    groups = _grouped(own, radius)
+    return kept_of_groups(docs, lambda d, i: fingerprints(d, i, text_column, words), lambda fps: fingerprint_links(fps, radius),
+                          id_column, text_column)
+
+
+def kept_of_groups(docs: DataFrame, prints_of, links_of, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """``kept_documents`` of any prints: prints_of(docs, id column) gives (doc_id, fp), links_of(fps) links of prints."""
+    own = cut_lineage(prints_of(docs, id_column))
+    groups = _grouped(own, links_of)
     ids = groups.where("component_id is not null").select(F.col("component_id").alias("__kept")).distinct()
     named = docs.join(ids, F.col(id_column).cast("long") == F.col("__kept"), "left_semi").dropDuplicates([id_column])
 
     nameless, mark = docs.where(F.col(id_column).isNull()), F.xxhash64(F.coalesce(F.col(text_column), F.lit("")))
-    prints = fingerprints(nameless.select(mark.alias("mark"), text_column), "mark", text_column, words)
+    prints = prints_of(nameless.select(mark.alias("mark"), text_column), "mark")
     alone = groups.where("component_id is null").select("fp", "root")
     marks = prints.join(alone, "fp").groupBy("root").agg(F.min("doc_id").alias("__kept")).select("__kept")
     return named.unionByName(nameless.join(marks, mark == F.col("__kept"), "left_semi").dropDuplicates([text_column]))

@@ -215,6 +215,27 @@ def test_reading_stops_early_with_the_same_result():
         assert sorted(i for a, i, _ in got if a == q) == sorted(best)
 
 
+def test_near_duplicate_stage(spark):
+    from porescreen.llm import documents
+
+    rows, rng = [(500, None), (501, " "), (502, "few words"), (503, "Few  words"), (None, prose(9500, 90)), (504, prose(9600, 400))], np.random.default_rng(12)
+    for k in range(12):
+        words = prose(9700 + k, 200).split()
+        rows.append((k, " ".join(words)))
+        for n, at in ((100 + k, 2), (200 + k, 4), (300 + k, 12)):
+            own = list(words)
+            for x in rng.choice(40, at, replace=False) * 5:
+                own[x] = f"new{n}"
+            rows.append((n, " ".join(own)))
+    sets = [set(documents.shingle_hashes(t or "").tolist()) for _, t in rows]
+    similar = [(a, b) for a in range(len(rows)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    groups = groups_of(len(rows), similar)
+    want = {min(i for (i, _), h in zip(rows, groups) if h == g and i is not None) for (i, _), g in zip(rows, groups) if i is not None}
+    got = corpus_pipeline.simhash_stage(spark, frame(spark, rows), "")
+    kept = sorted(-1 if r["doc_id"] is None else r["doc_id"] for r in got.collect())
+    assert kept == [-1, *sorted(want)] and len(similar) > 20
+
+
 def test_pipeline(spark, tmp_path):
     rows = [(i, prose(7000 + i, 49) + ("\nPlease read all of this notice before you go on." if i % 3 == 0 else "")) for i in range(120)]
     rows += [(400 + i, rows[i][1]) for i in range(5)] + [(200, prose(8000, 30) + " " + prose(8001, 45)), (201, None), (202, ""), (None, prose(8002, 50))]
