@@ -1,4 +1,4 @@
-"""Benchmark decontamination in DataFrame functions alone: windows as long as an item, SimHash blocks, exact similarity."""
+"""Benchmark decontamination in DataFrame functions alone: windows as long as an item at shared shingles, exact similarity."""
 
 from __future__ import annotations
 
@@ -8,10 +8,6 @@ from pyspark.sql import functions as F
 from porescreen.session import cut_lineage
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: Bits in which the fingerprints of a window and its item may differ, and bits of a block: of RADIUS + 1 blocks one
-#: is equal in every pair within the radius. A window of similarity 0.8 shares all but a few words with its item,
-#: which moves its fingerprint by six bits or so.
-RADIUS, BLOCK_BITS = 15, 4
 WORD = r"[\p{L}\p{N}]+"
 #: What is made of the items is broadcast up to this size; beyond it Spark joins by shuffle.
 BROADCAST_BYTES = 32 << 20
@@ -27,13 +23,6 @@ def _shingles(words: str, to: str) -> Column:
                   f"transform(sequence(1, size({words}) - {SHINGLE - 1}), i -> {to.format(f'slice({words}, i, {SHINGLE})')}))")
 
 
-def _fingerprint(words: str) -> Column:
-    """SimHash of the words of a window, each weighted by how often it occurs."""
-    return F.expr(f"""aggregate(array(transform({words}, w -> xxhash64(w))), 0L, (_, hs) ->
-        aggregate(sequence(0, 63), 0L, (fp, b) -> fp |
-            IF(2 * aggregate(hs, 0, (s, h) -> s + CAST(shiftright(h, b) & 1L AS INT)) > size(hs), shiftleft(1L, b), 0L)))""")
-
-
 def _weighted(words: str) -> Column:
     """Shingles with the number of their occurrence, so that sets of them weigh a shingle by its count."""
     text = f"transform(sequence(1, size({words}) - {SHINGLE - 1}), i -> concat_ws(' ', slice({words}, i, {SHINGLE})))"
@@ -42,10 +31,10 @@ def _weighted(words: str) -> Column:
 
 
 def items_of(benchmark: DataFrame) -> DataFrame:
-    """(item_id, words, n, fp) of the items of five words or more; shorter ones can't be told from chance."""
+    """(item_id, item_words, n) of the items of five words or more; shorter ones can't be told from chance."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), _words(F.col("text")).alias("item_words"))
     items = items.where((F.size("item_words") >= SHINGLE) & F.col("item_id").isNotNull()).dropDuplicates(["item_id"])
-    return items.withColumn("n", F.size("item_words")).withColumn("item_fp", _fingerprint("item_words"))
+    return items.withColumn("n", F.size("item_words"))
 
 
 def _sized(df: DataFrame, row_bytes: Column) -> DataFrame:
@@ -56,9 +45,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text
     """(doc_id, text_hash, item_id, start_word, n_words, similarity): the best place of each item in each document.
 
     Wherever a document holds five words of an item in a row, the window that then lines up with the item, of as many
-    words as the item, is a candidate; windows without such words have no similarity at all. Candidates meet the items
-    of their size by equal blocks of their SimHash, which finds every pair within the radius. Pairs within it are kept
-    if the weighted Jaccard similarity of their shingles, counted exactly, is at least 0.8; ties go to the first place.
+    words as the item, is a candidate; windows without such words have no similarity at all. Every candidate is
+    compared with the items that it lines up with and kept if the weighted Jaccard similarity of their shingles,
+    counted exactly, is at least 0.8; ties go to the first place.
 
     Words are runs of letters and digits in lower case. Null and empty texts, and items of fewer than five words or
     without an id, have no leaks. Repeated rows give one result, and of items that share an id one is searched; documents without an id are told apart by the hash of
@@ -66,29 +55,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text
     """
     items = cut_lineage(items_of(benchmark))
     grams = items.select("item_id", "n", F.posexplode(_shingles("item_words", "xxhash64(concat_ws(' ', {}))")).alias("at", "h"))
-    grams = cut_lineage(grams.groupBy("h", "n", "at").agg(F.count("*").alias("held")).select("h", "n", "at"))
+    grams = cut_lineage(grams)
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.xxhash64(text_column).alias("text_hash"),
                        _words(F.col(text_column)).alias("words"))
     spots = rows.select("doc_id", "text_hash", "words",
                         F.posexplode(_shingles("words", "xxhash64(concat_ws(' ', {}))")).alias("pos", "h"))
     spots = spots.join(_sized(grams, F.lit(32)), "h").select(
-        "doc_id", "text_hash", "n", (F.col("pos") - F.col("at")).alias("start"),
+        "doc_id", "text_hash", "item_id", "n", (F.col("pos") - F.col("at")).alias("start"),
         F.expr("slice(words, greatest(pos - at, 0) + 1, n + least(pos - at, 0))").alias("window"))
-    windows = cut_lineage(spots.dropDuplicates(["doc_id", "text_hash", "n", "start"])
-                          .withColumn("fp", _fingerprint("window")))
-
-    blocks = F.expr(f"transform(sequence(0, {RADIUS}), b -> CAST(shiftright({{}}, {BLOCK_BITS} * b) & {2 ** BLOCK_BITS - 1} AS INT))"
-                    .format("fp"))
-    index = items.withColumnRenamed("item_fp", "fp").select("item_id", "n", F.col("fp").alias("item_fp"),
-                                                            F.posexplode(blocks).alias("block", "value"))
-    asked = windows.select("*", F.posexplode(blocks).alias("block", "value"))
-    met = asked.join(_sized(index, F.lit(48)), ["n", "block", "value"]).withColumn("x", F.col("fp").bitwiseXOR(F.col("item_fp")))
-    # A pair that meets in several blocks counts in the first.
-    first = F.expr(f"array_position(transform(sequence(0, {RADIUS}), b -> shiftright(x, {BLOCK_BITS} * b) & {2 ** BLOCK_BITS - 1}L), 0L)")
-    met = met.where((F.bit_count("x") <= RADIUS) & (first == F.col("block") + 1))
-    texts = items.select("item_id", "item_words")
-    met = met.join(_sized(texts, F.octet_length(F.concat_ws(" ", "item_words")) + 16 * F.size("item_words")), "item_id")
-    sets = met.select("doc_id", "text_hash", "item_id", "start", "n", _weighted("window").alias("a"), _weighted("item_words").alias("b"))
+    windows = spots.groupBy("doc_id", "text_hash", "n", "start").agg(
+        F.first("window").alias("window"), F.collect_set("item_id").alias("items"))
+    windows = cut_lineage(windows.select("doc_id", "text_hash", "n", "start", "items", _weighted("window").alias("a")))
+    met = windows.withColumn("item_id", F.explode("items")).drop("items")
+    held = cut_lineage(items.select("item_id", _weighted("item_words").alias("b")))
+    sets = met.join(_sized(held, F.octet_length(F.concat_ws(" ", "b")) + 16 * F.size("b")), "item_id")
     judged = sets.withColumn("both", F.size(F.array_intersect("a", "b"))).withColumn(
         "similarity", F.col("both") / (F.size("a") + F.size("b") - F.col("both"))).where(F.col("similarity") >= SIMILARITY)
     best = judged.groupBy("doc_id", "text_hash", "item_id").agg(

@@ -179,6 +179,20 @@ def test_decontamination(spark):
     assert decontaminate.leaks(empty(spark), bench).count() == 0 and decontaminate.leaks(frame(spark, rows), bench.limit(0)).count() == 0
 
 
+def test_leaks_at_the_threshold_are_all_found(spark):
+    rng, items, rows = np.random.default_rng(13), [], []
+    for n in (22, 31, 40, 49, 58):
+        for _ in range(40):
+            item = prose(20000 + len(items), n).split()[:n]
+            items.append((len(items), " ".join(item)))
+            for _ in range(10):  # of n - 4 shingles, as many go at the end as leave a similarity of 0.8
+                new = [f"w{int(x)}" for x in rng.integers(0, 100_000, (n - 4) // 9)]
+                rows.append((len(rows), " ".join(item[: n - len(new)] + new)))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(frame(spark, rows), bench).collect()}
+    assert got >= {(i, i // 10) for i, _ in rows}
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(8)
     vectors = [(i, rng.normal(0, 1, 16).tolist()) for i in range(260)]
