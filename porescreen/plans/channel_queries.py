@@ -326,15 +326,36 @@ SELECT framework, (v.i + t.t * {NI})::INT AS i, (v.j + u.u * {NJ})::INT AS j, (v
 FROM v_pore v JOIN rng USING (framework), range(0, 3) t(t), range(-3, 5) u(u), range(-3, 5) w(w)
 WHERE u BETWEEN lo_fy AND hi_fy AND w BETWEEN lo_fz AND hi_fz""")
 def tiled_pore_points(spark, sf_dir):
+    return _tiled_points(spark, sf_dir).filter("axis = 'X'").drop("axis")
+
+
+def _tiled_points(spark, sf_dir):
+    """Copies along the path of every axis: three cells in its own direction, and those it touches in the others."""
     rows, dims = voxels(spark, sf_dir)
-    route = cut_lineage(_route(rows, dims).filter("axis = 'X'"))
+    route = cut_lineage(_route(rows, dims))
     fractions = channel.fractional_paths(route, sequence(route, KEYS), dims)
     ranges = voxel.tile_ranges(fractions)
     placed = low_energy(rows).join(ranges, "framework").join(dims, "framework")
+    own = {x: F.col("axis") == axis for x, axis in zip("ijk", "XYZ")}
+    ends = dict(zip("ijk", ("fx", "fy", "fz")))
     sizes = {x: F.col(f"n{x}") for x in "ijk"}
-    low = {"i": F.lit(0), "j": F.col("lo_fy"), "k": F.col("lo_fz")}
-    high = {"i": F.lit(2), "j": F.col("hi_fy"), "k": F.col("hi_fz")}
-    return voxel.tile(placed, sizes, low, high).select("framework", "i", "j", "k", "e")
+    low = {x: F.when(own[x], F.lit(0)).otherwise(F.col(f"lo_{f}")) for x, f in ends.items()}
+    high = {x: F.when(own[x], F.lit(2)).otherwise(F.col(f"hi_{f}")) for x, f in ends.items()}
+    return voxel.tile(placed, sizes, low, high).select(*KEYS, "i", "j", "k", "e")
+
+
+_RANGES = ", ".join(f"""CASE axis WHEN '{a}' THEN 0 ELSE greatest(floor(min({c} / {n})) - 1, -3) END::INT AS lo_{f},
+         CASE axis WHEN '{a}' THEN 2 ELSE least(ceil(max({c} / {n})) + 1, 4) END::INT AS hi_{f}""" for a, c, n, f in zip("XYZ", "abc", GRID, ("fx", "fy", "fz")))
+
+
+@query("J9", SQL_CARTESIAN + f""",
+fr AS (SELECT framework, axis, i + 0.5::DOUBLE AS a, j + 0.5::DOUBLE AS b, k + 0.5::DOUBLE AS c FROM flat),
+rng AS (SELECT framework, axis, {_RANGES} FROM fr GROUP BY framework, axis)
+SELECT framework, axis, (v.i + t.t * {NI})::INT AS i, (v.j + u.u * {NJ})::INT AS j, (v.k + w.w * {NK})::INT AS k, e
+FROM v_pore v JOIN rng USING (framework), range(-3, 5) t(t), range(-3, 5) u(u), range(-3, 5) w(w)
+WHERE t BETWEEN lo_fx AND hi_fx AND u BETWEEN lo_fy AND hi_fy AND w BETWEEN lo_fz AND hi_fz""")
+def tiled_pore_points_by_axis(spark, sf_dir):
+    return _tiled_points(spark, sf_dir)
 
 
 @query("S5 S4", f"""WITH {V_PORE}, named AS (SELECT *, framework || '_' || i || '_' || j || '_' || k AS point FROM v_pore)

@@ -144,3 +144,15 @@ def test_whole_run(spark):
         assert r["dimensionality"] == "3D" and r["FDSi"] == 17.0 and r["PLD"] >= 3.5 and r["tortuosity"] >= 1
         assert r["barrier_official"] >= 0 and r["E_max"] == pytest.approx(r["barrier_official"] + r["E_min_official"], abs=1e-3)
     assert rows(out["summary"].select("framework", "status")) == [("open", "OK")]
+
+
+def test_pore_points_are_tiled_along_every_axis(spark):
+    from porescreen.plans import load_queries
+
+    built = {n: load_queries()[n].build(spark, "/root/testdata/sf0.001") for n in ("crossing_path", "tiled_pore_points_by_axis")}
+    paths = {tuple(r) for r in built["crossing_path"].select("framework", "axis").distinct().collect()}
+    tiled = built["tiled_pore_points_by_axis"].groupBy("framework", "axis").agg(*[F.expr(f"max({x}) as {x}") for x in "ijk"]).collect()
+    assert {(r["framework"], r["axis"]) for r in tiled} == paths and {a for _, a in paths} >= {"Y", "Z"}
+    for r in tiled:  # an axis has three cells in its own direction
+        x, n = {"X": ("i", 50), "Y": ("j", 11), "Z": ("k", 9)}[r["axis"]]
+        assert 2 * n <= r[x] < 3 * n
