@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from porescreen.session import cut_lineage
@@ -64,6 +65,28 @@ def cut_round(df: DataFrame) -> DataFrame:
     return cut_lineage(df.select(*[F.col(c).bitwiseXOR(F.lit(0).cast("long")).alias(c) for c in df.columns]))
 
 
+def laid_out(rows: DataFrame, keys: list[str], order: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows dealt and sorted by ranges of keys and order, so that a group of any size spreads, and one row per
+    (partition, group) with ``n``, the rows of the group, and what ``placed`` needs.
+
+    Keys are not null. Columns of a group join to the second table before ``placed``, which spares the rows a join
+    on a key that may be hot. Rows that agree in keys and order stay together: order ends in something that differs."""
+    laid = cut_lineage(rows.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+                           .withColumn("_at", F.monotonically_increasing_id()))
+    laid = laid.withColumn("_part", F.shiftright("_at", 33))
+    parts = laid.groupBy(*keys, "_part").agg(F.count("*").alias("_rows"), F.min("_at").alias("_first"))
+    group = W.partitionBy(*keys)
+    before = F.sum("_rows").over(group.orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
+    return laid, parts.select(*keys, "_part", F.sum("_rows").over(group).alias("n"),
+                              (F.coalesce(before, F.lit(0)) - F.col("_first")).alias("_shift"))
+
+
+def placed(laid: DataFrame, parts: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows with ``pos``, their place in the group from 0, and the other columns of ``parts``."""
+    return (laid.join(parts, [*keys, "_part"]).withColumn("pos", F.col("_at") + F.col("_shift"))
+                .drop("_at", "_part", "_shift"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """Connected components of the links (a, b): one row (node, root) per linked node, root its least member.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from porescreen.llm import bpe, decontaminate, html, licenses, lines, repeats, simhash, topk, toxicity, wordpiece
+from porescreen.llm import bpe, decontaminate, html, licenses, lines, manifest, repeats, simhash, topk, toxicity, wordpiece
 from porescreen.llm.common import table
 
 
@@ -96,11 +96,64 @@ def op10_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode(table(spark, folder, "documents"))
 
 
+def _duck_crc32(text: str) -> str:
+    """The unsigned CRC-32 of an ASCII text, in DuckDB, bit by bit."""
+    return (f"xor(list_reduce(list_transform(range(0, strlen({text}) + 1), lambda i: CASE WHEN i = 0 THEN 4294967295 "
+            f"ELSE CAST(ascii(substr({text}, i, 1)) AS BIGINT) END), lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), "
+            "lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295)")
+
+
+def op12_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return manifest.verify(table(spark, folder, "documents")).drop("proof")
+
+
+def _duck_record(*columns: str) -> str:
+    return " || ".join(f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen(CAST({c} AS VARCHAR)) || ':' || {c} END" for c in columns)
+
+
+OP12_SQL = f"""
+WITH RECURSIVE
+d AS (SELECT row_number() OVER () AS id, doc_id, source IS NOT NULL AS has, coalesce(source, '') AS src,
+             sha256({_duck_record("doc_id", "source", "lang", "n_chars", "text")}) AS leaf,
+             CASE WHEN {_duck_crc32("CAST(doc_id AS VARCHAR)")} % 2 = 0
+                  THEN sha256({_duck_record("doc_id", "source", "lang", "n_chars", "replace(text, chr(10), '')")}) END AS changed FROM documents),
+e AS (SELECT *, coalesce(changed, leaf) AS alt, dense_rank() OVER (ORDER BY has, src) - 1 AS tree,
+             row_number() OVER (PARTITION BY has, src ORDER BY doc_id NULLS FIRST, leaf, id) - 1 AS pos FROM d),
+up AS (
+    SELECT tree, 0 AS level, pos, leaf AS h, count(*) OVER (PARTITION BY tree) AS n FROM e
+    UNION ALL
+    SELECT tree, any_value(level) + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), (any_value(n) + 2) // 3 FROM up WHERE n > 1
+    GROUP BY tree, pos // 3),
+top AS (
+    SELECT 0 AS level, tree AS pos, h, count(*) OVER () AS n FROM up WHERE n = 1
+    UNION ALL
+    SELECT any_value(level) + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), (any_value(n) + 2) // 3 FROM top WHERE n > 1 GROUP BY pos // 3),
+nodes AS (SELECT tree, level, pos, h, n FROM up UNION ALL SELECT -1, level, pos, h, n FROM top),
+beside AS (
+    SELECT tree, level, pos, n,
+           coalesce(string_agg(h, '') OVER (r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+           coalesce(string_agg(h, '') OVER (r ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+    FROM nodes WINDOW r AS (PARTITION BY tree, level, pos // 3 ORDER BY pos)),
+climb AS (
+    SELECT id, tree AS origin, tree, 0 AS level, pos, alt AS f, '' AS proof FROM e
+    UNION ALL
+    SELECT c.id, c.origin, CASE WHEN b.n > 1 THEN c.tree ELSE -1 END, CASE WHEN b.n > 1 THEN c.level + 1 ELSE 0 END,
+           CASE WHEN b.n > 1 THEN c.pos // 3 ELSE c.tree END,
+           CASE WHEN b.n > 1 THEN sha256(b.l || c.f || b.r) ELSE c.f END, CASE WHEN b.n > 1 THEN c.proof || b.l || b.r ELSE c.proof END
+    FROM climb c JOIN beside b ON b.tree = c.tree AND b.level = c.level AND b.pos = c.pos WHERE b.n > 1 OR c.tree >= 0),
+ends AS (SELECT c.id, c.f, c.proof FROM climb c JOIN nodes n ON c.tree = -1 AND n.tree = -1 AND n.level = c.level AND n.pos = c.pos AND n.n = 1),
+root AS (SELECT h AS root FROM top WHERE n = 1),
+subroot AS (SELECT tree, h AS subroot FROM up WHERE n = 1)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, f AS folded_root, f = root AS verified
+FROM e JOIN subroot USING (tree) JOIN ends USING (id) CROSS JOIN root"""
+
+
 QUERIES = {
     "op1_simhash": op1_simhash, "op2_main_text": op2_main_text, "op3_decontamination": op3_decontamination,
     "op4_line_dedup": op4_line_dedup, "op5_licenses": op5_licenses, "op6_toxicity": op6_toxicity, "op7_repeats": op7_repeats,
-    "op8_token_counts": op8_token_counts, "op9_topk": op9_topk, "op10_byte_bpe": op10_byte_bpe, "pipeline": corpus_pipeline.run,
+    "op8_token_counts": op8_token_counts, "op9_topk": op9_topk, "op10_byte_bpe": op10_byte_bpe,
+    "op12_manifest": op12_manifest, "pipeline": corpus_pipeline.run,
 }
-SQL = {"op3_decontamination": OP3_SQL, "op7_repeats": OP7_SQL, "op9_topk": OP9_SQL}
+SQL = {"op3_decontamination": OP3_SQL, "op7_repeats": OP7_SQL, "op9_topk": OP9_SQL, "op12_manifest": OP12_SQL}
 if corpus_pipeline.ORACLE_SQL:
     SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
