@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from porescreen.llm import bpe, decontaminate, html, licenses, lines, manifest, repeats, simhash, topk, toxicity, wordpiece
+from porescreen.llm import bpe, decontaminate, html, licenses, lines, manifest, repeats, simhash, topk, toxicity, trie, wordpiece
 from porescreen.llm.common import table
 
 
@@ -148,12 +148,34 @@ SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, f AS folded_r
 FROM e JOIN subroot USING (tree) JOIN ends USING (id) CROSS JOIN root"""
 
 
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, folder, "conversations")).drop("n_bytes")
+
+
+OP13_SQL = f"""
+WITH t AS (
+    SELECT conv_id, coalesce(role, '') AS r, coalesce(text, '') AS x, row_number() OVER (
+        PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos FROM conversations WHERE conv_id IS NOT NULL),
+s AS (SELECT conv_id, list({{'r': r, 'x': x}} ORDER BY pos) AS turns, {_duck_crc32("CAST(conv_id AS VARCHAR)")} % 9 AS h FROM t GROUP BY conv_id),
+b AS (SELECT s.conv_id, list_concat(coalesce(o.turns[1 : s.h], []), s.turns[s.h + 1 :]) AS turns FROM s LEFT JOIN s o ON o.conv_id = s.conv_id - s.conv_id % 5),
+p AS (SELECT conv_id, len(turns) AS n, unnest(range(len(turns) + 1)) AS depth, turns FROM b),
+n AS (SELECT turns[1 : depth] AS k, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+             string_agg(CASE WHEN n = depth THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id) AS ends FROM p GROUP BY ALL),
+c AS (SELECT k[1 : depth - 1] AS k, depth - 1 AS depth, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY ALL),
+v AS (SELECT n.*, coalesce(n_children, 0) AS n_children, CASE WHEN n.depth > 0 THEN strlen(n.k[n.depth].x) ELSE 0 END AS n_bytes
+      FROM n LEFT JOIN c ON n.k = c.k AND n.depth = c.depth),
+u AS (SELECT unnest(range(depth + 1)) AS up, k, n_children, (n_convs - 1) * n_bytes AS saved FROM v),
+a AS (SELECT k[1 : up] AS k, up AS depth, count(*) FILTER (WHERE n_children = 0) AS n_leaves, CAST(sum(saved) AS BIGINT) AS saved_tokens FROM u GROUP BY ALL)
+SELECT v.conv_id, v.depth, o.conv_id AS parent_conv_id, v.n_convs, v.n_children, n_leaves, saved_tokens, sha256(coalesce(v.ends, '')) AS ends_sha256
+FROM v JOIN a ON v.k = a.k AND v.depth = a.depth LEFT JOIN n o ON v.depth > 0 AND o.depth = v.depth - 1 AND o.k = v.k[1 : v.depth - 1]"""
+
+
 QUERIES = {
     "op1_simhash": op1_simhash, "op2_main_text": op2_main_text, "op3_decontamination": op3_decontamination,
     "op4_line_dedup": op4_line_dedup, "op5_licenses": op5_licenses, "op6_toxicity": op6_toxicity, "op7_repeats": op7_repeats,
     "op8_token_counts": op8_token_counts, "op9_topk": op9_topk, "op10_byte_bpe": op10_byte_bpe,
-    "op12_manifest": op12_manifest, "pipeline": corpus_pipeline.run,
+    "op12_manifest": op12_manifest, "op13_prefix_trie": op13_prefix_trie, "pipeline": corpus_pipeline.run,
 }
-SQL = {"op3_decontamination": OP3_SQL, "op7_repeats": OP7_SQL, "op9_topk": OP9_SQL, "op12_manifest": OP12_SQL}
+SQL = {"op3_decontamination": OP3_SQL, "op7_repeats": OP7_SQL, "op9_topk": OP9_SQL, "op12_manifest": OP12_SQL, "op13_prefix_trie": OP13_SQL}
 if corpus_pipeline.ORACLE_SQL:
     SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
