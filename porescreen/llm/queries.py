@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from porescreen.llm import bpe, decontaminate, html, licenses, lines, manifest, repeats, simhash, topk, toxicity, trie, wordpiece
+from porescreen.llm import bpe, decontaminate, html, langid, licenses, lines, manifest, repeats, simhash, topk, toxicity, trie, wordpiece
 from porescreen.llm.common import table
 
 
@@ -96,6 +96,10 @@ def op10_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode(table(spark, folder, "documents"))
 
 
+def op11_language(spark: SparkSession, folder: str) -> DataFrame:
+    return langid.identify(table(spark, folder, "documents"))
+
+
 def _duck_crc32(text: str) -> str:
     """The unsigned CRC-32 of an ASCII text, in DuckDB, bit by bit."""
     return (f"xor(list_reduce(list_transform(range(0, strlen({text}) + 1), lambda i: CASE WHEN i = 0 THEN 4294967295 "
@@ -174,7 +178,7 @@ QUERIES = {
     "op1_simhash": op1_simhash, "op2_main_text": op2_main_text, "op3_decontamination": op3_decontamination,
     "op4_line_dedup": op4_line_dedup, "op5_licenses": op5_licenses, "op6_toxicity": op6_toxicity, "op7_repeats": op7_repeats,
     "op8_token_counts": op8_token_counts, "op9_topk": op9_topk, "op10_byte_bpe": op10_byte_bpe,
-    "op12_manifest": op12_manifest, "op13_prefix_trie": op13_prefix_trie, "pipeline": corpus_pipeline.run,
+    "op11_language": op11_language, "op12_manifest": op12_manifest, "op13_prefix_trie": op13_prefix_trie, "pipeline": corpus_pipeline.run,
 }
 SQL = {"op3_decontamination": OP3_SQL, "op7_repeats": OP7_SQL, "op9_topk": OP9_SQL, "op12_manifest": OP12_SQL, "op13_prefix_trie": OP13_SQL}
 if corpus_pipeline.ORACLE_SQL:
