@@ -92,11 +92,11 @@ def dilate(mask: DataFrame, dims: DataFrame, iterations: int = DILATION) -> Data
     return out.select("framework", *[F.col(x).cast("int").alias(x) for x in "ijk"])
 
 
-def repair_report(mask: DataFrame, dims: DataFrame, iterations: int = DILATION) -> DataFrame:
+def repair_report(mask: DataFrame, dims: DataFrame, iterations: int = DILATION, **bricks) -> DataFrame:
     """Component counts before and after dilation, and whether it may have merged channels."""
     def count(voxels, name):
         # A component is counted at the voxel that names it; labels are never gathered.
-        found = field.components(voxels, open_dims(dims), ["framework"]).join(dims.select("framework", "nj", "nk"), "framework")
+        found = field.components(voxels, open_dims(dims), ["framework"], **bricks).join(dims.select("framework", "nj", "nk"), "framework")
         return found.groupBy("framework").agg(F.count_if(F.col("label") == field.voxel_number()).alias(name))
 
     before = count(mask.select("framework", "i", "j", "k"), "n_before")
@@ -105,10 +105,10 @@ def repair_report(mask: DataFrame, dims: DataFrame, iterations: int = DILATION)
     return before.join(after, "framework").withColumn("may_merge", (F.col("n_before") > 2) & (F.col("n_after") < half))
 
 
-def percolates(accessible: DataFrame, dims: DataFrame, cells: DataFrame | None = None) -> DataFrame:
+def percolates(accessible: DataFrame, dims: DataFrame, cells: DataFrame | None = None, **bricks) -> DataFrame:
     """Per (framework, axis): do the entry and the exit face share a 6-connected component?"""
     sizes = single_dims(dims, cells)
-    found = field.components(per_axis(accessible.select("framework", "i", "j", "k")), sizes, KEYS, neighbours=6)
+    found = field.components(per_axis(accessible.select("framework", "i", "j", "k")), sizes, KEYS, neighbours=6, **bricks)
     sized = found.join(sizes.select(*KEYS, "ni", "nj", "nk"), KEYS)
     faces = sized.groupBy(*KEYS, "label").agg(
         F.bool_or(axis_index() == 0).alias("_in"), F.bool_or(axis_index() == axis_size() - 1).alias("_out"))
@@ -117,7 +117,7 @@ def percolates(accessible: DataFrame, dims: DataFrame, cells: DataFrame | None =
 
 
 def limiting_diameters(free_radius: DataFrame, dims: DataFrame, cells: DataFrame | None = None,
-                       probe_radius: float = 0.0) -> DataFrame:
+                       probe_radius: float = 0.0, **bricks) -> DataFrame:
     """Directional pore limiting diameter: twice the largest radius at which the axis percolates.
 
     That threshold is the widest path from the entry to the exit face, so one minimax pass over
@@ -125,16 +125,17 @@ def limiting_diameters(free_radius: DataFrame, dims: DataFrame, cells: DataFrame
     sizes = single_dims(dims, cells)
     voxels = per_axis(free_radius.filter(F.col("r") > probe_radius).select(
         "framework", "i", "j", "k", (-F.col("r")).alias("e")))
-    reached = field.minimax(voxels, sizes, KEYS, start=axis_index() == 0, neighbours=6)
+    reached = field.minimax(voxels, sizes, KEYS, start=axis_index() == 0, neighbours=6, **bricks)
     at_exit = reached.join(sizes.select(*KEYS, "ni", "nj", "nk"), KEYS).filter(axis_index() == axis_size() - 1)
     best = at_exit.groupBy(*KEYS).agg(F.min("w").alias("_w"))
     return sizes.select(*KEYS).join(best, KEYS, "left").select(
         *KEYS, F.coalesce(-2.0 * F.col("_w"), F.lit(0.0)).alias("pld"))
 
 
-def pore_sizes(free_radius: DataFrame, dims: DataFrame, cells: DataFrame | None = None, probe_radius: float = 0.0) -> DataFrame:
+def pore_sizes(free_radius: DataFrame, dims: DataFrame, cells: DataFrame | None = None, probe_radius: float = 0.0,
+               **bricks) -> DataFrame:
     """Cavity diameter and the three limiting diameters per framework, rounded to 4 decimals."""
-    pld = limiting_diameters(free_radius, dims, cells, probe_radius)
+    pld = limiting_diameters(free_radius, dims, cells, probe_radius, **bricks)
     wide = pld.groupBy("framework").agg(*[
         F.round(F.max(F.when(F.col("axis") == a, F.col("pld"))), 4).alias(f"pld_{v}") for a, v in zip("XYZ", "abc")])
     gcd = free_radius.groupBy("framework").agg(F.round(2 * F.max("r"), 4).alias("gcd"))
@@ -145,11 +146,11 @@ def pore_sizes(free_radius: DataFrame, dims: DataFrame, cells: DataFrame | None
         known.alias("ok"), F.when(known, "").otherwise("no free-radius voxels").alias("error"))
 
 
-def traversals(mask: DataFrame, dims: DataFrame, min_fraction: float = MIN_FRACTION) -> DataFrame:
+def traversals(mask: DataFrame, dims: DataFrame, min_fraction: float = MIN_FRACTION, **bricks) -> DataFrame:
     """Per (framework, axis): share of first-copy voxels in components that reach the third copy of
     a triple tiling (26 neighbours, nothing periodic), and whether the axis is traversable."""
     rows = tiled(mask.select("framework", "i", "j", "k"), dims)
-    found = field.components(rows.select(*KEYS, "i", "j", "k"), tiled_dims(dims, False), KEYS)
+    found = field.components(rows.select(*KEYS, "i", "j", "k"), tiled_dims(dims, False), KEYS, **bricks)
     n_axis = per_axis(dims.select("framework", "ni", "nj", "nk")).select(*KEYS, axis_size().alias("n_axis"))
     copy = F.floor(axis_index() / F.col("n_axis"))
     parts = found.join(n_axis, KEYS).groupBy(*KEYS, "label").agg(
@@ -178,23 +179,27 @@ def _end_regions(dims: DataFrame, fraction: float) -> DataFrame:
     return sizes.select(*KEYS, axis_size().alias("n_axis"), width.alias("width"))
 
 
-def crossing_energies(voxels: DataFrame, dims: DataFrame, fraction: float = BOUNDARY_FRACTION) -> tuple[DataFrame, DataFrame]:
-    """Minimax energies on the triple tiling (axis open, transverse periodic, 26 neighbours).
+def crossing_energies(voxels: DataFrame, dims: DataFrame, fraction: float = BOUNDARY_FRACTION,
+                      axes: DataFrame | None = None, **bricks) -> tuple[DataFrame, DataFrame]:
+    """Minimax energies on the triple tiling (axis open, transverse periodic, 26 neighbours), of the given ``axes`` or all.
 
     Returns the reached voxels (w) and, per (framework, axis) that reaches the end region, the
     transition energy."""
     regions = _end_regions(dims, fraction)
+    if axes is not None:
+        regions = regions.join(axes.select(*KEYS), KEYS, "left_semi")
     rows = tiled(voxels.select("framework", "i", "j", "k", "e"), dims).join(regions.select(*KEYS, "width"), KEYS)
     rows = rows.withColumn("_start", axis_index() < F.col("width"))
     seeded = rows.select(*KEYS, "i", "j", "k", "e", F.when(F.col("_start"), F.col("e")).alias("w"))
     # Written out: the reached voxels are read for the energies and again for the paths.
-    reached = cut_lineage(field.relax(seeded, tiled_dims(dims, True), KEYS, "minimax", 26))
+    reached = cut_lineage(field.spread(seeded, tiled_dims(dims, True), KEYS, 26, **bricks))
     at_end = reached.join(regions, KEYS).filter(axis_index() >= 3 * F.col("n_axis") - F.col("width"))
     energy = at_end.groupBy(*KEYS).agg(F.min("w").alias("transition_energy")).filter(F.col("transition_energy").isNotNull())
     return reached, energy
 
 
-def crossing_paths(reached: DataFrame, energy: DataFrame, dims: DataFrame, fraction: float = BOUNDARY_FRACTION) -> DataFrame:
+def crossing_paths(reached: DataFrame, energy: DataFrame, dims: DataFrame, fraction: float = BOUNDARY_FRACTION,
+                   **bricks) -> DataFrame:
     """Voxels (seq, i, j, k, e) of one minimax path per (framework, axis).
 
     Every prefix of the path is itself minimax-optimal.  Among equal choices the path has the
@@ -205,10 +210,10 @@ def crossing_paths(reached: DataFrame, energy: DataFrame, dims: DataFrame, fract
     useful = useful.withColumn("_start", axis_index() < F.col("width"))
     seeded = useful.select(*KEYS, "i", "j", "k", "e", "w", F.when(
         F.col("_start") & (F.col("w") == F.col("e")), F.lit(0)).cast("long").alias("hop"))
-    stepped = cut_lineage(field.relax(seeded, sizes, KEYS, "hops", 26))
+    stepped = cut_lineage(field.count_hops(seeded, sizes, KEYS, 26, **bricks))
     ends = stepped.join(regions, KEYS).filter((axis_index() >= 3 * F.col("n_axis") - F.col("width")) & F.col("hop").isNotNull())
     ends = ends.groupBy(*KEYS).agg(F.min(F.struct("w", "hop", "lin")).alias("_e")).select(*KEYS, "_e.lin")
-    chain = field.trace(stepped, ends, sizes, KEYS)
+    chain = field.trace(stepped, ends, sizes, KEYS, **bricks)
     placed = chain.join(sizes.select(*KEYS, "nj", "nk"), KEYS)
     return placed.select(*KEYS, F.col("hop").alias("seq"), *[v.alias(x) for x, v in field.voxel_of("lin").items()], "e")
 
@@ -234,7 +239,7 @@ def cartesian_paths(paths: DataFrame, seq: Sequence, dims: DataFrame, cells: Dat
 
 def barriers(grid: DataFrame, mask: DataFrame, dims: DataFrame, cells: DataFrame, traversal: DataFrame,
              threshold: float = ENERGY_THRESHOLD, min_nodes: int = MIN_PATH_NODES,
-             fraction: float = BOUNDARY_FRACTION, dilation: int = DILATION) -> tuple[DataFrame, DataFrame]:
+             fraction: float = BOUNDARY_FRACTION, dilation: int = DILATION, **bricks) -> tuple[DataFrame, DataFrame]:
     """Barrier records and index paths of the traversable axes.
 
     Axes without a path of enough nodes on the pore mask are tried again on the dilated mask,
@@ -245,8 +250,8 @@ def barriers(grid: DataFrame, mask: DataFrame, dims: DataFrame, cells: DataFrame
     low = mask.groupBy("framework").agg(F.first("e_min").alias("e_min"))
 
     def search(voxels: DataFrame, axes: DataFrame) -> DataFrame:
-        reached, energy = crossing_energies(voxels, dims, fraction)
-        path = crossing_paths(reached, energy.join(axes, KEYS, "left_semi"), dims, fraction)
+        reached, energy = crossing_energies(voxels, dims, fraction, axes, **bricks)
+        path = crossing_paths(reached, energy, dims, fraction, **bricks)
         return path.join(path.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_n")), KEYS).filter(F.col("_n") >= min_nodes).drop("_n")
 
     first = cut_lineage(search(mask, wanted))

@@ -1,15 +1,16 @@
-"""Fixpoints on voxel graphs, brick by brick.
-
-A voxel group (one framework, or one framework and axis) is cut into bricks of bounded volume.
-Each round is one grouped job: a brick with copies of the voxels next to it is brought to its
-own fixpoint with array operations, then the brick borders are exchanged.  Rounds count
-brick crossings of the longest path, not its voxels, and a group leaves the loop as soon as it
-is stable.  Groups that fit into one brick need a single pass and no loop at all.
-
-Three rules share the machinery:
-  components  least voxel number that a voxel is connected to
-  minimax     least possible highest energy on a path from a start voxel
-  hops        steps from a start voxel along edges that keep the minimax value
+"""Components, least bottlenecks, hops and paths on voxel graphs, brick by brick.
+
+A voxel group (one framework, or one framework and axis) is cut into bricks of bounded volume, each of which is one row group of
+a grouped job.
+
+  components  a brick labels its own voxels; labels that meet across a border make a graph, which ``contract`` solves
+  minimax     a brick reports a spanning forest between its border voxels; ``contract`` finds the bottlenecks of these, and the
+              brick then settles its inner voxels from them
+  hops        steps from a start voxel along edges that keep the minimax value; rounds of bricks that exchange their borders
+  trace       a brick reports where a chain that enters it leaves it; list ranking over the entries finds the bricks of a path
+
+So but for the hops voxels are read twice, whatever the number of bricks that a path crosses. A group in one brick has no border
+and needs no second pass.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from porescreen.operators import contract
 from porescreen.session import cut_lineage
 
 BRICK_VOLUME = 1 << 18
@@ -105,24 +107,6 @@ class _Brick:
         for s, step in enumerate(steps):
             self.near[self.own, s] = where[tuple(at[:, self.own] + np.array(step)[:, None])]
 
-    def components(self, label: np.ndarray) -> np.ndarray:
-        """Least label of each component: roots hook onto smaller neighbours, chains are halved."""
-        order = np.argsort(label, kind="stable")
-        rank = np.empty(len(label) + 1, dtype=np.int64)
-        rank[order], rank[-1] = np.arange(len(label)), len(label)
-        near = rank[self.near[order]]
-        root = np.arange(len(label) + 1)
-        while True:
-            least = np.minimum(root[:-1], root[near].min(axis=1))
-            if np.array_equal(least, root[:-1]):
-                return label[order][root[rank[:-1]]]
-            np.minimum.at(root, root[:-1].copy(), least)
-            while True:
-                shorter = root[root]
-                if np.array_equal(shorter, root):
-                    break
-                root = shorter
-
     def settle(self, value: np.ndarray, improve, usable=None) -> np.ndarray:
         """Label-correcting search: voxels next to the last changes try again until none improves.
 
@@ -143,68 +127,224 @@ class _Brick:
         return padded[:-1]
 
 
-def _solver(rule: str, steps, columns):
+def _hop_solver(steps, columns):
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
         brick = _Brick(rows, steps)
-        if rule == "components":
-            old = rows["label"].to_numpy(np.int64)
-            new = brick.components(old)
-            out = rows.assign(label=new)
-        elif rule == "minimax":
-            e, old = rows["e"].to_numpy(float), rows["w"].fillna(np.inf).to_numpy(float)
-            new = brick.settle(old, lambda near, at: np.maximum(near, e[at]))
-            out = rows.assign(w=pd.Series(new, index=rows.index).where(np.isfinite(new)))
-        else:
-            e, w = rows["e"].to_numpy(float), np.append(rows["w"].fillna(np.inf).to_numpy(float), np.inf)
-            lin = np.append(rows["lin"].to_numpy(np.int64), FAR)
-            old = rows["hop"].fillna(NO_HOP).to_numpy(np.int64)
-            tight = (np.maximum(w[brick.near], e[:, None]) == w[:-1, None]) & np.isfinite(w[:-1, None])
-            new = brick.settle(old, lambda near, at: near + 1, tight)
-            # Parent: tight neighbour one hop nearer, least minimax value, then least voxel number.
-            nearer = tight & (np.append(new, NO_HOP)[brick.near] + 1 == new[:, None])
-            energy = np.where(nearer, w[brick.near], np.inf)
-            first = nearer & (energy == energy.min(axis=1, keepdims=True))
-            parent = np.where(first, lin[brick.near], FAR).min(axis=1)
-            known = new < NO_HOP
-            out = rows.assign(hop=pd.Series(new, index=rows.index, dtype="Int64").where(known),
-                              parent=np.where(first.any(axis=1) & known & (new > 0), parent, -1))
-        out = out.assign(changed=new != old)
-        return out[brick.own][columns]
+        e, w = rows["e"].to_numpy(float), np.append(rows["w"].fillna(np.inf).to_numpy(float), np.inf)
+        lin = np.append(rows["lin"].to_numpy(np.int64), FAR)
+        old = rows["hop"].fillna(NO_HOP).to_numpy(np.int64)
+        tight = (np.maximum(w[brick.near], e[:, None]) == w[:-1, None]) & np.isfinite(w[:-1, None])
+        new = brick.settle(old, lambda near, at: near + 1, tight)
+        # Parent: tight neighbour one hop nearer, least minimax value, then least voxel number.
+        nearer = tight & (np.append(new, NO_HOP)[brick.near] + 1 == new[:, None])
+        energy = np.where(nearer, w[brick.near], np.inf)
+        first = nearer & (energy == energy.min(axis=1, keepdims=True))
+        parent = np.where(first, lin[brick.near], FAR).min(axis=1)
+        known = new < NO_HOP
+        out = rows.assign(hop=pd.Series(new, index=rows.index, dtype="Int64").where(known),
+                          parent=np.where(first.any(axis=1) & known & (new > 0), parent, -1))
+        return out.assign(changed=new != old)[brick.own][columns]
 
     return solve
 
 
-def relax(voxels: DataFrame, dims: DataFrame, keys: list[str], rule: str, neighbours: int = 26,
-          volume: int = BRICK_VOLUME, edge: int = BRICK_EDGE) -> DataFrame:
-    """Bring the state columns of ``voxels`` to the fixpoint of ``rule``.
+def _carried() -> list[str]:
+    return ["n" + x for x in AXES] + ["e" + x for x in AXES] + [f"b{x}_n" for x in AXES] + [f"wrap_{x}" for x in AXES]
+
+
+def _many(sizes: DataFrame) -> int:
+    """The most bricks along an axis of any group."""
+    return sizes.agg(F.max(F.greatest(*[F.col(f"b{x}_n") for x in AXES]))).first()[0] or 1
+
+
+def _in_bricks(voxels: DataFrame, sizes: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """Voxels with their number, their brick, and whether they lie at its border to another one."""
+    rows = voxels.join(sizes.select(*keys, *_carried()), keys).withColumn("lin", voxel_number())
+    rows = rows.withColumns({f"b{x}": F.floor(F.col(x) / F.col(f"e{x}")).cast("int") for x in AXES})
+    border = F.lit(False)
+    for x in AXES:
+        place = F.col(x) % F.col(f"e{x}")
+        border = border | ((F.col(f"b{x}_n") > 1) & ((place == 0) | (place == F.col(f"e{x}") - 1) | (F.col(x) == F.col(f"n{x}") - 1)))
+    return rows.select(*keys, *AXES, *values, "lin", *_carried(), *[f"b{x}" for x in AXES], border.alias("border"))
+
+
+def _half(neighbours: int) -> list[tuple[int, int, int]]:
+    """One of each pair of opposite steps."""
+    return [s for s in offsets(neighbours) if s > (0, 0, 0)]
+
+
+def _local_edges(rows: pd.DataFrame, steps) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of a brick that are neighbours in it, also through a face that wraps onto the brick itself."""
+    head, n = rows.iloc[0], len(rows)
+    whole = [int(head[f"b{x}_n"]) == 1 for x in AXES]
+    size = [int(head[f"n{x}"]) if w else int(head[f"e{x}"]) for x, w in zip(AXES, whole)]
+    at = np.stack([rows[x].to_numpy(np.int64) - int(head[f"b{x}"]) * int(head[f"e{x}"]) + 1 for x in AXES])
+    where = np.full([s + 2 for s in size], n, dtype=np.int32)
+    where[tuple(at)] = np.arange(n, dtype=np.int32)
+    for axis, x in enumerate(AXES):
+        if whole[axis] and bool(head[f"wrap_{x}"]):
+            flipped = np.moveaxis(where, axis, 0)
+            flipped[0], flipped[-1] = flipped[-2], flipped[1]
+    u, v = [], []
+    for step in steps:
+        near = where[tuple(at + np.array(step)[:, None])]
+        ok = np.flatnonzero((near < n) & (near != np.arange(n)))
+        u.append(ok)
+        v.append(near[ok])
+    return np.concatenate(u), np.concatenate(v).astype(np.int64)
+
+
+def _across(border: DataFrame, keys: list[str], values: list[str], steps) -> DataFrame:
+    """Pairs of border voxels in different bricks that are neighbours: (keys, values, values of the other with `_`)."""
+    def moved(x: str, d: int) -> Column:
+        to, n = F.col(x) + d, F.col(f"n{x}")
+        return F.when((to >= 0) & (to < n), to).when(F.col(f"wrap_{x}"), F.pmod(to, n))
+
+    ways = F.array(*[F.struct(*[moved(x, d).alias(x) for x, d in zip(AXES, step)]) for step in steps])
+    out = border.select(*keys, *values, "nj", "nk", *[f"e{x}" for x in AXES], *[f"b{x}" for x in AXES], F.explode(ways).alias("to"))
+    other = F.lit(False)
+    for x in AXES:
+        other = other | (F.floor(F.col(f"to.{x}") / F.col(f"e{x}")) != F.col(f"b{x}"))
+    # A step out of an open face leads to null, and so does the comparison.
+    valid = F.col("to.i").isNotNull() & F.col("to.j").isNotNull() & F.col("to.k").isNotNull()
+    number = (F.col("to.i").cast("long") * F.col("nj") + F.col("to.j")) * F.col("nk") + F.col("to.k")
+    out = out.where(valid & other).select(*keys, *values, number.alias("_lin"))
+    return out.join(border.select(*keys, *[F.col(c).alias("_" + c) for c in dict.fromkeys(["lin", *values])]), [*keys, "_lin"])
+
+
+def _bundle() -> Column:
+    """Small bricks of a group that go through one call: as many as hold BRICK_VOLUME voxels together."""
+    brick = (F.col("bi").cast("long") * F.col("bj_n") + F.col("bj")) * F.col("bk_n") + F.col("bk")
+    volume = F.col("ei").cast("long") * F.col("ej") * F.col("ek")
+    return F.floor(brick / F.greatest(F.lit(1), F.floor(F.lit(BRICK_VOLUME) / volume)))
+
+
+def _by_brick(solve):
+    """``solve`` for each brick of a bundle."""
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        code = (rows["bi"].to_numpy(np.int64) << 42) | (rows["bj"].to_numpy(np.int64) << 21) | rows["bk"].to_numpy(np.int64)
+        order = np.argsort(code, kind="stable")
+        cuts = np.flatnonzero(np.diff(code[order])) + 1
+        if not len(cuts):
+            return solve(rows)
+        rows = rows.take(order).reset_index(drop=True)
+        return pd.concat([solve(rows.iloc[a:b].reset_index(drop=True)) for a, b in zip([0, *cuts], [*cuts, len(rows)])])
+
+    return run
+
+
+def _grouped(rows: DataFrame, keys: list[str], solve, fields: list[T.StructField]) -> DataFrame:
+    """``solve`` on every brick; the keys are put before the columns that it returns."""
+    schema = T.StructType([rows.schema[k] for k in keys] + fields)
+    solve = _by_brick(solve)
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        found = solve(part)
+        for place, key in enumerate(keys):
+            found.insert(place, key, part[key].iloc[0])
+        return found
+
+    return rows.groupBy(*keys, _bundle().alias("bundle")).applyInPandas(run, schema)
+
+
+_INDEX = [T.StructField(x, T.IntegerType()) for x in AXES]
+_LONG, _DOUBLE = T.LongType(), T.DoubleType()
+
+
+def components(voxels: DataFrame, dims: DataFrame, keys: list[str], neighbours: int = 26, volume: int = BRICK_VOLUME,
+               edge: int = BRICK_EDGE, room: int = contract.ROOM) -> DataFrame:
+    """Connected components; ``label`` is the least voxel number of the component.
+
+    ``voxels`` has the keys, i, j and k.  ``dims`` has one row per group: ni, nj, nk and the periodic axes wrap_i, wrap_j,
+    wrap_k."""
+    sizes, steps = with_bricks(dims, volume, edge), _half(neighbours)
+    rows = _in_bricks(voxels.select(*keys, *AXES), sizes, keys, [])
+
+    def label(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("lin")
+        lin = part["lin"].to_numpy(np.int64)
+        root = contract.merged(len(part), *_local_edges(part, steps))
+        return part[[*AXES, "lin"]].assign(label=lin[root])
+
+    found = _grouped(rows, keys, label, [*_INDEX, T.StructField("lin", _LONG), T.StructField("label", _LONG)])
+    if _many(sizes) == 1:
+        return found.select(*keys, *AXES, "label")
+    found = cut_lineage(found)
+    border = _in_bricks(found, sizes, keys, ["label"]).where("border")
+    edges = _across(border, keys, ["label"], steps).select(*keys, F.col("label").alias("a"), F.col("_label").alias("b"))
+    least = contract.spread_components(edges, keys, room).withColumnRenamed("node", "label")
+    # A label names voxels of one brick, so no key of this join has more rows than a brick.
+    return found.join(least, [*keys, "label"], "left").select(*keys, *AXES, F.coalesce("least", "label").alias("label"))
+
+
+def spread(seeded: DataFrame, dims: DataFrame, keys: list[str], neighbours: int = 26, volume: int = BRICK_VOLUME,
+           edge: int = BRICK_EDGE, room: int = contract.ROOM) -> DataFrame:
+    """Least possible highest ``e`` on a path from the voxels with a ``w`` (their start value), as ``w``; NULL out of reach."""
+    sizes, steps = with_bricks(dims, volume, edge), _half(neighbours)
+    rows = _in_bricks(seeded.select(*keys, *AXES, "e", "w"), sizes, keys, ["e", "w"])
+    several = _many(sizes) > 1
+
+    def weighted(part: pd.DataFrame):
+        e = part["e"].to_numpy(float)
+        u, v = _local_edges(part, steps)
+        return u, v, np.maximum(e[u], e[v])
+
+    def report(part: pd.DataFrame) -> pd.DataFrame:
+        n, lin = len(part), np.append(part["lin"].to_numpy(np.int64), contract.SOURCE)
+        u, v, w = weighted(part)
+        starts = np.flatnonzero(part["w"].notna())
+        u, v = np.concatenate([u, starts]), np.concatenate([v, np.full(len(starts), n)])
+        w = np.concatenate([w, part["w"].to_numpy(float)[starts]])
+        kept = np.append(part["border"].to_numpy(bool), True)
+        u, v, w = contract.between(n + 1, *contract.forest(n + 1, u, v, w), kept)
+        return pd.DataFrame({"a": lin[u], "b": lin[v], "w": w})
+
+    def settle(part: pd.DataFrame) -> pd.DataFrame:
+        n, start = len(part), part["w"].fillna(np.inf).to_numpy(float)
+        if several:
+            start = np.fmin(start, part["told"].to_numpy(float))
+        u, v, w = weighted(part)
+        known = np.flatnonzero(np.isfinite(start))
+        u, v, w = np.concatenate([u, known]), np.concatenate([v, np.full(len(known), n)]), np.concatenate([w, start[known]])
+        found = contract.bottlenecks(n + 1, u, v, w, n)[:-1]
+        return part[[*AXES, "e"]].assign(w=pd.Series(found, index=part.index).where(np.isfinite(found)))
+
+    if several:
+        rows = cut_lineage(rows)
+        apart = rows.where(F.greatest(*[F.col(f"b{x}_n") for x in AXES]) > 1)
+        inner = _grouped(apart, keys, report, [T.StructField("a", _LONG), T.StructField("b", _LONG), T.StructField("w", _DOUBLE)])
+        outer = _across(apart.where("border"), keys, ["lin", "e"], steps).select(
+            *keys, F.col("lin").alias("a"), F.col("_lin").alias("b"), F.greatest("e", "_e").alias("w"))
+        told = contract.spread_bottlenecks(inner.unionAll(outer), keys, room)
+        rows = rows.join(told.select(*keys, F.col("node").alias("lin"), F.col("w").alias("told")), [*keys, "lin"], "left")
+    return _grouped(rows, keys, settle, [*_INDEX, T.StructField("e", _DOUBLE), T.StructField("w", _DOUBLE)])
+
+
+def minimax(voxels: DataFrame, dims: DataFrame, keys: list[str], start: Column, neighbours: int = 26, **bricks) -> DataFrame:
+    """Least possible highest ``e`` on a path from the start voxels (``w``; NULL if unreachable)."""
+    return spread(voxels.select(*keys, *AXES, "e", F.when(start, F.col("e")).alias("w")), dims, keys, neighbours, **bricks)
 
-    ``voxels`` has the keys, i, j, k and the columns of the rule (components: none; minimax: e and
-    w, the start values; hops: e, w and hop).  ``dims`` has one row per group: ni, nj, nk and the
-    periodic axes wrap_i, wrap_j, wrap_k.  Adds ``label``, ``w``, or ``hop`` and ``parent``.
-    """
+
+def count_hops(seeded: DataFrame, dims: DataFrame, keys: list[str], neighbours: int = 26, volume: int = BRICK_VOLUME,
+               edge: int = BRICK_EDGE, room: int | None = None) -> DataFrame:
+    """Steps from the voxels of hop 0 along minimax-tight edges (e, w), and the ``parent`` voxel number (-1: none).
+
+    Each round brings a brick, with copies of the voxels next to it, to its own fixpoint; then the borders are exchanged. A
+    group leaves the loop as soon as it is stable."""
     sizes = with_bricks(dims, volume, edge)
-    values = {"components": ["label"], "minimax": ["e", "w"], "hops": ["e", "w", "hop", "lin"]}[rule]
-    extra = ["n" + x for x in AXES] + ["e" + x for x in AXES] + [f"b{x}_n" for x in AXES] + [f"wrap_{x}" for x in AXES]
-    state = voxels.join(sizes.select(*keys, *extra), keys)
-    if rule in ("components", "hops"):
-        state = state.withColumn("label" if rule == "components" else "lin", voxel_number())
-    carried = [*keys, *AXES, *values, *extra]
+    values = ["e", "w", "hop", "lin"]
+    state = seeded.join(sizes.select(*keys, *_carried()), keys).withColumn("lin", voxel_number())
+    carried = [*keys, *AXES, *values, *_carried()]
     state = state.select(*carried)
-    added = [T.StructField("changed", T.BooleanType())]
-    if rule == "hops":
-        added.insert(0, T.StructField("parent", T.LongType()))
-    fields = [f for f in state.schema.fields] + added
+    fields = [*state.schema.fields, T.StructField("parent", _LONG), T.StructField("changed", T.BooleanType())]
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in fields])
-    columns = [f.name for f in fields]
-    solve = _solver(rule, offsets(neighbours), columns)
-    result = [*keys, *AXES, *values] + (["parent"] if rule == "hops" else [])
-    bricks = [f"b{x}" for x in AXES]
+    solve = _by_brick(_hop_solver(offsets(neighbours), [f.name for f in fields]))
+    result = [*keys, *AXES, *values, "parent"]
 
     def one_round(df: DataFrame, several: bool = True) -> DataFrame:
-        return _spread(df.select(*carried), several).groupBy(*keys, *bricks).applyInPandas(solve, schema)
+        return _spread(df.select(*carried), several).groupBy(*keys, _bundle().alias("bundle")).applyInPandas(solve, schema)
 
-    most = sizes.agg(F.max(F.greatest(*[F.col(f"b{x}_n") for x in AXES]))).first()[0] or 1
-    if most == 1:
+    if _many(sizes) == 1:
         return one_round(state, several=False).select(*result)
     single = F.greatest(*[F.col(f"b{x}_n") for x in AXES]) == 1
     finished = [one_round(state.filter(single), several=False).select(*result)]
@@ -221,74 +361,56 @@ def relax(voxels: DataFrame, dims: DataFrame, keys: list[str], rule: str, neighb
     return out
 
 
-def components(voxels: DataFrame, dims: DataFrame, keys: list[str], neighbours: int = 26, **bricks) -> DataFrame:
-    """Connected components; ``label`` is the least voxel number of the component."""
-    return relax(voxels, dims, keys, "components", neighbours, **bricks)
-
-
-def minimax(voxels: DataFrame, dims: DataFrame, keys: list[str], start: Column, neighbours: int = 26, **bricks) -> DataFrame:
-    """Least possible highest ``e`` on a path from the start voxels (``w``; NULL if unreachable)."""
-    seeded = voxels.select(*keys, *AXES, "e", F.when(start, F.col("e")).alias("w"))
-    return relax(seeded, dims, keys, "minimax", neighbours, **bricks)
-
-
 def hops(reached: DataFrame, dims: DataFrame, keys: list[str], start: Column, neighbours: int = 26, **bricks) -> DataFrame:
     """Steps from the start voxels along minimax-tight edges, and the parent voxel number."""
     seeded = reached.filter(F.col("w").isNotNull()).select(
         *keys, *AXES, "e", "w", F.when(start & (F.col("w") == F.col("e")), F.lit(0)).cast("long").alias("hop"))
-    return relax(seeded, dims, keys, "hops", neighbours, **bricks)
+    return count_hops(seeded, dims, keys, neighbours, **bricks)
 
 
 def trace(parents: DataFrame, ends: DataFrame, dims: DataFrame, keys: list[str],
-          volume: int = BRICK_VOLUME, edge: int = BRICK_EDGE) -> DataFrame:
+          volume: int = BRICK_VOLUME, edge: int = BRICK_EDGE, room: int | None = None) -> DataFrame:
     """Voxels of the parent chain from one end voxel (``lin``) per group back to the start.
 
-    A round walks each chain through the brick that holds its head; only those bricks are read."""
-    sizes = with_bricks(dims, volume, edge).select(*keys, "nj", "nk", *[f"e{x}" for x in AXES])
-    bricks = [f"b{x}" for x in AXES]
-
-    def placed(df: DataFrame) -> DataFrame:
-        row = df.join(sizes, keys).withColumns(voxel_of("lin"))
-        return row.withColumns({b: F.floor(F.col(x) / F.col(f"e{x}")).cast("int") for b, x in zip(bricks, AXES)})
-
-    nodes = placed(parents.select(*keys, "lin", "parent", "hop", "e", "w")).select(*keys, *bricks, "lin", "parent", "hop", "e", "w")
-    key_fields = [f for f in parents.schema.fields if f.name in keys]
-    schema = T.StructType(key_fields + [
-        T.StructField("lin", T.LongType()), T.StructField("hop", T.LongType()), T.StructField("e", T.DoubleType()),
-        T.StructField("w", T.DoubleType()), T.StructField("next", T.LongType())])
-
-    def walk(heads: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        if len(heads) and len(rows):
-            table = rows.set_index("lin")[["parent", "hop", "e", "w"]]
-            parent, known = table["parent"].to_dict(), table.to_dict("index")
-            at = int(heads["lin"].iloc[0])
-            while at in parent:
-                up = int(parent[at])
-                row = known[at]
-                leaves = up not in parent
-                found.append((at, row["hop"], row["e"], row["w"], up if leaves and up >= 0 else None))
-                at = up
-        out = pd.DataFrame(found, columns=["lin", "hop", "e", "w", "next"]).astype({"next": "Int64"})
-        for key in keys:
-            out[key] = heads[key].iloc[0] if len(heads) else None
-        return out[[f.name for f in schema.fields]]
-
-    many = sizes.join(dims.select(*keys, "ni"), keys).agg(F.max(F.greatest(*[
-        F.ceil(F.col(f"n{x}") / F.col(f"e{x}")) for x in AXES]))).first()[0] or 1
-    heads, parts = ends.select(*keys, "lin"), []
-    while True:
-        at = placed(heads).select(*[F.col(c).alias(c) for c in (*keys, *bricks, "lin")])
-        held = nodes.join(at.select(*keys, *bricks), [*keys, *bricks], "left_semi")
-        steps = at.groupBy(*keys, *bricks).cogroup(held.groupBy(*keys, *bricks)).applyInPandas(walk, schema)
-        if many == 1:
-            return steps.select(*keys, "lin", "hop", "e", "w")
-        steps = cut_lineage(steps)
-        parts.append(steps.select(*keys, "lin", "hop", "e", "w"))
-        heads = steps.filter(F.col("next").isNotNull()).select(*keys, F.col("next").alias("lin"))
-        if heads.isEmpty():
-            break
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    Every brick tells where a chain that enters it at a border voxel goes on; ``contract.reachable`` ranks these entries,
+    and the bricks of the path mark its voxels."""
+    sizes = with_bricks(dims, volume, edge)
+    values = ["parent", "hop", "e", "w"]
+    nodes = parents.select(*keys, "lin", *values).join(sizes.select(*keys, "nj", "nk"), keys)
+    nodes = nodes.select(*keys, *[v.alias(x) for x, v in voxel_of("lin").items()], *values)
+    rows = _in_bricks(nodes, sizes, keys, values)
+    entered = ends.select(*keys, "lin").withColumn("entry", F.lit(True))
+
+    def above(part: pd.DataFrame) -> np.ndarray:
+        """The row of the parent of each row, itself where the parent is elsewhere or there is none."""
+        lin, parent = part["lin"].to_numpy(np.int64), part["parent"].to_numpy(np.int64)
+        order = np.argsort(lin)
+        at = order[np.minimum(np.searchsorted(lin[order], parent), len(lin) - 1)]
+        return np.where(lin[at] == parent, at, np.arange(len(lin)))
+
+    def leave(part: pd.DataFrame) -> pd.DataFrame:
+        last, parent = contract.hooked(above(part)), part["parent"].to_numpy(np.int64)
+        on = np.flatnonzero(part["border"].to_numpy(bool) | part["entry"].notna().to_numpy())
+        out = parent[last[on]]
+        return pd.DataFrame({"node": part["lin"].to_numpy(np.int64)[on], "next": pd.Series(out, dtype="Int64").where(out >= 0)})
+
+    def mark(part: pd.DataFrame) -> pd.DataFrame:
+        found, step = part["entry"].notna().to_numpy(), above(part)
+        while True:
+            wider = found.copy()
+            wider[step[found]] = True
+            if np.array_equal(wider, found):
+                return part[found][["lin", "hop", "e", "w"]]
+            found, step = wider, step[step]
+
+    if _many(sizes) > 1:
+        rows = cut_lineage(rows)
+        links = _grouped(rows.join(entered, [*keys, "lin"], "left"), keys, leave,
+                         [T.StructField("node", _LONG), T.StructField("next", _LONG)])
+        found = contract.reachable(links, entered.withColumnRenamed("lin", "node"), keys)
+        entered = found.withColumnRenamed("node", "lin").withColumn("entry", F.lit(True))
+        # Bricks that no path enters are left out.
+        used = rows.join(entered, [*keys, "lin"]).select(*keys, *[f"b{x}" for x in AXES]).distinct()
+        rows = rows.join(used, [*keys, *[f"b{x}" for x in AXES]], "left_semi")
+    return _grouped(rows.join(entered, [*keys, "lin"], "left"), keys, mark, [
+        T.StructField("lin", _LONG), T.StructField("hop", _LONG), T.StructField("e", _DOUBLE), T.StructField("w", _DOUBLE)])

@@ -7,7 +7,8 @@ import importlib
 from porescreen.plans.registry import QUERIES, Query
 
 _MODULES = (
-    "sequence_queries", "assemble_queries", "score_queries", "voxel_queries", "channel_queries", "text_queries")
+    "sequence_queries", "assemble_queries", "score_queries", "voxel_queries", "channel_queries", "supplier_queries",
+    "text_queries")
 
 
 def load_queries() -> dict[str, Query]:

@@ -241,3 +241,30 @@ v_dim AS (
          CASE WHEN n_nationkey % 5 <> 0 THEN n_nationkey * 1.25::DOUBLE END AS Vacc,
          length(r_name) * 100.0::DOUBLE + n_nationkey AS ASA
   FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 7 <> 0)"""
+
+
+# -- a voxel grid per supplier -----------------------------------------------------------------
+
+SUPPLIER_GRID = (10, 11, 9)
+
+
+def supplier_grid(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """One framework per supplier, so the frameworks grow with the tables, of 10 x 11 x 1 to 9 voxels; and their sizes."""
+    depth = (1 + F.col("l_suppkey") % SUPPLIER_GRID[2]).cast("int")
+    name = F.concat(F.lit("S"), F.col("l_suppkey"))
+    rows = table(spark, sf_dir, "lineitem").select(
+        name.alias("framework"), F.floor((F.col("l_quantity") - 1) / 5).cast("int").alias("i"),
+        F.round(F.col("l_discount") * 100).cast("int").alias("j"),
+        (F.round(F.col("l_tax") * 100).cast("int") % depth).alias("k"), depth.alias("nk"), "l_extendedprice")
+    voxels = rows.groupBy("framework", "i", "j", "k").agg(F.round(F.avg("l_extendedprice")).cast("double").alias("e"))
+    dims = rows.groupBy("framework").agg(F.max("nk").alias("nk")).select(
+        "framework", F.lit(SUPPLIER_GRID[0]).alias("ni"), F.lit(SUPPLIER_GRID[1]).alias("nj"), "nk")
+    return voxels, dims
+
+
+V_SUPPLIER = """
+v_grid AS (
+  SELECT 'S' || l_suppkey AS framework, CAST(l_quantity - 1 AS INT) // 5 AS i, CAST(round(l_discount * 100) AS INT) AS j,
+         CAST(CAST(round(l_tax * 100) AS INT) % (1 + l_suppkey % 9) AS INT) AS k, CAST(round(avg(l_extendedprice)) AS DOUBLE) AS e
+  FROM lineitem GROUP BY 1, 2, 3, 4),
+sd AS (SELECT DISTINCT 'S' || l_suppkey AS framework, 10 AS ni, 11 AS nj, CAST(1 + l_suppkey % 9 AS INT) AS nk FROM lineitem)"""
