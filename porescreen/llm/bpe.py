@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import json
 import pickle
 import zlib
 from collections import Counter
@@ -16,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from porescreen.llm.common import small, text_of
+from porescreen.session import cut_lineage
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: Words that are folded and shipped to all tasks: so many of the most frequent, up to so many bytes each. Others are
@@ -28,6 +30,7 @@ FOLD_TASKS = 64
 #: Entries of a task's own memory of chunks before it is emptied.
 REMEMBERED = 300_000
 BUCKETS = 8192
+PLAN_STRING = "spark.sql.maxPlanStringLength"
 
 
 def read_ranks(path: str = RANKS) -> dict[bytes, int]:
@@ -37,17 +40,18 @@ def read_ranks(path: str = RANKS) -> dict[bytes, int]:
 
 
 def _rank_map(ranks: dict[bytes, int]) -> Column:
-    """The ranks as one literal: maps by the CRC of the piece, as Spark searches a map entry by entry."""
-    buckets = [[] for _ in range(BUCKETS)]
+    """The ranks as one literal: maps by the CRC of the piece, as Spark searches a map entry by entry.
+
+    The literal is one text that the optimizer turns into the maps once; a byte of a piece is a character of its key."""
+    buckets = [{} for _ in range(BUCKETS)]
     for piece, rank in ranks.items():
-        buckets[zlib.crc32(piece) % BUCKETS].append(f"X'{piece.hex()}',{rank}")
-    empty = "map(X'',-1)"
-    return F.expr("array(" + ",".join(f"map({','.join(b)})" if b else empty for b in buckets) + ")")
+        buckets[zlib.crc32(piece) % BUCKETS][piece.decode("latin-1")] = rank
+    return F.from_json(F.lit(json.dumps(buckets)), "array<map<string,int>>")
 
 
 def _rank(table: Column, piece: Column) -> Column:
     bucket = F.element_at(table, (F.crc32(piece) % BUCKETS + 1).cast("int"))
-    return F.try_element_at(bucket, piece)
+    return F.try_element_at(bucket, F.decode(piece, "ISO-8859-1"))
 
 
 def encode_word(word: Column, table: Column) -> Column:
@@ -171,6 +175,18 @@ def distinct_words(docs: DataFrame, text_column: str = "text", pattern: str = pu
     return counted.groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def _frequent(words: DataFrame) -> DataFrame:
+    """At most COMMON_WORDS of the most frequent words: all of the classes of frequency that fit, by a histogram of these."""
+    words = cut_lineage(words.where(F.octet_length("word") <= COMMON_BYTES).withColumn("class", F.floor(F.log2("n") * 8).cast("int")))
+    cut, room = None, COMMON_WORDS
+    for row in words.groupBy("class").count().orderBy(F.desc("class")).collect():  # some hundred classes
+        room -= row["count"]
+        if room < 0:
+            break
+        cut = row["class"]
+    return words.where(F.col("class") >= cut if cut is not None else F.lit(False)).select("word")
+
+
 def _pack_words(batches):
     for batch in batches:
         words = dict(zip(batch.column("word").to_pylist(), map(tuple, batch.column("ids").to_pylist())))
@@ -203,11 +219,15 @@ def encode(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     """
     spark, ranks = docs.sparkSession, read_ranks(path)
     table = _rank_map(ranks)
-    frequent = (distinct_words(docs, text_column, pattern).where(F.octet_length("word") <= COMMON_BYTES)
-                .orderBy(F.desc("n"), "word").limit(COMMON_WORDS).select("word")
-                .repartition(FOLD_TASKS))
+    frequent = _frequent(distinct_words(docs, text_column, pattern)).repartition(FOLD_TASKS)
     coded = frequent.select("word", encode_word(F.col("word"), table).alias("ids"))
-    packed = [bytes(r[0]) for r in coded.mapInArrow(_pack_words, "words binary").collect()]
+    # The description of a plan would hold the ranks many times over.
+    shown = spark.conf.get(PLAN_STRING)
+    spark.conf.set(PLAN_STRING, "100000")
+    try:
+        packed = [bytes(r[0]) for r in coded.mapInArrow(_pack_words, "words binary").collect()]
+    finally:
+        spark.conf.set(PLAN_STRING, shown)
     shared = spark.sparkContext.broadcast((packed, ranks))  # COMMON_WORDS and the vocabulary at most
 
     def run(batches):
