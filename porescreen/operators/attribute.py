@@ -9,12 +9,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from porescreen.functions.names import match_key
+from porescreen.session import cut_lineage
 
 # Fixed values of the attribution rules.
 NAME_COLUMNS = ("zeolites", "zeolite", "name")
 BASE_COLUMNS = ("base_value", "base", "expected_value")
 # Rows that a task scores at once.
 CHUNK_ROWS = 1 << 17
+# Rows that stand for a background, and the intervals of its score.
+BACKGROUND_ROWS, SCORE_BINS = 256, 32
 
 
 def _masks(d: int, permutations: int | None, seed: int) -> tuple[np.ndarray, list]:
@@ -49,40 +52,70 @@ def _masks(d: int, permutations: int | None, seed: int) -> tuple[np.ndarray, lis
     return masks, terms
 
 
-def background_summary(background: DataFrame, features: list[str], bits: int = 6) -> DataFrame:
-    """Every row of the background in at most ``2 ** bits`` weighted rows (stratum, weight, features).
+def background_sample(background: DataFrame, features: list[str], model, most: int = BACKGROUND_ROWS, bins: int = SCORE_BINS,
+                      seed: int = 0, key: str | None = None) -> tuple[DataFrame, float]:
+    """A weighted sample (bin, part, weight, features) of about ``most`` rows of the background, and its base value.
 
-    Rows that lie on the same side of the mean in each of the first ``bits`` features form a stratum and are replaced
-    by their mean; the weight is their number.  Both steps are combinable aggregates, so the size of the background
-    does not matter, and the result has the same size and form whatever it is."""
-    split = features[:bits]
-    means = background.agg(*[F.avg(f).alias(f) for f in split]).first()
-    stratum: Column = F.lit(0)
-    for i, f in enumerate(split):
-        stratum = stratum + F.when(F.col(f) >= F.lit(means[f]), F.lit(1 << i)).otherwise(0)
-    return background.select(stratum.alias("stratum"), *features).groupBy("stratum").agg(
-        F.count(F.lit(1)).alias("weight"), *[F.avg(f).alias(f) for f in features])
+    The base value is the mean score of all rows.  A background of at most ``most`` rows enters as it is.  A larger one is
+    cut into ``bins`` equal intervals of its score, an interval into parts by a seeded hash of ``key`` (as many as its share
+    of the rows), and a part is represented by its row of least hash, with the number of its rows as weight.  Counts and
+    least rows merge, so every task reduces its rows before they are shuffled, and the same rows are drawn in every run.
+
+    Errors: weighted, the sample's mean score is within one interval, (highest - lowest score) / bins, of the base
+    value; the weights are then tilted along the score so that it is the base value.  The value of a coalition is off by
+    at most r * sqrt(ln(2 / q) / (2 * most)) with probability 1 - q, where r is the range of the scores.
+    """
+    kinds = T.StructType([T.StructField(f, T.DoubleType()) for f in features]
+                         + [T.StructField("_order", T.StringType()), T.StructField("_y", T.DoubleType())])
+    named = F.col(key).cast("string") if key else F.concat_ws(",", *features)
+    rows = background.select(*[F.col(f).cast("double").alias(f) for f in features],
+                             F.md5(F.concat(named, F.lit(f"|{seed}")).cast("binary")).alias("_order"))
+
+    def scored(batches):
+        for batch in batches:
+            yield batch.assign(_y=model(batch[features].to_numpy(dtype=float)) if len(batch) else [])
+
+    rows = cut_lineage(rows.mapInPandas(scored, kinds))
+    n, base, low, high = rows.agg(F.count("*"), F.avg("_y"), F.min("_y"), F.max("_y")).first()
+    if not n:
+        raise ValueError("background holds no complete rows")
+    if n <= most or high == low:
+        few = rows if n <= most else rows.orderBy("_order").limit(most)  # scores all equal: any rows have their mean
+        return few.select(F.lit(0).alias("bin"), F.col("_order").alias("part"), F.lit(float(n) / min(n, most)).alias("weight"), *features), float(base)
+    bin_ = F.least(F.floor((F.col("_y") - F.lit(low)) / F.lit(high - low) * bins), F.lit(bins - 1)).cast("int")
+    binned = rows.withColumn("bin", bin_)
+    parts = [1] * bins
+    for row in binned.groupBy("bin").count().collect():  # ``bins`` rows
+        parts[row["bin"]] = max(1, row["count"] * most // n)
+    number = F.conv(F.substring("_order", 1, 8), 16, 10).cast("long")
+    share = F.element_at(F.array(*[F.lit(k) for k in parts]), F.col("bin") + 1)
+    picked = binned.groupBy("bin", (number % share).cast("string").alias("part")).agg(
+        F.count("*").alias("_n"), F.min_by(F.struct("_y", *features), "_order").alias("_row"))
+    picked = cut_lineage(picked.select("bin", "part", F.col("_n").cast("double").alias("_n"), "_row.*"))  # most + bins rows
+    mean = F.sum(F.col("_n") * F.col("_y")) / F.sum("_n")
+    square = F.sum(F.col("_n") * F.col("_y") * F.col("_y")) / F.sum("_n")
+    m, q = picked.agg(mean, square).first()
+    tilt = (base - m) / (q - m * m) if q > m * m else 0.0
+    return picked.select("bin", "part", (F.col("_n") * (1 + F.lit(tilt) * (F.col("_y") - F.lit(m)))).alias("weight"), *features), float(base)
 
 
 def shapley_values(samples: DataFrame, background: DataFrame, name: str, features: list[str], model,
-                   permutations: int | None = None, seed: int = 0, bits: int = 6, exact_features: int = 15) -> DataFrame:
+                   permutations: int | None = None, seed: int = 0, exact_features: int = 15, most: int = BACKGROUND_ROWS,
+                   bins: int = SCORE_BINS, key: str | None = None) -> DataFrame:
     """Attribution matrix: one row per sample with ``base_value`` and one column per feature.
 
     Up to ``exact_features`` features every coalition is evaluated once, which gives the exact values that a
     permutation estimate converges to; beyond that, or on request, ``permutations`` seeded
     orders are walked forwards and backwards.  Samples stay partitioned; the background enters by its
-    ``background_summary``, so the cost is linear in the samples.  ``model`` maps a (rows, features) matrix to scores.
+    ``background_sample``, so the cost is linear in the samples and the base value is that of all its rows.  ``model`` maps a (rows, features) matrix to scores.
     """
     d = len(features)
     if permutations is None and d > exact_features:
         raise ValueError(f"{d} features: give a number of permutations")
     masks, terms = _masks(d, permutations, seed)
-    strata = np.array([tuple(r) for r in background_summary(background, features, bits).orderBy("stratum")
-                       .select("weight", *features).collect()], dtype=float)
-    if not len(strata):
-        raise ValueError("background holds no complete rows")
-    weights, reference = strata[:, 0] / strata[:, 0].sum(), strata[:, 1:]
-    base = float(model(reference) @ weights)
+    sample, base = background_sample(background, features, model, most, bins, seed, key)
+    drawn = np.array([tuple(r) for r in sample.orderBy("bin", "part").select("weight", *features).collect()], dtype=float)
+    weights, reference = drawn[:, 0] / drawn[:, 0].sum(), drawn[:, 1:]
     together = max(1, CHUNK_ROWS // (len(masks) * len(reference)))
     step = max(1, CHUNK_ROWS // (together * len(reference)))
 
@@ -109,8 +142,8 @@ def shapley_values(samples: DataFrame, background: DataFrame, name: str, feature
 
 
 def choose_background(batch: DataFrame, supplied: DataFrame | None, features: list[str]) -> DataFrame:
-    """The supplied training sample, else the current batch; either is summarised where it is used."""
-    return (supplied if supplied is not None else batch).select(*features)
+    """The supplied training sample, else the current batch; either is sampled where it is used."""
+    return supplied if supplied is not None else batch
 
 
 def attribution_rows(matrix: DataFrame, name: str, features: list[str]) -> DataFrame:
@@ -145,7 +178,7 @@ def known_attributions(table: DataFrame, features: list[str], position: str,
 
 
 def hybrid_attributions(samples: DataFrame, known: DataFrame, background: DataFrame, name: str,
-                        features: list[str], model, max_explain: int | None = None, seed: int = 0) -> DataFrame:
+                        features: list[str], model, max_explain: int | None = None, seed: int = 0, **background_rule) -> DataFrame:
     """Known attributions where the name is known, computed ones elsewhere.
 
     With ``max_explain`` only a seeded sample of the unknown names is computed; the others keep
@@ -157,7 +190,7 @@ def hybrid_attributions(samples: DataFrame, known: DataFrame, background: DataFr
         name, "base_value", *features).withColumn("source", F.lit("known"))
     misses = keyed.join(known.select("match_key"), "match_key", "left_anti")
     chosen = misses if max_explain is None else seeded_sample(misses, name, max_explain, seed)
-    computed = shapley_values(chosen, background, name, features, model).withColumn("source", F.lit("computed"))
+    computed = shapley_values(chosen, background, name, features, model, **background_rule).withColumn("source", F.lit("computed"))
     out = hits.unionByName(computed)
     if max_explain is not None:
         rest = misses.select(name).join(chosen.select(name), name, "left_anti")

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from porescreen.session import cut_lineage
 
-BLOCK_ROWS = 1 << 20
+BLOCK_ROWS = 1 << 18
 
 
 @dataclass(frozen=True)

@@ -140,7 +140,7 @@ def _ready(spark, sf_dir):
 
 
 def _background(spark, sf_dir):
-    return score.scale_features(background(spark, sf_dir), SCALER).select(*FEATURES)
+    return score.scale_features(background(spark, sf_dir), SCALER).select("sample", *FEATURES)
 
 
 @query("G15", f"""WITH {SQL_SCALED}, {forward_sql('bg', 'sample', 'bgf')} SELECT round(avg(y), 6) AS base_value FROM bgf""")
@@ -149,19 +149,32 @@ def background_base(spark, sf_dir):
     return _background(spark, sf_dir).select(y.alias("y")).agg(rounded(F.avg("y")).alias("base_value"))
 
 
+#: Rows that stand for the background in these queries, so that their tables are sampled; the operator's default is larger.
+DRAWN = {"most": 24, "bins": 8, "key": "sample"}
+DRAWN_BATCH = {"most": 64, "bins": 16, "key": "sample"}
 _DF = math.factorial(N_DIMS)
-_MEANS = ", ".join(f"avg(x[{i}]) AS m{i}" for i in range(1, N_DIMS + 1))
-_STRATUM = " + ".join(f"(CASE WHEN x[{i}] >= m{i} THEN {1 << (i - 1)} ELSE 0 END)" for i in range(1, N_DIMS + 1))
-SQL_STRATA = f"""
-means AS (SELECT {_MEANS} FROM {{rows}}),
-strata AS (SELECT stratum, count(*) AS w, [{", ".join(f"avg(x[{i}])" for i in range(1, N_DIMS + 1))}] AS x
-           FROM (SELECT x, {_STRATUM} AS stratum FROM {{rows}}, means) GROUP BY stratum)"""
-SQL_SHAP = SQL_SCALED + "," + SQL_STRATA.format(rows="bg") + f""",
-{forward_sql('strata', 'w', 'bgf')},
+
+
+def sample_sql(rows: str, scored: str, most: int, bins: int, key: str) -> str:
+    """CTEs that draw the weighted sample ``drawn`` from ``rows`` (sample, x) with the scores ``scored`` (sample, y)."""
+    return f"""
+told AS (SELECT r.sample, r.x, s.y, md5(r.{key} || '|0') AS o FROM {rows} r JOIN {scored} s USING (sample)),
+lim AS (SELECT min(y) AS lo, max(y) AS hi, count(*) AS n, avg(y) AS base_value FROM told),
+binned AS (SELECT told.*, least(floor((y - lo) / (hi - lo) * {bins}), {bins - 1})::INT AS bin, n FROM told, lim),
+parts AS (SELECT bin, greatest(1, count(*) * {most} // any_value(n)) AS k FROM binned GROUP BY bin),
+picked AS (SELECT bin, ('0x' || substr(o, 1, 8))::BIGINT % k AS part, count(*)::DOUBLE AS c, arg_min({{'x': x, 'y': y}}, o) AS r
+           FROM binned JOIN parts USING (bin) GROUP BY ALL),
+moments AS (SELECT sum(c * r.y) / sum(c) AS m, sum(c * r.y * r.y) / sum(c) AS q FROM picked),
+drawn AS (SELECT bin, part, r.x AS x, CASE WHEN n <= {most} THEN 1.0 ELSE c * (1 + (base_value - m) / (q - m * m) * (r.y - m)) END AS w
+          FROM picked, moments, lim)"""
+
+
+SQL_SHAP = SQL_SCALED + f""",
+{forward_sql('bg', 'sample', 'bgf')}, {sample_sql('bg', 'bgf', **DRAWN)},
 mixed AS (
   SELECT r.sample AS sample, m.mask AS mask, b.w AS w,
          [CASE WHEN (m.mask >> (p - 1)) & 1 = 1 THEN r.x[p] ELSE b.x[p] END for p in range(1, {N_DIMS + 1})] AS x
-  FROM ready r, range(0, {1 << N_DIMS}) m(mask), strata b),
+  FROM ready r, range(0, {1 << N_DIMS}) m(mask), drawn b),
 {forward_sql('mixed', 'sample, mask, w', 'mx')},
 v AS (SELECT sample, mask, sum(w * y) / sum(w) AS v, bit_count(mask::INT) AS s FROM mx GROUP BY ALL),
 phi AS (
@@ -169,13 +182,13 @@ phi AS (
          sum((b.v - a.v) * factorial(a.s::INT)::DOUBLE * factorial(({N_DIMS - 1} - a.s)::INT)::DOUBLE / {_DF}) AS phi
   FROM range(0, {N_DIMS}) f(p) JOIN v a ON (a.mask >> f.p) & 1 = 0
   JOIN v b ON b.sample = a.sample AND b.mask = a.mask + (1 << f.p) GROUP BY ALL),
-base AS (SELECT sum(w * y) / sum(w) AS base_value FROM bgf)"""
+base AS (SELECT base_value FROM lim)"""
 
 
 @query("M5 J13 U4", f"""WITH {SQL_SHAP}
 SELECT sample, 'f' || (p + 1) AS feature, round(phi, 6) + 0.0 AS phi, round(base_value, 6) AS base_value FROM phi, base""")
 def shapley_rows(spark, sf_dir):
-    matrix = att.shapley_values(_ready(spark, sf_dir), _background(spark, sf_dir), "sample", FEATURES, network(spark))
+    matrix = att.shapley_values(_ready(spark, sf_dir), _background(spark, sf_dir), "sample", FEATURES, network(spark), **DRAWN)
     rows = att.attribution_rows(matrix, "sample", FEATURES)
     return rows.select("sample", "feature", rounded("phi").alias("phi"), rounded("base_value").alias("base_value"))
 
@@ -224,12 +237,12 @@ SELECT sample, source, round(base_value, 6) + 0.0 AS base_value, """ + ", ".join
     f"round(f{i}, 6) + 0.0 AS f{i}" for i in range(1, 6)) + " FROM hybrid")
 def hybrid_attribution_matrix(spark, sf_dir):
     known = att.known_attributions(_known_table(spark, sf_dir), FEATURES, "pos")
-    rows = att.hybrid_attributions(_ready(spark, sf_dir), known, _background(spark, sf_dir), "sample", FEATURES, network(spark))
+    rows = att.hybrid_attributions(_ready(spark, sf_dir), known, _background(spark, sf_dir), "sample", FEATURES, network(spark), **DRAWN)
     return rows.select("sample", "source", *[rounded(c).alias(c) for c in ("base_value", *FEATURES)])
 
 
 def _original(spark, sf_dir):
-    matrix = att.shapley_values(_ready(spark, sf_dir), _background(spark, sf_dir), "sample", FEATURES, network(spark))
+    matrix = att.shapley_values(_ready(spark, sf_dir), _background(spark, sf_dir), "sample", FEATURES, network(spark), **DRAWN)
     return att.original_scale(matrix, "sample", FEATURES)
 
 
@@ -270,11 +283,25 @@ def contributions_by_magnitude(spark, sf_dir):
         "sample", "feature", rounded("contribution").alias("contribution"), "rank")
 
 
-@query("M9 G16", f"""WITH {SQL_SCALED}, {SQL_STRATA.format(rows="ready")}
-SELECT stratum::INT AS stratum, w AS weight, """ + ", ".join(f"round(x[{i}], 6) + 0.0 AS f{i}" for i in range(1, N_DIMS + 1)) + " FROM strata")
+@query("M9 G16", f"""WITH {SQL_SCALED}, {sample_sql('ready', 'fwd', **DRAWN_BATCH)}
+SELECT bin, part::VARCHAR AS part, round(w, 6) AS weight, """ + ", ".join(f"round(x[{i}], 6) + 0.0 AS f{i}" for i in range(1, N_DIMS + 1)) + " FROM drawn")
 def batch_background(spark, sf_dir):
-    rows = att.background_summary(att.choose_background(_ready(spark, sf_dir), None, FEATURES), FEATURES)
-    return rows.select("stratum", "weight", *[rounded(f).alias(f) for f in FEATURES])
+    rows = att.choose_background(_ready(spark, sf_dir), None, FEATURES)
+    drawn, _ = att.background_sample(rows, FEATURES, network(spark), **DRAWN_BATCH)
+    return drawn.select("bin", "part", rounded("weight").alias("weight"), *[rounded(f).alias(f) for f in FEATURES])
+
+
+@query("G15 M9", f"""WITH {SQL_SCALED}, {sample_sql('ready', 'fwd', **DRAWN_BATCH)}
+SELECT count(*) AS n_drawn, round((SELECT base_value FROM lim), 6) AS base_value, round(any_value(base_value), 6) AS sampled_base
+FROM drawn, lim""")
+def batch_base(spark, sf_dir):
+    """The base value of all rows, and the mean score of the weighted sample, which the tilted weights make equal to it."""
+    model = network(spark)
+    drawn, base = att.background_sample(_ready(spark, sf_dir), FEATURES, model, **DRAWN_BATCH)
+    y = score.network_output([F.col(f) for f in FEATURES], model)
+    return drawn.select("weight", y.alias("y")).agg(
+        F.count("*").alias("n_drawn"), rounded(F.lit(base)).alias("base_value"),
+        rounded(F.sum(F.col("weight") * F.col("y")) / F.sum("weight")).alias("sampled_base"))
 
 
 @query("M8", f"""WITH {V_FEAT}, named AS (

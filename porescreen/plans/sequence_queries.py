@@ -6,7 +6,8 @@ from pyspark.sql import Window as W, functions as F
 
 from porescreen.functions.numbers import rounded
 from porescreen.operators import ordered, sequence as sq
-from porescreen.plans.bindings import PATH_KEYS, V_CLEAN, V_PATH, V_STEPS, paths
+from porescreen.operators.ordered import Sequence, number_rows
+from porescreen.plans.bindings import PATH_KEYS, V_CLEAN, V_PATH, V_STEPS, paths, table
 from porescreen.plans.registry import query
 
 def axis_of_user():
@@ -171,6 +172,24 @@ def path_extremes(spark, sf_dir):
     return out.select("user_id", "idx", "kind", "height", rounded("prominence").alias("prominence"))
 
 
+#: Two paths over all events, so that the higher value of an extreme often lies many blocks away.
+TWO_PATHS = """
+clean AS (
+  SELECT user_id % 2 AS user_id, row_number() OVER (PARTITION BY user_id % 2 ORDER BY ts, event_id) - 1 AS seq,
+         value AS e, 0 AS n FROM events)"""
+IN_BLOCKS = 64
+
+
+@query("W6 W7", f"""WITH {TWO_PATHS}, {SQL_RUNS.format(v='e', src='clean')}
+SELECT user_id, idx, kind, height, round(prominence, 6) AS prominence FROM prom WHERE prominence >= 3""")
+def path_extremes_in_blocks(spark, sf_dir):
+    """Two paths over all events, cut into blocks of 64 nodes: the tree of block summaries finds the higher values."""
+    rows = table(spark, sf_dir, "events").select((F.col("user_id") % 2).alias("user_id"), "ts", "event_id", F.col("value").alias("e"))
+    numbered, _ = number_rows(rows, ["user_id"], ["ts", "event_id"])
+    out = sq.extremes(numbered.select("user_id", "seq", "e"), Sequence(("user_id",), "seq", IN_BLOCKS, True), "e")
+    return out.select("user_id", "idx", "kind", "height", rounded("prominence").alias("prominence"))
+
+
 SQL_SLOPES = """
 found AS (SELECT * FROM prom WHERE prominence >= 3),
 pk AS (

@@ -2,9 +2,10 @@
 
 import math
 
+import numpy as np
 import pytest
 
-from porescreen.operators import attribute
+from porescreen.operators import attribute, score
 from porescreen.plans.screening import score_and_explain
 from porescreen.session import shared_folder
 from porescreen.sources import tables
@@ -71,13 +72,35 @@ def test_results_are_written(spark, folder, tmp_path):
     assert tables.read_table(spark, f"{tmp_path}/diffusivity.csv").count() == 3
 
 
-def test_background_summary_keeps_weights_and_means(spark):
-    rows = [(float(i % 5), float(i * i % 7), 1.0) for i in range(100)]
-    df = spark.createDataFrame(rows, "a double, b double, c double")
-    got = attribute.background_summary(df, ["a", "b", "c"], bits=2).collect()
-    assert len(got) <= 4 and sum(r["weight"] for r in got) == 100
-    for k, name in enumerate("abc"):
-        assert sum(r["weight"] * r[name] for r in got) / 100 == pytest.approx(sum(r[k] for r in rows) / 100)
+def test_background_sample_at_thirteen_features(spark):
+    """The sample against every row of the background: same base, attributions within the stated bound."""
+    rng = np.random.default_rng(3)
+    d, n = 13, 1200
+    features = [f"f{i}" for i in range(d)]
+    net = score.Network(tuple(rng.normal(size=s) / s[1] ** 0.5 for s in ((16, d), (16, 16), (8, 16), (1, 8))),
+                        tuple(rng.normal(size=k) for k in (16, 16, 8, 1)), "relu")
+    rows, x = rng.normal(size=(n, d)), rng.normal(size=(2, d))
+    background = spark.createDataFrame([(f"b{k}", *map(float, r)) for k, r in enumerate(rows)], ["id", *features]).repartition(5)
+    samples = spark.createDataFrame([(f"s{k}", *map(float, r)) for k, r in enumerate(x)], ["name", *features])
+    drawn, base = attribute.background_sample(background, features, net, most=128, key="id")
+    again, _ = attribute.background_sample(background.repartition(2), features, net, most=128, key="id")
+    found = drawn.orderBy("bin", "part").collect()
+    same = again.orderBy("bin", "part").collect()
+    assert [(r["bin"], r["part"], r["f0"]) for r in found] == [(r["bin"], r["part"], r["f0"]) for r in same] and 64 < len(found) <= 128 + 32
+    weights = np.array([r["weight"] for r in found])
+    assert base == pytest.approx(net(rows).mean()) and weights.sum() == pytest.approx(n)
+    assert net(np.array([[r[f] for f in features] for r in found])) @ weights / n == pytest.approx(base)
+    got = {r["name"]: r for r in attribute.shapley_values(samples, background, "name", features, net, most=128, key="id").collect()}
+    full = {r["name"]: r for r in attribute.shapley_values(samples, background, "name", features, net, most=n).collect()}
+    spread = np.ptp(net(rows))
+    for k in range(2):
+        a, b = np.array([got[f"s{k}"][f] for f in features]), np.array([full[f"s{k}"][f] for f in features])
+        assert got[f"s{k}"]["base_value"] == pytest.approx(base) == full[f"s{k}"]["base_value"]
+        assert a.sum() == pytest.approx(net(x[k:k + 1])[0] - base) == pytest.approx(b.sum())
+        assert np.abs(a - b).max() < spread * math.sqrt(math.log(2 / 0.01) / 256)
+    # A background of few rows enters as it is.
+    few, _ = attribute.background_sample(background.limit(50), features, net)
+    assert few.count() == 50 and few.where("weight <> 1").isEmpty()
 
 
 def test_checkpoint_folder_is_required_on_a_cluster(spark):

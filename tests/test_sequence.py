@@ -151,3 +151,39 @@ def test_rebuilt_path_is_periodic(spark):
         assert out[i]["y"] == pytest.approx(4.0)
     short = path_of(spark, range(29), coords[:29])
     assert rows(sq.rebuild_periodic(short, SEQ, F.lit("X"), {c: F.lit(10.0) for c in "xyz"}).select("x", "y")) == rows(short.select("x", "y"))
+
+
+def plain_side_minima(values, at, sign):
+    lows = []
+    for step in (-1, 1):
+        low, i = sign * values[at], at + step
+        while 0 <= i < len(values) and sign * values[i] <= sign * values[at]:
+            low, i = min(low, sign * values[i]), i + step
+        lows.append(low)
+    return sign * values[at] - max(lows)
+
+
+def test_prominence_over_block_summaries(spark, monkeypatch):
+    """A zigzag that rises, one that falls and a random one: most elements are open in their block, and two levels stand above."""
+    import random
+
+    from porescreen.operators import prominence
+    from porescreen.operators.ordered import Sequence
+
+    monkeypatch.setattr(prominence, "FAN", 3)
+    rng, tracks = random.Random(5), {}
+    tracks["up"] = [i // 2 + (2.0 if i % 2 else 0.0) for i in range(90)]
+    tracks["down"] = tracks["up"][::-1]
+    tracks["any"] = [float(rng.randrange(12)) for _ in range(100)]
+    tracks["short"] = [1.0, 3.0, 2.0]
+    kinds = {}
+    for name, v in tracks.items():
+        for i in range(1, len(v) - 1):
+            if v[i - 1] < v[i] > v[i + 1] or v[i - 1] > v[i] < v[i + 1]:
+                kinds[name, i] = 1 if v[i] > v[i - 1] else -1
+    df = spark.createDataFrame([(n, i, x, kinds.get((n, i))) for n, v in tracks.items() for i, x in enumerate(v)],
+                               "p string, seq long, e double, kind int")
+    want = {(n, i): plain_side_minima(tracks[n], i, s) for (n, i), s in kinds.items()}
+    for seq in (Sequence(("p",), "seq", 5, True), Sequence(("p",), "seq")):
+        got = {(r["p"], r["seq"]): r["_drop"] for r in prominence.side_minima(df, seq, "e", "kind").collect()}
+        assert got == pytest.approx(want) and len(want) > 100
