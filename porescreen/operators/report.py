@@ -8,9 +8,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from porescreen.functions.names import PLAIN_SYMBOLS, SYMBOLS
 
-# What counts as a list marker, a heading mark and a code span of a message, and as the edge of a symbol.
-LIST_MARKER, HEADING_MARK, CODE_SPAN = r"^[-*•]\s+", r"^#{1,6}\s*", r"`([^`]+)`"
-NO_WORD_BEFORE, NO_WORD_AFTER = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9])"
+# The marks of a list, and how many heading marks a line may begin with.
+LIST_MARKS, HEADING_MARKS = "-*•", 6
 
 
 def sample_reports(original: DataFrame, features: DataFrame, name: str, columns: list[str], limit: int | None = None) -> DataFrame:
@@ -75,19 +74,46 @@ def table_blocks(messages: DataFrame, keys: list[str], text: str = "text") -> Da
         F.when(table, F.transform(F.slice("_rows", 2, F.greatest(F.size("_rows") - 1, F.lit(0))), lambda r: r["cells"])).alias("rows"))
 
 
+def _line_text(line: Column) -> Column:
+    """A line without white space around it, the list mark before a space, and up to six heading marks."""
+    bare = _strip(line)
+    listed = F.instr(F.lit(LIST_MARKS), F.substring(bare, 1, 1)) > 0
+    bare = F.when(listed & F.substring(bare, 2, 1).rlike(r"\s"), _strip(F.substring(bare, 2, 1 << 30))).otherwise(bare)
+    marks = F.least(F.length(bare) - F.length(F.ltrim(bare, F.lit("#"))), F.lit(HEADING_MARKS))
+    return F.when(marks > 0, _strip(F.substring(bare, marks + 1, F.length(bare)))).otherwise(bare)
+
+
 def plain_prose(text: Column) -> Column:
-    """Message text without list markers, heading marks, emphasis stars and code ticks."""
-    stripped = F.transform(F.split(text, "\n"), lambda line: F.regexp_replace(
-        F.regexp_replace(_strip(line), LIST_MARKER, ""), HEADING_MARK, ""))
-    joined = F.replace(F.array_join(stripped, "\n"), F.lit("*"), F.lit(""))
-    return F.regexp_replace(joined, CODE_SPAN, "$1")
+    """Message text without list markers, heading marks, emphasis stars and code ticks.
+
+    Ticks go in pairs with something between them: the text is cut at its ticks and put together again in one pass, in which
+    ``open`` tells that a tick was left out and waits for its partner."""
+    starless = F.replace(F.array_join(F.transform(F.split(text, "\n"), _line_text), "\n"), F.lit("*"), F.lit(""))
+    pieces = F.transform(F.split(starless, "`", -1), lambda p, i: F.struct(p.alias("p"), i.alias("i")))
+    start = F.struct(F.lit("").alias("text"), F.lit(True).alias("open"))
+
+    def put(done: Column, piece: Column, n: Column) -> Column:
+        opens = (piece["p"] != "") & (piece["i"] < n - 1)
+        closed = F.struct(F.concat(done["text"], piece["p"]).alias("text"), F.lit(False).alias("open"))
+        opened = F.struct(F.concat(done["text"], piece["p"]).alias("text"), F.lit(True).alias("open"))
+        plain = F.struct(F.concat(done["text"], F.lit("`"), piece["p"]).alias("text"), F.lit(False).alias("open"))
+        return F.when(done["open"], closed).when(opens, opened).otherwise(plain)
+
+    return F.aggregate(pieces, start, lambda done, piece: put(done, piece, F.size(F.split(starless, "`", -1))))["text"]
 
 
 def symbol_mentions(messages: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """Counts of descriptor symbols in text; longer symbols win, and neither edge may touch a word."""
+    """Counts of descriptor symbols in text; longer symbols win, and neither edge may touch a word.
+
+    The text falls into symbols that no letter or digit follows, runs of word characters, blanks and single other characters; a
+    symbol counts unless what stands before it ends in a word character."""
     forms = sorted({*SYMBOLS.values(), *PLAIN_SYMBOLS.values()}, key=lambda s: (-len(s), s))
-    pattern = NO_WORD_BEFORE + "(" + "|".join(re.escape(f) for f in forms) + ")" + NO_WORD_AFTER
-    found = messages.select(*keys, F.explode(F.regexp_extract_all(text, F.lit(pattern), F.lit(1))).alias("symbol"))
+    token = "((?:" + "|".join(re.escape(f) for f in forms) + r")(?=[^A-Za-z0-9]|$)|\w+|\s+|[^\w\s])"
+    tokens = messages.select(*keys, F.regexp_extract_all(text, F.lit(token), F.lit(1)).alias("_t"))
+    known = F.array(*[F.lit(f) for f in forms])
+    before = lambda i: F.when(i > 0, F.right(F.get("_t", i - 1), F.lit(1))).otherwise("")
+    free = F.transform("_t", lambda t, i: F.when(F.array_contains(known, t) & ~before(i).rlike(r"\w"), t))
+    found = tokens.select(*keys, F.explode(F.filter(free, lambda t: t.isNotNull())).alias("symbol"))
     return found.groupBy(*keys, "symbol").agg(F.count(F.lit(1)).alias("n"))
 
 
