@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from porescreen.functions.numbers import norm3
 from porescreen.operators.ordered import (
@@ -29,6 +31,8 @@ REPEAT_TOLERANCE = 1e-8
 MAD_FLOOR = 1e-10
 # Bits below which an earlier link of a chain of jump groups can't change a double.
 NEGLIGIBLE_BITS = 62
+# Rows of a track that a displacement task transforms at once.
+LAG_ROWS = 1 << 16
 
 
 def drop_repeated_points(path: DataFrame, seq: Sequence, tolerance: float = REPEAT_TOLERANCE) -> DataFrame:
@@ -317,18 +321,59 @@ def rebuild_periodic(path: DataFrame, seq: Sequence, axis: Column, lengths: dict
     return rows.filter(~F.col("_drifts")).select(*keys, seq.pos, "x", "y", "z", "e").unionByName(copies)
 
 
-def mean_squared_displacement(track: DataFrame, seq: Sequence, lags: int, group: str | None = None) -> DataFrame:
-    """Mean squared displacement by lag, in total and per axis, of unwrapped positions.
-
-    Every row meets its ``lags`` successors, so the work is rows x lags, not pairs of a track."""
-    ahead = {f"_{c}{k}": (c, -k) for k in range(1, lags + 1) for c in "xyz"}
-    rows = neighbours(track, seq, ahead)
-    steps = F.explode(F.array(*[
-        F.struct(F.lit(k).alias("lag"), *[(F.col(f"_{c}{k}") - F.col(c)).alias(f"d{c}") for c in "xyz"])
-        for k in range(1, lags + 1)]))
-    by = [group] if group else []
-    moved = rows.select(*by, steps.alias("_d")).select(*by, "_d.*").filter(F.col("dx").isNotNull())
-    sq = {c: F.avg(F.col(f"d{c}") * F.col(f"d{c}")) for c in "xyz"}
-    return moved.groupBy(*by, "lag").agg(
-        F.count(F.lit(1)).alias("n_pairs"), sq["x"].alias("msd_x"), sq["y"].alias("msd_y"),
-        sq["z"].alias("msd_z"), (sq["x"] + sq["y"] + sq["z"]).alias("msd"))
+def _lag_sums(near: np.ndarray, far: np.ndarray, ahead: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(lags from 1, pairs, sums of squared steps per axis) between the rows of two blocks, ``far`` beginning ``ahead`` rows later.
+
+    A squared step is a square plus a square minus twice a product: the squares come from running sums, the products of all
+    lags at once from a Fourier correlation."""
+    middle = near.mean(axis=0)
+    near, far = near - middle, far - middle
+    n, m = len(near), len(far)
+    size = 1 << int(n + m - 1).bit_length()
+    product = np.fft.irfft(np.conj(np.fft.rfft(near, size, axis=0)) * np.fft.rfft(far, size, axis=0), size, axis=0)
+    shift = np.arange(max(-(n - 1), 1 - ahead), m)
+    first, stop = np.maximum(0, -shift), np.minimum(n, m - shift)
+    square = lambda x: np.concatenate([np.zeros((1, x.shape[1])), np.cumsum(x * x, axis=0)])
+    a, b = square(near), square(far)
+    sums = a[stop] - a[first] + b[stop + shift] - b[first + shift] - 2 * product[shift % size]
+    return shift + ahead, stop - first, sums
+
+
+def mean_squared_displacement(track: DataFrame, seq: Sequence, lags: int | None = None, group: str | None = None,
+                              block_rows: int = LAG_ROWS) -> DataFrame:
+    """Mean squared displacement by lag, in total and per axis, of unwrapped positions; at all lags unless ``lags`` bounds them.
+
+    A track is cut into blocks, and each block meets those that its lags reach, in pairs.  A pair costs n log n, whatever
+    the number of lags, and holds two blocks; its sums by lag are what is shuffled."""
+    by, keys = ([group] if group else []), list(seq.keys)
+    rows = track.select(*dict.fromkeys([*by, *keys]), F.col(seq.pos).alias("_pos"), *[F.col(c).cast("double").alias(c) for c in "xyz"])
+    rows = rows.withColumn("_block", F.floor(F.col("_pos") / block_rows))
+    last = rows.groupBy(*keys).agg(F.max("_block").alias("_last")) if lags is None else None
+    reach = F.col("_last") if lags is None else F.lit(-(-lags // block_rows))
+    if last is not None:
+        rows = rows.join(last, keys)
+    # As the near block of pairs up to its reach, and as the far block of pairs that begin up to its reach before it.
+    steps = F.sequence(F.lit(0).cast("long"), F.least(reach.cast("long"), F.col("_last") - F.col("_block") if last is not None else reach.cast("long")))
+    back = F.sequence(F.lit(0).cast("long"), F.least(reach.cast("long"), F.col("_block")))
+    near = rows.withColumn("_ahead", F.explode(steps)).withColumn("_far", F.lit(False))
+    far = rows.withColumn("_ahead", F.explode(back)).withColumn("_far", F.lit(True)).withColumn("_block", F.col("_block") - F.col("_ahead"))
+    kinds = [T.StructField(g, track.schema[g].dataType) for g in by] + [T.StructField("lag", T.IntegerType()), T.StructField("n", T.LongType())] + [
+        T.StructField(f"s{c}", T.DoubleType()) for c in "xyz"]
+
+    def solve(pair: pd.DataFrame) -> pd.DataFrame:
+        pair = pair.sort_values("_pos")
+        parts = [pair.loc[pair["_far"] == f, ["x", "y", "z"]].to_numpy(float) for f in (False, True)]
+        if not len(parts[0]) or not len(parts[1]):
+            return pd.DataFrame({k.name: [] for k in kinds})
+        lag, n, sums = _lag_sums(*parts, int(pair["_ahead"].iloc[0]) * block_rows)
+        keep = slice(None) if lags is None else lag <= lags
+        return pd.DataFrame({g: pair[g].iloc[0] for g in by} | {"lag": lag[keep].astype(np.int32), "n": n[keep]}
+                            | {f"s{c}": sums[keep, k] for k, c in enumerate("xyz")})
+
+    used = [*dict.fromkeys([*by, *keys]), "_block", "_ahead", "_far", "_pos", "x", "y", "z"]
+    pairs = near.select(*used).unionByName(far.select(*used)).groupBy(*keys, "_block", "_ahead")
+    out = pairs.applyInPandas(solve, T.StructType(kinds)).groupBy(*by, "lag").agg(
+        F.sum("n").alias("n_pairs"), *[F.sum(f"s{c}").alias(f"s{c}") for c in "xyz"])
+    mean = {c: F.greatest(F.col(f"s{c}") / F.col("n_pairs"), F.lit(0.0)) for c in "xyz"}
+    return out.where("n_pairs > 0").select(
+        *by, "lag", "n_pairs", *[m.alias(f"msd_{c}") for c, m in mean.items()], (mean["x"] + mean["y"] + mean["z"]).alias("msd"))

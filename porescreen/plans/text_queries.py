@@ -161,15 +161,31 @@ def whole_trajectories(spark, sf_dir):
     return track.select("user_id", "seq", *[rounded(c, 4).alias(c) for c in "xyz"])
 
 
-@query("W15", f"""WITH {SQL_TRACK}, moved AS (
+def _sql_lags(most: str) -> str:
+    return f"""WITH {SQL_TRACK}, moved AS (
   SELECT l.lag::INT AS lag, b.x - a.x AS dx, b.y - a.y AS dy, b.z - a.z AS dz
-  FROM whole a, range(1, {LAGS + 1}) l(lag) JOIN whole b ON b.user_id = a.user_id AND b.seq = a.seq + l.lag)
+  FROM whole a, range(1, {most}) l(lag) JOIN whole b ON b.user_id = a.user_id AND b.seq = a.seq + l.lag)
 SELECT lag, count(*) AS n_pairs, round(avg(dx * dx), 4) AS msd_x, round(avg(dy * dy), 4) AS msd_y, round(avg(dz * dz), 4) AS msd_z,
-       round(avg(dx * dx) + avg(dy * dy) + avg(dz * dz), 4) AS msd FROM moved GROUP BY 1""")
+       round(avg(dx * dx) + avg(dy * dy) + avg(dz * dz), 4) AS msd FROM moved GROUP BY 1"""
+
+
+def _by_lag(out):
+    return out.select("lag", "n_pairs", *[rounded(c, 4).alias(c) for c in ("msd_x", "msd_y", "msd_z", "msd")])
+
+
+@query("W15", _sql_lags(str(LAGS + 1)))
 def displacement_by_lag(spark, sf_dir):
     track, seq = _whole_track(spark, sf_dir)
-    out = sq.mean_squared_displacement(track, seq, LAGS)
-    return out.select("lag", "n_pairs", *[rounded(c, 4).alias(c) for c in ("msd_x", "msd_y", "msd_z", "msd")])
+    return _by_lag(sq.mean_squared_displacement(track, seq, LAGS))
+
+
+@query("W15", "SELECT lag, n_pairs, " + ", ".join(f"round({c} / 10000, 4) AS {c}" for c in ("msd_x", "msd_y", "msd_z", "msd"))
+       + " FROM (" + _sql_lags("(SELECT max(seq) + 1 FROM v_path)::BIGINT").replace("round(", "(").replace(", 4) AS", ") AS") + ")")
+def displacement_at_all_lags(spark, sf_dir):
+    """Every lag of every track, in squares of 100; blocks of 32 rows, so that tracks span several."""
+    track, seq = _whole_track(spark, sf_dir)
+    out = sq.mean_squared_displacement(track, seq, block_rows=32)
+    return out.select("lag", "n_pairs", *[rounded(F.col(c) / 10000, 4).alias(c) for c in ("msd_x", "msd_y", "msd_z", "msd")])
 
 
 # -- drifting paths ----------------------------------------------------------------------------

@@ -187,3 +187,19 @@ def test_prominence_over_block_summaries(spark, monkeypatch):
     for seq in (Sequence(("p",), "seq", 5, True), Sequence(("p",), "seq")):
         got = {(r["p"], r["seq"]): r["_drop"] for r in prominence.side_minima(df, seq, "e", "kind").collect()}
         assert got == pytest.approx(want) and len(want) > 100
+
+
+def test_displacement_at_all_lags(spark):
+    rng, tracks = random.Random(8), {"a": 70, "b": 33, "c": 1, "d": 2}
+    points = {t: [tuple(rng.gauss(0, 1) + 50 * k for k in range(3)) for _ in range(n)] for t, n in tracks.items()}
+    df = spark.createDataFrame([(t, i, *p) for t, ps in points.items() for i, p in enumerate(ps)], "p string, seq long, x double, y double, z double")
+    sums = {}
+    for ps in points.values():
+        for i in range(len(ps)):
+            for j in range(i + 1, len(ps)):
+                sums.setdefault(j - i, []).append(sum((u - v) ** 2 for u, v in zip(ps[i], ps[j])))
+    for lags, block_rows in ((None, 1 << 16), (None, 8), (19, 8), (3, 16)):
+        got = sq.mean_squared_displacement(df, Sequence(("p",), "seq"), lags, block_rows=block_rows).collect()
+        want = {m: (len(s), sum(s) / len(s)) for m, s in sums.items() if lags is None or m <= lags}
+        assert {r["lag"]: r["n_pairs"] for r in got} == {m: n for m, (n, _) in want.items()}
+        assert {r["lag"]: r["msd"] for r in got} == pytest.approx({m: d for m, (_, d) in want.items()})
