@@ -101,8 +101,8 @@ def components(links: DataFrame) -> DataFrame:
     while state[0]:
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = cut_round(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
-        large = cut_round(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-                            .where("a <> b").distinct())
+        # Read twice below, over one exchange, and not written.
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = cut_round(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(least, "a").select(F.explode(F.array(
             F.struct(F.col("a").alias("a"), F.col("m").alias("b")),

@@ -245,13 +245,13 @@ def _crossing(compare):
                 apart = roots[0][:, None] != roots[1][None, :]
                 if apart.any():
                     near = compare([m["line"] for m in left], [m["line"] for m in right]) & apart
-                    found += [(left[i]["key"], right[j]["key"]) for i, j in forest(near)]
+                    found += [(left[i]["root"], right[j]["root"]) for i, j in forest(near)]
             yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
     return run
 
 
 def _crossing_links(placed: DataFrame, texts: DataFrame, compare) -> DataFrame:
-    """Verified links between members of a band that lie in different components, (band, key, root, chars) given.
+    """Links between the roots of different components with similar members in a band, (band, key, root, chars) given.
 
     In each band the members outside its largest component are compared with all members of other components: both
     are dealt to blocks, and each pair of blocks is one row with a key of its own. Its links are a spanning forest.
@@ -282,14 +282,20 @@ def _crossing_links(placed: DataFrame, texts: DataFrame, compare) -> DataFrame:
 
 
 def similar_lines(docs: DataFrame, keyed: DataFrame, text_column: str = "text") -> DataFrame:
-    """Verified links (a, b) between keys of different lines; they connect whatever similar pairs that share a band connect."""
+    """(a, b): the key of each line that resembles others, and the least key of its component; links are between lines
+    that share a band."""
     spots = keyed.select("fresh", F.posexplode("hashes").alias("pos", "band")).select(
         "band", F.get("fresh", (F.col("pos") / BANDS).cast("int")).alias("key"))
     return verified_links(spots, lambda wanted: _texts(docs, text_column, wanted), _similar, similar_of)
 
 
 def verified_links(spots: DataFrame, texts_of, similar, compare) -> DataFrame:
-    """Links (a, b) between the keys of (band, key) that connect whatever similar pairs that share a band connect.
+    """``verified_roots`` as links (a, b) of each key to the least one of its component."""
+    return verified_roots(spots, texts_of, similar, compare).toDF("a", "b")
+
+
+def verified_roots(spots: DataFrame, texts_of, similar, compare) -> DataFrame:
+    """(node, root): the least key that each other key of (band, key) is connected to by similar pairs that share a band.
 
     The members of a band are compared with its least key. What is connected then needs no comparison; all other pairs
     of a band are compared, in blocks, so a group of copies takes one comparison each. ``texts_of`` gives (key, line) of
@@ -300,11 +306,14 @@ def verified_links(spots: DataFrame, texts_of, similar, compare) -> DataFrame:
     members = cut_round(spots.join(heads, "band").select("band", "head", "key").distinct())
     texts = cut_lineage(texts_of(cut_round(members.select("key").distinct())))
     links = _verified(members.where("key <> head").select(F.col("head").alias("a"), F.col("key").alias("b")), texts, similar)
-    roots = components(links).withColumnRenamed("node", "key")
+    roots = cut_round(components(links).withColumnRenamed("node", "key"))
     lengths = texts.select("key", F.length("line").cast("long").alias("chars"))
     placed = cut_round(members.join(roots, "key", "left").join(lengths, "key").select(
         "band", "key", F.coalesce("root", "key").alias("root"), "chars"))
-    return links.unionAll(_crossing_links(placed, texts, compare))
+    # The second search runs between the components of the first, so it has only what is new.
+    above = cut_round(components(_crossing_links(placed, texts, compare)))
+    lifted = roots.join(above.toDF("root", "top"), "root", "left").select(F.col("key").alias("node"), F.coalesce("top", "root").alias("root"))
+    return cut_round(lifted.unionAll(above))
 
 
 def decisions(docs: DataFrame, keyed: DataFrame, text_column: str = "text") -> DataFrame:
@@ -314,7 +323,7 @@ def decisions(docs: DataFrame, keyed: DataFrame, text_column: str = "text") -> D
     id among those that hold a line of the component (null only if no other has an id).
     """
     once = keyed.select("doc_id", F.explode(F.array_distinct(F.filter("keys", lambda k: k.isNotNull()))).alias("key"))
-    roots = components(similar_lines(docs, keyed, text_column))
+    roots = similar_lines(docs, keyed, text_column).toDF("node", "root")
     held = cut_lineage(once.groupBy("key").agg(F.min("doc_id").alias("owner"), F.count("*").alias("n")))
     rooted = cut_lineage(held.join(roots.withColumnRenamed("node", "key"), "key", "left").select(
         "key", "owner", "n", F.coalesce("root", "key").alias("root")))
