@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from porescreen.functions import names
@@ -12,7 +14,15 @@ from porescreen.plans.assemble_queries import SQL_AXIS, _axis_results
 from porescreen.plans.bindings import V_ATOMS, V_FEAT, V_PATH, atoms, features, paths, structures, table
 from porescreen.plans.registry import query
 from porescreen.plans.score_queries import FEATURES, SQL_ORIGINAL, _original
-from porescreen.sources import paths as path_text, structures as cif, trajectory
+from porescreen.session import shared_folder
+from porescreen.sources import paths as path_text, structures as cif, text, trajectory
+
+
+def _written(spark, lines, name, part_lines):
+    """A folder with the lines as text files."""
+    folder = f"{shared_folder(spark)}/files-{uuid.uuid4()}"
+    text.write_lines(lines, folder, name, part_lines=part_lines)
+    return folder
 
 
 # -- structure text ----------------------------------------------------------------------------
@@ -33,6 +43,16 @@ def structure_lines(spark, sf_dir):
     return top.unionByName(rows).unionByName(tail)
 
 
+@query("A1 B5", f"""WITH {V_ATOMS}
+SELECT framework, row_number() OVER (PARTITION BY framework ORDER BY atom_id) - 1 AS atom_id, element, round(fx, 8) + 0.0 AS fx, round(fy, 8) + 0.0 AS fy,
+       round(fz, 8) + 0.0 AS fz FROM v_atoms""")
+def atoms_from_files(spark, sf_dir):
+    """Structure files written and read; their long atom loops stand in several parts."""
+    folder = _written(spark, structure_lines(spark, sf_dir), "framework", 100)
+    out = cif.atom_table(text.read_written_lines(spark, folder))
+    return out.select("framework", "atom_id", "element", *[rounded(c, 8).alias(c) for c in ("fx", "fy", "fz")])
+
+
 @query("A1 A2", f"""WITH {V_ATOMS}
 SELECT framework, row_number() OVER (PARTITION BY framework ORDER BY atom_id) - 1 AS atom_id, element, element || atom_id AS label,
        1::INT AS multiplicity, round(fx, 8) + 0.0 AS fx, round(fy, 8) + 0.0 AS fy, round(fz, 8) + 0.0 AS fz, 1.0::DOUBLE AS occupancy FROM v_atoms""")
@@ -72,6 +92,27 @@ def paths_from_text(spark, sf_dir):
     return out.select("user_id", "seq", *[rounded(c).alias(c) for c in ("x", "y", "z", "e")])
 
 
+@query("A6 B6", f"""WITH {V_PATH}, n AS (SELECT user_id, count(*) AS n FROM v_path GROUP BY 1)
+SELECT user_id::VARCHAR AS user_id, seq, round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y, round(z, 6) + 0.0 AS z, round(e, 6) + 0.0 AS e
+FROM v_path JOIN n USING (user_id) WHERE n >= 5""")
+def paths_from_files(spark, sf_dir):
+    """Path files written by the tasks, in parts of 64 lines, and read again as a table of lines."""
+    path, seq = paths(spark, sf_dir)
+    records = path.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_nodes"), (F.max("e") - F.min("e")).alias("barrier"))
+    folder = _written(spark, path_text.path_lines(path, records, "user_id"), "user_id", 64)
+    out = path_text.parse_path_lines(text.read_written_lines(spark, folder, "user_id"), "user_id")
+    return out.select("user_id", "seq", *[rounded(c).alias(c) for c in ("x", "y", "z", "e")])
+
+
+@query("A2 B6", f"""WITH {V_PATH}, l AS (SELECT user_id, seq + 4 AS line_no FROM v_path UNION ALL SELECT DISTINCT user_id, unnest(range(0, 4)) FROM v_path)
+SELECT user_id::VARCHAR AS user_id, count(DISTINCT line_no // 64) AS parts FROM l GROUP BY 1""")
+def listed_path_files(spark, sf_dir):
+    path, _ = paths(spark, sf_dir)
+    records = path.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_nodes"), (F.max("e") - F.min("e")).alias("barrier"))
+    folder = _written(spark, path_text.path_lines(path, records, "user_id"), "user_id", 64)
+    return text.list_written(spark, folder, "user_id").select("user_id", "parts")
+
+
 @query("A6", f"""WITH {V_PATH} SELECT user_id, count(*) AS n_nodes, round(max(e) - min(e), 4) AS barrier, CAST(NULL AS BIGINT) AS n_supercell
 FROM v_path GROUP BY 1""")
 def path_comments_from_text(spark, sf_dir):

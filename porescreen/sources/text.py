@@ -2,17 +2,61 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+
+from porescreen.session import cut_lineage
 
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+#: Lines of one written part of a text file.
+PART_LINES = 1 << 20
 
 
 def read_lines(spark: SparkSession, path: str, pattern: str, name: str = "framework") -> DataFrame:
-    """(name, line_no, line) of all files whose name matches the glob; the name is the file stem."""
-    files = spark.read.option("pathGlobFilter", pattern).option("wholetext", True).text(path)
+    """(name, line_no, line) of all files whose name matches the glob; the name is the file stem.
+
+    A large file is read in splits by many tasks."""
+    files = spark.read.option("pathGlobFilter", pattern).text(path)
     stem = F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "")
-    lines = files.select(stem.alias(name), F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "line"))
-    return lines.withColumn("line_no", F.col("line_no").cast("long"))
+    return _numbered(files.select(stem.alias(name), F.lit(0).alias("_part"), *_place(), F.col("value").alias("line")), name)
+
+
+def _place() -> list[Column]:
+    """The split that a line is read in, and a number that rises along it."""
+    return [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"),
+            F.monotonically_increasing_id().alias("_at")]
+
+
+def _numbered(lines: DataFrame, name: str) -> DataFrame:
+    """Line numbers of files that are read in splits: the lines of the splits before, and the place in the own one.
+
+    How files are split may change between two scans, so the lines are written out once; counts by split, not lines, are
+    put in order."""
+    lines = cut_lineage(lines)
+    splits = lines.groupBy(name, "_part", "_file", "_start").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    before = W.partitionBy(name).orderBy("_part", "_file", "_start").rowsBetween(W.unboundedPreceding, -1)
+    shift = splits.select(name, "_part", "_file", "_start", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
+    return lines.join(shift, [name, "_part", "_file", "_start"]).select(name, (F.col("_at") + F.col("_shift")).alias("line_no"), "line")
+
+
+def write_lines(lines: DataFrame, path: str, name: str = "framework", pos: str = "line_no", part_lines: int = PART_LINES) -> None:
+    """Write (name, pos, line) as text: a file per name with its lines in order, long ones in numbered parts.
+
+    The tasks write ``file=<name>/part=<number>/``; every part is one file, so no task holds more than part_lines of one."""
+    parts = lines.select(F.col(name).alias("file"), F.floor(F.col(pos) / part_lines).alias("part"), F.col(pos).alias("_pos"), "line")
+    laid = parts.repartition("file", "part").sortWithinPartitions("file", "part", "_pos")
+    laid.select("file", "part", "line").write.partitionBy("file", "part").text(path)
+
+
+def read_written_lines(spark: SparkSession, path: str, name: str = "framework") -> DataFrame:
+    """(name, line_no, line) of the files that ``write_lines`` wrote, parts put together."""
+    files = spark.read.schema("line string, file string, part long").text(path)
+    return _numbered(files.select(F.col("file").alias(name), F.col("part").alias("_part"), *_place(), "line"), name)
+
+
+def list_written(spark: SparkSession, path: str, name: str = "framework") -> DataFrame:
+    """(name, parts, bytes) of the files that ``write_lines`` wrote, without reading them."""
+    files = spark.read.schema("path string, modificationTime timestamp, length long, content binary, file string, part long")
+    return files.format("binaryFile").load(path).groupBy(F.col("file").alias(name)).agg(F.count("*").alias("parts"), F.sum("length").alias("bytes"))
 
 
 def read_structure_lines(spark: SparkSession, path: str) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 from porescreen.operators import attribute, score
 from porescreen.plans.screening import score_and_explain
 from porescreen.session import shared_folder
-from porescreen.sources import tables
+from porescreen.sources import tables, text
 
 COLUMNS = ["E_max", "tortuosity", "PLD"]
 
@@ -129,3 +129,24 @@ def test_checkpoint_folder_is_required_on_a_cluster(spark):
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_folder(Session())
+
+
+def test_line_numbers_of_split_files(spark, tmp_path):
+    """A file of many splits, small ones beside it, and a file in parts give every line its number."""
+    long = [f"{k} " + "x" * (k % 37) for k in range(30_000)]
+    (tmp_path / "long.txt").write_text("\n".join(long) + "\n")
+    (tmp_path / "short.txt").write_text("one\r\ntwo\n\nfour")
+    (tmp_path / "other.log").write_text("no")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "32k")
+    try:
+        lines = text.read_lines(spark, str(tmp_path), "*.txt", "file")
+        assert lines.rdd.getNumPartitions() > 1
+        found = {(r["file"], r["line_no"]): r["line"] for r in lines.collect()}
+        assert found == {("long", k): x for k, x in enumerate(long)} | {("short", k): x for k, x in enumerate(["one", "two", "", "four"])}
+        text.write_lines(lines.repartition(7), f"{tmp_path}/out", "file", part_lines=9_000)
+        again = {(r["file"], r["line_no"]): r["line"] for r in text.read_written_lines(spark, f"{tmp_path}/out", "file").collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert again == found
+    assert {r["file"]: r["parts"] for r in text.list_written(spark, f"{tmp_path}/out", "file").collect()} == {"long": 4, "short": 1}
