@@ -138,6 +138,41 @@ def run_summary(inputs: DataFrame, barriers: DataFrame) -> DataFrame:
                          *[f"barrier_{a}" for a in AXES])
 
 
+# Stages of a run in order, and the reasons that leave rows out without ending the run of a framework.
+STAGES = ("read", "pore size", "mask", "barrier", "features")
+HARMLESS = ("site without coordinates",)
+
+
+def stage_rejects(inputs: DataFrame, passed: DataFrame, stage: str, reason: str) -> DataFrame:
+    """Rejects (framework, stage, reason, n) of the inputs that a stage did not pass on."""
+    lost = inputs.select("framework").distinct().join(passed.select("framework").distinct(), "framework", "left_anti")
+    return lost.select("framework", F.lit(stage).alias("stage"), F.lit(reason).alias("reason"), F.lit(1).cast("long").alias("n"))
+
+
+def barrier_rejects(records: DataFrame) -> DataFrame:
+    """One reject per framework with traversable axes that have no path; the reason names the axes."""
+    lost = records.filter(F.col("status") == "no path").groupBy("framework").agg(F.array_sort(F.collect_set("axis")).alias("_a"))
+    return lost.select("framework", F.lit("barrier").alias("stage"), F.concat(F.lit("no path along "), F.array_join("_a", ", ")).alias("reason"),
+                       F.size("_a").cast("long").alias("n"))
+
+
+def run_report(inputs: DataFrame, barriers: DataFrame, rejects: DataFrame) -> DataFrame:
+    """``run_summary`` with the stage at which a failed input was lost, the reason, and how many rows of it were left out.
+
+    The earliest stage counts, then the first reason by name.  An input without any reject that yields nothing was lost
+    at the last stage.  Inputs are what was listed, so one that no stage saw is there too."""
+    order = F.array_position(F.array(*[F.lit(s) for s in STAGES]), F.col("stage"))
+    ends = F.when(~F.col("reason").isin(*HARMLESS), F.struct(order.alias("at"), "reason", "stage"))
+    per = rejects.groupBy("framework").agg(F.min(ends).alias("_r"), F.sum(F.when(F.col("reason").isin(*HARMLESS), F.col("n")).otherwise(0)).alias("_left"))
+    rows = run_summary(inputs, barriers).join(per, "framework", "left")
+    failed = F.col("_r").isNotNull() | (F.col("status") != "OK")
+    return rows.select(
+        "framework", F.when(failed, "FAILED").otherwise("OK").alias("status"),
+        F.when(failed, F.coalesce(F.col("_r.stage"), F.lit(STAGES[-1]))).alias("stage"),
+        F.when(failed, F.coalesce(F.col("_r.reason"), F.lit("no result"))).alias("reason"), F.coalesce("_left", F.lit(0)).alias("rows_left_out"),
+        *[F.when(~failed, F.col(f"barrier_{a}")).alias(f"barrier_{a}") for a in AXES])
+
+
 def status_counts(summary: DataFrame) -> DataFrame:
     return summary.agg(F.count_if(F.col("status") == "OK").alias("n_ok"),
                        F.count_if(F.col("status") != "OK").alias("n_failed"))

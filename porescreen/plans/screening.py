@@ -30,11 +30,12 @@ def path_features(records: DataFrame, paths: DataFrame, dims: DataFrame, cells:
 
 def screen(structures: DataFrame, atoms: DataFrame, external: DataFrame, probe: str = "ch4", spacing: float = 0.2,
            cutoff: float = 14.0, min_supercell: float = 28.0, threshold: float = channel.ENERGY_THRESHOLD,
-           pore_grid_n: int = 120) -> dict[str, DataFrame]:
+           pore_grid_n: int = 120, rejects: DataFrame | None = None) -> dict[str, DataFrame]:
     """Structures and atoms to the feature table.
 
-    Returns ``features``, ``pores``, ``barriers`` and ``summary``.  A framework in which a
-    traversable axis has no path counts as failed and yields no features.
+    Returns ``features``, ``pores``, ``barriers``, ``rejects`` and ``summary``.  A framework in which a
+    traversable axis has no path counts as failed and yields no features.  Every stage adds what it loses to the
+    ``rejects`` of reading, and the summary names stage and reason of each failure.
     """
     cells = with_cell(structures)
     radii = cut_lineage(voxel.free_radius_grid(structures, atoms, pore_grid_n))
@@ -54,8 +55,13 @@ def screen(structures: DataFrame, atoms: DataFrame, external: DataFrame, probe:
     rows = path_features(good, paths.join(good.select(*KEYS), KEYS, "left_semi"), dims, cells)
     rows = rows.join(channel.dimensionality(traversal).select("framework", "dimensionality"), "framework")
     features = assemble.feature_table(rows, pores, external, FEATURE_ORDER)
-    return {"features": features, "pores": pores, "barriers": records,
-            "summary": assemble.run_summary(structures, good.select("framework", "axis", "barrier"))}
+    sized = pores.select(F.col("name").alias("framework"), "ok").filter("ok")
+    lost = assemble.stage_rejects(structures, sized, "pore size", "no free-radius voxels").unionByName(
+        assemble.stage_rejects(structures, mask, "mask", "no pore voxels")).unionByName(assemble.barrier_rejects(records))
+    lost = cut_lineage(lost if rejects is None else lost.unionByName(rejects))
+    seen = structures.select("framework").unionByName(lost.select("framework"))
+    return {"features": features, "pores": pores, "barriers": records, "rejects": lost,
+            "summary": assemble.run_report(seen, good.select("framework", "axis", "barrier"), lost)}
 
 
 def score_and_explain(features: DataFrame, network, columns: list[str], scaler: dict[str, tuple[float, float]],

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from porescreen.functions import names
 from porescreen.functions.numbers import rounded
-from porescreen.operators import report, sequence as sq
+from porescreen.operators import assemble as asm, report, sequence as sq
 from porescreen.operators.ordered import Sequence, running_sum
 from porescreen.plans.assemble_queries import SQL_AXIS, _axis_results
 from porescreen.plans.bindings import V_ATOMS, V_FEAT, V_PATH, atoms, features, paths, structures, table
@@ -43,6 +43,34 @@ def structure_lines(spark, sf_dir):
     return top.unionByName(rows).unionByName(tail)
 
 
+def _damaged_lines(spark, sf_dir):
+    """Structure files of which some lack a cell length, some all sites, and some the x of every seventh site."""
+    number = F.substring("framework", 3, 9).cast("int")
+    site = F.col("line_no").between(100, (1 << 40) - 1)
+    lines = structure_lines(spark, sf_dir).filter(~((number % 5 == 1) & F.col("line").startswith("_cell_length_b")) & ~((number % 5 == 2) & site))
+    blank = F.regexp_replace("line", r"  1  [-0-9.]+  ", "  1  ?  ")
+    return lines.withColumn("line", F.when((number % 5 == 3) & site & (F.col("line_no") % 7 == 0), blank).otherwise(F.col("line")))
+
+
+@query("B7 A1 G17", f"""WITH {V_ATOMS}, f AS (SELECT framework, framework[3:]::INT AS n FROM v_struct),
+bad AS (SELECT framework, count(*) FILTER (framework[3:]::INT % 5 = 3 AND (atom_id + 100) % 7 = 0) AS b FROM v_atoms GROUP BY 1)
+SELECT framework, CASE WHEN n % 5 IN (1, 2) OR n % 3 = 0 THEN 'FAILED' ELSE 'OK' END AS status,
+       CASE WHEN n % 5 IN (1, 2) THEN 'read' WHEN n % 3 = 0 THEN 'barrier' END AS stage,
+       CASE WHEN n % 5 = 1 THEN 'incomplete cell' WHEN n % 5 = 2 THEN 'no atom sites' WHEN n % 3 = 0 THEN 'no path along X, Z' END AS reason,
+       CASE WHEN n % 5 = 3 THEN b ELSE 0 END AS rows_left_out,
+       CASE WHEN NOT (n % 5 IN (1, 2) OR n % 3 = 0) THEN n + 0.5::DOUBLE END AS "barrier_X", CAST(NULL AS DOUBLE) AS "barrier_Y",
+       CASE WHEN NOT (n % 5 IN (1, 2) OR n % 3 = 0) THEN n + 1.5::DOUBLE END AS "barrier_Z"
+FROM f JOIN bad USING (framework)""")
+def run_status_reasons(spark, sf_dir):
+    """Stage and reason of every failure, from damaged structure files and from axes without a path."""
+    frameworks = structures(spark, sf_dir).select("framework", F.substring("framework", 3, 9).cast("int").alias("n"))
+    records = frameworks.select("framework", "n", F.explode(F.array(F.lit("X"), F.lit("Z"))).alias("axis")).select(
+        "framework", "axis", (F.col("n") + F.when(F.col("axis") == "X", 0.5).otherwise(1.5)).alias("barrier"),
+        F.when(F.col("n") % 3 == 0, "no path").otherwise("OK").alias("status"))
+    rejects = cif.read_rejects(_damaged_lines(spark, sf_dir)).unionByName(asm.barrier_rejects(records))
+    return asm.run_report(frameworks, records.filter("status = 'OK'"), rejects)
+
+
 @query("A1 B5", f"""WITH {V_ATOMS}
 SELECT framework, row_number() OVER (PARTITION BY framework ORDER BY atom_id) - 1 AS atom_id, element, round(fx, 8) + 0.0 AS fx, round(fy, 8) + 0.0 AS fy,
        round(fz, 8) + 0.0 AS fz FROM v_atoms""")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from porescreen.operators.ordered import Sequence, carried, compact, running_sum
 from porescreen.sources.text import number
@@ -50,9 +50,8 @@ def loop_rows(lines: DataFrame, seq: Sequence) -> tuple[DataFrame, DataFrame]:
     return tags, body.filter(inside).select("framework", "loop_no", seq.pos, "line")
 
 
-def atom_table(lines: DataFrame, seq: Sequence | None = None) -> DataFrame:
-    """Atom sites in file order; element from the type symbol, else from the label."""
-    seq = seq or Sequence(("framework",))
+def _sites(lines: DataFrame, seq: Sequence) -> DataFrame:
+    """All rows of the atom loops, also those without coordinates."""
     tags, rows = loop_rows(lines, seq)
     places = tags.groupBy("framework", "loop_no").agg(
         *[F.max(F.when(F.col("tag") == t, F.col("col"))).alias(f"_{c}") for c, t in ATOM_TAGS.items()])
@@ -60,11 +59,39 @@ def atom_table(lines: DataFrame, seq: Sequence | None = None) -> DataFrame:
     word = F.split("line", r"\s+")
     cell = {c: F.get(word, F.col(f"_{c}")) for c in ATOM_TAGS}
     plain = {c: number(F.regexp_replace(v, r"\(.*\)", "")) for c, v in cell.items() if c not in ("symbol", "label")}
-    sites = rows.join(places, ["framework", "loop_no"]).select(
+    return rows.join(places, ["framework", "loop_no"]).select(
         "framework", seq.pos, F.regexp_extract(F.coalesce(cell["symbol"], cell["label"]), r"^([A-Za-z]{1,2})", 1).alias("element"),
         cell["label"].alias("label"), plain["multiplicity"].cast("int").alias("multiplicity"),
-        *[plain[c].alias(c) for c in ("fx", "fy", "fz", "occupancy")]).filter("fx is not null")
-    return compact(sites, seq).withColumnRenamed(seq.pos, "atom_id")
+        *[plain[c].alias(c) for c in ("fx", "fy", "fz", "occupancy")])
+
+
+PLACED = "fx IS NOT NULL AND fy IS NOT NULL AND fz IS NOT NULL"
+
+
+def atom_table(lines: DataFrame, seq: Sequence | None = None) -> DataFrame:
+    """Atom sites in file order; element from the type symbol, else from the label.  ``read_rejects`` names what is left out."""
+    seq = seq or Sequence(("framework",))
+    return compact(_sites(lines, seq).filter(PLACED), seq).withColumnRenamed(seq.pos, "atom_id")
+
+
+def read_rejects(lines: DataFrame, seq: Sequence | None = None) -> DataFrame:
+    """Rejects (framework, stage, reason, n) of reading: sites without coordinates, structures without sites or a whole cell."""
+    seq = seq or Sequence(("framework",))
+    cells = structure_table(lines)
+    whole = F.lit(True)
+    for c in CELL_TAGS:
+        whole = whole & F.col(c).isNotNull()
+    sites = _sites(lines, seq).groupBy("framework").agg(F.count_if(F.expr(PLACED)).alias("_good"), F.count_if(~F.expr(PLACED)).alias("_bad"))
+    rows = cells.select("framework", whole.alias("_whole")).join(sites, "framework", "left").na.fill(0, ["_good", "_bad"])
+    found = F.filter(F.array(
+        F.when(~F.col("_whole"), reject("incomplete cell", F.lit(1))),
+        F.when(F.col("_good") == 0, reject("no atom sites", F.lit(1))),
+        F.when((F.col("_bad") > 0) & (F.col("_good") > 0), reject("site without coordinates", F.col("_bad")))), lambda r: r.isNotNull())
+    return rows.select("framework", F.explode(found).alias("_r")).select("framework", F.lit("read").alias("stage"), "_r.*")
+
+
+def reject(reason: str, n: Column) -> Column:
+    return F.struct(F.lit(reason).alias("reason"), n.cast("long").alias("n"))
 
 
 def operation_table(lines: DataFrame, seq: Sequence | None = None) -> DataFrame:
