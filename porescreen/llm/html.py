@@ -31,6 +31,8 @@ MARGINAL_NAMES = frozenset((
     "navbar navigation breadcrumb breadcrumbs footer masthead header comment comments reply replies disqus respond cookie "
     "cookies consent notice notices gdpr popup modal overlay newsletter subscribe subscription signup login search share "
     "sharing social related recommended widget toolbar pagination pager copyright legal complementary contentinfo").split())
+#: Of these, names that count however much of the page an element holds.
+COMMENT_NAMES = frozenset("comment comments reply replies disqus respond".split())
 #: Elements that end when one of the same kind begins.
 SIBLINGS = frozenset("p li dt dd tr td th option".split())
 
@@ -55,20 +57,27 @@ class Block:
     linked: int = 0
     label: int = OPEN
     text: str = ""
+    within: tuple[int, ...] = ()
 
 
-def _marginal_by_name(attributes: str) -> bool:
+def _marginal_names(attributes: str) -> set[str]:
+    """The parts of class, id and role that mark what surrounds an article."""
+    found = set()
     for value in _NAMES.findall(attributes):
         for name in "".join(value).replace("-", " ").replace("_", " ").split():
-            if any(p.lower() in MARGINAL_NAMES for p in _PART.findall(name)):
-                return True
-    return bool(_HIDDEN.search(attributes))
+            found.update(p.lower() for p in _PART.findall(name))
+    return found & MARGINAL_NAMES
 
 
 def blocks(html: str) -> list[Block]:
-    """The blocks of a page in order: runs of text that no block element interrupts."""
+    """The blocks of a page in order: runs of text that no block element interrupts.
+
+    An element that is marginal by its name alone is not so if it holds an article, or two thirds of the text of a page
+    that has no article elsewhere."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # element, within something marginal, within an article
+    # Element, within something marginal, within an article, numbers of the elements around it that a name marks.
+    stack: list[tuple[str, bool, bool, tuple[int, ...]]] = []
+    named: list[tuple[bool, bool]] = []  # of each such element: whether it holds comments, and an article
     current: Block | None = None
     links, at = 0, 0
 
@@ -80,8 +89,8 @@ def blocks(html: str) -> list[Block]:
         if current is None:
             if not text.strip():
                 return
-            top = stack[-1] if stack else ("", False, False)
-            current = Block(top[2], top[1], any(re.fullmatch("h[1-6]", s[0]) for s in stack[-3:]))
+            top = stack[-1] if stack else ("", False, False, ())
+            current = Block(top[2], top[1], any(re.fullmatch("h[1-6]", s[0]) for s in stack[-3:]), within=top[3])
             out.append(current)
         current.parts.append(text)
         if links:
@@ -123,19 +132,36 @@ def blocks(html: str) -> list[Block]:
                 stack.pop()
             if name in SIBLINGS and stack and stack[-1][0] == name:
                 stack.pop()
-        _, marginal, inside = stack[-1] if stack else ("", False, False)
-        own = name in MARGINAL or (name == "header" and not inside)
-        if name not in ("html", "body"):
-            own = own or _marginal_by_name(attributes)
-        stack.append((name, marginal or own, inside or (name in ARTICLE and not own)))
+        _, marginal, inside, within = stack[-1] if stack else ("", False, False, ())
+        own = name in MARGINAL or (name == "header" and not inside) or bool(_HIDDEN.search(attributes))
+        if name in ARTICLE and not own:
+            for k in within:
+                named[k] = named[k][0], True
+        marks = set() if name in ("html", "body", "main") else _marginal_names(attributes) - ({"header"} if inside else set())
+        if marks:
+            within = (*within, len(named))
+            named.append((bool(marks & COMMENT_NAMES), False))
+        stack.append((name, marginal or own, inside or (name in ARTICLE and not own and not (marks & COMMENT_NAMES)), within))
     for block in out:
         block.text = " ".join("".join(block.parts).split())
-    return [b for b in out if b.text]
+    out = [b for b in out if b.text]
+    held, total = [0] * len(named), sum(len(b.text) for b in out if not b.marginal)
+    for block in out:
+        for k in () if block.marginal else block.within:
+            held[k] += len(block.text)
+    articles = any(b.inside and not b.marginal and not b.within for b in out)
+    counts = [comments or not (article or (3 * size >= 2 * total and not articles)) for (comments, article), size in zip(named, held)]
+    for block in out:
+        block.marginal = block.marginal or any(counts[k] for k in block.within)
+    return out
 
 
 def classify(page: list[Block]) -> None:
     """First pass: blocks that their own features decide. Second pass: the others follow the nearest decided ones."""
-    has_article = any(b.inside and not b.marginal for b in page)
+    prose = [(b.inside, len(b.text)) for b in page if not b.marginal and b.linked <= LINKS * max(1, sum(map(len, b.parts)))]
+    # What stands outside an article is left out only if the article holds half of the prose.
+    held = sum(n for inside, n in prose if inside)
+    has_article = 0 < held and 2 * held >= sum(n for _, n in prose)
     for b in page:
         words = b.text.lower().split()
         stops = sum(w.strip(".,;:!?()\"'") in STOP_WORDS for w in words) / max(1, len(words))

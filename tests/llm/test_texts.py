@@ -186,6 +186,20 @@ def test_main_text(spark):
     assert found == want and len(got) == len(pages)
 
 
+def test_names_do_not_reject_what_holds_the_article():
+    long = "the quick fox and the dog of the house ran to the river with a bone in the mouth."
+    for page, want in (
+            (f"<div class='layout with-sidebar'><article><h1>Head</h1><p>{long}</p></article><div class=sidebar>{long}</div></div>", f"Head {long}"),
+            (f"<main id='search-results'><p>{long}</p></main>", long), (f"<div class='social-history'><p>{long}</p><p>{long}</p></div>", f"{long} {long}"),
+            (f"<article><div class='article-header'><h1>Headline</h1></div><p>{long}</p></article>", f"Headline {long}"),
+            (f"<article>teaser</article><p>{long}</p><p>{long}</p>", f"teaser {long} {long}"),
+            (f"<article><p>{long}</p></article><div class=comments><article><p>{long} {long}</p></article></div>", long),
+            (f"<p>{long}</p><div class='comments'><p>{long} {long} {long}</p></div>", long),
+            (f"<div class='ad'>{long} {long}</div><article><p>short one</p></article>", "short one"),
+            (f"<article><p>{long}</p><div class='ad'>{long}</div></article>", long)):
+        assert html.main_text(page) == want, page
+
+
 def test_toxicity(spark):
     rng = np.random.default_rng(3)
     plain, bad, groups = [f"w{i}" for i in range(60)], ["idiots", "idiotic"], ["norther", "southerner"]
