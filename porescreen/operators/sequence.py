@@ -31,8 +31,8 @@ REPEAT_TOLERANCE = 1e-8
 MAD_FLOOR = 1e-10
 # Bits below which an earlier link of a chain of jump groups can't change a double.
 NEGLIGIBLE_BITS = 62
-# Rows of a track that a displacement task transforms at once.
-LAG_ROWS = 1 << 16
+# Rows of a track that a displacement task transforms at once, and lags up to which looking ahead row by row is quicker.
+LAG_ROWS, FEW_LAGS = 1 << 16, 8
 
 
 def drop_repeated_points(path: DataFrame, seq: Sequence, tolerance: float = REPEAT_TOLERANCE) -> DataFrame:
@@ -339,12 +339,29 @@ def _lag_sums(near: np.ndarray, far: np.ndarray, ahead: int) -> tuple[np.ndarray
     return shift + ahead, stop - first, sums
 
 
+def _few_lags(track: DataFrame, seq: Sequence, lags: int, group: str | None) -> DataFrame:
+    ahead = {f"_{c}{k}": (c, -k) for k in range(1, lags + 1) for c in "xyz"}
+    rows = neighbours(track, seq, ahead)
+    steps = F.explode(F.array(*[
+        F.struct(F.lit(k).alias("lag"), *[(F.col(f"_{c}{k}") - F.col(c)).alias(f"d{c}") for c in "xyz"])
+        for k in range(1, lags + 1)]))
+    by = [group] if group else []
+    moved = rows.select(*by, steps.alias("_d")).select(*by, "_d.*").filter(F.col("dx").isNotNull())
+    sq = {c: F.avg(F.col(f"d{c}") * F.col(f"d{c}")) for c in "xyz"}
+    return moved.groupBy(*by, "lag").agg(
+        F.count(F.lit(1)).alias("n_pairs"), sq["x"].alias("msd_x"), sq["y"].alias("msd_y"),
+        sq["z"].alias("msd_z"), (sq["x"] + sq["y"] + sq["z"]).alias("msd"))
+
+
 def mean_squared_displacement(track: DataFrame, seq: Sequence, lags: int | None = None, group: str | None = None,
                               block_rows: int = LAG_ROWS) -> DataFrame:
     """Mean squared displacement by lag, in total and per axis, of unwrapped positions; at all lags unless ``lags`` bounds them.
 
-    A track is cut into blocks, and each block meets those that its lags reach, in pairs.  A pair costs n log n, whatever
-    the number of lags, and holds two blocks; its sums by lag are what is shuffled."""
+    Up to FEW_LAGS every row looks at as many rows ahead.  Beyond, a track is cut into blocks, and each block meets those that
+    its lags reach, in pairs.  A pair costs n log n, whatever the number of lags, and holds two blocks; its sums by lag are what
+    is shuffled."""
+    if lags is not None and lags <= FEW_LAGS:
+        return _few_lags(track, seq, lags, group)
     by, keys = ([group] if group else []), list(seq.keys)
     rows = track.select(*dict.fromkeys([*by, *keys]), F.col(seq.pos).alias("_pos"), *[F.col(c).cast("double").alias(c) for c in "xyz"])
     rows = rows.withColumn("_block", F.floor(F.col("_pos") / block_rows))
