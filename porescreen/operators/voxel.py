@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from porescreen.functions import lattice as lat
 from porescreen.functions.numbers import norm3
-from porescreen.session import cut_lineage
+from porescreen.operators.density import nearest_images
 
 # Lennard-Jones sigma (nm) and epsilon (kJ/mol), atom radii (A), caps.
 FORCE_FIELD = {
@@ -122,56 +122,17 @@ def energy_grid(structures: DataFrame, atoms: DataFrame, probe: str = "ch4", spa
 
 
 def free_radius_grid(structures: DataFrame, atoms: DataFrame, grid_n: int = 120, n_shell: int = 1,
-                     bin_size: float = BIN_ANGSTROM) -> DataFrame:
+                     leaf_atoms: int = 1) -> DataFrame:
     """Distance from each voxel centre to the surface of the atom with the nearest centre.
 
-    Voxels meet the atom images of their own and adjacent bins of space.  A nearest centre
-    closer than one bin is final; the other voxels try again with bins of twice the size, until
-    one bin spans the cell and its surroundings hold every image.  An image is copied to at
-    most 27 bins per round, and only to bins inside the cell.
+    The cell is cut into boxes of about ``leaf_atoms`` atoms, so boxes are small where atoms are dense and wide in a
+    pore; a voxel meets the images that its box may need, see ``density.nearest_images``.
     """
     cells = lat.with_cell(structures).select("framework", *lat.CELL)
-    bins = [f"_b{v}" for v in VECTORS]
     radius = _lookup(F.col("element"), ATOM_RADII, None, F.lit(DEFAULT_RADIUS))
     images = periodic_images(atoms.select("framework", *FRACTIONS, radius.alias("_rad")), n_shell)
-    voxels = cells
-    for axis in AXES:
-        voxels = voxels.withColumn(axis, F.explode(F.sequence(F.lit(0), F.lit(grid_n - 1))))
-    voxels = voxels.withColumns({f"_v{f}": (F.col(x) + 0.5) / grid_n for f, x in zip(FRACTIONS, AXES)})
-
-    longest = cells.agg(F.max(F.greatest(*[lat.plane_distance(v) for v in VECTORS]))).first()[0] or 0.0
-    pending, done = voxels, None
-    while True:
-        last = bin_size * 2 > longest
-        count = {f"_n{v}": F.greatest(F.lit(1), F.floor(lat.plane_distance(v) / bin_size)).cast("int") for v in VECTORS}
-        sized = cells.withColumns(count).withColumn(
-            "_step", F.least(*[lat.plane_distance(v) / F.col(f"_n{v}") for v in VECTORS]))
-        sized = sized.select("framework", *count, "_step")
-        ring = max(1, n_shell) if last else 1
-        spread = images.join(sized.drop("_step"), "framework")
-        for b, f, n in zip(bins, FRACTIONS, count):
-            home = F.floor(F.col(f) * F.col(n)).cast("int")
-            spread = spread.withColumn(b, F.explode(F.sequence(home - ring, home + ring))).filter(
-                (F.col(b) >= 0) & (F.col(b) < F.col(n)))
-        placed = pending.join(sized, "framework").withColumns(
-            {b: F.floor(F.col(f"_v{f}") * F.col(n)).cast("int") for b, f, n in zip(bins, FRACTIONS, count)})
-        delta = [F.col(f) - F.col(f"_v{f}") for f in FRACTIONS]
-        pairs = placed.join(spread.drop(*count), ["framework", *bins], "left").withColumn("_d", norm3(*lat.to_cartesian(*delta)))
-        hit = F.struct("_d", "_rad")
-        nearest = pairs.groupBy("framework", *AXES).agg(F.min(F.when(F.col("_d").isNotNull(), hit)).alias("_hit"), F.first("_step").alias("_step"))
-        found = nearest.select("framework", *AXES, (F.col("_hit._d") - F.col("_hit._rad")).alias("r"),
-                               F.coalesce(F.col("_hit._d") <= F.col("_step"), F.lit(False)).alias("_final"))
-        if last:
-            part = found.select("framework", *AXES, "r")
-            return part if done is None else done.unionByName(part)
-        found = cut_lineage(found)
-        part = found.filter("_final").select("framework", *AXES, "r")
-        done = part if done is None else done.unionByName(part)
-        rest = found.filter("not _final").select("framework", *AXES)
-        if rest.isEmpty():
-            return done
-        pending = voxels.join(rest, ["framework", *AXES], "left_semi")
-        bin_size = 2 * bin_size
+    near = nearest_images(images, cells, grid_n, ["_rad"], leaf_atoms)
+    return near.select("framework", *AXES, (F.col("d") - F.col("_rad")).alias("r"))
 
 
 def valid_range(grid: DataFrame, cap: float = ENERGY_CAP) -> DataFrame:
