@@ -8,7 +8,7 @@ from porescreen.plans.registry import QUERIES, Query
 
 _MODULES = (
     "sequence_queries", "assemble_queries", "score_queries", "voxel_queries", "channel_queries", "supplier_queries",
-    "text_queries")
+    "text_queries", "run_queries")
 
 
 def load_queries() -> dict[str, Query]:

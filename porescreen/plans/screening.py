@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from porescreen.functions.lattice import with_cell
 from porescreen.functions.names import FEATURE_ORDER, nomenclature
-from porescreen.operators import assemble, attribute, channel, score, voxel
-from porescreen.operators.ordered import sequence
+from porescreen.operators import assemble, attribute, channel, score, symmetry, voxel
+from porescreen.operators.ordered import Sequence, compact, sequence
 from porescreen.operators.sequence import describe_paths
 from porescreen.session import cut_lineage
+from porescreen.sources import structures as cif
 
 KEYS = channel.KEYS
 
@@ -64,6 +65,40 @@ def screen(structures: DataFrame, atoms: DataFrame, external: DataFrame, probe:
             "summary": assemble.run_report(seen, good.select("framework", "axis", "barrier"), lost)}
 
 
+def cell_atoms(lines: DataFrame, skip_expansion: bool = False) -> DataFrame:
+    """All atoms of each cell (framework, atom_id, element, fx, fy, fz), from the lines of structure files.
+
+    Every site is moved by every operation of its file and coinciding sites are dropped, so the cell stays and its symmetry
+    is P1.  Files without operations keep their sites, and so do all with ``skip_expansion``.
+    """
+    sites = cut_lineage(cif.atom_table(lines).select("framework", "atom_id", "element", "fx", "fy", "fz"))
+    if skip_expansion:
+        return sites
+    ops = symmetry.parse_operations(cif.operation_table(lines))
+    named = sites.select("framework").distinct().join(ops.select("framework").distinct(), "framework", "left_anti")
+    identity = symmetry.parse_operations(named.select("framework", F.lit(0).cast("long").alias("op_id"), F.lit("x, y, z").alias("xyz")))
+    moved = symmetry.apply_operations(sites, ops.unionByName(identity))
+    kept = symmetry.drop_coinciding(cut_lineage(moved), ["atom_id", "op_id"])
+    # Numbered in the order of sites and operations; the place of a site among its images is bounded by the operations.
+    most = ops.agg(F.max("op_id")).first()[0] or 0
+    placed = kept.select("framework", (F.col("atom_id") * (most + 1) + F.col("op_id")).alias("atom_id"), "element", "fx", "fy", "fz")
+    return compact(placed, Sequence(("framework",), "atom_id"))
+
+
+def screen_lines(lines: DataFrame, external: DataFrame, skip_expansion: bool = False, **options) -> dict[str, DataFrame]:
+    """The whole run from the lines of structure files (``sources.text``) to the tables of ``screen``, which takes ``options``.
+
+    Adds the table ``atoms``.  Files that can't be read whole are rejected, with stage and reason in the summary; the
+    others go on.
+    """
+    rejects = cut_lineage(cif.read_rejects(lines))
+    unread = rejects.filter(F.col("reason") != "site without coordinates").select("framework").distinct()
+    structures = cut_lineage(cif.structure_table(lines).join(unread, "framework", "left_anti"))
+    atoms = cell_atoms(lines, skip_expansion).join(unread, "framework", "left_anti")
+    atoms = cut_lineage(atoms)
+    return {"atoms": atoms, **screen(structures, atoms, external, rejects=rejects, **options)}
+
+
 def score_and_explain(features: DataFrame, network, columns: list[str], scaler: dict[str, tuple[float, float]],
                       background: DataFrame | None = None, known: DataFrame | None = None, name: str = "sample",
                       unit: str = "10⁻⁹ m² s⁻¹", max_explain: int | None = None) -> dict[str, DataFrame]:
