@@ -32,8 +32,10 @@ def _reach(low: np.ndarray, high: np.ndarray, at: np.ndarray, cell: np.ndarray,
     return float(far.min()) + slack
 
 
-def _grow(counts: pd.DataFrame, leaf_atoms: int, resolution: int) -> pd.DataFrame:
-    """The tree of one framework from its counts by place (x, y, z, n); a framework without counts is one box."""
+def _grow(counts: pd.DataFrame, leaf_atoms: int, resolution: int, grid_n: int | None = None) -> pd.DataFrame:
+    """The tree of one framework from its counts by place (x, y, z, n); a framework without counts is one box.
+
+    With ``grid_n``, boxes without the centre of a voxel are left out; a box with one always has a part with one."""
     cell = counts[lat.CELL].iloc[0].to_numpy(float).reshape(3, 3)
     height = abs(np.linalg.det(cell)) / np.array([np.linalg.norm(np.cross(cell[(v + 1) % 3], cell[(v + 2) % 3])) for v in range(3)])
     counts = counts[counts["n"].notna()]
@@ -43,6 +45,8 @@ def _grow(counts: pd.DataFrame, leaf_atoms: int, resolution: int) -> pd.DataFram
     nodes, todo = [], [(-1, 0, np.zeros(3, np.int64), np.full(3, resolution, np.int64), np.arange(len(n)))]
     while todo:
         parent, depth, low, high, rows = todo.pop()
+        if grid_n and (np.ceil(low / resolution * grid_n - 0.5) > np.ceil(high / resolution * grid_n - 0.5) - 1).any():
+            continue
         at = len(nodes)
         spread = np.array([place[rows, v].max() - place[rows, v].min() for v in range(3)]) if len(rows) else np.zeros(3)
         leaf = n[rows].sum() <= leaf_atoms or not spread.any()
@@ -74,7 +78,8 @@ def _grow(counts: pd.DataFrame, leaf_atoms: int, resolution: int) -> pd.DataFram
     return out.assign(square=not cell[~np.eye(3, dtype=bool)].any(), **dict(zip(HEIGHTS, height)))
 
 
-def density_tree(images: DataFrame, cells: DataFrame, leaf_atoms: int = 1, resolution: int = RESOLUTION) -> DataFrame:
+def density_tree(images: DataFrame, cells: DataFrame, leaf_atoms: int = 1, resolution: int = RESOLUTION,
+                 grid_n: int | None = None) -> DataFrame:
     """A k-d tree per framework: (framework, node, parent, level, leaf, reach, lo_a .. hi_c), boxes in fractions
     of the cell, and the plane distances h_a .. h_c of the cell and whether its angles are right.
 
@@ -82,6 +87,7 @@ def density_tree(images: DataFrame, cells: DataFrame, leaf_atoms: int = 1, resol
     have at most ``leaf_atoms`` atoms each, more only where atoms share a place of the resolution.  Every point of a leaf has
     an atom within ``reach``; an inner node has the largest reach below it.  A task gets the counts by place of a framework,
     which are bounded however many atoms there are.  A cell without atoms is one leaf of unlimited reach.
+    With ``grid_n`` only boxes that hold the centre of a voxel of that grid are in the tree, so it is bounded by the grid.
     """
     inside = images
     for f in FRACTIONS:
@@ -91,7 +97,7 @@ def density_tree(images: DataFrame, cells: DataFrame, leaf_atoms: int = 1, resol
     rows = cells.select("framework", *lat.CELL).join(counts, "framework", "left")
 
     def grow(part: pd.DataFrame) -> pd.DataFrame:
-        return _grow(part, leaf_atoms, resolution).assign(framework=part["framework"].iloc[0])
+        return _grow(part, leaf_atoms, resolution, grid_n).assign(framework=part["framework"].iloc[0])
 
     kinds = "node long, parent long, level int, leaf boolean, reach double, " + ", ".join(f"{c} double" for c in [*BOX, *HEIGHTS]) + ", square boolean"
     return rows.groupBy("framework").applyInPandas(grow, f"framework {cells.schema['framework'].dataType.simpleString()}, {kinds}")
@@ -132,12 +138,10 @@ def nearest_images(images: DataFrame, cells: DataFrame, grid_n: int, carried: li
     framework without images have nulls.
     """
     cells = cells.select("framework", *lat.CELL)
-    tree = cut_lineage(density_tree(images, cells, leaf_atoms, resolution))
+    tree = cut_lineage(density_tree(images, cells, leaf_atoms, resolution, grid_n))
     axes = list(zip("ijk", LOW, HIGH))
     spans = {f"_{e}_{x}": F.ceil(F.col(c) * grid_n - 0.5) - less for x, lo, hi in axes for e, c, less in (("from", lo, 0), ("to", hi, 1))}
-    # Leaves without a voxel centre need no images.
-    met = tree.withColumns(spans).filter("NOT leaf OR (" + " AND ".join(f"_from_{x} <= _to_{x}" for x, *_ in axes) + ")")
-    rows = leaf_images(images, met.select(tree.columns), carried).withColumns(spans)
+    rows = leaf_images(images, tree, carried).withColumns(spans)
     plane = (F.col("_to_j") - F.col("_from_j") + 1) * (F.col("_to_k") - F.col("_from_k") + 1)
     rows = rows.withColumn("_thick", F.greatest(F.lit(1), F.floor(F.lit(slab_voxels) / plane)))
     rows = rows.withColumn("_slab", F.explode(F.expr("sequence(0L, (_to_i - _from_i) div _thick)")))

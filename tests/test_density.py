@@ -58,3 +58,23 @@ def test_leaves_tile_the_cell_and_hold_few_atoms(spark):
         held = ((inside[:, None] >= low) & (inside[:, None] < high)).all(axis=2)
         assert (held.sum(axis=1) == 1).all() and held.sum(axis=0).max(initial=0) <= 3
     assert tree[tree["framework"] == "bare"]["reach"].tolist() == [float("inf")]
+
+
+def test_deepest_boxes_without_a_voxel_centre(spark):
+    """Atoms crowd where no voxel has its centre: the boxes above must not be taken for leaves that hold one."""
+    rng = random.Random(5)
+    # Voxel centres of a grid of 2 lie at 1/4 and 3/4.
+    atoms = [("wide", n, *(0.4 + 0.2 * rng.random() for _ in range(3))) for n in range(300)]
+    cells = lat.with_cell(spark.createDataFrame(CELLS[1:2], NAMES))
+    df = spark.createDataFrame(atoms, "framework string, atom_id int, fx double, fy double, fz double")
+    tree = density.density_tree(df, cells, grid_n=2).toPandas()
+    assert set(tree[~tree["leaf"]]["node"]) == set(tree[tree["parent"] >= 0]["parent"])
+    images = voxel.periodic_images(df.select("framework", "fx", "fy", "fz", F.lit(1.0).alias("rad")))
+    got = {tuple(r)[1:4]: r["d"] for r in density.nearest_images(images, cells, 2, ["rad"]).collect()}
+    matrix = np.array([cells.first()[c] for c in lat.CELL]).reshape(3, 3)
+    at = np.array([a[2:] for a in atoms])
+    shift = np.array([[p, q, r] for p in (-1, 0, 1) for q in (-1, 0, 1) for r in (-1, 0, 1)])
+    assert len(got) == 8
+    for place, d in got.items():
+        near = (at[:, None, :] + shift[None] - (np.array(place) + 0.5) / 2) @ matrix
+        assert d == pytest.approx(np.linalg.norm(near, axis=2).min(), abs=1e-9)
