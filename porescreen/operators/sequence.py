@@ -237,8 +237,10 @@ def energy_entropy(path: DataFrame, keys) -> DataFrame:
     span = path.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("e").alias("_lo"), F.max("e").alias("_hi"))
     span = span.withColumn("_bins", F.least(F.lit(20), F.greatest(F.lit(5), F.floor(F.col("_n") / 5))).cast("int"))
     wide = span.filter(F.col("_hi") - F.col("_lo") > ENTROPY_MIN_RANGE)
+    # The share of the width first: another order of the operations puts values at a bin edge elsewhere.
+    share = (F.col("e") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
     binned = path.select(*keys, "e").join(wide, keys).withColumn(
-        "_bin", F.least(F.expr("width_bucket(e, _lo, _hi, _bins)"), F.col("_bins").cast("long")))
+        "_bin", F.least(F.floor(share * F.col("_bins")), F.col("_bins").cast("long") - 1))
     counts = binned.groupBy(*keys, "_bin").agg(
         F.count(F.lit(1)).alias("_c"), F.max("_n").alias("_n"),
         F.max((F.col("_hi") - F.col("_lo")) / F.col("_bins")).alias("_width"))

@@ -203,3 +203,18 @@ def test_displacement_at_all_lags(spark):
         want = {m: (len(s), sum(s) / len(s)) for m, s in sums.items() if lags is None or m <= lags}
         assert {r["lag"]: r["n_pairs"] for r in got} == {m: n for m, (n, _) in want.items()}
         assert {r["lag"]: r["msd"] for r in got} == pytest.approx({m: d for m, (_, d) in want.items()})
+
+
+def test_entropy_bins_of_values_at_an_edge(spark):
+    """A value at a bin edge lies where the share of the width puts it: 28.34 is the edge of the fifth of seven bins."""
+    lo, hi, bins = 5.94, 45.14, 7
+    values = [lo] * 8 + [hi] * 8 + [25.0] * 14 + [28.34] * 5
+    path = spark.createDataFrame([(1, e) for e in values], "id int, e double")
+    found = sq.energy_entropy(path, ["id"]).first()
+    counts = {}
+    for e in values:
+        cell = min(math.floor((e - lo) / (hi - lo) * bins), bins - 1)
+        counts[cell] = counts.get(cell, 0) + 1
+    width = (hi - lo) / bins
+    want = -sum(c / (35 * width) * math.log(c / (35 * width)) * width for c in counts.values())
+    assert counts[4] == 5 and found["bins"] == bins and found["h_entropy"] == pytest.approx(want, abs=1e-12)
