@@ -89,3 +89,29 @@ def test_small_bricks_give_the_same_values(spark):
 
     whole, cut = values(), values(volume=12, edge=3, room=10)
     assert whole == cut and len(set(whole[0].values())) > 1 and None in whole[1].values()
+
+
+def test_calls_hold_many_groups_or_parts_of_one(spark, monkeypatch):
+    """The same results whether a call holds all groups, or a group is cut into bricks of several calls."""
+    rng, steps = np.random.default_rng(4), [("ni", 7), ("nj", 5), ("nk", 6)]
+    names = [(f"g{n}", n % 2) for n in range(40)]
+    dims = spark.createDataFrame([(g, a, *(s for _, s in steps), a == 1, False, n % 3 == 0) for n, (g, a) in enumerate(names)],
+                                 "g string, axis int, ni int, nj int, nk int, wrap_i boolean, wrap_j boolean, wrap_k boolean")
+    voxels = [(g, a, i, j, k, float(rng.integers(0, 9))) for g, a in names for i, j, k in np.ndindex(7, 5, 6) if rng.random() < 0.4]
+    rows, keys = spark.createDataFrame(voxels, "g string, axis int, i int, j int, k int, e double"), ["g", "axis"]
+    job = field._Job(dims, 8, 2)
+    assert job.parts < len(names) and not job.split and job.most > 1
+
+    def solved(**bricks):
+        labels = sorted(map(tuple, field.components(rows, dims, keys, 6, **bricks).collect()))
+        reached = field.minimax(rows, dims, keys, rows.i == 0, **bricks)
+        hops = field.hops(reached, dims, keys, rows.i == 0, **bricks).select(*keys, "lin", "hop", "parent", "w", "e")
+        ends = hops.where("hop IS NOT NULL").groupBy(*keys).agg({"lin": "max"}).withColumnRenamed("max(lin)", "lin")
+        chain = field.trace(hops, ends, dims, keys, **bricks)
+        return labels, *(sorted(map(str, x.collect())) for x in (reached, hops, chain))
+
+    whole = solved()
+    assert solved(volume=8, edge=2, room=6) == whole
+    monkeypatch.setattr(field, "BRICK_VOLUME", 20)
+    assert field._Job(dims, 8, 2).split
+    assert solved(volume=8, edge=2, room=6) == whole
