@@ -150,3 +150,14 @@ def test_line_numbers_of_split_files(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert again == found
     assert {r["file"]: r["parts"] for r in text.list_written(spark, f"{tmp_path}/out", "file").collect()} == {"long": 4, "short": 1}
+
+
+def test_many_names_are_written_to_few_files(spark, tmp_path):
+    """Names with any character, gaps and tabs in lines; as many files as tasks, however many names there are."""
+    rows = [(n, k, f"{k}\t{n}\t") for n in ["a/b", "ü =%", "", "tab\there", *map(str, range(300))] for k in (0, 1, 5)] + [("a/b", 7, "")]
+    lines = spark.createDataFrame(rows, "file string, line_no long, line string")
+    text.write_lines(lines, f"{tmp_path}/out", "file", part_lines=4)
+    assert sorted(map(tuple, text.read_written_lines(spark, f"{tmp_path}/out", "file").collect())) == sorted(rows)
+    assert len(list((tmp_path / "out").rglob("part-*.txt"))) <= 4
+    listed = {r["file"]: (r["parts"], r["bytes"]) for r in text.list_written(spark, f"{tmp_path}/out", "file").collect()}
+    assert listed["a/b"] == (2, 3 * (len("0\ta/b\t") + 1) + 1) and listed[""] == (2, 12) and len(listed) == 304
