@@ -18,6 +18,8 @@ from porescreen.operators.ordered import Sequence
 from porescreen.session import cut_lineage
 
 FAN = 64
+#: Rows of the blocks that one call gets together; a longer block is a call of its own.
+ROWS_OF_CALL = 1 << 13
 SIDES = (("_left", -1), ("_right", 1))
 
 
@@ -142,26 +144,36 @@ def _meet(elements: DataFrame, told: DataFrame, keys: list[str], on: list[str])
     return elements.join(pairs, [*keys, "_block", *on])
 
 
-def _stairs(rows: DataFrame, wanted: DataFrame, keys: list[str], pos: str, step: int) -> DataFrame:
+def _stairs(rows: DataFrame, wanted: DataFrame, keys: list[str], pos: str, step: int, per_call: int) -> DataFrame:
     """(keys, node, sign, tops, lows) of the wanted blocks: rising highest values seen from the side of an element, and the
-    lowest value before each; arrays of a block's length at most."""
+    lowest value before each; arrays of a block's length at most. A call gets ``per_call`` blocks."""
     fields = [f for f in rows.schema.fields if f.name in keys]
     schema = T.StructType([*fields, T.StructField("node", T.LongType()), T.StructField("sign", T.IntegerType()),
                            T.StructField("tops", T.ArrayType(T.DoubleType())), T.StructField("lows", T.ArrayType(T.DoubleType()))])
 
-    def solve(block: pd.DataFrame) -> pd.DataFrame:
-        values, out = block.sort_values(pos, ascending=step > 0)["_v"].to_numpy(float), []
-        for sign in (1, -1):
-            signed = sign * values
-            highest = np.maximum.accumulate(signed)
-            rises = np.flatnonzero(np.append(True, highest[1:] > highest[:-1]))
-            before = np.append(np.inf, np.minimum.accumulate(signed)[:-1])
-            out.append({k: block[k].iloc[0] for k in [f.name for f in fields]}
-                       | {"node": block["node"].iloc[0], "sign": sign, "tops": signed[rises], "lows": before[rises]})
-        return pd.DataFrame(out)[[f.name for f in schema.fields]]
+    def solve(blocks: pd.DataFrame) -> pd.DataFrame:
+        blocks, out = blocks.sort_values([*keys, "node", pos]).reset_index(drop=True), []
+        for first, stop in _runs(blocks, [*keys, "node"]):
+            values = blocks["_v"].to_numpy(float)[first:stop][::1 if step > 0 else -1]
+            for sign in (1, -1):
+                signed = sign * values
+                highest = np.maximum.accumulate(signed)
+                rises = np.flatnonzero(np.append(True, highest[1:] > highest[:-1]))
+                before = np.append(np.inf, np.minimum.accumulate(signed)[:-1])
+                out.append((first, sign, signed[rises], before[rises]))
+        head = blocks.iloc[[x[0] for x in out]]
+        return pd.DataFrame({k: head[k].to_numpy() for k in [*(f.name for f in fields), "node"]}
+                            | {n: [x[at] for x in out] for at, n in ((1, "sign"), (2, "tops"), (3, "lows"))})[[f.name for f in schema.fields]]
 
     held = rows.join(wanted.select(*keys, "node").distinct(), [*keys, "node"], "left_semi")
-    return held.groupBy(*keys, "node").applyInPandas(solve, schema)
+    return held.groupBy(*keys, F.floor(F.col("node") / per_call).alias("_call")).applyInPandas(solve, schema)
+
+
+def _runs(rows: pd.DataFrame, columns: list[str]) -> list[tuple[int, int]]:
+    """(first, stop) of the runs of rows that agree in the columns."""
+    new = np.append(True, (rows[columns].ne(rows[columns].shift())).any(axis=1).to_numpy()[1:])
+    cuts = [*np.flatnonzero(new), len(rows)]
+    return list(zip(cuts, cuts[1:]))
 
 
 def _across_blocks(rows: DataFrame, solved: DataFrame, seq: Sequence, value: str, kind: str) -> DataFrame:
@@ -176,11 +188,14 @@ def _across_blocks(rows: DataFrame, solved: DataFrame, seq: Sequence, value: str
     def tail(elements: pd.DataFrame, stairs: pd.DataFrame) -> pd.DataFrame:
         if not len(elements) or not len(stairs):
             return pd.DataFrame({f.name: [] for f in tail_schema.fields})
-        low = elements["_low"].to_numpy(float).copy()
-        for sign, tops, lows in zip(stairs["sign"], stairs["tops"], stairs["lows"]):
-            own = np.flatnonzero(elements["_sign"].to_numpy() == sign)
-            place = np.searchsorted(np.asarray(tops), elements["_v"].to_numpy(float)[own], side="right")
-            low[own] = np.fmin(low[own], np.asarray(lows)[place])
+        elements = elements.sort_values(["node", "_sign"]).reset_index(drop=True)
+        told = {(n, s): (t, w) for n, s, t, w in zip(stairs["node"], stairs["sign"], stairs["tops"], stairs["lows"])}
+        low, own, node, sign = (elements[c].to_numpy() for c in ("_low", "_v", "node", "_sign"))
+        low = low.astype(float)
+        for first, stop in _runs(elements, ["node", "_sign"]):
+            tops, lows = told[node[first], sign[first]]
+            place = np.searchsorted(np.asarray(tops), own[first:stop].astype(float), side="right")
+            low[first:stop] = np.fmin(low[first:stop], np.asarray(lows)[place])
         return elements.assign(_low=low)[[f.name for f in tail_schema.fields]]
 
     for side, step in SIDES:
@@ -202,10 +217,13 @@ def _across_blocks(rows: DataFrame, solved: DataFrame, seq: Sequence, value: str
             going = going.where(F.col("level") < level).unionByName(down)
         if levels > 1:
             going = cut_lineage(going)
-        stairs = _stairs(rows.select(*keys, F.col("_block").alias("node"), pos, F.col(value).alias("_v")), going, keys, pos, step)
-        near = going.select(*keys, "_block", "node").distinct().join(stairs, [*keys, "node"])
+        per_call = max(1, ROWS_OF_CALL // seq.block_rows)
+        stairs = _stairs(rows.select(*keys, F.col("_block").alias("node"), pos, F.col(value).alias("_v")), going, keys, pos, step, per_call)
+        # A call gets the elements of some blocks that look into some others, and these blocks once.
+        going = going.withColumns({"_call": F.floor(F.col("_block") / per_call), "_far": F.floor(F.col("node") / per_call)})
+        near = going.select(*keys, "_call", "_far", "node").distinct().join(stairs, [*keys, "node"])
         near = near.select(*[F.col(c).alias(c) for c in near.columns])
-        ends = going.groupBy(*keys, "_block", "node").cogroup(near.groupBy(*keys, "_block", "node")).applyInPandas(tail, tail_schema)
+        ends = going.groupBy(*keys, "_call", "_far").cogroup(near.groupBy(*keys, "_call", "_far")).applyInPandas(tail, tail_schema)
         more = done.unionByName(ends).select(*keys, pos, F.col("_low").alias("_more"))
         solved = (solved.join(more, [*keys, pos], "left")
                   .withColumn(side, F.least(side, F.nanvl("_more", F.lit(None).cast("double")))).drop("_more"))
