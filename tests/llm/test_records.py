@@ -6,6 +6,7 @@ import random
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -230,3 +231,20 @@ def test_languages_without_anything_to_learn(spark):
     assert [(r["lang_pred"], r["score"]) for r in langid.identify(alone).collect()] == [("und", 0.0)]
     odd = langid.identify(frame(spark, texts(), KINDS)).collect()
     assert len(odd) == len(texts()) and {r["lang_pred"] for r in odd} == {"en", "und"}
+
+
+def test_calibration_counts_every_row(spark, monkeypatch):
+    """Cutoffs and the fit are those of all rows of the calibration, counted by intervals."""
+    rng = np.random.default_rng(6)
+    rows = [("aa", bool(x), float(n), float(m), 50) for x, n, m in zip(rng.random(9000) < 0.9, rng.gamma(4, 0.5, 9000), rng.gamma(3, 0.1, 9000))]
+    told = spark.createDataFrame([(lang, lang if ok else "bb", n, n + m, k) for lang, ok, n, m, k in rows],
+                                 "lang string, best string, nats double, second double, n_symbols int")
+    monkeypatch.setattr(langid, "entropies", lambda sample, models, carried: told)
+
+    class Plain:
+        languages, cutoffs, slope, offset = ["aa", "bb"], {}, 1.0, 0.0
+
+    found = langid.calibrate(Plain(), told)
+    good = [n for _, ok, n, _, _ in rows if ok]
+    assert found.cutoffs == {lang: pytest.approx(np.quantile(good, langid.KEPT_SHARE) + 0.05, abs=1e-3) for lang in ("aa", "bb")}
+    assert 1 / (1 + np.exp(-found.offset - found.slope * np.mean([np.log1p(m * 50) for *_, m, _ in rows]))) == pytest.approx(0.9, abs=0.02)
