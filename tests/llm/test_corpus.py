@@ -40,6 +40,14 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_rounds_of_components_do_not_multiply_estimates(spark, capsys):
+    found = components(spark.range(60).selectExpr("id AS a", "id + 1 AS b"))
+    assert {r["root"] for r in found.collect()} == {0}
+    found.explain(mode="cost")
+    sizes = re.findall(r"sizeInBytes=([^,)]*)", capsys.readouterr().out)
+    assert sizes and all(re.fullmatch(r"[\d.]+ (B|KiB)", size) for size in sizes), sizes
+
+
 def plain_lines(rows):
     """What stays of each row, by all pairs of lines."""
     docs = {}
