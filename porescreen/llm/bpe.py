@@ -25,6 +25,7 @@ RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 COMMON_WORDS, COMMON_BYTES = 1 << 18, 32
 #: Bytes of a word up to which a list of pairs is quicker than a heap.
 SHORT = 64
+BYTES = [bytes([b]) for b in range(256)]
 #: Tasks that fold the frequent words.
 FOLD_TASKS = 64
 #: Entries of a task's own memory of chunks before it is emptied.
@@ -81,24 +82,24 @@ def decode_ids(ids: list[int], pieces: dict[int, bytes]) -> bytes:
     return b"".join([pieces[i] for i in ids])
 
 
-def merge_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+def merge_word(word: bytes, ranks: dict[bytes, int], pieces: dict[int, bytes]) -> list[int]:
     """The same merges for words that are not folded: short ones by a list of the ranks of their pairs."""
     if len(word) > SHORT:
         return _merge_long(word, ranks)
     none, get = len(ranks) + 1, ranks.get
-    parts = [word[i:i + 1] for i in range(len(word))]
-    pairs = [get(a + b, none) for a, b in zip(parts, parts[1:])]
+    parts = [BYTES[b] for b in word]
+    pairs = [get(word[i:i + 2], none) for i in range(len(word) - 1)]
     while pairs:
         least = min(pairs)
         if least == none:
             break
         i = pairs.index(least)
-        parts[i:i + 2] = [parts[i] + parts[i + 1]]
-        del pairs[i]
+        merged = parts[i] = pieces[least]
+        del parts[i + 1], pairs[i]
         if i < len(pairs):
-            pairs[i] = get(parts[i] + parts[i + 1], none)
+            pairs[i] = get(merged + parts[i + 1], none)
         if i:
-            pairs[i - 1] = get(parts[i - 1] + parts[i], none)
+            pairs[i - 1] = get(parts[i - 1] + merged, none)
     return [ranks[p] for p in parts]
 
 
@@ -196,14 +197,19 @@ def _pack_words(batches):
 _UNPACKED: dict[int, tuple] = {}
 
 
-def _unpacked(shared: tuple) -> tuple[dict[bytes, tuple], dict[int, bytes]]:
-    """The ids of the frequent words and the pieces by id, made once in each worker."""
+def _told(ids, pieces: dict[int, bytes]) -> tuple[str, bytes]:
+    """Ids as decimals joined by spaces, and the bytes they decode to."""
+    return " ".join(map(str, ids)), decode_ids(ids, pieces)
+
+
+def _unpacked(shared: tuple) -> tuple[dict[bytes, tuple[str, bytes]], dict[int, bytes]]:
+    """The frequent words, encoded and decoded, and the pieces by id, made once in each worker."""
     if id(shared) not in _UNPACKED:
         _UNPACKED.clear()
-        known = {}
+        known, pieces = {}, {r: p for p, r in shared[1].items()}
         for words in shared[0]:
-            known.update(pickle.loads(words))
-        _UNPACKED[id(shared)] = shared, known, {r: p for p, r in shared[1].items()}
+            known.update((word, _told(ids, pieces)) for word, ids in pickle.loads(words).items())
+        _UNPACKED[id(shared)] = shared, known, pieces
     return _UNPACKED[id(shared)][1:]
 
 
@@ -235,12 +241,16 @@ def encode(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
         known, pieces = _unpacked(shared.value)
         split, held = Splitter(pattern), {}
 
+        def of_word(w):
+            raw = w.encode("utf-8", "replace")
+            return known.get(raw) or _told(merge_word(raw, ranks, pieces), pieces)
+
         def coded(chunk):
-            ids = []
-            for w in split.words(chunk):
-                raw = w.encode("utf-8", "replace")
-                ids += known.get(raw) or merge_word(raw, ranks)
-            return " ".join(map(str, ids)), decode_ids(ids, pieces), len(ids)
+            words = split.words(chunk)
+            if len(words) == 1:
+                return of_word(words[0])
+            told = [of_word(w) for w in words]
+            return " ".join([t[0] for t in told]), b"".join([t[1] for t in told])
 
         def later(part):
             hit = held[part] = coded(" " + part)
@@ -252,9 +262,11 @@ def encode(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
                 if len(held) > REMEMBERED:
                     held.clear()
                 first, others = split.chunks(text)
-                hits = [coded(first), *[held.get(part) or later(part) for part in others]]
-                ids, decoded = " ".join([h[0] for h in hits if h[2]]), b"".join([h[1] for h in hits])
-                values = (sum([h[2] for h in hits]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest(),
+                hits = [held.get(part) or later(part) for part in others]
+                if first:
+                    hits.insert(0, coded(first))
+                ids, decoded = " ".join([h[0] for h in hits]), b"".join([h[1] for h in hits])
+                values = (ids.count(" ") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest(),
                           ids if with_ids else None, decoded if with_ids else None)
                 for o, v in zip(out, values):
                     o.append(v)

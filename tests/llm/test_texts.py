@@ -1,11 +1,13 @@
 """Operators on texts against plain versions, with odd rows."""
 
 import hashlib
+import pickle
 import re
 from collections import Counter
 
 import numpy as np
 import pytest
+import regex
 import tiktoken
 import xxhash
 from public_tokenizers import PATTERN
@@ -86,6 +88,17 @@ def test_words_that_are_not_frequent_are_merged_where_they_stand(spark, monkeypa
             assert bytes(r["decoded"]).decode() == known[r["doc_id"]]
 
 
+def test_frequent_words_are_told_once_in_a_worker():
+    ranks = bpe.read_ranks()
+    coder = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    words = [w for _, t in texts() for w in re.findall(r"\S+", t or "") if len(w) < 200][:300] + ["zxqj" * 12, "é½²"]
+    ids = {w.encode(): tuple(coder.encode_single_token(p) for p in coder.decode_tokens_bytes(coder.encode_ordinary(w))) for w in words}
+    known, pieces = bpe._unpacked(([pickle.dumps(ids)], ranks))
+    assert known == {w: (" ".join(map(str, i)), w) for w, i in ids.items()}
+    for raw in (p for w in words for p in regex.findall(PATTERN, w)):
+        assert bpe.merge_word(raw.encode(), ranks, pieces) == bpe._merge_long(raw.encode(), ranks) == coder.encode_ordinary(raw)
+
+
 def test_token_counts(spark):
     vocabulary, letters = set(wordpiece.read_vocabulary()), wordpiece.byte_letters()
 
