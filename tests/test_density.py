@@ -78,3 +78,13 @@ def test_deepest_boxes_without_a_voxel_centre(spark):
     for place, d in got.items():
         near = (at[:, None, :] + shift[None] - (np.array(place) + 0.5) / 2) @ matrix
         assert d == pytest.approx(np.linalg.norm(near, axis=2).min(), abs=1e-9)
+
+
+def test_images_of_one_cell_descend_in_many_tasks(spark):
+    rng = random.Random(3)
+    df = spark.createDataFrame([("wide", *(rng.random() for _ in range(3))) for _ in range(300)], "framework string, fx double, fy double, fz double")
+    cells = lat.with_cell(spark.createDataFrame(CELLS[1:2], NAMES))
+    images = voxel.periodic_images(df.withColumn("rad", F.lit(1.0)))
+    held = density.leaf_images(images, density.density_tree(images, cells), ["rad"]).filter("fx IS NOT NULL")
+    tasks = [r["count"] for r in held.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(tasks) > 1 and max(tasks) < sum(tasks) / 2
