@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from porescreen.llm import simhash
 from porescreen.llm.common import LOWER, small, text_of
-from porescreen.llm.lines import SIMILARITY, _mixed, sets_of, similar_sets, verified_links
+from porescreen.llm.lines import FEW_PAIRS, SIMILARITY, _mixed, alike, sets_of, similar_sets, verified_links
 from porescreen.session import cut_lineage
 
 SHINGLE = 5
@@ -109,8 +109,13 @@ def _similar(batches):
         yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
-def similar_of(left: list[str], right: list[str]) -> np.ndarray:
-    """Matrix that tells which texts of two blocks are similar."""
+def similar_of(left: list[str], right: list[str], asked: np.ndarray | None = None) -> np.ndarray:
+    """Matrix that tells which texts of two blocks are similar, at least where it is asked."""
+    if asked is not None and np.count_nonzero(asked) <= FEW_PAIRS * (len(left) + len(right)):
+        sets, near = [[shingle_hashes(t) for t in texts] for texts in (left, right)], np.zeros(asked.shape, bool)
+        for i, j in np.argwhere(asked).tolist():
+            near[i, j] = alike(sets[0][i], sets[1][j])
+        return near
     sides = []
     for texts in (left, right):
         sets = [shingle_hashes(t) for t in texts]

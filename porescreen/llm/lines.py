@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,10 +17,14 @@ from porescreen.session import cut_lineage
 SHINGLE, SIMILARITY = 8, 0.8
 #: A pair of similarity s meets in a band with probability 1 - (1 - s^ROWS)^BANDS: 99.1 % at 0.8, 99.99 % at 0.9.
 BANDS, ROWS, SEED = 9, 4, 20
-#: Shingle sets of lines that a task remembers, some 25 kB each for a line of 300 characters.
-HELD_SETS = 2000
+#: Hashes of shingles that a task remembers, about, before it forgets them all.
+HELD_HASHES = 1 << 21
+#: Characters that are hashed at once, about: what is computed of them stays in a processor's cache.
+HASHED_CHARS = 1 << 16
 #: Lines and characters of a block, about, and shingles that two blocks count at once; parameters of speed and memory alone.
 BLOCK, BLOCK_CHARS, COLUMNS = 512, 1 << 20, 4096
+#: Pairs for each line of two blocks up to which they are compared one by one, which changes no result.
+FEW_PAIRS = 4
 #: Words of 64 bits of the filter that picks the lines to verify; what passes it wrongly is dropped by the join after it.
 FILTER_WORDS = 1 << 20
 #: Lines that a task remembers as signed already, before it forgets them all.
@@ -28,6 +33,9 @@ REMEMBERED = 1_000_000
 
 def normal(line: str) -> str:
     """What is compared of a line: lower case, single spaces. Lines that are equal in this form are copies."""
+    # Characters that part words are not printable, but for the space; most lines have single ones alone.
+    if line.isprintable() and "  " not in line and line[:1] != " " and line[-1:] != " ":
+        return line.lower()
     return " ".join(line.lower().split())
 
 
@@ -62,13 +70,13 @@ def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     filled = [line.ljust(SHINGLE, "\0") for line in lines]
     codes = np.frombuffer("".join(filled).encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
     sizes = np.array([len(f) for f in filled], np.int64)
-    rolled = np.zeros(len(codes) - SHINGLE + 1, np.uint64)
-    for i in range(SHINGLE):
-        rolled = rolled * np.uint64(0x100000001B3) + codes[i:len(codes) - SHINGLE + 1 + i]
-    ends = np.cumsum(sizes)
+    # Each step doubles the characters of a hash.
+    rolled, factor, width = codes, 0x100000001B3, 1
+    while width < SHINGLE:
+        rolled, factor, width = rolled[:-width] * np.uint64(factor) + rolled[width:], factor * factor % (1 << 64), 2 * width
     inside = np.ones(len(rolled), bool)
-    for i in range(1, SHINGLE):  # shingles that would reach into the next line
-        inside[ends[:-1] - i] = False
+    # Shingles that would reach into the next line.
+    inside[(np.cumsum(sizes)[:-1, None] - np.arange(1, SHINGLE)).ravel()] = False
     starts = np.concatenate([[0], np.cumsum(sizes - SHINGLE + 1)[:-1]])
     return _mixed(rolled[inside]), starts
 
@@ -78,14 +86,29 @@ def band_hashes(lines: list[str]) -> np.ndarray:
     hashes, starts = shingle_hashes(lines)
     low = (hashes >> np.uint64(32)).astype(np.uint32)
     factors, offsets = _multipliers()
-    bands = np.zeros((len(lines), BANDS), np.uint64)
+    least, held = np.empty((len(lines), BANDS * ROWS), np.uint32), np.empty_like(low)
     for j, (a, b) in enumerate(zip(factors, offsets)):
-        least = np.minimum.reduceat(low * a + b, starts).astype(np.uint64)
-        at = j // ROWS
-        bands[:, at] = _mixed(bands[:, at] * np.uint64(31) + least + np.uint64(at + 1))
+        np.multiply(low, a, out=held)
+        np.add(held, b, out=held)
+        least[:, j] = np.minimum.reduceat(held, starts)
+    bands, numbers = np.zeros((len(lines), BANDS), np.uint64), np.arange(1, BANDS + 1, dtype=np.uint64)
+    for row in range(ROWS):
+        bands = _mixed(bands * np.uint64(31) + least[:, row::ROWS].astype(np.uint64) + numbers)
     return bands.view(np.int64)
 
 
+def _parts(lines: list[str]):
+    """The lines in parts of about ``HASHED_CHARS`` characters."""
+    at = 0
+    while at < len(lines):
+        stop, size = at, 0
+        while stop < len(lines) and (stop == at or size + len(lines[stop]) <= HASHED_CHARS):
+            size += max(SHINGLE, len(lines[stop]))
+            stop += 1
+        yield lines[at:stop]
+        at = stop
+
+
 def _keys_and_bands(batches):
     signed = set()
     for batch in small(batches):
@@ -104,14 +127,7 @@ def _keys_and_bands(batches):
                     todo.append(line)
             keys.append(own)
             fresh.append(new)
-        rows, at = [], 0
-        while at < len(todo):  # about a million characters at once
-            stop, size = at, 0
-            while stop < len(todo) and (stop == at or size + len(todo[stop]) <= 1 << 20):
-                size += max(SHINGLE, len(todo[stop]))
-                stop += 1
-            rows.append(band_hashes(todo[at:stop]))
-            at = stop
+        rows = [band_hashes(part) for part in _parts(todo)]
         flat = np.concatenate(rows).ravel() if rows else np.zeros(0, np.int64)
         ends = np.concatenate([[0], np.cumsum([len(f) * BANDS for f in fresh])]).astype(np.int32)
         hashes = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
@@ -126,20 +142,43 @@ def line_keys(docs: DataFrame, id_column: str = "doc_id", text_column: str = "te
     return narrow.mapInArrow(_keys_and_bands, "doc_id long, keys array<long>, fresh array<long>, hashes array<long>")
 
 
+def _filter_of(wanted: DataFrame):
+    """A broadcast filter of fixed size, which holds the hashes of the only column and few others."""
+    (name,) = wanted.columns
+    bits = wanted.select(F.shiftrightunsigned(name, 6).bitwiseAND(F.lit(FILTER_WORDS - 1)).alias("word"),
+                         F.expr(f"shiftleft(1L, cast({name} & 63 as int))").alias("bits"))
+    return wanted.sparkSession.sparkContext.broadcast(gathered_bits(bits, FILTER_WORDS))
+
+
+def _passing(hashes: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Places of the hashes that a filter holds."""
+    return np.nonzero(words[(hashes.view(np.uint64) >> np.uint64(6)).astype(np.int64) & (FILTER_WORDS - 1)] >> (hashes & 63) & 1)[0]
+
+
+def _shared_spots(keyed: DataFrame, heads: DataFrame) -> DataFrame:
+    """(band, key) of the bands of ``heads``. A filter of fixed size drops most others before they are rows."""
+    shared = _filter_of(heads.select("band"))
+
+    def run(batches):
+        for batch in batches:
+            bands, keys = (np.asarray(batch.column(c).flatten()) for c in ("hashes", "fresh"))
+            at = _passing(bands, shared.value)
+            yield pa.RecordBatch.from_arrays([pa.array(bands[at]), pa.array(keys[at // BANDS])], ["band", "key"])
+
+    return keyed.select("fresh", "hashes").mapInArrow(run, "band long, key long")
+
+
 def _texts(docs: DataFrame, text_column: str, wanted: DataFrame) -> DataFrame:
     """(key, line) of the wanted keys. A filter of fixed size drops most other lines before the shuffle."""
-    bits = wanted.select(F.shiftrightunsigned("key", 6).bitwiseAND(F.lit(FILTER_WORDS - 1)).alias("word"),
-                         F.expr("shiftleft(1L, cast(key & 63 as int))").alias("bits"))
-    shared = docs.sparkSession.sparkContext.broadcast(gathered_bits(bits, FILTER_WORDS))
+    shared = _filter_of(wanted)
 
     def run(batches):
         sent = set()
         for batch in small(batches):
             lines = [line for text in text_of(batch) for line in map(normal, lines_of(text)) if line]
             keys = np.array([key_of(line) for line in lines], np.int64)
-            bit = shared.value[(keys.view(np.uint64) >> np.uint64(6)).astype(np.int64) & (FILTER_WORDS - 1)] >> (keys & 63) & 1
             out = {}
-            for i in np.nonzero(bit)[0].tolist():
+            for i in _passing(keys, shared.value).tolist():
                 key = int(keys[i])
                 if key not in sent:
                     if len(sent) > REMEMBERED:
@@ -163,21 +202,42 @@ def jaccard(x: frozenset, y: frozenset) -> float:
     return both / (len(x) + len(y) - both)
 
 
+def _hash_sets(lines: list[str]) -> list[np.ndarray]:
+    """Sorted distinct hashes of each line's shingles; a line shorter than a shingle has none, as it shares none with others."""
+    out = []
+    for part in _parts(lines):
+        hashes, starts = shingle_hashes(part)
+        for line, i, j in zip(part, starts.tolist(), [*starts[1:].tolist(), len(hashes)]):
+            own = np.sort(hashes[i:j] if len(line) >= SHINGLE else hashes[:0])
+            out.append(own[np.append(own[1:] != own[:-1], True)] if len(own) else own)
+    return out
+
+
+def alike(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sets of hashes, as sorted arrays, are similar, by an exact count; empty sets are like none."""
+    # Sets whose sizes differ by more than the similarity allows need no comparison.
+    if not len(x) or min(len(x), len(y)) < SIMILARITY * max(len(x), len(y)):
+        return False
+    merged = np.sort(np.concatenate((x, y)))
+    both = int(np.count_nonzero(merged[1:] == merged[:-1]))
+    return both / (len(x) + len(y) - both) >= SIMILARITY
+
+
 def _similar(batches):
-    held, last, y = {}, None, frozenset()
-    for batch in batches:
+    held, size = {}, 0
+    for batch in small(small(batches, "line_a", 1 << 20), "line_b", 1 << 20):
         found = []
-        for a, b, one, other in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "line_a", "line_b"))):
-            if b != last:  # the rows come sorted by b
-                last, y = b, shingles_of(other)
-            x = held.get(a)
-            if x is None:
-                if len(held) >= HELD_SETS:
-                    held.clear()
-                x = held[a] = shingles_of(one)
-            # Sets whose sizes differ by more than the similarity allows need no comparison.
-            if min(len(x), len(y)) >= SIMILARITY * max(len(x), len(y)) and jaccard(x, y) >= SIMILARITY:
-                found.append((a, b))
+        a, b, one, other = (batch.column(c).to_pylist() for c in ("a", "b", "line_a", "line_b"))
+        if size > HELD_HASHES:
+            held, size = {}, 0
+        todo = {key: line for key, line in (*zip(a, one), *zip(b, other)) if key not in held}
+        sets = _hash_sets(list(todo.values()))
+        held.update(zip(todo, sets))
+        size += sum(map(len, sets))
+        for i, j in zip(a, b):
+            x, y = held[i], held[j]
+            if alike(x, y):
+                found.append((i, j))
         yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
@@ -223,11 +283,17 @@ def similar_sets(left: tuple, right: tuple) -> np.ndarray:
     return both / (size_x[:, None] + size_y[None, :] - both) >= SIMILARITY
 
 
-def similar_of(left: list[str], right: list[str]) -> np.ndarray:
-    """Matrix that tells which lines of two blocks are similar.
+def similar_of(left: list[str], right: list[str], asked: np.ndarray | None = None) -> np.ndarray:
+    """Matrix that tells which lines of two blocks are similar, at least where it is asked.
 
     Different lines of which one is shorter than a shingle share none.
     """
+    if asked is not None and np.count_nonzero(asked) <= FEW_PAIRS * (len(left) + len(right)):
+        known = list({*left, *right})
+        sets, near = dict(zip(known, _hash_sets(known))), np.zeros(asked.shape, bool)
+        for i, j in np.argwhere(asked).tolist():
+            near[i, j] = alike(sets[left[i]], sets[right[j]])
+        return near
     near = similar_sets(_sets(left), _sets(right))
     near[[len(line) < SHINGLE for line in left]] = False
     near[:, [len(line) < SHINGLE for line in right]] = False
@@ -237,15 +303,23 @@ def similar_of(left: list[str], right: list[str]) -> np.ndarray:
 def _crossing(compare):
     def run(batches):
         for batch in batches:
-            found = []
-            for blocks in batch.column("blocks"):  # one block with itself, or two
-                sides = [block.as_py()["members"] for block in blocks]
-                left, right = sides[0], sides[-1]
-                roots = [np.array([m["root"] for m in side], np.int64) for side in (left, right)]
-                apart = roots[0][:, None] != roots[1][None, :]
+            found, blocks = [], batch.column("blocks")
+            members = blocks.flatten().field("members")
+            rows = members.flatten()
+            roots, lines = np.asarray(rows.field("root")), rows.field("line")
+            sides = pc.list_value_length(blocks).to_numpy(zero_copy_only=False)
+            ends = np.cumsum(pc.list_value_length(members).to_numpy(zero_copy_only=False), dtype=np.int64)
+            spans = list(zip([0, *ends[:-1].tolist()], ends.tolist()))
+            for stop, n in zip(np.cumsum(sides).tolist(), sides.tolist()):  # one block with itself, or two
+                (i, j), (k, m) = spans[stop - n], spans[stop - 1]
+                apart = roots[i:j, None] != roots[None, k:m]
+                if n == 1:
+                    apart = np.triu(apart)
                 if apart.any():
-                    near = compare([m["line"] for m in left], [m["line"] for m in right]) & apart
-                    found += [(left[i]["root"], right[j]["root"]) for i, j in forest(near)]
+                    left, right = lines.slice(i, j - i).to_pylist(), lines.slice(k, m - k).to_pylist()
+                    near = compare(left, right, apart) & apart
+                    if near.any():
+                        found += [(int(roots[i + x]), int(roots[k + y])) for x, y in forest(near)]
             yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
     return run
 
@@ -286,29 +360,33 @@ def similar_lines(docs: DataFrame, keyed: DataFrame, text_column: str = "text")
     that share a band."""
     spots = keyed.select("fresh", F.posexplode("hashes").alias("pos", "band")).select(
         "band", F.get("fresh", (F.col("pos") / BANDS).cast("int")).alias("key"))
-    return verified_links(spots, lambda wanted: _texts(docs, text_column, wanted), _similar, similar_of)
+    return verified_links(spots, lambda wanted: _texts(docs, text_column, wanted), _similar, similar_of,
+                          lambda heads: _shared_spots(keyed, heads))
 
 
-def verified_links(spots: DataFrame, texts_of, similar, compare) -> DataFrame:
+def verified_links(spots: DataFrame, texts_of, similar, compare, spots_of=None) -> DataFrame:
     """``verified_roots`` as links (a, b) of each key to the least one of its component."""
-    return verified_roots(spots, texts_of, similar, compare).toDF("a", "b")
+    return verified_roots(spots, texts_of, similar, compare, spots_of).toDF("a", "b")
 
 
-def verified_roots(spots: DataFrame, texts_of, similar, compare) -> DataFrame:
+def verified_roots(spots: DataFrame, texts_of, similar, compare, spots_of=None) -> DataFrame:
     """(node, root): the least key that each other key of (band, key) is connected to by similar pairs that share a band.
 
     The members of a band are compared with its least key. What is connected then needs no comparison; all other pairs
-    of a band are compared, in blocks, so a group of copies takes one comparison each. ``texts_of`` gives (key, line) of
-    the wanted keys, ``similar`` filters rows of pairs with their lines, ``compare`` gives the matrix of two blocks.
+    of a band without this key are compared, in blocks, so a group of copies takes one comparison each. ``texts_of`` gives
+    (key, line) of the wanted keys, ``similar`` filters rows of pairs with their lines, ``compare`` gives the matrix of two
+    blocks. ``spots_of``, if given, has all rows of ``spots`` with the bands of (band, head), and may have others.
     """
     heads = cut_round(spots.groupBy("band").agg(F.min("key").alias("head"), F.max("key").alias("other"))
                       .where("head <> other").select("band", "head"))
-    members = cut_round(spots.join(heads, "band").select("band", "head", "key").distinct())
+    met = spots_of(heads) if spots_of else spots
+    members = cut_round(met.join(heads, "band").select("band", "head", "key").distinct())
     texts = cut_lineage(texts_of(cut_round(members.select("key").distinct())))
     links = _verified(members.where("key <> head").select(F.col("head").alias("a"), F.col("key").alias("b")), texts, similar)
     roots = cut_round(components(links).withColumnRenamed("node", "key"))
     lengths = texts.select("key", F.length("line").cast("long").alias("chars"))
-    placed = cut_round(members.join(roots, "key", "left").join(lengths, "key").select(
+    # All pairs with a least key were compared above, so most bands, which have two members, are done.
+    placed = cut_round(members.where("key <> head").join(roots, "key", "left").join(lengths, "key").select(
         "band", "key", F.coalesce("root", "key").alias("root"), "chars"))
     # The second search runs between the components of the first, so it has only what is new.
     above = cut_round(components(_crossing_links(placed, texts, compare)))
@@ -323,9 +401,11 @@ def decisions(docs: DataFrame, keyed: DataFrame, text_column: str = "text") -> D
     id among those that hold a line of the component (null only if no other has an id).
     """
     once = keyed.select("doc_id", F.explode(F.array_distinct(F.filter("keys", lambda k: k.isNotNull()))).alias("key"))
-    roots = similar_lines(docs, keyed, text_column).toDF("node", "root")
-    held = cut_lineage(once.groupBy("key").agg(F.min("doc_id").alias("owner"), F.count("*").alias("n")))
-    rooted = cut_lineage(held.join(roots.withColumnRenamed("node", "key"), "key", "left").select(
+    roots = similar_lines(docs, keyed, text_column).toDF("key", "root")
+    roots = roots.unionAll(roots.select(F.col("root").alias("key"), "root").distinct())
+    held = once.groupBy("key").agg(F.min("doc_id").alias("owner"), F.count("*").alias("n"))
+    # Lines of one document that resemble no other need no decision.
+    rooted = cut_lineage(held.join(roots, "key", "left").where("n > 1 or root is not null").select(
         "key", "owner", "n", F.coalesce("root", "key").alias("root")))
     owners = cut_lineage(rooted.groupBy("root").agg(F.min("owner").alias("owner"), F.sum("n").alias("n")).where("n > 1"))
     chosen = cut_lineage(rooted.select("key", "root").join(owners, "root").select("key", "root", "owner"))

@@ -130,6 +130,29 @@ def test_blocks_compare_as_pairs_do():
     assert lines.similar_of(some, some).tolist() == want and sum(map(sum, want)) > len(some)
 
 
+def test_few_pairs_of_blocks_are_compared_one_by_one():
+    some = [prose(9000 + i % 7, 30) + f" tail{i}" for i in range(20)] + ["short", "short\0", "exactly8", "exactly9!", ""]
+    every, asked = lines.similar_of(some, some), np.triu(np.ones((len(some), len(some)), bool), 1) & (np.arange(len(some)) % 3 == 0)
+    assert (lines.similar_of(some, some, asked) & asked).tolist() == (every & asked).tolist() and (every & asked).any()
+
+
+def test_pairs_with_the_least_key_of_a_band_are_compared_once(spark):
+    def refuse(*blocks):
+        raise AssertionError("compared again")
+
+    known = [prose(9100 + i, 30) for i in range(6)] + [prose(9100, 30) + " tail"]
+    spots = spark.createDataFrame([(band, key) for band, pair in enumerate([(0, 1), (2, 3), (4, 5), (0, 6)]) for key in pair],
+                                  "band long, key long")
+    texts = spark.createDataFrame(list(enumerate(known)), "key long, line string")
+    got = lines.verified_roots(spots, lambda wanted: texts.join(wanted, "key", "left_semi"), lines._similar, refuse)
+    assert [(r["node"], r["root"]) for r in got.collect()] == [(6, 0)]
+
+
+def test_normal_lines():
+    for line in ("a b", " a b", "a b ", "a  b", "A\tB", "a\u00a0b", "a\u3000b", "a\x85b", "\u0130 \u0391\u03a3", "a\u200bb", "", " "):
+        assert lines.normal(line) == " ".join(line.lower().split())
+
+
 def test_bands_find_most_pairs_at_the_threshold():
     rng, found, all_ = np.random.default_rng(4), 0, 0
     for k in range(800):
