@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from porescreen.llm.common import lowered
+from porescreen.llm.common import LOWER, small
 from porescreen.session import cut_lineage
 
 # The phrases whose places are counted, and their labels.
@@ -25,6 +26,8 @@ NOTICES = {
     "licensed under cc by": "cc",
 }
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: A-Z in lower case, and a space for each byte that is in no word; bytes of other characters than ASCII stand in words.
+WORD_BYTES = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in LOWER)
 #: Share of a notice's grams that a span holds, and words that a copy may have more or less in one place.
 SHARE, SLACK = 0.6, 3
 
@@ -40,26 +43,51 @@ def templates(spark: SparkSession, phrases: dict[str, str] = PHRASES, notices: d
     return spark.createDataFrame(rows, kinds).withColumn("h", F.xxhash64("gram"))
 
 
+def words_of(text: bytes) -> list[bytes]:
+    """The words (``WORD``) of a text in lower case, as UTF-8 bytes."""
+    return text.translate(WORD_BYTES).split()
+
+
+def _template_pairs(known: dict[tuple[bytes, bytes], str]):
+    def run(batches):
+        for batch in small(batches):
+            counts, positions, pairs = [], [], []
+            for text in batch.column("text").to_pylist():
+                words = words_of(text or b"")
+                at = [i for i, pair in enumerate(zip(words, words[1:])) if pair in known]
+                counts.append(len(words))
+                positions.append(at)
+                pairs.append([known[words[i], words[i + 1]] for i in at])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("hash"), pa.array(counts, pa.int64()),
+                 pa.array(positions, pa.list_(pa.int32())), pa.array(pairs, pa.list_(pa.string()))],
+                ["doc_id", "hash", "n_words", "positions", "pairs"])
+    return run
+
+
 def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", share: float = SHARE) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score) of every row of ``docs``.
 
-    Every pair of neighbouring words of every whole text is joined by its hash to the places it has in templates;
-    equal pairs vote for the difference of the two places. A phrase stands where all its pairs have voted for one
-    diagonal. A notice is found where neighbouring diagonals, merged, hold at least ``share`` of its pairs within
-    one and a half times its length. score is the largest share found, 1 for a whole phrase, 0 for nothing.
+    Every pair of neighbouring words of every whole text is looked up among the pairs of the templates, and those that
+    are there are joined by their hash to the places they have; equal pairs vote for the difference of the two places.
+    A phrase stands where all its pairs have voted for one diagonal. A notice is found where neighbouring diagonals,
+    merged, hold at least ``share`` of its pairs within one and a half times its length. score is the largest share
+    found, 1 for a whole phrase, 0 for nothing.
 
     Null texts are empty: no words, no labels. Repeated rows and rows without an id are returned like any others;
     other columns are ignored; an empty table gives no rows.
     """
     # What is found in a row follows from its text alone, so rows of one id and one text need not be told apart.
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.xxhash64(text_column).alias("hash"),
-                       F.regexp_extract_all(lowered(F.col(text_column)), F.lit(WORD), F.lit(0)).alias("words"))
-    pairs = rows.select("doc_id", "hash", F.zip_with("words", F.slice("words", F.lit(2), F.greatest(F.size("words"), F.lit(1))),
-                                          lambda a, b: F.concat(a, F.lit(" "), b)).alias("pairs"))
-    pairs = pairs.select("doc_id", "hash", F.posexplode("pairs").alias("pos", "pair"))
+                       F.col(text_column).cast("binary").alias("text"))
     # A fixed number of template grams, whatever the input.
-    known = F.broadcast(templates(docs.sparkSession))
-    votes = pairs.join(known, (F.xxhash64("pair") == F.col("h")) & (F.col("pair") == F.col("gram")))
+    known = templates(docs.sparkSession)
+    grams = {tuple(r["gram"].encode().split()): r["gram"] for r in known.select("gram").distinct().collect()}
+    # Read twice below; without the cut the texts would be split once for each.
+    rows = cut_lineage(rows.mapInArrow(_template_pairs(grams), "doc_id long, hash long, n_words long, positions array<int>, pairs array<string>"))
+    pairs = rows.select("doc_id", "hash", F.explode(F.arrays_zip("positions", "pairs")).alias("p")) \
+        .select("doc_id", "hash", F.col("p.positions").alias("pos"), F.col("p.pairs").alias("pair"))
+    votes = pairs.join(F.broadcast(known), (F.xxhash64("pair") == F.col("h")) & (F.col("pair") == F.col("gram")))
     diagonals = votes.groupBy("doc_id", "hash", "template", "base", "label", "grams", "words", (F.col("pos") - F.col("at")).alias("diagonal")) \
         .agg(F.size(F.collect_set("pos")).alias("votes"), F.min("pos").alias("low"), F.max("pos").alias("high"))
     # Both kinds of template read these few rows; without the cut the texts would be read once for each.
@@ -86,7 +114,7 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     none = F.array().cast("array<string>")
     result = result.withColumnsRenamed({"doc_id": "at", "hash": "found"})
     same = F.col("doc_id").eqNullSafe(F.col("at")) & (F.col("hash") == F.col("found"))
-    return rows.select("doc_id", "hash", F.size("words").cast("long").alias("n_words")).join(result, same, "left").select(
+    return rows.select("doc_id", "hash", "n_words").join(result, same, "left").select(
         "doc_id", "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), "first_word", "last_word",
         F.array_join(F.array_sort(F.coalesce("base_labels", none)), ",").alias("base_labels"),
         F.array_join(F.array_sort(F.coalesce("labels", none)), ",").alias("labels"),

@@ -152,6 +152,15 @@ def test_licenses(spark, license_rows):
     assert licenses.scan(empty(spark)).count() == 0
 
 
+def test_license_texts_are_split_once(spark, license_rows):
+    word = re.compile(licenses.WORD)
+    for _, t in [*license_rows, *texts(), (0, "".join(map(chr, range(0x250))) + "\u3000a\u2028b\U0001f600c")]:
+        lower = re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
+        assert licenses.words_of((t or "").encode()) == [w.encode() for w in word.findall(lower)]
+    plan = licenses.scan(frame(spark, license_rows))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan and "text" not in plan
+
+
 @pytest.mark.parametrize("many_parts", [False, True])
 def test_repeats(spark, monkeypatch, many_parts):
     if many_parts:
