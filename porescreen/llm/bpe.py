@@ -7,6 +7,7 @@ import hashlib
 import heapq
 import json
 import pickle
+import re
 import zlib
 from collections import Counter
 
@@ -136,7 +137,21 @@ class Splitter:
 
     def __init__(self, pattern: str):
         self.words = regex.compile(pattern).findall
-        self.odd = regex.compile(r" \s|\s $").search
+        # Letters that any version of Unicode has, and marks; the pattern cuts such a chunk between the two.
+        self.simple = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)").fullmatch if pattern == public_tokenizers.PATTERN else lambda part: None
+        # Python's white space holds all of the pattern's; a text that is odd by more of it has the same words.
+        self.spaces = re.compile(r" \s").search
+
+    def odd(self, text: str) -> bool:
+        """Whether a space stands before white space, or behind it at the end."""
+        return bool(self.spaces(text)) or (text[-1:] == " " and text[-2:-1].isspace())
+
+    def words_after_space(self, part: str) -> list[str]:
+        """The words of a chunk, given without the space before it."""
+        if found := self.simple(part):
+            word, marks = found.groups()
+            return [" " + word, marks] if marks else [" " + word]
+        return self.words(" " + part)
 
     def chunks(self, text: str) -> tuple[str, list[str]]:
         """(first chunk, others without the space before them): at a single space before a character that is none, a
@@ -154,9 +169,9 @@ def distinct_words(docs: DataFrame, text_column: str = "text", pattern: str = pu
 
         def words():
             out = Counter()
-            for held, before in ((first, ""), (others, " ")):
+            for held, cut in ((first, split.words), (others, split.words_after_space)):
                 for chunk, n in held.items():
-                    for w in split.words(before + chunk):
+                    for w in cut(chunk):
                         out[w] += n
                 held.clear()
             return pa.RecordBatch.from_arrays(
@@ -245,15 +260,15 @@ def encode(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
             raw = w.encode("utf-8", "replace")
             return known.get(raw) or _told(merge_word(raw, ranks, pieces), pieces)
 
-        def coded(chunk):
-            words = split.words(chunk)
+        def coded(words):
             if len(words) == 1:
                 return of_word(words[0])
             told = [of_word(w) for w in words]
             return " ".join([t[0] for t in told]), b"".join([t[1] for t in told])
 
         def later(part):
-            hit = held[part] = coded(" " + part)
+            # A frequent word that begins with a space is a chunk as it is.
+            hit = held[part] = known.get((" " + part).encode("utf-8", "replace")) or coded(split.words_after_space(part))
             return hit
 
         for batch in small(batches):
@@ -264,7 +279,7 @@ def encode(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
                 first, others = split.chunks(text)
                 hits = [held.get(part) or later(part) for part in others]
                 if first:
-                    hits.insert(0, coded(first))
+                    hits.insert(0, coded(split.words(first)))
                 ids, decoded = " ".join([h[0] for h in hits]), b"".join([h[1] for h in hits])
                 values = (ids.count(" ") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest(),
                           ids if with_ids else None, decoded if with_ids else None)

@@ -99,6 +99,21 @@ def test_frequent_words_are_told_once_in_a_worker():
         assert bpe.merge_word(raw.encode(), ranks, pieces) == bpe._merge_long(raw.encode(), ranks) == coder.encode_ordinary(raw)
 
 
+def test_simple_chunks_are_cut_without_the_pattern():
+    split, words = bpe.Splitter(PATTERN), regex.compile(PATTERN).findall
+    parts = ["word", "Wörter,", "fin?!", "a.b", "it's", "x1", "", ".", "é½", "ª", "×", "q…", "\u0130x.", "a\nb", "end.\n", "...a"]
+    assert [split.words_after_space(p) for p in parts] == [words(" " + p) for p in parts]
+    for text in ("a  b", "a \tb", "a\t ", "a ", " a", "  ", " ", "a \x1cb", "a\n\nb c", " \n", "a b"):
+        first, others = split.chunks(text)
+        assert words(first) + [w for p in others for w in split.words_after_space(p)] == words(text)
+
+    def refuse(chunk):
+        raise AssertionError("cut by the pattern")
+
+    split.words = refuse
+    assert split.words_after_space("wörd.") == [" wörd", "."]
+
+
 def test_token_counts(spark):
     vocabulary, letters = set(wordpiece.read_vocabulary()), wordpiece.byte_letters()
 
