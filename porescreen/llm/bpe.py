@@ -5,7 +5,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-import json
 import pickle
 import re
 import zlib
@@ -14,7 +13,7 @@ from collections import Counter
 import public_tokenizers
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from porescreen.llm.common import small, text_of
@@ -32,7 +31,6 @@ FOLD_TASKS = 64
 #: Entries of a task's own memory of chunks before it is emptied.
 REMEMBERED = 300_000
 BUCKETS = 8192
-PLAN_STRING = "spark.sql.maxPlanStringLength"
 
 
 def read_ranks(path: str = RANKS) -> dict[bytes, int]:
@@ -41,14 +39,15 @@ def read_ranks(path: str = RANKS) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in file if line.strip())}
 
 
-def _rank_map(ranks: dict[bytes, int]) -> Column:
-    """The ranks as one literal: maps by the CRC of the piece, as Spark searches a map entry by entry.
+def _rank_table(spark: SparkSession, ranks: dict[bytes, int]) -> DataFrame:
+    """The ranks as one row: maps by the CRC of the piece, as Spark searches a map entry by entry.
 
-    The literal is one text that the optimizer turns into the maps once; a byte of a piece is a character of its key."""
+    It is a table and no literal, which the driver would hold in each plan and in each description of one.
+    A byte of a piece is a character of its key."""
     buckets = [{} for _ in range(BUCKETS)]
     for piece, rank in ranks.items():
         buckets[zlib.crc32(piece) % BUCKETS][piece.decode("latin-1")] = rank
-    return F.from_json(F.lit(json.dumps(buckets)), "array<map<string,int>>")
+    return spark.createDataFrame([(buckets,)], "table array<map<string,int>>")
 
 
 def _rank(table: Column, piece: Column) -> Column:
@@ -203,9 +202,19 @@ def _frequent(words: DataFrame) -> DataFrame:
     return words.where(F.col("class") >= cut if cut is not None else F.lit(False)).select("word")
 
 
+def _encoded(words: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
+    """(words, ids) of parts of the words; a part is one row, so that the ranks join a few rows and not each word."""
+    part = F.pmod(F.xxhash64("word"), F.lit(4 * FOLD_TASKS))
+    parts = words.withColumn("part", part).repartition(FOLD_TASKS, "part").groupBy("part").agg(F.collect_list("word").alias("words"))
+    parts = parts.crossJoin(F.broadcast(_rank_table(words.sparkSession, ranks)))
+    return parts.select("words", F.transform("words", lambda w: encode_word(w, F.col("table"))).alias("ids"))
+
+
 def _pack_words(batches):
     for batch in batches:
-        words = dict(zip(batch.column("word").to_pylist(), map(tuple, batch.column("ids").to_pylist())))
+        words = {}
+        for part, ids in zip(batch.column("words").to_pylist(), batch.column("ids").to_pylist()):
+            words.update(zip(part, map(tuple, ids)))
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(words)], pa.binary())], ["words"])
 
 
@@ -239,16 +248,8 @@ def encode(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     The most frequent distinct words are folded once and shipped; what a text holds besides is merged in its row.
     """
     spark, ranks = docs.sparkSession, read_ranks(path)
-    table = _rank_map(ranks)
-    frequent = _frequent(distinct_words(docs, text_column, pattern)).repartition(FOLD_TASKS)
-    coded = frequent.select("word", encode_word(F.col("word"), table).alias("ids"))
-    # The description of a plan would hold the ranks many times over.
-    shown = spark.conf.get(PLAN_STRING)
-    spark.conf.set(PLAN_STRING, "100000")
-    try:
-        packed = [bytes(r[0]) for r in coded.mapInArrow(_pack_words, "words binary").collect()]
-    finally:
-        spark.conf.set(PLAN_STRING, shown)
+    coded = _encoded(_frequent(distinct_words(docs, text_column, pattern)), ranks)
+    packed = [bytes(r[0]) for r in coded.mapInArrow(_pack_words, "words binary").collect()]
     shared = spark.sparkContext.broadcast((packed, ranks))  # COMMON_WORDS and the vocabulary at most
 
     def run(batches):

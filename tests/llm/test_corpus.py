@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from porescreen.llm import decontaminate, lines, topk
+from porescreen.llm import common, decontaminate, lines, topk
 from porescreen.llm.common import components
 from tests.llm.cases import empty, frame, prose, texts
 
@@ -40,6 +40,16 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_run_no_round_that_changes_nothing(spark, monkeypatch):
+    cuts = []
+    monkeypatch.setattr(common, "cut_round", lambda df, cut=common.cut_round: cuts.append(1) or cut(df))
+    for pairs, rounds in ([(1, 2), (1, 3), (9, 8)], 0), ([(1, 2), (2, 3)], 1):
+        cuts.clear()
+        got = components(spark.createDataFrame(pairs, "a long, b long")).collect()
+        assert sorted(tuple(r) for r in got) == ([(2, 1), (3, 1)] + ([(9, 8)] if not rounds else []))
+        assert len(cuts) == 2 * rounds
+
+
 def test_rounds_of_components_do_not_multiply_estimates(spark, capsys):
     found = components(spark.range(60).selectExpr("id AS a", "id + 1 AS b"))
     assert {r["root"] for r in found.collect()} == {0}

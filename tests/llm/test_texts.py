@@ -77,6 +77,14 @@ def test_byte_bpe(spark):
     assert bpe.encode(empty(spark)).count() == 0
 
 
+def test_no_plan_holds_the_ranks(spark, monkeypatch):
+    sizes, kind = [], type(empty(spark))
+    collect = kind.collect
+    monkeypatch.setattr(kind, "collect", lambda df: sizes.append(len(df._jdf.queryExecution().optimizedPlan().toString())) or collect(df))
+    bpe.encode(frame(spark))
+    assert sizes and max(sizes) < 20_000
+
+
 def test_words_that_are_not_frequent_are_merged_where_they_stand(spark, monkeypatch):
     coder = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=bpe.read_ranks(), special_tokens={})
     monkeypatch.setattr(bpe, "COMMON_WORDS", 3)
