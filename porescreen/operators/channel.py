@@ -37,6 +37,10 @@ def axis_index() -> Column:
     return _along({x: F.col(x) for x in "ijk"})
 
 
+def axis_number() -> Column:
+    return _along({x: F.lit(n) for n, x in enumerate("ijk")})
+
+
 def axis_size() -> Column:
     return _along({x: F.col(f"n{x}") for x in "ijk"})
 
@@ -250,16 +254,22 @@ def barriers(grid: DataFrame, mask: DataFrame, dims: DataFrame, cells: DataFrame
     low = mask.groupBy("framework").agg(F.first("e_min").alias("e_min"))
 
     def search(voxels: DataFrame, axes: DataFrame) -> DataFrame:
-        reached, energy = crossing_energies(voxels, dims, fraction, axes, **bricks)
-        path = crossing_paths(reached, energy, dims, fraction, **bricks)
+        sizes = tiled_dims(dims, True).join(_end_regions(dims, fraction).join(axes, KEYS, "left_semi"), KEYS)
+        job = field.job_of(sizes, **bricks)
+        small, large = job.halves(sizes)
+        path = field.crossings(voxels, small.withColumns({"along": axis_number(), "unit": F.col("n_axis")}), ["framework"], KEYS, 26, job, 3, paths=True)
+        if large is not None:
+            reached, energy = crossing_energies(voxels, dims, fraction, large, **bricks)
+            path = path.unionByName(crossing_paths(reached, energy, dims, fraction, **bricks))
+        path = cut_lineage(path)
         return path.join(path.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_n")), KEYS).filter(F.col("_n") >= min_nodes).drop("_n")
 
-    first = cut_lineage(search(mask, wanted))
+    first = search(mask, wanted)
     unsolved = wanted.join(first.select(*KEYS).distinct(), KEYS, "left_anti")
     paths = first.withColumn("mask", F.lit("original"))
     if dilation > 0 and not unsolved.isEmpty():
         frameworks = unsolved.select("framework").distinct()
-        grown = dilate(mask, dims, dilation).join(frameworks, "framework", "left_semi")
+        grown = dilate(mask.join(frameworks, "framework", "left_semi"), dims, dilation)
         known = mask.select("framework", "i", "j", "k", "e")
         repaired = grown.join(known, ["framework", "i", "j", "k"], "left").join(low, "framework").select(
             "framework", "i", "j", "k", F.coalesce("e", F.col("e_min") + threshold).alias("e"))

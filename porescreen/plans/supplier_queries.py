@@ -147,9 +147,9 @@ FROM (SELECT asked.*, CASE WHEN traverses THEN best.te END AS te, CASE WHEN trav
 def supplier_barriers(spark, sf_dir):
     """Thin pores: some axes need the dilated mask, and flat frameworks have paths of too few nodes."""
     voxels, dims = _voxels(spark, sf_dir)
-    mask = low_energy(voxels, 0.06)
+    mask = cut_lineage(low_energy(voxels, 0.06))
     low = mask.groupBy("framework").agg(F.min("e").alias("e_min"))
     number = F.substring("framework", 2, 20).cast("long")
     asked = channel.per_axis(dims.select("framework")).withColumn("traverses", ~((number % 4 == 0) & (F.col("axis") == "Y")))
-    records, _ = channel.barriers(voxels, mask.join(low, "framework"), dims, _cells(dims), asked, **LONG)
+    records, _ = channel.barriers(voxels, cut_lineage(mask.join(low, "framework")), dims, _cells(dims), asked, **LONG)
     return records.withColumn("cell_length", rounded("cell_length"))

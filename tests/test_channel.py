@@ -156,3 +156,32 @@ def test_pore_points_are_tiled_along_every_axis(spark):
     for r in tiled:  # an axis has three cells in its own direction
         x, n = {"X": ("i", 50), "Y": ("j", 11), "Z": ("k", 9)}[r["axis"]]
         assert 2 * n <= r[x] < 3 * n
+
+
+def many_frameworks(spark):
+    rng, names = random.Random(11), [f"g{n}" for n in range(6)]
+    cells = [(g, i, j, k, float(rng.randrange(9))) for g in names for i in range(5) for j in range(4) for k in range(3)
+             if rng.random() < (0.15 if g in ("g4", "g5") else 0.45) and (g != "g3" or (i < 2 and j < 2 and k < 1))]
+    grid = spark.createDataFrame(cells + [(None, 0, 0, 0, 1.0)], "framework string, i int, j int, k int, e double").withColumn("e_min", F.lit(0.0))
+    dims = spark.createDataFrame([(g, *((2, 2, 1) if g == "g3" else (5, 4, 3))) for g in [*names, "empty", None]], "framework string, ni int, nj int, nk int")
+    edges = lat.with_cell(spark.createDataFrame([(g, 5.0, 4.0, 3.0, 90.0, 80.0 if g == "g1" else 90.0, 90.0) for g in [*names, "empty"]],
+                                                "framework string, a double, b double, c double, alpha double, beta double, gamma double"))
+    return grid, dims, edges
+
+
+def test_groups_in_one_call_are_solved_as_voxel_by_voxel(spark):
+    """Bottlenecks and paths found in a call are those of the passes over voxels; small bricks make no rounds of jobs."""
+    grid, dims, edges = many_frameworks(spark)
+    reached, energy = channel.crossing_energies(grid, dims)
+    want = rows(channel.crossing_paths(reached, energy, dims).select(*KEYS, "seq", "i", "j", "k", "e"))
+    sizes = channel.tiled_dims(dims, True).join(channel._end_regions(dims, 0.1), KEYS)
+    groups = sizes.withColumns({"along": channel.axis_number(), "unit": F.col("n_axis")})
+    job = field.job_of(sizes, volume=12, edge=3)
+    assert job.most > 1 and not job.split
+    spark.sparkContext.setJobGroup("small groups", "")
+    paths = field.crossings(grid, groups, ["framework"], KEYS, 26, job, 3, paths=True).collect()
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("small groups")
+    spark.sparkContext.setJobGroup("", "")
+    assert sorted(map(tuple, paths)) == want and len({r[:2] for r in want}) > 5 and len(jobs) < 10
+    least = {tuple(r)[:2]: r["w"] for r in field.crossings(grid, groups, ["framework"], KEYS, 26, job, 3).collect()}
+    assert least == {tuple(r)[:2]: r["transition_energy"] for r in energy.collect()}
