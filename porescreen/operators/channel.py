@@ -127,11 +127,15 @@ def limiting_diameters(free_radius: DataFrame, dims: DataFrame, cells: DataFrame
     That threshold is the widest path from the entry to the exit face, so one minimax pass over
     the negative radii replaces a bisection with a labelling per step."""
     sizes = single_dims(dims, cells)
-    voxels = per_axis(free_radius.filter(F.col("r") > probe_radius).select(
-        "framework", "i", "j", "k", (-F.col("r")).alias("e")))
-    reached = field.minimax(voxels, sizes, KEYS, start=axis_index() == 0, neighbours=6, **bricks)
-    at_exit = reached.join(sizes.select(*KEYS, "ni", "nj", "nk"), KEYS).filter(axis_index() == axis_size() - 1)
-    best = at_exit.groupBy(*KEYS).agg(F.min("w").alias("_w"))
+    open_ = free_radius.filter(F.col("r") > probe_radius).select("framework", "i", "j", "k", (-F.col("r")).alias("e"))
+    job = field.job_of(sizes, **bricks)
+    small, large = job.halves(sizes)
+    found = field.crossings(open_, small.withColumns({"along": axis_number(), "unit": axis_size(), "width": F.lit(1)}), ["framework"], KEYS, 6, job)
+    if large is not None:
+        reached = field.minimax(per_axis(open_), large, KEYS, start=axis_index() == 0, neighbours=6, **bricks)
+        at_exit = reached.join(large.select(*KEYS, "ni", "nj", "nk"), KEYS).filter(axis_index() == axis_size() - 1)
+        found = found.unionByName(at_exit.select(*KEYS, "w"))
+    best = found.groupBy(*KEYS).agg(F.min("w").alias("_w"))
     return sizes.select(*KEYS).join(best, KEYS, "left").select(
         *KEYS, F.coalesce(-2.0 * F.col("_w"), F.lit(0.0)).alias("pld"))
 

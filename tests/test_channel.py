@@ -185,3 +185,13 @@ def test_groups_in_one_call_are_solved_as_voxel_by_voxel(spark):
     assert sorted(map(tuple, paths)) == want and len({r[:2] for r in want}) > 5 and len(jobs) < 10
     least = {tuple(r)[:2]: r["w"] for r in field.crossings(grid, groups, ["framework"], KEYS, 26, job, 3).collect()}
     assert least == {tuple(r)[:2]: r["transition_energy"] for r in energy.collect()}
+
+
+def test_diameters_of_groups_in_one_call_and_in_several(spark, monkeypatch):
+    grid, dims, edges = many_frameworks(spark)
+    free = grid.withColumn("r", F.col("e") + 1)
+    whole = rows(channel.pore_sizes(free, dims, edges, 2.0, volume=12, edge=3))
+    monkeypatch.setattr(field, "BRICK_VOLUME", 20)  # g3 alone still fits into a call
+    small, large = field.job_of(channel.single_dims(dims, edges), 12, 3).halves(channel.single_dims(dims, edges))
+    assert {r["framework"] for r in small.collect()} == {"g3"} and large.count() > 9
+    assert rows(channel.pore_sizes(free, dims, edges, 2.0, volume=12, edge=3)) == whole
