@@ -1,6 +1,9 @@
 """The run from structure lines, against the run from tables that were made by hand."""
 
-from porescreen.plans.screening import cell_atoms, screen_lines
+import inspect
+
+from porescreen.plans import run_queries
+from porescreen.plans.screening import cell_atoms, screen, screen_lines
 from tests.conftest import rows
 
 HEAD = """data_x
@@ -52,3 +55,13 @@ def test_run_goes_on_without_the_files_that_fail(spark):
     features = out["features"].collect()
     assert {r["sample"] for r in features} == {f"{f}_{a}" for f in ("moved", "plain") for a in "xyz"}
     assert {r["framework"]: r["FDSi"] for r in features} == {"moved": 17.0, "plain": None}
+
+
+def test_registered_run_has_the_grids_of_the_reference(spark, monkeypatch):
+    """The run was registered on voxels of 2 A, a cutoff of 6 A and 6 pore voxels an axis."""
+    asked = []
+    monkeypatch.setattr(run_queries, "screen_lines", lambda lines, external, *rest, **options: asked.append((rest, options)) or {"features": None})
+    run_queries.screening_run(spark, "/root/testdata/sf0.001")
+    assert asked == [((False,), {})]
+    values = {k: p.default for k, p in inspect.signature(screen).parameters.items()}
+    assert [values[k] for k in ("spacing", "cutoff", "min_supercell", "threshold", "pore_grid_n")] == [0.2, 14.0, 28.0, 300.0, 120]
