@@ -233,6 +233,30 @@ def test_languages_without_anything_to_learn(spark):
     assert len(odd) == len(texts()) and {r["lang_pred"] for r in odd} == {"en", "und"}
 
 
+@pytest.mark.parametrize("limit", [("MODEL_ENTRIES", 40), ("MOST_LANGUAGES", 1)])
+def test_models_beyond_the_shipped_size_are_whole(spark, monkeypatch, limit):
+    """Rare grams and languages beyond a limit were left out; the texts are joined to the whole models now."""
+    words = {"xx": "lorem ipsum dolor sit amet", "yy": "zwölf boxkämpfer jagen viktor", "zz": "съешь ещё этих мягких"}
+    rng, data = random.Random(8), []
+    for i in range(240):
+        lang = rng.choice(sorted(words))
+        data.append((i, " ".join(rng.choice(words[lang].split()) for _ in range(rng.randrange(1, 9))), lang))
+    data += [(300, None, "xx"), (301, "12 -", "yy"), (None, "ipsum", "xx"), (5, "dolor", "xx"), (5, "dolor", "xx"), (302, "", None), (303, "\0\0q", None)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string").repartition(3)
+
+    def told():
+        rows = langid.identify(df).collect()
+        order = sorted(rows, key=lambda r: (r["doc_id"] is None, r["doc_id"], str(r["cross_entropy"])[:6]))
+        return [(r["doc_id"], r["held_out"], r["lang_pred"], r["rejected"]) for r in order], [(r["score"], r["cross_entropy"] or 0.0) for r in order]
+
+    exact, near = told()
+    monkeypatch.setattr(langid, *limit)
+    assert isinstance(langid.fit(df.where("doc_id IS NOT NULL")), langid.Joined)
+    again, close = told()
+    assert again == exact and {"xx", "yy", "zz"} <= {r[2] for r in again}
+    assert np.allclose(near, close, atol=1e-6)
+
+
 def test_calibration_counts_every_row(spark, monkeypatch):
     """Cutoffs and the fit are those of all rows of the calibration, counted by intervals."""
     rng = np.random.default_rng(6)
