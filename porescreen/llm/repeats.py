@@ -22,6 +22,8 @@ CONTEXT = 2 * REACH + GRAM
 PARTITION_BYTES, CHUNK = 24 << 20, 256
 #: Bytes of text whose anchors a task computes at once.
 SLICE = 1 << 20
+#: Places whose hashes are computed together, so that they stay in the cache of a core.
+BLOCK = 1 << 14
 #: Contexts that are compared together, about; those of one gram always are.
 SHARD = 8192
 #: Words of 64 bits of the filter that picks contexts to read; wrong hits only cost time.
@@ -41,9 +43,13 @@ def _gram_hashes(data: np.ndarray) -> np.ndarray:
     n = len(data) - GRAM + 1
     eight = np.ndarray((len(data) - 7,), "<u8", data.tobytes(), strides=(1,))
     four = np.ndarray((len(data) - 3,), "<u4", data.tobytes(), strides=(1,))
-    h = _mixed(eight[:n] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
-    h = _mixed(h + eight[8:8 + n])
-    return _mixed(h + four[16:16 + n].astype(np.uint64))
+    out = np.empty(max(n, 0), np.uint64)
+    for i in range(0, n, BLOCK):
+        j = min(i + BLOCK, n)
+        h = _mixed(eight[i:j] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
+        h = _mixed(h + eight[i + 8:j + 8])
+        out[i:j] = _mixed(h + four[i + 16:j + 16].astype(np.uint64))
+    return out
 
 
 def _sliding(x: np.ndarray, best: np.ufunc) -> np.ndarray:
@@ -72,15 +78,16 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
         return none, none, none.view(np.uint64), none.view(np.uint64), whole
     data = np.frombuffer(whole, np.uint8)
     h = _gram_hashes(data)
-    delta = np.zeros(len(h) + 1, np.int64)
+    delta = np.zeros(len(h) + 1, np.int32)
     long = sizes >= LENGTH
     np.add.at(delta, starts[long], 1)
     np.add.at(delta, starts[long] + sizes[long] - LENGTH + 1, -1)
     valid = np.cumsum(delta[:-1]) > 0  # where a string inside a document starts
-    least = _sliding(h, np.minimum)
-    # A gram is an anchor if it has the least hash of some string that holds it.
-    most = _sliding(np.where(valid, least, np.uint64(0))[::-1], np.maximum)[::-1]
-    at = np.nonzero((most == h) & (h > 0))[0]
+    rank = (h >> np.uint64(32)).astype(np.uint32)
+    least = _sliding(rank, np.minimum)
+    # A gram is an anchor if it has the least hash, by its first half, of some string that holds it.
+    most = _sliding(np.where(valid, least, np.uint32(0))[::-1], np.maximum)[::-1]
+    at = np.nonzero((most == rank) & (rank > 0))[0]
     owner = np.searchsorted(starts, at, side="right") - 1
     context = np.zeros(len(at), np.uint64)
     for shift in range(-REACH, REACH + 1, GRAM // 2):
@@ -179,35 +186,47 @@ def _judge(pdf: pd.DataFrame, chunks: int) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["chunk", "rids", "sizes", "places", "asked"]).astype({"chunk": "Int64"})
 
 
-def _suffix_classes(data: np.ndarray) -> np.ndarray:
-    """For each place a number that is equal exactly where the LENGTH bytes from there on are equal.
+def _sorted_prefixes(texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of rows of bytes, and for each but the first in it how many bytes it shares with the one before."""
+    n, size = texts.shape
+    words = np.zeros((n, -(-size // 8) * 8), np.uint8)
+    words[:, :size] = texts
+    order = np.lexsort(words.view(">u8").astype(np.uint64).T[::-1])
+    differ = texts[order[1:]] != texts[order[:-1]]
+    return order, np.where(differ.any(axis=1), differ.argmax(axis=1), size)
 
-    Suffix ranks by doubling: of 8 bytes, then 16, 32 and, with an overlap, LENGTH.
-    """
-    n = len(data)
-    padded = np.concatenate([data, np.full(LENGTH + 16, OUTSIDE, np.uint8)])
-    rank = np.ndarray((n + LENGTH,), ">u8", padded.tobytes(), strides=(1,)).astype(np.uint64)
-    rank = np.unique(rank, return_inverse=True)[1].astype(np.int64)
-    for step in (8, 16, LENGTH - 32):
-        ahead = np.concatenate([rank[step:], np.zeros(step, np.int64)])
-        rank = np.unique(rank * (len(rank) + 1) + ahead, return_inverse=True)[1].astype(np.int64)
-    return rank[:n]
+
+def _classes(order: np.ndarray, shared: np.ndarray, size: int) -> np.ndarray:
+    """For each row a number that is equal exactly where the first ``size`` bytes are."""
+    out = np.zeros(len(order), np.int64)
+    out[order[1:]] = np.cumsum(shared < size)
+    return out
 
 
 def _mark(pdf: pd.DataFrame, chunks: int) -> pd.DataFrame:
-    """Which strings of each context start in a smaller document too: rows (chunk, rids, sizes, places of starts)."""
-    data = np.frombuffer(b"".join(pdf["context"]), np.uint8)
+    """Which strings of each context start in a smaller document too: rows (chunk, rids, sizes, places of starts).
+
+    Equal strings have the same anchor, so they stand in the same column of contexts of one gram, and are equal where gram and
+    right side agree so far as the string reaches, and the left side, read backwards, does. Both are sorted once, with the
+    bytes that neighbours share; the ranks of all lengths follow from these."""
+    data = np.frombuffer(b"".join(pdf["context"]), np.uint8).reshape(len(pdf), CONTEXT)
     doc, rid, place = (pdf[c].to_numpy() for c in ("doc", "rid", "place"))
-    classes = _suffix_classes(data).reshape(len(pdf), CONTEXT)[:, :REACH + 1]
-    outside = np.concatenate([[0], np.cumsum(data == OUTSIDE)])
-    begin = (np.arange(len(pdf)) * CONTEXT)[:, None] + np.arange(REACH + 1)
-    row, column = np.nonzero(outside[begin + LENGTH] == outside[begin])
-    found = classes[row, column]
-    order = np.argsort(found, kind="stable")
-    new = np.concatenate([[True], found[order][1:] != found[order][:-1]])
-    least = np.minimum.reduceat(doc[row[order]], np.nonzero(new)[0])[np.cumsum(new) - 1]
-    hit = order[least < doc[row[order]]]
-    packed = _pack(chunks, rid[row[hit]], place[row[hit]] - REACH + column[hit])
+    right, left = _sorted_prefixes(data[:, REACH:]), _sorted_prefixes(data[:, REACH - 1::-1])
+    outside = np.zeros((CONTEXT + 1, len(pdf)), np.uint8)
+    np.cumsum((data == OUTSIDE).T, axis=0, out=outside[1:])
+    rows, starts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for column in range(REACH + 1):
+        inside = np.flatnonzero(outside[column + LENGTH] == outside[column])
+        if len(inside) < 2:
+            continue
+        found = (_classes(*left, REACH - column) * len(pdf) + _classes(*right, GRAM + column))[inside]
+        order = np.argsort(found)
+        new = np.append(True, found[order][1:] != found[order][:-1])
+        at = inside[order]
+        least = np.minimum.reduceat(doc[at], np.flatnonzero(new))[np.cumsum(new) - 1]
+        rows.append(at[least < doc[at]])
+        starts.append(place[rows[-1]] - REACH + column)
+    packed = _pack(chunks, rid[np.concatenate(rows)], np.concatenate(starts))
     return pd.DataFrame(packed, columns=["chunk", "rids", "sizes", "places"])
 
 
@@ -240,7 +259,7 @@ def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
     Anchors (see ``anchors``) meet by the hash of their gram. A context that repeats as a whole is decided by its
     smallest document; where a gram has several contexts, one copy of each is read again and its strings are compared
-    by suffix ranks. The intervals then come together with the texts, a chunk of documents at a time.
+    by ranks of sorted sides (see ``_mark``). The intervals then come together with the texts, a chunk of documents at a time.
     """
     rows = _rows(docs, id_column, text_column)
     count, size = docs.agg(F.count("*"), F.sum(F.octet_length(text_column))).first()

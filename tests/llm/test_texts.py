@@ -209,6 +209,32 @@ def test_repeats(spark, monkeypatch, many_parts):
     assert repeats.without_repeats(empty(spark)).count() == 0
 
 
+def test_marks_of_contexts_by_sorted_sides():
+    """Strings of contexts of one gram, against all pairs; ranks are told of sides of every length, zero bytes and ends of texts."""
+    import pandas as pd
+
+    rng = random.Random(3)
+    gram, held = bytes(range(repeats.GRAM)), []
+    for n in range(60):
+        sides = [bytes(rng.choice([0, 1]) if rng.random() < 0.06 else 0 for _ in range(repeats.REACH)) for _ in range(2)]
+        left, right = (bytearray(x) for x in sides)
+        left[:n % 9], right[repeats.REACH - n % 7:] = b"\xff" * (n % 9), b"\xff" * (n % 7)
+        held.append((bytes(left) + gram + bytes(right), rng.randrange(5), n, 100 + n))
+    want = set()
+    for context, doc, rid, place in held:
+        for k in range(repeats.REACH + 1):
+            string = context[k:k + repeats.LENGTH]
+            if b"\xff" not in string and any(string == c[k:k + repeats.LENGTH] and d < doc for c, d, _, _ in held):
+                want.add((rid, place - repeats.REACH + k))
+    got = set()
+    order, shared = repeats._sorted_prefixes(np.frombuffer(b"".join(c for c, *_ in held), np.uint8).reshape(60, -1))
+    assert [held[i][0] for i in order] == sorted(c for c, *_ in held) and shared.max() <= repeats.CONTEXT
+    for row in repeats._mark(pd.DataFrame(held, columns=["context", "doc", "rid", "place"]), 4).itertuples():
+        rids = np.repeat(np.frombuffer(row.rids, np.int64), repeats._numbers(row.sizes, 3).astype(int))
+        got |= set(zip(rids.tolist(), repeats._numbers(row.places, 4).astype(int).tolist()))
+    assert got == want and len(want) > 100
+
+
 def test_main_text(spark):
     long = "the quick fox and the dog of the house ran to the river with a bone in the mouth. " * 3
     pages = [
