@@ -284,18 +284,19 @@ def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
             rid, doc = (np.asarray(batch.column(c)) for c in ("rid", "doc"))
             word, bit = _spot(_asks(h, context, rid[owner]))
             hit = np.nonzero(shared.value[word] >> bit & np.uint64(1))[0]
-            owner, place, h = owner[hit], place[hit], h[hit]
+            owner, place = owner[hit], place[hit]
             sizes = np.array([len(t) for t in texts], np.int64)
             starts = REACH + np.concatenate([[0], np.cumsum(sizes + REACH)[:-1]])
             at = starts[owner] + place - REACH
             yield pa.RecordBatch.from_arrays(
-                [pa.array(h.view(np.int64)), pa.array([whole[a:a + CONTEXT] for a in at.tolist()], pa.binary()),
-                 pa.array(doc[owner]), pa.array(rid[owner]), pa.array(place.astype(np.int64))], ["h", "context", "doc", "rid", "place"])
+                [pa.array([whole[a:a + CONTEXT] for a in at.tolist()], pa.binary()),
+                 pa.array(doc[owner]), pa.array(rid[owner]), pa.array(place.astype(np.int64))], ["context", "doc", "rid", "place"])
 
     number = asked.agg(F.sum(F.octet_length("asked") / 8)).first()[0] or 0
     shards = max(1, -(-int(number) // SHARD))
-    read = rows.mapInArrow(contexts, "h long, context binary, doc long, rid long, place long")
-    marked = read.groupBy(F.pmod(F.xxhash64("h"), F.lit(shards)).alias("shard")).applyInPandas(
+    read = rows.mapInArrow(contexts, "context binary, doc long, rid long, place long")
+    gram = F.substring("context", REACH + 1, GRAM)
+    marked = read.groupBy(F.pmod(F.xxhash64(gram), F.lit(shards)).alias("shard")).applyInPandas(
         mark, "chunk long, rids binary, sizes binary, places binary")
     removed = judged.where("chunk is not null").select("chunk", F.lit(0).alias("kind"), "rids", "sizes", "places").unionAll(
         marked.select("chunk", F.lit(1).alias("kind"), "rids", "sizes", "places"))

@@ -2,6 +2,7 @@
 
 import hashlib
 import pickle
+import random
 import re
 from collections import Counter
 
