@@ -131,6 +131,9 @@ def limiting_diameters(free_radius: DataFrame, dims: DataFrame, cells: DataFrame
     job = field.job_of(sizes, **bricks)
     small, large = job.halves(sizes)
     found = field.crossings(open_, small.withColumns({"along": axis_number(), "unit": axis_size(), "width": F.lit(1)}), ["framework"], KEYS, 6, job)
+    # A voxel without one of its indices is a way by itself where the axis has one place.
+    alone = open_.where("i IS NULL OR j IS NULL OR k IS NULL").join(small.select(*KEYS, "ni", "nj", "nk"), "framework")
+    found = found.unionByName(alone.where((axis_index() == 0) & (axis_size() == 1)).select(*KEYS, F.col("e").alias("w")))
     if large is not None:
         reached = field.minimax(per_axis(open_), large, KEYS, start=axis_index() == 0, neighbours=6, **bricks)
         at_exit = reached.join(large.select(*KEYS, "ni", "nj", "nk"), KEYS).filter(axis_index() == axis_size() - 1)

@@ -545,7 +545,9 @@ def crossings(voxels: DataFrame, groups: DataFrame, base: list[str], keys: list[
     given = F.lit(True)
     for key in base:
         given = given & F.col(key).isNotNull()
-    left = voxels.where(given).select(*base, *AXES, "e")
+    # A voxel without a place has no neighbours.
+    placed = F.col("i").isNotNull() & F.col("j").isNotNull() & F.col("k").isNotNull()
+    left = voxels.where(given & placed).select(*base, *AXES, "e")
     # Named anew, as a join of a table with itself leaves columns that the call can't tell apart.
     right = groups.where(given).select(*[F.col(k).alias(k) for k in keys], *SIZES, (bits[0] + bits[1] + bits[2]).alias("wraps"), "along", "unit", "width")
     found = [T.StructField("seq", _LONG), *_INDEX, T.StructField("e", _DOUBLE)] if paths else [T.StructField("w", _DOUBLE)]
